@@ -31,7 +31,7 @@ RULES: tuple[tuple[int, str, str], ...] = (
     (0, "few_words", "n_words < 10"),
     (1, "repeated_words", "100 * n_repeat_words > 20 * n_words"),
     (2, "symbols", "10 * n_symbols > n_words"),
-    (3, "dup_lines", "10 * n_dup_lines > 3 * n_lines"),
+    (3, "dup_lines", "2 * n_dup_lines > n_lines"),
     (4, "long_words", "word_chars > 15 * n_words"),
     (5, "short_words", "word_chars < 2 * n_words"),
     (6, "upper_case", "n_upper > n_lower"),

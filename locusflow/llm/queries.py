@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, simhash, substring
+from . import language, packing, quality, simhash, substring, toxicity
 from .common import crc_mod, table
 
 K = 35
@@ -17,6 +17,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = toxicity.learn(docs.filter(~held_out), labels.filter(~held_out))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
@@ -54,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op7_language_id, op8_length_packing, op9_simhash, op10_substring_dedup)
+    own = (op1_quality_rules, op3_toxicity, op7_language_id, op8_length_packing, op9_simhash, op10_substring_dedup)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
