@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, simhash, substring, toxicity
+from . import language, packing, quality, sentencepiece, simhash, substring, tokens, topk, toxicity, urls
 from .common import crc_mod, table
 
 K = 35
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), check=True)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = crc_mod("doc_id", 3) == 1
@@ -24,6 +28,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
@@ -61,9 +77,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op3_toxicity, op7_language_id, op8_length_packing, op9_simhash, op10_substring_dedup)
+    own = (op1_quality_rules, op2_sentencepiece, op3_toxicity, op4_url_filter, op5_token_counts, op6_exact_top_k, op7_language_id, op8_length_packing, op9_simhash, op10_substring_dedup)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op10_substring_dedup": SUBSTRING_SQL}
+    return {"op1_quality_rules": quality.SQL, "op6_exact_top_k": topk.SQL, "op10_substring_dedup": SUBSTRING_SQL}
