@@ -1 +1 @@
-
+"""locusflow: multilocus diploid genotype analytics on Spark DataFrames."""
