@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 K, SCALE, QUERY_STEP = 5, 256, 50
 #: Vectors in a block of queries and of rows, and rows in a span.
-QUERY_BLOCK, ROW_BLOCK, SPAN = 512, 4096, 32_768
+QUERY_BLOCK, ROW_BLOCK, SPAN = 256, 4096, 16_384
 LEVELS = (4, 16)
 _EXACT = 2.0**52
 
@@ -82,15 +82,17 @@ def _padded(v: np.ndarray, width: int, n: int) -> np.ndarray:
     return out
 
 
-def _exact(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
-    """Integer products of the pairs; Python's integers where doubles could round."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(q.shape[1], 1)
-    if top < _EXACT:
-        out = np.empty(len(qi), np.int64)
-        for a in range(0, len(qi), 1 << 16):
-            out[a : a + (1 << 16)] = np.einsum("ij,ij->i", q[qi[a : a + (1 << 16)]].astype(np.float64), c[ci[a : a + (1 << 16)]].astype(np.float64))
-        return out
-    return np.array([sum(x * y for x, y in zip(q[i].tolist(), c[j].tolist(), strict=True)) for i, j in zip(qi.tolist(), ci.tolist(), strict=True)], np.int64)
+def _exact(q: np.ndarray, c: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The surviving pairs and their integer products; Python's integers where doubles could round."""
+    rows, columns = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+    qi, ci = np.nonzero(alive[np.ix_(rows, columns)])
+    a, b = q[rows], c[columns]
+    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(q.shape[1], 1)
+    if top < _EXACT:  # sums of integers below 2**53 are exact in any order
+        score = (a.astype(np.float64) @ b.astype(np.float64).T)[qi, ci].astype(np.int64)
+    else:
+        score = np.array([sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True)) for i, j in zip(qi.tolist(), ci.tolist(), strict=True)], np.int64)
+    return rows[qi], columns[ci], score
 
 
 class Best:
@@ -132,9 +134,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, blocks, k: int, levels=LEVELS) -> B
                 if alive.mean() < 0.02:
                     break
                 alive &= level @ _statistics(wide, s).T >= best.least[:, None] - slack
-            qi, ci = np.nonzero(alive)
-            if len(qi):
-                score = _exact(a, part, qi, ci)
+            if alive.any():
+                qi, ci, score = _exact(a, part, alive)
                 good = score >= best.least[qi]
                 best.add(qi[good], ids[ci[good]], score[good])
     return best
