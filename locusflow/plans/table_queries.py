@@ -160,3 +160,24 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
+
+
+def perm_kernel(s, d):
+    """5000 permutations by the numpy engine: the mean of each statistic by locus and scheme (not what SQL draws)."""
+    from ..operators import kernel
+
+    out = None
+    for scheme in kernel.SCHEMES:
+        x = kernel.permute(genotypes(s, d), 5000, SEED, scheme).groupBy("locus").agg(*[F.avg(c).alias(c) for c in ("fst", "fit", "fis", "g")], F.count("*").alias("n")).withColumn("scheme", F.lit(scheme))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def ld_kernel(s, d):
+    """LD p-values of 1000 shuffles by the numpy engine."""
+    from ..operators import kernel
+
+    return kernel.ld_p_values(genotypes(s, d), 1000, SEED)
+
+
+_QUERIES += [perm_kernel, ld_kernel]
