@@ -59,9 +59,9 @@ def _individuals(geno: DataFrame) -> DataFrame:
 def permute_labels(geno: DataFrame, n: int, seed: int | str = 1, digits: int = 0) -> DataFrame:
     """Genotypes with population labels shuffled over all individuals, a copy for each replicate."""
     people = _individuals(geno)
-    places = ranked(people.withColumn("_k", _hex(F.col("indiv"))).withColumn("_one", F.lit(1)), ["_one"], "_k", ["indiv"], "_r", digits).select("_r", "pop")
-    shuffled = people.select("indiv").crossJoin(F.broadcast(replicates(geno, n))).withColumn("_k", order_key(seed, F.col("rep"), F.col("indiv")))
-    shuffled = ranked(shuffled, ["rep"], "_k", ["indiv"], "_r", digits).select("rep", "indiv", "_r")
+    places = ranked(people.withColumn("_k", _hex(F.col("indiv"))).withColumn("_one", F.lit(1)), ["_one"], "_k", ["indiv"], "_r", digits).select("_r", "indiv")
+    shuffled = people.crossJoin(F.broadcast(replicates(geno, n))).withColumn("_k", order_key(seed, F.col("rep"), F.col("indiv")))
+    shuffled = ranked(shuffled, ["rep"], "_k", ["indiv"], "_r", digits).select("rep", "pop", "_r")
     labels = shuffled.join(places, "_r").select("rep", "indiv", "pop")
     return geno.drop("pop").join(labels, "indiv").select("rep", "indiv", "pop", "locus", "a1", "a2")
 

@@ -203,9 +203,9 @@ _QUERIES = [perm_fst_labels, perm_fst_p, perm_within_pop, perm_fis, perm_fis_by_
 
 def labels_sql(src: str = "valid", people: str = "geno", n: int = B, seed=SEED) -> str:
     return f"""
-ind AS (SELECT DISTINCT indiv, pop FROM {people}), plc AS (SELECT pop, row_number() OVER (ORDER BY indiv) AS r FROM ind),
-shf AS (SELECT rep, indiv, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', '{seed}', rep, indiv)), indiv) AS r FROM ind, range(1, {n + 1}) t(rep)),
-prm AS (SELECT rep, v.indiv, plc.pop, locus, a1, a2 FROM {src} v JOIN shf USING (indiv) JOIN plc USING (r))"""
+ind AS (SELECT DISTINCT indiv, pop FROM {people}), plc AS (SELECT indiv, row_number() OVER (ORDER BY indiv) AS r FROM ind),
+shf AS (SELECT rep, pop, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws('|', '{seed}', rep, indiv)), indiv) AS r FROM ind, range(1, {n + 1}) t(rep)),
+prm AS (SELECT rep, v.indiv, shf.pop, locus, a1, a2 FROM {src} v JOIN plc USING (indiv) JOIN shf USING (r))"""
 
 
 def alleles_sql(within: bool = True) -> str:

@@ -52,8 +52,8 @@ def guess_separator(header: str) -> str:
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether all lines decode as UTF-8 (a replacement character means that one didn't)."""
-    return spark.read.text(path).filter(F.col("value").contains("�")).limit(1).count() == 0
+    """Whether all lines are valid UTF-8."""
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count() == 0
 
 
 @dataclass
