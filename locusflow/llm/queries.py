@@ -23,7 +23,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    held_out = crc_mod("doc_id", 3) == 1
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     model = toxicity.learn(docs.filter(~held_out), labels.filter(~held_out))
     return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
 
@@ -42,9 +42,9 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = (crc_mod("doc_id", 4) == 2).alias("held_out")
-    model = language.learn(docs.filter(crc_mod("doc_id", 4) != 2))
-    return language.predict(docs.select("doc_id", held_out, "text"), model, keep_text=False)
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = language.learn(docs.filter(~held_out))
+    return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
 
 
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
