@@ -88,24 +88,41 @@ def statistics(pop: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, n_pops: in
     return a / whole, (a + b) / whole, b / (b + w) if b + w > 0 else nan, g
 
 
-def one(m: Matrix, rep: int, seed: int, scheme: str) -> list[tuple]:
+@dataclass
+class Locus:
+    """The valid genotypes of a locus, in order of population."""
+
+    name: str
+    rows: np.ndarray
+    pop: np.ndarray
+    copies: np.ndarray  # allele codes, two a genotype
+    place: np.ndarray  # the population of each copy, as a number to which a fraction may be added
+    k: int
+
+
+def prepared(m: Matrix) -> list[Locus]:
+    """What all replicates of a task share."""
+    out = []
+    for j, name in enumerate(m.loci):
+        ok = np.flatnonzero(m.a1[:, j] >= 0)
+        ok = ok[np.argsort(m.pop[ok], kind="stable")]
+        pop = m.pop[ok].astype(np.int64)
+        out.append(Locus(name, ok, pop, np.stack([m.a1[ok, j], m.a2[ok, j]], axis=1).ravel().astype(np.int64), np.repeat(pop, 2).astype(np.float32), m.k[j]))
+    return out
+
+
+def one(m: Matrix, loci: list[Locus], rep: int, seed: int, scheme: str) -> list[tuple]:
     """Rows of a replicate: rep, locus, fst, fit, fis, g."""
     rng = np.random.Generator(np.random.Philox(key=[seed, rep]))
-    pop = rng.permutation(m.pop) if scheme == "labels" else m.pop
+    labels = rng.permutation(m.pop).astype(np.int64) if scheme == "labels" else None
     out = []
-    for j, name in enumerate(m.loci):
-        ok = m.a1[:, j] >= 0
-        x, y, own = m.a1[ok, j].astype(np.int64), m.a2[ok, j].astype(np.int64), pop[ok].astype(np.int64)
+    for x in loci:
+        copies, pop = x.copies, x.pop if labels is None else labels[x.rows]
         if scheme == "alleles_global":
-            mixed = rng.permutation(np.stack([x, y], axis=1).ravel()).reshape(-1, 2)
-            x, y = mixed[:, 0], mixed[:, 1]
-        elif scheme == "alleles_within":
-            place = np.repeat(own, 2)
-            order = np.argsort(place, kind="stable")
-            mixed = np.empty(2 * len(x), np.int64)
-            mixed[order] = np.stack([x, y], axis=1).ravel()[np.lexsort((rng.random(len(place)), place))]
-            x, y = mixed[0::2], mixed[1::2]
-        out.append((rep, name, *statistics(own, x, y, m.k[j], m.n_pops)))
+            copies = rng.permutation(copies)
+        elif scheme == "alleles_within":  # populations stay in order, and fractions mix the copies inside each
+            copies = copies[np.argsort(x.place + rng.random(len(x.place)) * 0.999)]
+        out.append((rep, x.name, *statistics(pop, copies[0::2], copies[1::2], x.k, m.n_pops)))
     return out
 
 
@@ -126,8 +143,9 @@ def permute(geno: DataFrame, n: int, seed: int = 1, scheme: str = "labels", engi
 
     def run(batches):
         m = shared.value
+        loci = prepared(m)
         for pdf in batches:
-            rows = [r for rep in pdf["rep"] for r in one(m, int(rep), seed, scheme)]
+            rows = [r for rep in pdf["rep"] for r in one(m, loci, int(rep), seed, scheme)]
             yield pd.DataFrame(rows, columns=["rep", "locus", "fst", "fit", "fis", "g"])
 
     tasks = max(1, min(-(-n // REPS_PER_TASK), 10_000))
