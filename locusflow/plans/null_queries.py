@@ -279,6 +279,14 @@ def _mrm_sql(std: bool) -> str:
     return q(*IBD, "mt AS (SELECT pop1, pop2, d AS x, fr_raw AS y, dcse_raw AS z FROM ib)", PERM, f'o1 AS (SELECT {mom("y", "x", "z")} FROM mt), o2 AS (SELECT *, {sol} FROM o1), os AS (SELECT n, {scale}, (b1 * xy + b2 * zy) / vy AS "R2" FROM o2), m1 AS (SELECT rep, {mom("py", "x", "z")} FROM pm GROUP BY rep), m2 AS (SELECT *, {sol} FROM m1), ms AS (SELECT rep, {scale}, (b1 * xy + b2 * zy) / vy AS "R2" FROM m2)', " UNION ALL ".join(map(pick, ("d", "dcse_raw", "R2"))))
 
 
+#: Vincenty's inverse formula, a recursion on the longitude difference on the sphere.
+_V = """sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs"""
+_VA = f"SELECT *, 1 - sa * sa AS c2, CASE WHEN 1 - sa * sa <> 0 THEN cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) ELSE 0 END AS cm, atan2(ss, cs) AS sg FROM (SELECT *, cos(u1) * cos(u2) * sin(lam) / ss AS sa FROM (SELECT *, {_V} FROM vi))"
+_VINCENTY = f"""
+vp AS (SELECT a.pop AS pop1, b.pop AS pop2, atan((1 - {geo.FLATTENING!r}) * tan(radians(a.lat))) AS u1, atan((1 - {geo.FLATTENING!r}) * tan(radians(b.lat))) AS u2, radians(b.lon - a.lon) AS l, {geo.FLATTENING!r}::DOUBLE AS f FROM pt a JOIN pt b ON a.pop < b.pop),
+vi AS (SELECT *, l AS lam, 0 AS it, false AS done FROM vp UNION ALL SELECT pop1, pop2, u1, u2, l, f, new, it + 1, abs(new - lam) < 1e-12 FROM (SELECT *, l + (1 - w) * f * sa * (sg + w * ss * (cm + w * cs * (2 * cm * cm - 1))) AS new FROM (SELECT *, f / 16 * c2 * (4 + f * (4 - 3 * c2)) AS w FROM ({_VA}))) WHERE NOT done AND it < 200),
+vf AS (SELECT *, 1 + h / 16384 * (4096 + h * (h * (320 - 175 * h) - 768)) AS ka, h / 1024 * (256 + h * (h * (74 - 47 * h) - 128)) AS kb FROM (SELECT *, c2 * (1 / (1 - f) ** 2 - 1) AS h FROM ({_VA}) WHERE done)),
+vd AS (SELECT pop1, pop2, {geo.AXIS!r} * (1 - f) * ka * (sg - kb * ss * (cm + kb / 4 * (cs * (2 * cm * cm - 1) - kb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) AS d FROM vf)"""
 _LINE = lambda name, y, x: f"SELECT '{name}' AS line, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept, regr_r2({y}, {x}) AS r2, regr_count({y}, {x})::BIGINT AS n FROM ib"
 _PART = "(xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz))"
 _ORACLE = {
@@ -298,6 +306,7 @@ _ORACLE = {
     "boot_subs_ena": q(*E_, _draw("tb", "pop"), "btb AS (SELECT rep, slot, tb.* FROM sl JOIN tb USING (pop)), bal AS (SELECT rep, slot, al.* FROM sl JOIN al USING (pop))", wc_sql("rep, locus", "btb", "bal", True), f"SELECT rep, {R6('fst_raw', 'fst_ena')} FROM ({POOL('wc', 'rep, ')})"),
     "centroids": q(POINTS, "SELECT pop, R(avg(lat)) AS lat, R(avg(lon)) AS lon FROM pt GROUP BY pop"),
     "map_points": q(POINTS, "SELECT pop, any_value(lat) AS lat, any_value(lon) AS lon, count(DISTINCT indiv) AS n FROM geno JOIN pt USING (pop) GROUP BY pop"),
+    "vincenty": q(POINTS, _VINCENTY, "SELECT pop1, pop2, round(d, 3) AS d, round(ln(d), 6) AS ln_d FROM vd"),
     "ibd_table": q(*IBD, "SELECT pop1, pop2, R(fst_raw) AS fst_raw, R(dcse_raw) AS dcse_raw, R(d) AS d, R(ln_d) AS ln_d, R(fr_raw) AS fr_raw FROM ib"),
     "ibd_regression": q(*IBD, f"ln_ AS ({_LINE('2D', 'fr_raw', 'ln_d')} UNION ALL {_LINE('2D chord', 'dcse_raw', 'ln_d')} UNION ALL {_LINE('1D', 'fr_raw', 'd')}), lb2 AS (SELECT *, round(slope, 4) AS b FROM ln_)", "SELECT line, R(slope) AS slope, R(intercept) AS intercept, R(r2) AS r2, n, b, R(CASE WHEN b <> 0 THEN 1 / b END) AS nb, R(CASE WHEN b <> 0 THEN 1 / b / (2 * pi()) END) AS nem FROM lb2"),
     "ibd_external": q(*IBD, "SELECT pop1, pop2, R(fst_raw) AS fst_raw, R(pop1 * 10 + pop2) AS d, R(ln(pop1 * 10 + pop2)) AS ln_d FROM ib WHERE (pop1 + pop2) % 3 = 0"),
