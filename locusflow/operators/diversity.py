@@ -57,24 +57,14 @@ def fis_by_pop_biased(counts: DataFrame) -> DataFrame:
 
 def nei(counts: DataFrame, keys: Keys = ()) -> DataFrame:
     """Per locus: Ho (plain mean over populations), Hs (hs_a), Ht and the number of populations k."""
-    by = [*keys, "locus"]
-    pl = pop_locus(counts, keys).filter("n > 0")
-    x = pl.groupBy(*by).agg(F.avg(F.col("n_het") / F.col("n")).alias("ho"), F.avg(unbiased()).alias("hs"), F.count("*").alias("k"), F.sum("n").alias("nt"))
-    mean = wc84.allele_components(counts, keys).groupBy(*by).agg((1 - F.sum(F.col("mean_p") * F.col("mean_p"))).alias("ht"))
-    n2 = 2.0 * F.col("nt")
-    return x.join(mean, by).select(*by, "ho", "hs", (F.col("ht") * n2 / (n2 - 1)).alias("ht"), "k")
+    return wc84.raw_stats(counts, keys).select(*keys, "locus", "ho", "hs", "ht", F.col("r").alias("k"))
 
 
 def hi_hs(counts: DataFrame, keys: Keys = ()) -> DataFrame:
     """Per locus: fst, fit, HI and HS-b; the last two stay where components aren't defined, all are null with one population."""
-    by = [*keys, "locus"]
-    pl = pop_locus(counts, keys)
-    n = F.col("n")
-    x = pl.groupBy(*by).agg(F.count("*").alias("r"), F.sum("n_het").alias("het"), F.sum(n).alias("nt"), F.sum(n * (1 - F.col("sp2"))).alias("s"))
-    comp = wc84.allele_components(counts, keys).groupBy(*by).agg(*[F.sum(v).alias(v) for v in "abc"])
     d = F.col("a") + F.col("b") + F.col("c")
     many = F.col("r") > 1
-    return x.join(comp, by).select(*by, F.when(many & (d != 0), F.col("a") / d).alias("fst"), F.when(many & (d != 0), (F.col("a") + F.col("b")) / d).alias("fit"), F.when(many, F.col("het") / F.col("nt")).alias("hi"), F.when(many, F.col("s") / F.col("nt")).alias("hs"))
+    return wc84.raw_stats(counts, keys).select(*keys, "locus", F.when(many & (d != 0), F.col("a") / d).alias("fst"), F.when(many & (d != 0), (F.col("a") + F.col("b")) / d).alias("fit"), F.when(many, F.col("het") / F.col("nt")).alias("hi"), F.when(many, F.col("nh") / F.col("nt")).alias("hs"))
 
 
 def hs_f(counts: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -108,6 +98,7 @@ def basic_stats(counts: DataFrame) -> DataFrame:
     Overall Ho, Hs and Ht are means over loci; overall FIT, FIS and FST are ratios of sums, limited to [0, 1]
     before the primes are formed.
     """
+    counts = counts.persist()  # small, and used for the table, its means and the recoded alleles
     stats, top = wc84.locus_stats(counts), wc84.locus_stats(private_alleles(counts))
     own = nei(counts).join(wc84.f_statistics(stats).select("locus", "fst", "fit", "fis"), "locus", "left").join(wc84.f_statistics(top).select("locus", F.col("fst").alias("fst_max")), "locus", "left")
     means = nei(counts).agg(*[F.avg(c).alias(c) for c in ("ho", "hs", "ht")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import valid
 from .counts import Keys
+from .wc84 import gathered
 
 
 def g_by_locus(counts: DataFrame, keys: Keys = (), min_alleles: int = 1) -> DataFrame:
@@ -14,16 +15,15 @@ def g_by_locus(counts: DataFrame, keys: Keys = (), min_alleles: int = 1) -> Data
 
     The sum 2 O ln(O / E) is taken apart as 2 (O ln O - ...) by margins, so no cell needs a join with its margins.
     """
-    o = F.col("c").cast("double")
-    cells = counts.groupBy(*keys, "locus", "pop").agg(F.sum(o * F.log(o)).alias("ol"), F.sum(o).alias("row"))
-    rows = cells.groupBy(*keys, "locus").agg(F.sum("ol").alias("ol"), F.sum(F.col("row") * F.log("row")).alias("rl"), F.count("*").alias("r"), F.sum("row").alias("t"))
-    alleles = counts.groupBy(*keys, "locus", "allele").agg(F.sum(o).alias("col"))
-    columns = alleles.groupBy(*keys, "locus").agg(F.sum(F.col("col") * F.log("col")).alias("cl"), F.count("*").alias("k"))
-    x = rows.join(columns, [*keys, "locus"])
-    g = 2 * (F.col("ol") - F.col("rl") - F.col("cl") + F.col("t") * F.log("t"))
+    by = [*keys, "locus"]
+    rows = gathered(counts, keys).select(*by, "r", "nt", "ol", "rl", F.explode("x").alias("s"))
+    alleles = rows.groupBy(*by, F.col("s.allele").alias("allele")).agg(F.sum("s.c").cast("double").alias("col"), *[F.first(v).alias(v) for v in ("r", "nt", "ol", "rl")])
+    x = alleles.groupBy(*by).agg(F.sum(F.col("col") * F.log("col")).alias("cl"), F.count("*").alias("k"), *[F.first(v).alias(v) for v in ("r", "nt", "ol", "rl")])
+    t = 2.0 * F.col("nt")
+    g = 2 * (F.col("ol") - F.col("rl") - F.col("cl") + t * F.log(t))
     # exact zero for what rounding leaves of a table without association
     g = F.when(F.abs(g) < 1e-9, 0.0).otherwise(g)
-    return x.select(*keys, "locus", F.when((F.col("r") >= 2) & (F.col("t") >= 4) & (F.col("k") >= min_alleles), g).alias("g"), (F.col("t") / 2).cast("long").alias("n_geno"))
+    return x.select(*by, F.when((F.col("r") >= 2) & (F.col("nt") >= 2) & (F.col("k") >= min_alleles), g).alias("g"), F.col("nt").alias("n_geno"))
 
 
 def g_overall(g: DataFrame, keys: Keys = ()) -> DataFrame:

@@ -9,32 +9,49 @@ from ..functions import ratio, ratio_nonzero
 from .counts import Keys, pop_locus
 
 
-def locus_sizes(pl: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Per locus: populations ``r``, individuals ``nt``, ``nbar``, ``nc``, heterozygotes; ``ok`` where components are defined."""
-    n = F.col("n")
-    out = pl.filter(n > 0).groupBy(*keys, "locus").agg(F.count("*").alias("r"), F.sum(n).alias("nt"), F.sum(n.cast("double") * n).alias("n2"), F.sum("n_het").alias("het"))
+def gathered(counts: DataFrame, keys: Keys = ()) -> DataFrame:
+    """One row a locus: sizes, diversities, and ``x``, the (allele, c, h, n) of all its populations.
+
+    Everything about a locus follows from this row, so the counts are made once, in a chain without joins; the row grows with
+    populations x alleles, not with individuals.  ``ok`` tells where variance components are defined.
+    """
+    by = [*keys, "locus"]
+    total = F.sum("c")
+    per = counts.groupBy(*by, "pop").agg(
+        (total / 2).cast("long").alias("n"), (F.sum("h") / 2).cast("long").alias("n_het"), (F.sum(F.col("c").cast("double") * F.col("c")) / (total.cast("double") * total)).alias("sp2"),
+        F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("ol"), F.collect_list(F.struct("allele", "c", "h")).alias("x"),
+    )
+    n, n2 = F.col("n"), 2.0 * F.col("n")
+    unbiased = F.when(n > 1, (1 - F.col("sp2")) * n2 / (n2 - 1))
+    own = F.transform("x", lambda a: F.struct(a["allele"].alias("allele"), a["c"].alias("c"), a["h"].alias("h"), n.alias("n")))
+    out = per.groupBy(*by).agg(
+        F.count("*").alias("r"), F.sum(n).alias("nt"), F.sum(n.cast("double") * n).alias("n2"), F.sum("n_het").alias("het"), F.avg(unbiased).alias("hs"), F.avg(F.col("n_het") / n).alias("ho"),
+        F.sum(n * (1 - F.col("sp2"))).alias("nh"), F.sum("ol").alias("ol"), F.sum(n2 * F.log(n2)).alias("rl"), F.flatten(F.collect_list(own)).alias("x"),
+    )
     nc = F.when(F.col("r") > 1, (F.col("nt") - F.col("n2") / F.col("nt")) / (F.col("r") - 1))
     out = out.withColumn("nbar", F.col("nt") / F.col("r")).withColumn("nc", nc)
     return out.withColumn("ok", F.coalesce((F.col("r") >= 2) & (F.col("nt") > 1) & (F.col("nc") > 0) & (F.col("nbar") > 1), F.lit(False)))
 
 
+_SIZES = ("r", "nt", "het", "hs", "ho", "nh", "nbar", "nc", "ok")
+
+
 def allele_components(counts: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Per allele: ``nt, r, freq`` (pooled), ``mean_p`` (mean over populations) and a, b, c (null where they aren't defined)."""
+    """Per allele: the sizes of its locus, ``freq`` (pooled), ``mean_p`` (mean over populations) and a, b, c (null where they aren't defined)."""
     by = [*keys, "locus"]
-    pl = pop_locus(counts, keys)
-    sized = counts.join(pl.select(*by, "pop", "n"), [*by, "pop"])
-    alleles = sized.groupBy(*by, "allele").agg(
-        F.sum(F.col("c").cast("double") * F.col("c") / (4.0 * F.col("n"))).alias("q"), F.sum("c").alias("cs"), F.sum("h").alias("hs"), F.sum(F.col("c") / (2.0 * F.col("n"))).alias("ps")
+    rows = gathered(counts, keys).select(*by, *_SIZES, F.explode("x").alias("s")).select(*by, *_SIZES, "s.*")
+    c, n = F.col("c"), F.col("n")
+    x = rows.groupBy(*by, "allele").agg(
+        F.sum(c.cast("double") * c / (4.0 * n)).alias("q"), F.sum(c).alias("cs"), F.sum("h").alias("hc"), F.sum(c / (2.0 * n)).alias("ps"), *[F.first(v).alias(v) for v in _SIZES]
     )
-    x = alleles.join(locus_sizes(pl, keys), by)
-    r, nt, nbar, nc = (F.col(c) for c in ("r", "nt", "nbar", "nc"))
-    p, hbar = F.col("cs") / (2.0 * nt), F.col("hs") / nt.cast("double")
+    r, nt, nbar, nc = (F.col(v) for v in ("r", "nt", "nbar", "nc"))
+    p, hbar = F.col("cs") / (2.0 * nt), F.col("hc") / nt.cast("double")
     s2 = (F.col("q") - F.col("cs").cast("double") * F.col("cs") / (4.0 * nt)) / ((r - 1) * nbar)
     inner = p * (1 - p) - (r - 1) / r * s2
     a = nbar / nc * (s2 - (inner - hbar / 4) / (nbar - 1))
     b = nbar / (nbar - 1) * (inner - (2 * nbar - 1) / (4 * nbar) * hbar)
     ok = F.col("ok")
-    return x.select(*by, "allele", "nt", "r", "ok", "het", p.alias("freq"), (F.col("ps") / r).alias("mean_p"), F.when(ok, a).alias("a"), F.when(ok, b).alias("b"), F.when(ok, hbar / 2).alias("c"))
+    return x.select(*by, "allele", "nt", "r", "ok", "het", "hs", "ho", "nh", p.alias("freq"), (F.col("ps") / r).alias("mean_p"), F.when(ok, a).alias("a"), F.when(ok, b).alias("b"), F.when(ok, hbar / 2).alias("c"))
 
 
 def hs_per_locus(pl: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -43,14 +60,20 @@ def hs_per_locus(pl: DataFrame, keys: Keys = ()) -> DataFrame:
     return pl.groupBy(*keys, "locus").agg(F.avg(F.when(F.col("n") > 1, (1 - F.col("sp2")) * n2 / (n2 - 1))).alias("hs"))
 
 
+def raw_stats(counts: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Per locus: sums of a, b and c as they are, Ho (mean over populations), HS-a, HT, heterozygotes, sizes, and ``nh`` (sum of n times biased diversity)."""
+    by = [*keys, "locus"]
+    same = ("nt", "r", "het", "hs", "ho", "nh")
+    x = allele_components(counts, keys).groupBy(*by).agg(*[F.sum(v).alias(v) for v in "abc"], *[F.first(v).alias(v) for v in same], (1 - F.sum(F.col("mean_p") * F.col("mean_p"))).alias("ht"))
+    n2 = 2.0 * F.col("nt")
+    return x.withColumn("ht", F.col("ht") * n2 / (n2 - 1))
+
+
 def locus_stats(counts: DataFrame, keys: Keys = ()) -> DataFrame:
     """Per locus: a, b, c and HI (heterozygotes / individuals), HS, HT; all six are null where a + b + c isn't above 0."""
-    by = [*keys, "locus"]
-    sums = allele_components(counts, keys).groupBy(*by).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.first("nt").alias("nt"), F.first("r").alias("r"), F.first("het").alias("het"), (1 - F.sum(F.col("mean_p") * F.col("mean_p"))).alias("ht"))
-    x = sums.join(hs_per_locus(pop_locus(counts, keys), keys), by)
+    x = raw_stats(counts, keys)
     ok = F.col("a") + F.col("b") + F.col("c") > 0
-    n2 = 2.0 * F.col("nt")
-    return x.select(*by, *[F.when(ok, F.col(v)).alias(v) for v in ("a", "b", "c")], F.when(ok, F.col("het") / F.col("nt").cast("double")).alias("hi"), F.when(ok, F.col("hs")).alias("hs"), F.when(ok, F.col("ht") * n2 / (n2 - 1)).alias("ht"), F.col("r"), F.col("nt"))
+    return x.select(*keys, "locus", *[F.when(ok, F.col(v)).alias(v) for v in ("a", "b", "c")], F.when(ok, F.col("het") / F.col("nt").cast("double")).alias("hi"), F.when(ok, F.col("hs")).alias("hs"), F.when(ok, F.col("ht")).alias("ht"), "r", "nt")
 
 
 def f_statistics(stats: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Whole analyses: each takes genotypes (``indiv, pop, locus, a1, a2``) and returns the table that a user reads.
 
-Counts are persisted, as observed, permuted and resampled statistics all start from them.
+Counts, observed, permuted and resampled, are persisted: statistics by locus and over all start from them.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def _assemble(obs: DataFrame, boot: DataFrame, perm: DataFrame, value: str, conf
 def fis_by_pop(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False) -> DataFrame:
     """FIS of each population, and Overall: the plain mean over populations (with ``consistent`` the ratio of sums)."""
     c = counts.allele_counts(geno).persist()
-    perm, boot = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"]), resample.bootstrap_individuals(geno, n_boot, seed)
+    perm, boot = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"]).persist(), resample.bootstrap_individuals(geno, n_boot, seed).persist()
 
     def table(x: DataFrame, keys: list[str]) -> DataFrame:
         own = wc84.fis_by_pop(x, keys).select(*keys, F.col("pop").cast("string").alias("id"), "fis")
@@ -41,7 +41,7 @@ def fis_by_pop(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float =
 def fis_by_locus(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
     """FIS of each locus with floor-index intervals over individuals; Overall is the ratio of sums."""
     c = counts.allele_counts(geno).persist()
-    perm, boot = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"]), resample.bootstrap_individuals(geno, n_boot, seed)
+    perm, boot = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"]).persist(), resample.bootstrap_individuals(geno, n_boot, seed).persist()
 
     def table(x: DataFrame, keys: list[str]) -> DataFrame:
         return wc84.fis_by_locus(x, keys).select(*keys, F.col("locus").alias("id"), "fis").unionByName(wc84.fis_overall(x, keys).select(*keys, F.lit("Overall").alias("id"), "fis"))
@@ -58,7 +58,7 @@ def fis_pop_block(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> D
 def fit_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False) -> DataFrame:
     """FIT of each locus, and Overall: observed and permuted as a ratio of sums, resampled as the mean over loci (``consistent``: a ratio too)."""
     c = counts.allele_counts(geno).persist()
-    perm, boot = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed, within_pop=False), ["rep"]), resample.bootstrap_populations(c, n_boot, seed)
+    perm, boot = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed, within_pop=False), ["rep"]).persist(), resample.bootstrap_populations(c, n_boot, seed)
 
     def table(x: DataFrame, keys: list[str], mean: bool) -> DataFrame:
         stats = wc84.locus_stats(x, keys)
@@ -72,7 +72,7 @@ def fit_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float
 def fst_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
     """FST of each locus and Overall (ratio of sums), intervals over drawn populations, p-values of G under shuffled population labels."""
     c = counts.allele_counts(geno).persist()
-    perm, boot = counts.allele_counts(resample.permute_labels(geno, n_perm, seed), ["rep"]), resample.bootstrap_populations(c, n_boot, seed)
+    perm, boot = counts.allele_counts(resample.permute_labels(geno, n_perm, seed), ["rep"]).persist(), resample.bootstrap_populations(c, n_boot, seed)
 
     def fst(x: DataFrame, keys: list[str]) -> DataFrame:
         stats = wc84.locus_stats(x, keys)
