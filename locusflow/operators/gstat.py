@@ -49,12 +49,15 @@ def locus_pairs(geno: DataFrame) -> DataFrame:
 def ld_g(pairs: DataFrame, keys: Keys = ()) -> DataFrame:
     """``pop, locus1, locus2, n, g``: the G statistic of genotype tables; rows only where a table has two rows, columns and cells at least."""
     by = [*keys, "pop", "locus1", "locus2"]
-    cells = pairs.groupBy(*by, "g1", "g2").agg(F.count("*").cast("double").alias("o"))
     ln = lambda c: F.sum(F.col(c) * F.log(c))
-    one = cells.groupBy(*by, "g1").agg(F.sum("o").alias("m"), ln("o").alias("ol"), F.count("*").alias("k"))
-    one = one.groupBy(*by).agg(ln("m").alias("rl"), F.count("*").alias("rows"), F.sum("m").alias("n"), F.sum("ol").alias("ol"), F.sum("k").alias("cells"))
-    two = cells.groupBy(*by, "g2").agg(F.sum("o").alias("m")).groupBy(*by).agg(ln("m").alias("cl"), F.count("*").alias("columns"))
-    x = one.join(two, by).filter((F.col("rows") > 1) & (F.col("columns") > 1) & (F.col("cells") > 1) & (F.col("n") >= 2))
+    cells = pairs.groupBy(*by, "g1", "g2").agg(F.count("*").cast("double").alias("o"))
+    rows = cells.groupBy(*by, "g1").agg(F.sum("o").alias("m"), ln("o").alias("ol"), F.collect_list(F.struct("g2", "o")).alias("x"))
+    # a table of genotypes is small beside its individuals, so its columns are summed from one row
+    whole = rows.groupBy(*by).agg(ln("m").alias("rl"), F.count("*").alias("rows"), F.sum("m").alias("n"), F.sum("ol").alias("ol"), F.flatten(F.collect_list("x")).alias("x"))
+    same = ("rl", "rows", "n", "ol", "cells")
+    columns = whole.withColumn("cells", F.size("x")).select(*by, *same, F.explode("x").alias("s")).groupBy(*by, F.col("s.g2").alias("g2")).agg(F.sum("s.o").alias("m"), *[F.first(v).alias(v) for v in same])
+    x = columns.groupBy(*by).agg(ln("m").alias("cl"), F.count("*").alias("columns"), *[F.first(v).alias(v) for v in same])
+    x = x.filter((F.col("rows") > 1) & (F.col("columns") > 1) & (F.col("cells") > 1) & (F.col("n") >= 2))
     g = 2 * (F.col("ol") - F.col("rl") - F.col("cl") + F.col("n") * F.log("n"))
     return x.select(*by, F.col("n").cast("long").alias("n"), F.when(F.abs(g) < 1e-9, 0.0).otherwise(g).alias("g"))
 
