@@ -97,7 +97,7 @@ def _measure(batches, text: str, names: list[str]):
         yield pa.RecordBatch.from_arrays([*(c for c, n in zip(part.columns, part.schema.names, strict=True) if n != text), *arrays], names=[*(n for n in part.schema.names if n != text), *names])
 
 
-def fail_bits(measured: dict[str, Column] | None = None) -> Column:
+def fail_bits() -> Column:
     """The bitmask of the rules that fail, from columns named as the measurements."""
     bits = [F.when(F.expr(condition), F.lit(1 << bit)).otherwise(0) for bit, _, condition in RULES]
     out = bits[0]

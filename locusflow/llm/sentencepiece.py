@@ -206,7 +206,7 @@ class Encoder:
         if len(new):
             out[new] = self._seam(a[new], b[new])
             self.pairs[slot[new]], self.fits[slot[new]] = pair[new], out[new]
-            # of several pairs of one slot the last one wrote its number; all of them must agree with what the slot says
+            # where several pairs wrote to one slot, it is emptied unless all of them were the same pair
             clash = new[self.pairs[slot[new]] != pair[new]]
             self.fits[slot[clash]], self.pairs[slot[clash]] = False, -1
         return out
