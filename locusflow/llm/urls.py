@@ -23,7 +23,7 @@ from .common import extended, spare
 #: Host, path and verdict of the fixed rules.
 FIXED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 3
-#: Bounds: labelled pages that are mined, and rules that are kept.
+#: Bounds: labelled pages that are mined, and rules that are left after pruning (more raise an error).
 TRAIN_PAGES, MAX_RULES = 50_000, 5_000
 DEFAULT = "allow"
 CLASS = "class:"
@@ -79,7 +79,7 @@ def _tokenised(batches):
 
 
 def mine(labelled: DataFrame, train: int = TRAIN_PAGES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Rule]:
-    """Pruned rules from ``url, verdict``; the sample is about ``train`` rows, by hashed url. No labelled rows give no rules."""
+    """Pruned rules from ``url, verdict``; the sample is about ``train`` rows, by hashed url. No labelled rows give no rules; more than ``MAX_RULES`` after pruning raise."""
     known = labelled.filter("url IS NOT NULL AND verdict IS NOT NULL")
     n = known.agg(F.count("*")).first()[0]
     if not n:
@@ -89,9 +89,20 @@ def mine(labelled: DataFrame, train: int = TRAIN_PAGES, min_support: float = MIN
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     # the rules of classes among itemsets over the support, themselves bounded
     found = model.associationRules.filter(F.col("consequent")[0].startswith(CLASS) & (F.size("antecedent") <= MAX_TOKENS) & ~F.exists("antecedent", lambda x: x.startswith(CLASS)))
-    best = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_sort("antecedent")).limit(MAX_RULES).collect()
-    rules = [Rule(tuple(sorted(r["antecedent"])), r["consequent"][0][len(CLASS) :], r["confidence"], r["support"]) for r in best]
-    return pruned(rules)
+    best = _needed(found.select(F.array_sort("antecedent").alias("tokens"), F.col("consequent")[0].alias("class"), "confidence", "support")).limit(MAX_RULES + 1).collect()
+    if len(best) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules are left after pruning; mine with a higher support or confidence, or raise MAX_RULES")
+    return pruned([Rule(tuple(sorted(r["tokens"])), r["class"][len(CLASS) :], r["confidence"], r["support"]) for r in best])
+
+
+def _needed(found: DataFrame) -> DataFrame:
+    """What ``pruned`` keeps, found before anything is collected: each rule looks for a better one among the subsets of its tokens."""
+    token = F.col("tokens")
+    parts = [F.transform(token, lambda x: F.array(x)), F.flatten(F.transform(token, lambda x: F.transform(F.filter(token, lambda y: y > x), lambda y: F.array(x, y))))]
+    smaller = found.select("tokens", "class", "confidence", F.explode(F.filter(F.concat(*parts), lambda p: F.size(p) < F.size("tokens"))).alias("part"))
+    other = found.select(F.col("tokens").alias("part"), "class", F.col("confidence").alias("least"))
+    covered = smaller.join(other, ["part", "class"]).filter("least >= confidence").select("tokens", "class")
+    return found.join(covered, ["tokens", "class"], "left_anti")
 
 
 def pruned(rules: list[Rule]) -> list[Rule]:

@@ -60,3 +60,14 @@ def test_no_rows_and_no_labels(pages):
     assert urls.judge(pages.limit(0)).count() == 0
     got = urls.judge(pages.filter("page_id < 3")).collect()
     assert {r.verdict for r in got} == {"allow"} and {r.mined for r in got} == {None}
+
+
+def test_redundant_rules_take_no_places(pages, monkeypatch):
+    """The bound counts what pruning leaves, and nothing is cut silently."""
+    labelled = pages.sparkSession.createDataFrame([(r.url, brute(r.url)[3]) for r in pages.collect() if r.url and brute(r.url)[3]], "url string, verdict string").persist()
+    whole = urls.mine(labelled)
+    monkeypatch.setattr(urls, "MAX_RULES", len(whole))
+    assert urls.mine(labelled) == whole and whole == urls.pruned(whole)
+    monkeypatch.setattr(urls, "MAX_RULES", len(whole) - 1)
+    with pytest.raises(ValueError, match="after pruning"):
+        urls.mine(labelled)
