@@ -170,7 +170,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
 
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], min_cosine: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows with a predicted language and a cosine of at least ``min_cosine``; ``lang_col`` becomes the prediction."""
+    """Rows with a predicted language and a cosine of at least ``min_cosine``; ``lang_col`` becomes the prediction.
+
+    An empty model can't tell languages apart: then rows with a letter stay, and ``lang_col`` as it was.
+    """
+    if not model[0]:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
     own = predict(docs, model, text_col)
     pred, score = own.columns[-2:]
     kept = own.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= min_cosine))

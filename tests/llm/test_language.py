@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,12 @@ def test_odd_rows_and_clashing_names(docs, empty, labelled):
     none = language.learn(empty)
     assert none[0] == [] and {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"}
     assert language.keep_known(docs, model, 0.0).columns == docs.columns
+
+
+def test_empty_model_keeps_what_has_letters(docs):
+    """No labels to learn from must not drop the corpus."""
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    want = sorted(str(r.doc_id) for r in bare.collect() if any(c.isalpha() for c in r.text or ""))
+    for got in (language.keep_known(bare, language.learn(bare), 0.1), corpus_pipeline.language_stage(bare.sparkSession, bare, "")):
+        assert got.columns == bare.columns and sorted(str(r.doc_id) for r in got.collect()) == want
+        assert {r.lang for r in got.collect()} == {None} and len(want) > 100
