@@ -84,17 +84,17 @@ def _ci(boot, by, names):
     return out.select(*by, *[F.round(c, 6).alias(c) for c in out.columns if c not in by])
 
 
-def boot_loci_ena(s, d):
+def boot_loci_ena(s, d, n=B):
     """Intervals of the global FST over drawn loci."""
-    return _ci(nulls.bootstrap_loci_fst(nulls.both(*_inputs(s, d), ["locus"]), B, SEED), [], ("fst_raw", "fst_ena"))
+    return _ci(nulls.bootstrap_loci_fst(nulls.both(*_inputs(s, d), ["locus"]), n, SEED), [], ("fst_raw", "fst_ena"))
 
 
-def boot_loci_pair(s, d):
-    return _ci(nulls.bootstrap_loci_fst(nulls.pair_components(*_pairs(s, d)), B, SEED, ("pop1", "pop2")), ["pop1", "pop2"], ("fst_raw", "fst_ena"))
+def boot_loci_pair(s, d, n=B):
+    return _ci(nulls.bootstrap_loci_fst(nulls.pair_components(*_pairs(s, d)), n, SEED, ("pop1", "pop2")), ["pop1", "pop2"], ("fst_raw", "fst_ena"))
 
 
-def boot_loci_dcse(s, d):
-    return _ci(nulls.bootstrap_loci_chord(nulls.chord(*_pairs(s, d)), B, SEED), ["pop1", "pop2"], ("dcse_raw", "dcse_ina"))
+def boot_loci_dcse(s, d, n=B):
+    return _ci(nulls.bootstrap_loci_chord(nulls.chord(*_pairs(s, d)), n, SEED), ["pop1", "pop2"], ("dcse_raw", "dcse_ina"))
 
 
 def boot_subs_ena(s, d):
@@ -161,25 +161,25 @@ MANTEL = ("stat", "p_pos", "p_neg", "p_two", "slope", "intercept", "r2")
 
 
 def _mantel(kind, plus1=True):
-    return lambda s, d: rounded(mantel.mantel(_ibd(s, d), "d", "fr_raw", B, SEED, kind, plus1), *MANTEL)
+    return lambda s, d, n=B: rounded(mantel.mantel(_ibd(s, d), "d", "fr_raw", n, SEED, kind, plus1), *MANTEL)
 
 
-def partial_mantel(s, d):
-    return rounded(mantel.partial_mantel(_ibd(s, d), "d", "fr_raw", "dcse_raw", B, SEED), "stat", "rxy", "rxz", "ryz", "p_pos", "p_neg", "p_two")
+def partial_mantel(s, d, n=B):
+    return rounded(mantel.partial_mantel(_ibd(s, d), "d", "fr_raw", "dcse_raw", n, SEED), "stat", "rxy", "rxz", "ryz", "p_pos", "p_neg", "p_two")
 
 
 def _mrm(std):
-    return lambda s, d: rounded(mantel.mrm(_ibd(s, d), "fr_raw", ["d", "dcse_raw"], B, SEED, std), "value", "p_pos", "p_neg")
+    return lambda s, d, n=B: rounded(mantel.mrm(_ibd(s, d), "fr_raw", ["d", "dcse_raw"], n, SEED, std), "value", "p_pos", "p_neg")
 
 
 def mrm_correlations(s, d):
     return rounded(mantel.correlations(_ibd(s, d), ["fr_raw", "d", "dcse_raw"]), "r")
 
 
-def mantel_null_quantiles(s, d):
+def mantel_null_quantiles(s, d, n=B):
     x = _ibd(s, d).select("pop1", "pop2", F.col("d").alias("x"), F.col("fr_raw").alias("y"))
     obs = mantel.complete(x, "x", "y").agg(F.corr("x", "y").alias("o"))
-    return rounded(inference.null_quantiles(mantel.null_distribution(x, B, SEED).crossJoin(obs), "s", F.col("o")), "value")
+    return rounded(inference.null_quantiles(mantel.null_distribution(x, n, SEED).crossJoin(obs), "s", F.col("o")), "value")
 
 
 _SPARK = {f.__name__: f for f in (null_em, null_treatments, null_t1, null_t2, fst_global_ena, fst_locus_ena, fst_pair, fst_locus_pair, dcse_pair, dcse_locus_pair, boot_loci_ena, boot_loci_pair, boot_loci_dcse, boot_subs_ena, centroids, map_points, vincenty, ibd_table, ibd_regression, ibd_external, pair_exclusion, partial_mantel, mrm_correlations, mantel_null_quantiles)}

@@ -22,20 +22,20 @@ def _c(s, d):
     return counts.allele_counts(_g(s, d))
 
 
-def _labels(s, d):
-    return counts.allele_counts(resample.permute_labels(_g(s, d), B, SEED), ["rep"])
+def _labels(s, d, n=B):
+    return counts.allele_counts(resample.permute_labels(_g(s, d), n, SEED), ["rep"])
 
 
-def _alleles(s, d, within=True):
-    return counts.allele_counts(resample.permute_alleles(_g(s, d), B, SEED, within), ["rep"])
+def _alleles(s, d, within=True, n=B):
+    return counts.allele_counts(resample.permute_alleles(_g(s, d), n, SEED, within), ["rep"])
 
 
-def _pops(s, d):
-    return resample.bootstrap_populations(_c(s, d), B, SEED)
+def _pops(s, d, n=B):
+    return resample.bootstrap_populations(_c(s, d), n, SEED)
 
 
-def _people(s, d):
-    return resample.bootstrap_individuals(_g(s, d), B, SEED)
+def _people(s, d, n=B):
+    return resample.bootstrap_individuals(_g(s, d), n, SEED)
 
 
 def _complete(s, d):
@@ -47,14 +47,14 @@ def with_overall(by_locus, whole, *names):
     return by_locus.select("rep", "locus", *names).unionByName(whole.select("rep", F.lit("Overall").alias("locus"), *names))
 
 
-def perm_fst_labels(s, d):
-    c = _labels(s, d)
+def perm_fst_labels(s, d, n=B):
+    c = _labels(s, d, n=n)
     return rounded(wc84.observed(c, ["rep"]).join(gstat.g_by_locus(c, ["rep"]), ["rep", "locus"]).select("rep", "locus", "fst", "g"), "fst", "g")
 
 
-def perm_fst_p(s, d):
+def perm_fst_p(s, d, n=B):
     """p of FST (all three ways) and of G for each locus, and of the overall G."""
-    c, obs = _labels(s, d), _c(s, d)
+    c, obs = _labels(s, d, n=n), _c(s, d)
     gp, go = gstat.g_by_locus(c, ["rep"]), gstat.g_by_locus(obs)
     own = wc84.observed(c, ["rep"]), wc84.observed(obs)
     tests = [inference.p_values(*own, ["locus"], "fst", a).select("locus", F.lit(a).alias("test"), "observed", "p_value") for a in inference.ALTERNATIVES]
@@ -66,46 +66,46 @@ def perm_fst_p(s, d):
     return rounded(out, "observed", "p_value")
 
 
-def perm_within_pop(s, d):
-    return rounded(wc84.observed(_alleles(s, d), ["rep"]).select("rep", "locus", "fst", "fis"), "fst", "fis")
+def perm_within_pop(s, d, n=B):
+    return rounded(wc84.observed(_alleles(s, d, n=n), ["rep"]).select("rep", "locus", "fst", "fis"), "fst", "fis")
 
 
-def perm_fis(s, d):
-    c = _alleles(s, d)
+def perm_fis(s, d, n=B):
+    c = _alleles(s, d, n=n)
     return rounded(with_overall(wc84.fis_by_locus(c, ["rep"]), wc84.fis_overall(c, ["rep"]), "fis"), "fis")
 
 
-def perm_fis_by_pop(s, d):
-    return rounded(wc84.fis_by_pop(_alleles(s, d), ["rep"]), "fis")
+def perm_fis_by_pop(s, d, n=B):
+    return rounded(wc84.fis_by_pop(_alleles(s, d, n=n), ["rep"]), "fis")
 
 
-def perm_fis_grid(s, d):
+def perm_fis_grid(s, d, n=B):
     """FIS and two-sided p of each population and locus."""
-    perm, obs = wc84.fis_locus_pop(_alleles(s, d), ["rep"]), wc84.fis_locus_pop(_c(s, d))
+    perm, obs = wc84.fis_locus_pop(_alleles(s, d, n=n), ["rep"]), wc84.fis_locus_pop(_c(s, d))
     return rounded(inference.p_values(perm, obs, ["pop", "locus"], "fis", "two_sided_abs"), "observed", "p_value")
 
 
-def perm_fit_global(s, d):
-    c, obs = _alleles(s, d, False), _c(s, d)
+def perm_fit_global(s, d, n=B):
+    c, obs = _alleles(s, d, False, n), _c(s, d)
     perm = with_overall(wc84.observed(c, ["rep"]), wc84.overall(wc84.locus_stats(c, ["rep"]), ["rep"]), "fit")
     own = wc84.observed(obs).select("locus", "fit").unionByName(wc84.overall(wc84.locus_stats(obs)).select(F.lit("Overall").alias("locus"), "fit"))
     return rounded(inference.p_values(perm, own, ["locus"], "fit", "two_sided_abs"), "observed", "p_value")
 
 
-def perm_hi_hs_centered(s, d):
+def perm_hi_hs_centered(s, d, n=B):
     """FIT two-sided by size; HI and HS by distance from the mean (observed HS is hs_b, permuted hs_f)."""
-    c, obs = _alleles(s, d), _c(s, d)
+    c, obs = _alleles(s, d, n=n), _c(s, d)
     own, perm = diversity.hi_hs(obs), diversity.hs_f(c, ["rep"])
     fit = inference.p_values(wc84.observed(c, ["rep"]), own, ["locus"], "fit", "two_sided_abs").select("locus", F.lit("fit").alias("test"), "observed", "p_value")
     parts = [inference.p_centred(perm, own, ["locus"], v).select("locus", F.lit(v).alias("test"), "observed", "p_value") for v in ("hi", "hs")]
     return rounded(fit.unionByName(parts[0]).unionByName(parts[1]), "observed", "p_value")
 
 
-def gtest_perm(s, d):
+def gtest_perm(s, d, n=B):
     """G of complete genotypes with p of at least and of more than the observed value, by locus and overall."""
     geno = _complete(s, d)
     obs = gstat.g_by_locus(counts.allele_counts(geno), min_alleles=2)
-    perm = gstat.g_by_locus(counts.allele_counts(resample.permute_labels(geno, B, SEED), ["rep"]), ["rep"], 2)
+    perm = gstat.g_by_locus(counts.allele_counts(resample.permute_labels(geno, n, SEED), ["rep"]), ["rep"], 2)
     o = obs.select(F.col("locus").alias("id"), "n_geno", "g").unionByName(obs.groupBy(F.lit("Overall").alias("id")).agg(F.max("n_geno").alias("n_geno"), F.sum("g").alias("g")))
     p = perm.select(F.col("locus").alias("id"), F.col("g").alias("gp")).unionByName(gstat.g_overall(perm, ["rep"]).select(F.lit("Overall").alias("id"), F.col("g").alias("gp")))
     # values that differ by rounding alone are equal
@@ -115,10 +115,10 @@ def gtest_perm(s, d):
     return rounded(x, "g", "p_ge", "p_gt")
 
 
-def ld_perm(s, d):
+def ld_perm(s, d, n=B):
     """p of each pair of loci in each population and over all: (b + 1) / n with n - 1 shuffles."""
     pairs = gstat.locus_pairs(_g(s, d))
-    return rounded(ld_p_values(pairs, B, SEED), "g", "p_value")
+    return rounded(ld_p_values(pairs, n, SEED), "g", "p_value")
 
 
 def ld_p_values(pairs, n: int, seed):
@@ -129,46 +129,46 @@ def ld_p_values(pairs, n: int, seed):
     return o.join(p, ["pop", *both], "left").groupBy("pop", *both, "g").agg(((F.sum(F.coalesce((F.col("gp") >= F.col("g") - 1e-9).cast("long"), F.lit(0))) + 1) / n).alias("p_value"))
 
 
-def boot_pop_fst(s, d):
-    c = _pops(s, d)
+def boot_pop_fst(s, d, n=B):
+    c = _pops(s, d, n=n)
     stats = wc84.locus_stats(c, ["rep"])
     return rounded(with_overall(wc84.f_statistics(stats), wc84.overall(stats, ["rep"]), "fst", "hs", "ht"), "fst", "hs", "ht")
 
 
-def boot_pop_fis(s, d):
-    c = _pops(s, d)
+def boot_pop_fis(s, d, n=B):
+    c = _pops(s, d, n=n)
     return rounded(with_overall(wc84.fis_by_locus(c, ["rep"]), wc84.fis_overall(c, ["rep"]), "fis"), "fis")
 
 
-def boot_pop_fit(s, d):
-    return rounded(diversity.hi_hs(_pops(s, d), ["rep"]), "fst", "fit", "hi", "hs")
+def boot_pop_fit(s, d, n=B):
+    return rounded(diversity.hi_hs(_pops(s, d, n=n), ["rep"]), "fst", "fit", "hi", "hs")
 
 
-def boot_pop_fit_ci(s, d):
-    x = diversity.hi_hs(_pops(s, d), ["rep"])
+def boot_pop_fit_ci(s, d, n=B):
+    x = diversity.hi_hs(_pops(s, d, n=n), ["rep"])
     parts = [inference.interval(x, ["locus"], v, CONF).select("locus", F.lit(v).alias("statistic"), "boot_mean", "ci_l", "ci_u") for v in ("fit", "hi", "hs")]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "boot_mean", "ci_l", "ci_u")
 
 
-def boot_indiv_hs(s, d):
-    c = _people(s, d)
+def boot_indiv_hs(s, d, n=B):
+    c = _people(s, d, n=n)
     x = wc84.hs_per_locus(counts.pop_locus(c, ["rep"]), ["rep"])
     return rounded(x.unionByName(x.groupBy("rep").agg(F.avg("hs").alias("hs")).select("rep", F.lit("Overall").alias("locus"), "hs")), "hs")
 
 
-def boot_indiv_fis(s, d):
-    c = _people(s, d)
+def boot_indiv_fis(s, d, n=B):
+    c = _people(s, d, n=n)
     return rounded(with_overall(wc84.fis_by_locus(c, ["rep"]), wc84.fis_overall(c, ["rep"]), "fis"), "fis")
 
 
-def boot_indiv_fis_by_pop(s, d):
-    return rounded(wc84.fis_by_pop(_people(s, d), ["rep"]), "fis")
+def boot_indiv_fis_by_pop(s, d, n=B):
+    return rounded(wc84.fis_by_pop(_people(s, d, n=n), ["rep"]), "fis")
 
 
-def boot_indiv_hs_per_pop(s, d):
+def boot_indiv_hs_per_pop(s, d, n=B):
     """HS (hs_c, mean over loci) of each population: observed, mean, SE and interval."""
     own = diversity.hs_by_pop_locus(_c(s, d)).groupBy("pop").agg(F.avg("hs").alias("observed"), F.count("hs").alias("n_loci"))
-    boot = diversity.hs_by_pop_locus(_people(s, d), ["rep"]).groupBy("rep", "pop").agg(F.avg("hs").alias("hs"))
+    boot = diversity.hs_by_pop_locus(_people(s, d, n=n), ["rep"]).groupBy("rep", "pop").agg(F.avg("hs").alias("hs"))
     x = own.join(inference.interval(boot, ["pop"], "hs", CONF), "pop").select("pop", "observed", "boot_mean", "boot_se", "ci_l", "ci_u", "n_loci")
     return rounded(x, "observed", "boot_mean", "boot_se", "ci_l", "ci_u")
 
@@ -183,16 +183,16 @@ def locus_bootstrap(stats, n: int, seed, conf: float = 0.95):
     return long(own, []).withColumnRenamed("v", "observed").join(ci, "statistic").select("statistic", "observed", "boot_mean", "boot_se", "ci_l", "ci_u")
 
 
-def boot_loci(s, d):
-    return rounded(locus_bootstrap(wc84.locus_stats(_c(s, d)), B, SEED, CONF), "observed", "boot_mean", "boot_se", "ci_l", "ci_u")
+def boot_loci(s, d, n=B):
+    return rounded(locus_bootstrap(wc84.locus_stats(_c(s, d)), n, SEED, CONF), "observed", "boot_mean", "boot_se", "ci_l", "ci_u")
 
 
-def ci_type7(s, d):
-    return rounded(inference.interval(wc84.observed(_pops(s, d), ["rep"]), ["locus"], "fst", CONF), "boot_mean", "boot_median", "boot_se", "ci_l", "ci_u")
+def ci_type7(s, d, n=B):
+    return rounded(inference.interval(wc84.observed(_pops(s, d, n=n), ["rep"]), ["locus"], "fst", CONF), "boot_mean", "boot_median", "boot_se", "ci_l", "ci_u")
 
 
-def ci_floor(s, d):
-    x = inference.interval(wc84.fis_by_locus(_people(s, d), ["rep"]), ["locus"], "fis", CONF, "floor")
+def ci_floor(s, d, n=B):
+    x = inference.interval(wc84.fis_by_locus(_people(s, d, n=n), ["rep"]), ["locus"], "fis", CONF, "floor")
     return rounded(x.select("locus", "boot_mean", "ci_l", "ci_u", "n"), "boot_mean", "ci_l", "ci_u")
 
 

@@ -14,40 +14,40 @@ from .resample_queries import B, PEOPLE_SQL, POPS_SQL, REP, SEED, _ORACLE as RES
 TABLE = ("observed", "boot_mean", "boot_median", "ci_l", "ci_u", "p_value")
 
 
-def t_fis_by_pop(s, d):
-    return rounded(pipelines.fis_by_pop(genotypes(s, d), B, B, SEED), *TABLE)
+def t_fis_by_pop(s, d, n=B):
+    return rounded(pipelines.fis_by_pop(genotypes(s, d), n, n, SEED), *TABLE)
 
 
-def t_fis_by_locus(s, d):
-    return rounded(pipelines.fis_by_locus(genotypes(s, d), B, B, SEED), *TABLE)
+def t_fis_by_locus(s, d, n=B):
+    return rounded(pipelines.fis_by_locus(genotypes(s, d), n, n, SEED), *TABLE)
 
 
-def t_fit(s, d):
-    return rounded(pipelines.fit_analysis(genotypes(s, d), B, B, SEED), *TABLE)
+def t_fit(s, d, n=B):
+    return rounded(pipelines.fit_analysis(genotypes(s, d), n, n, SEED), *TABLE)
 
 
-def t_fst(s, d):
-    return rounded(pipelines.fst_analysis(genotypes(s, d), B, B, SEED), *TABLE)
+def t_fst(s, d, n=B):
+    return rounded(pipelines.fst_analysis(genotypes(s, d), n, n, SEED), *TABLE)
 
 
-def t_hs(s, d):
-    return rounded(pipelines.hs_tables(genotypes(s, d), B, SEED), "observed", "boot_mean", "boot_se", "ci_l", "ci_u")
+def t_hs(s, d, n=B):
+    return rounded(pipelines.hs_tables(genotypes(s, d), n, SEED), "observed", "boot_mean", "boot_se", "ci_l", "ci_u")
 
 
-def t_fst_summary(s, d):
-    return rounded(pipelines.summary_scalars(pipelines.fst_analysis(genotypes(s, d), B, B, SEED)), "share_defined", "mean_ci_width", "mean_power_proxy")
+def t_fst_summary(s, d, n=B):
+    return rounded(pipelines.summary_scalars(pipelines.fst_analysis(genotypes(s, d), n, n, SEED)), "share_defined", "mean_ci_width", "mean_power_proxy")
 
 
-def _ld(s, d):
-    return pipelines.ld_matrix(genotypes(s, d), B, SEED)
+def _ld(s, d, n=B):
+    return pipelines.ld_matrix(genotypes(s, d), n, SEED)
 
 
-def ld_pairs_summary(s, d):
-    return rounded(pipelines.ld_summary(_ld(s, d)), "min_p", "mean_p")
+def ld_pairs_summary(s, d, n=B):
+    return rounded(pipelines.ld_summary(_ld(s, d, n)), "min_p", "mean_p")
 
 
-def ld_pairs_filtered(s, d):
-    return rounded(pipelines.ld_filtered(_ld(s, d), 0.06).select("locus1", "locus2", "min_p"), "min_p")
+def ld_pairs_filtered(s, d, n=B):
+    return rounded(pipelines.ld_filtered(_ld(s, d, n), 0.06).select("locus1", "locus2", "min_p"), "min_p")
 
 
 def _wide(s, d):
