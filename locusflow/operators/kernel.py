@@ -2,7 +2,7 @@
 
 Replicates are dealt to tasks; each carries the packed matrix and draws from a generator keyed by (seed, replicate), so results
 don't depend on how replicates are dealt, or on a task that runs again.  The size of the matrix is checked
-before anything is collected: beyond ``MAX_CELLS`` the relational operators of ``resample`` do the work.
+before anything is collected: beyond ``MAX_CELLS`` the relational operators of ``resample`` do the work, if the caller says so (``engine``).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from . import counts, gstat, resample, wc84
 #: Genotypes of a matrix that is sent to every task: 4 bytes each.
 MAX_CELLS = 20_000_000
 REPS_PER_TASK = 64
+ENGINES = ("kernel", "relational", "auto")
 SCHEMES = ("labels", "alleles_within", "alleles_global")
 
 
@@ -126,12 +127,19 @@ def one(m: Matrix, loci: list[Locus], rep: int, seed: int, scheme: str) -> list[
     return out
 
 
-def permute(geno: DataFrame, n: int, seed: int = 1, scheme: str = "labels", engine: str = "auto") -> DataFrame:
+def _named(engine: str) -> None:
+    if engine not in ENGINES:
+        raise ValueError(f"engine must be one of {ENGINES}")
+
+
+def permute(geno: DataFrame, n: int, seed: int = 1, scheme: str = "labels", engine: str = "kernel") -> DataFrame:
     """``rep, locus, fst, fit, fis, g`` of n permutations.
 
     ``scheme``: population labels over individuals; allele copies within population and locus; or allele copies
-    over all individuals of a locus.  ``engine``: kernel, relational, or auto by size.  The two engines draw differently.
+    over all individuals of a locus.  ``engine``: kernel (raises beyond ``MAX_CELLS`` genotypes), relational, or auto by size.
+    The two engines draw differently, so only a named one gives a seed's result at every size.
     """
+    _named(engine)
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}")
     if engine == "relational" or engine == "auto" and cells(geno) > MAX_CELLS:
@@ -153,11 +161,17 @@ def permute(geno: DataFrame, n: int, seed: int = 1, scheme: str = "labels", engi
     return out.select("rep", "locus", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("fst", "fit", "fis", "g")])
 
 
-def ld_p_values(geno: DataFrame, n: int, seed: int = 1) -> DataFrame:
+def ld_p_values(geno: DataFrame, n: int, seed: int = 1, engine: str = "kernel") -> DataFrame:
     """``pop, locus1, locus2, g, p_value``, and All: n - 1 shuffles of the second locus within population, for each pair of loci apart.
 
     Margins stay under shuffles, so G follows from the cells alone: a count and a table of x ln x for each shuffle.
+    ``engine`` as in ``permute``.
     """
+    _named(engine)
+    if engine == "relational" or engine == "auto" and cells(geno) > MAX_CELLS:
+        from ..plans.resample_queries import ld_p_values as relational
+
+        return relational(gstat.locus_pairs(geno), n, seed)
     spark = geno.sparkSession
     m = collect(geno)
     names = [str(r[0]) for r in geno.select(F.col("pop").cast("string").alias("pop")).distinct().orderBy("pop").collect()]

@@ -168,16 +168,16 @@ def perm_kernel(s, d):
 
     out = None
     for scheme in kernel.SCHEMES:
-        x = kernel.permute(genotypes(s, d), 5000, SEED, scheme).groupBy("locus").agg(*[F.avg(c).alias(c) for c in ("fst", "fit", "fis", "g")], F.count("*").alias("n")).withColumn("scheme", F.lit(scheme))
+        x = kernel.permute(genotypes(s, d), 5000, SEED, scheme, "auto").groupBy("locus").agg(*[F.avg(c).alias(c) for c in ("fst", "fit", "fis", "g")], F.count("*").alias("n")).withColumn("scheme", F.lit(scheme))
         out = x if out is None else out.unionByName(x)
     return out
 
 
 def ld_kernel(s, d):
-    """LD p-values of 1000 shuffles by the numpy engine."""
+    """LD p-values of 1000 shuffles by the numpy engine, or by relational shuffles where the genotypes are too many for it."""
     from ..operators import kernel
 
-    return kernel.ld_p_values(genotypes(s, d), 1000, SEED)
+    return kernel.ld_p_values(genotypes(s, d), 1000, SEED, "auto")
 
 
 _QUERIES += [perm_kernel, ld_kernel]
