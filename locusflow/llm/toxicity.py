@@ -9,16 +9,21 @@ A mark before the first letter counts as a letter; tokens of over eight letters
 overlapping pieces.
 
 Landmarks are tokens and beginnings of tokens that the labelled sample ties to toxic
-documents, each unlike the ones before it.  A sentence has for each landmark its largest kernel value over the sentence's
+documents, by occurring in them at all or by occurring twice, each unlike the ones before it.  A sentence has for each landmark its largest kernel value over the sentence's
 tokens (values under ``FLOOR`` count as 0), and K**-1/2 of the landmarks'
 kernel matrix turns these into coordinates, where a linear SVM separates
 the sentences.  Labels mark documents, so a toxic document stands for its worst
-sentence, chosen anew in each round.  A document's score is that of its worst
-sentence; long clean documents thus don't add up to toxic ones.
+sentence, chosen anew in each round.
+
+A document has the margin of its worst sentence, and for each landmark the sum of the kernel values
+of ``NEAR`` or more over all of its tokens, both as a logarithm and in proportion to the root of its words:
+a beginning that clean documents have by chance tells toxic ones by how often it comes, and long clean documents don't add up to toxic ones.
+A second linear SVM over these gives the score; its cut comes from documents that it didn't learn from (five folds).
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import partial
 from itertools import combinations
 from typing import NamedTuple
@@ -32,20 +37,22 @@ from .common import extended, spare
 from .words import Words, slices
 
 ORDER, DECAY, FLOOR = 3, 0.6, 0.45
+#: The least kernel value that counts towards a document's sums.
+NEAR = 0.7
 #: Letters of a token; longer ones are cut into overlapping pieces.
 PIECE = 8
 #: The code that stands before a token's first letter, and the letters of the beginnings that may be landmarks.
-BEGIN, STEMS = 31, (4, 5, 6, 7, 8)
+BEGIN, STEMS = 31, (3, 4, 5, 6, 7, 8)
 MARKS = 32
 #: Bounds of the labelled sample: documents of each label, and bytes of a text.
 TRAIN_PER_LABEL, TRAIN_BYTES = 2000, 30_000
 THRESHOLD = 0.7
 #: The least share of the toxic documents that a landmark occurs in.
 MIN_SHARE = 0.02
-#: Weight of the sample's loss against the margin.
-COST = 20_000
+#: Weight of the sample's loss against the margin, of sentences and of documents, and folds.
+COST, DOCUMENT_COST, FOLDS = 20_000, 100, 5
 #: How much a false alarm weighs against a miss.
-CARE = 10
+CARE = 5
 
 _CODE = np.zeros(256, np.uint8)
 _CODE[np.arange(65, 91)] = _CODE[np.arange(97, 123)] = np.arange(1, 27)
@@ -55,10 +62,16 @@ _STOP[np.frombuffer(b".!?", np.uint8)] = True
 
 
 class Model(NamedTuple):
+    """Sentences: ``root``, ``weights``, ``bias``. Documents: ``middle`` and ``spread`` of their features, ``outer`` weights and ``offset``. ``slope`` and ``cut`` make the score."""
+
     landmarks: list[str]
     root: np.ndarray
     weights: np.ndarray
     bias: float
+    middle: np.ndarray
+    spread: np.ndarray
+    outer: np.ndarray
+    offset: float
     slope: float
     cut: float
 
@@ -202,10 +215,11 @@ def sentences(words: Words) -> np.ndarray:
     return np.cumsum(new)
 
 
-def sentence_features(words: Words, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
-    """The document and the landmark values of each sentence that has any."""
+def sentence_features(words: Words, kernel: Kernel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The document and the landmark values of each sentence that has any; and each document's sums of the values of ``NEAR`` or more."""
     m = kernel.table.shape[1]
     sentence = sentences(words)
+    near = np.zeros((len(words.count), m))
     where, mark, value = [], [], []
     for word, codes, which in tokens(words):
         row, j, v = kernel.values(codes)
@@ -216,69 +230,88 @@ def sentence_features(words: Words, kernel: Kernel) -> tuple[np.ndarray, np.ndar
         lo, hi = np.searchsorted(row, which), np.searchsorted(row, which, "right")
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        where.append(np.repeat(sentence[word], n))
+        own = np.repeat(word, n)
+        where.append(sentence[own])
         mark.append(j[at])
         value.append(v[at])
+        np.add.at(near, (words.doc[own], j[at]), np.where(v[at] >= NEAR, v[at], 0.0))
     if not where:
-        return np.zeros(0, np.int64), np.zeros((0, m))
+        return np.zeros(0, np.int64), np.zeros((0, m)), near
     where, mark, value = map(np.concatenate, (where, mark, value))
     live, row = np.unique(where, return_inverse=True)
     out = np.zeros((len(live), m))
     np.maximum.at(out, (row, mark), value)
-    return words.doc[np.searchsorted(sentence, live)], out
+    return words.doc[np.searchsorted(sentence, live)], out, near
+
+
+def document_features(worst: np.ndarray, near: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return np.hstack([worst[:, None], np.log1p(near), near / np.sqrt(n_words + 1)[:, None]])
 
 
 def _vocabulary(batches, text: str, label: str):
-    """The tokens and beginnings of each document, once each."""
+    """The tokens and beginnings of each document, once each, and whether they come twice."""
     for part in slices(batches, text):
         words = Words(part.column(text))
         own = part.column(label).to_pylist()
-        found = [set() for _ in own]
+        found: list[Counter] = [Counter() for _ in own]
         for word, codes, which in tokens(words):
             if codes[0, 0] != BEGIN:
                 continue
             spelled = spell(codes[:, 1:])
-            pair = np.unique(words.doc[word] * len(codes) + which)
-            for d, i in zip((pair // len(codes)).tolist(), (pair % len(codes)).tolist(), strict=True):
-                found[d].update({spelled[i], *(spelled[i][:n] for n in STEMS)})
-        yield pa.RecordBatch.from_arrays([pa.array([t for f in found for t in f], pa.string()), pa.array([y for y, f in zip(own, found, strict=True) for _ in f], pa.int32())], names=["token", "label"])
+            pair, n = np.unique(words.doc[word] * len(codes) + which, return_counts=True)
+            for d, i, k in zip((pair // len(codes)).tolist(), (pair % len(codes)).tolist(), n.tolist(), strict=True):
+                for x in {spelled[i], *(spelled[i][:n] for n in STEMS)}:
+                    found[d][x] += k
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t for f in found for t in f], pa.string()), pa.array([y for y, f in zip(own, found, strict=True) for _ in f], pa.int32()), pa.array([int(k > 1) for f in found for k in f.values()], pa.int32())],
+            names=["token", "label", "again"],
+        )
 
 
 def _features(batches, text: str, label: str, landmarks: list[str]):
+    """For each document its label, its words, its sums and its live sentences (both as doubles)."""
     kernel = Kernel(landmarks)
     for part in slices(batches, text):
-        doc, x = sentence_features(Words(part.column(text)), kernel)
-        by = [[] for _ in range(part.num_rows)]
-        for d, row in zip(doc.tolist(), x.tolist(), strict=True):
-            by[d].append(row)
-        yield pa.RecordBatch.from_arrays([part.column(label).cast(pa.int32()), pa.array(by, pa.list_(pa.list_(pa.float64())))], names=["label", "x"])
+        words = Words(part.column(text))
+        doc, x, near = sentence_features(words, kernel)
+        ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
+        rows = [x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("key"), part.column(label).cast(pa.int32()), pa.array(words.count, pa.int64()), pa.array([v.tobytes() for v in near], pa.binary()), pa.array(rows, pa.binary())],
+            names=["key", "label", "n_words", "near", "x"],
+        )
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, max_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """``text, label`` of a bounded share of the labelled documents, chosen by hashed id; equal texts once.
+    """``text, label, key`` of a bounded share of the labelled documents, chosen by hashed id; equal texts once, toxic if any of them is.
 
-    ``docs`` has doc_id and text, ``labels`` has doc_id and toxic.
+    ``docs`` has doc_id and text, ``labels`` has doc_id and toxic; null ids take no part.  ``key`` is the text's hash.
     """
     known = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     share = F.when(F.col("label") == 1, F.lit(per_label / max(n.get(1, 0), 1))).otherwise(F.lit(per_label / max(n.get(0, 0), 1)))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("toxic sample"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     own = docs.filter(F.octet_length("text") <= max_bytes)
-    return own.join(F.broadcast(chosen), "doc_id").select("text", "label").dropDuplicates(["text"])  # about 2 * per_label rows
+    own = own.join(chosen, "doc_id").groupBy("text").agg(F.max("label").alias("label"))
+    return own.withColumn("key", F.xxhash64("text"))
 
 
 def choose_landmarks(vocabulary: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """The tokens and beginnings with the strongest ties (G statistic) to toxic documents."""
-    df = vocabulary.groupBy("token").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    n = F.col("t") + F.col("c")
+    """The tokens and beginnings whose presence, or presence twice, has the strongest ties (G statistic) to toxic documents."""
+    label, again = F.col("label"), F.col("again")
+    df = vocabulary.groupBy("token").agg(F.sum(label).alias("t"), F.sum(1 - label).alias("c"), F.sum(label * again).alias("t2"), F.sum((1 - label) * again).alias("c2"))
     total = n_toxic + n_clean
 
     def term(o, e):
         return F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
 
-    g = 2 * (term(F.col("t"), n * n_toxic / total) + term(F.col("c"), n * n_clean / total) + term(n_toxic - F.col("t"), (total - n) * n_toxic / total) + term(n_clean - F.col("c"), (total - n) * n_clean / total))
-    rated = df.filter(F.col("t") / n_toxic >= MIN_SHARE).filter(n < total).withColumn("g", g).filter((F.col("t") * n_clean > F.col("c") * n_toxic) & (F.col("g") > 20))
-    best = rated.orderBy(F.desc("g"), F.desc(F.length("token")), "token").limit(50 * MARKS).collect()
+    def tie(t, c):
+        n = t + c
+        g = 2 * (term(t, n * n_toxic / total) + term(c, n * n_clean / total) + term(n_toxic - t, (total - n) * n_toxic / total) + term(n_clean - c, (total - n) * n_clean / total))
+        return F.when((t * n_clean > c * n_toxic) & (n < total), g).otherwise(0.0)
+
+    rated = df.filter(F.col("t") / n_toxic >= MIN_SHARE).withColumn("g", F.greatest(tie(F.col("t"), F.col("c")), tie(F.col("t2"), F.col("c2")))).filter("g > 20")
+    best = rated.orderBy(F.desc(F.round("g", 6)), F.desc(F.length("token")), "token").limit(50 * MARKS).collect()
     out: list[str] = []
     for token in (r["token"] for r in best):
         if len(out) < MARKS and not any(token.startswith(x) or x.startswith(token) for x in out) and not (out and len(Kernel(out).values(unspell(token), 0.6)[0])):
@@ -300,21 +333,13 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 25) ->
     return w[:-1], float(w[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, max_bytes: int = TRAIN_BYTES, rounds: int = 4) -> Model:
-    """A model from the labelled documents; without documents of both labels every score is 0."""
-    own = sample(docs, labels, per_label, max_bytes).persist()
-    try:
-        n = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        empty = Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, 0.0)
-        if len(n) < 2:
-            return empty
-        vocabulary = own.mapInArrow(partial(_vocabulary, text="text", label="label"), "token string, label int")
-        landmarks = choose_landmarks(vocabulary, n[1], n[0])
-        if not landmarks:
-            return empty
-        rows = own.mapInArrow(partial(_features, text="text", label="label", landmarks=landmarks), "label int, x array<array<double>>").collect()  # bounded by the sample
-    finally:
-        own.unpersist()
+def _balanced(x: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
+    """An SVM to which both labels, 1 and -1, weigh the same."""
+    return _svm(x, y, np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * cost)
+
+
+def fit(landmarks: list[str], bags: list[np.ndarray], near: np.ndarray, n_words: np.ndarray, y: np.ndarray, rounds: int = 4) -> Model:
+    """The model of documents with label ``y`` (1 or -1; both occur): ``bags`` are the values of their live sentences."""
     kernel, m = Kernel(landmarks), len(landmarks)
     gram = np.zeros((m, m))
     for i, word in enumerate(landmarks):
@@ -322,49 +347,83 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
         gram[i, j] = v
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    bags = [(np.array(r["x"], float).reshape(-1, m) @ root, 1 if r["label"] else -1) for r in rows]
-    bags = [(x if len(x) else np.zeros((1, m)), y) for x, y in bags]
-    clean = np.vstack([x for x, y in bags if y < 0])
+    own = [x @ root if len(x) else np.zeros((1, m)) for x in bags]
+    toxic = np.flatnonzero(y > 0).tolist()
+    clean = np.vstack([own[i] for i in np.flatnonzero(y < 0)])
     # sentences that hold a toxic landmark itself stand beside the worst ones
-    marks = [np.array(r["x"], float).reshape(-1, m) for r in rows if r["label"]]
-    plain = np.vstack([x[: len(v)][v.max(axis=1, initial=0) >= 0.9] for (x, _), v in zip((b for b in bags if b[1] > 0), marks, strict=True)])
-    worst = [x[np.argmax(np.linalg.norm(x, axis=1))] for x, y in bags if y > 0]
+    plain = np.vstack([own[i][: len(bags[i])][bags[i].max(axis=1, initial=0) >= 0.9] for i in toxic])
+    worst = [own[i][np.argmax(np.linalg.norm(own[i], axis=1))] for i in toxic]
     for _ in range(rounds):
         x = np.vstack([*worst, plain, clean])
-        y = np.concatenate([np.ones(len(worst) + len(plain)), -np.ones(len(clean))])
-        w, b = _svm(x, y, np.where(y > 0, 0.5 / (len(worst) + len(plain)), 0.5 / len(clean)) * COST)
-        worst = [x[np.argmax(x @ w)] for x, y in bags if y > 0]
-    f = np.array([(x @ w).max() + b for x, _ in bags])
-    y = np.array([y for _, y in bags])
+        w, b = _balanced(x, np.concatenate([np.ones(len(worst) + len(plain)), -np.ones(len(clean))]), COST)
+        worst = [own[i][np.argmax(own[i] @ w)] for i in toxic]
+    x = document_features(np.array([(v @ w).max(initial=-np.inf) for v in own]) + b, near, n_words)
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+    x = (x - middle) / spread
+    outer, offset = _balanced(x, y, DOCUMENT_COST)
+    f, fold = np.empty(len(y)), np.empty(len(y), np.int64)
+    for side in (y > 0, y < 0):
+        fold[side] = np.arange(side.sum()) % FOLDS
+    for k in range(FOLDS):
+        rest, part = fold != k, fold == k
+        v, c = _balanced(x[rest], y[rest], DOCUMENT_COST) if (y[rest] > 0).any() and (y[rest] < 0).any() else (outer, offset)
+        f[part] = x[part] @ v + c
     # the cut where the share of toxic documents caught, less CARE times that of clean ones, is largest; the middle of its gap gets the threshold
-    ranked = np.argsort(-f)
+    ranked = np.argsort(-f, kind="stable")
     gain = np.cumsum(np.where(y[ranked] > 0, 1 / (y > 0).sum(), -CARE / (y < 0).sum()))
     gain[:-1][f[ranked][:-1] == f[ranked][1:]] = -np.inf  # equal values fall on one side
     k = int(gain.argmax())
     cut = (f[ranked[k]] + f[ranked[k + 1]]) / 2 if k + 1 < len(f) else f[ranked[k]]
-    return Model(landmarks, root, w, b, 4.0 / max(float(f[ranked[: k + 1]].mean() - cut), 1e-6), float(cut))
+    return Model(landmarks, root, w, b, middle, spread, outer, offset, 4.0 / max(float(f[ranked[: k + 1]].mean() - cut), 1e-6), float(cut))
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, max_bytes: int = TRAIN_BYTES, rounds: int = 4) -> Model | None:
+    """A model from the labelled documents; None, for which every score is 0, without documents of both labels or without landmarks."""
+    own = sample(docs, labels, per_label, max_bytes).persist()
+    try:
+        n = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        if len(n) < 2:
+            return None
+        vocabulary = own.mapInArrow(partial(_vocabulary, text="text", label="label"), "token string, label int, again int")
+        landmarks = choose_landmarks(vocabulary, n[1], n[0])
+        if not landmarks:
+            return None
+        schema = "key long, label int, n_words long, near binary, x binary"
+        rows = own.mapInArrow(partial(_features, text="text", label="label", landmarks=landmarks), schema).collect()  # bounded by the sample
+    finally:
+        own.unpersist()
+    rows.sort(key=lambda r: (r["key"], r["x"]))
+    m = len(landmarks)
+    bags = [np.frombuffer(r["x"]).reshape(-1, m) for r in rows]
+    near = np.array([np.frombuffer(r["near"]) for r in rows])
+    return fit(landmarks, bags, near, np.array([r["n_words"] for r in rows], float), np.where([r["label"] == 1 for r in rows], 1, -1), rounds)
+
+
+def margins(words: Words, model: Model, kernel: Kernel) -> np.ndarray:
+    """The document SVM's value of each text."""
+    doc, x, near = sentence_features(words, kernel)
+    worst = np.full(len(words.count), model.bias)
+    got = np.full(len(worst), -np.inf)
+    np.maximum.at(got, doc, x @ (model.root @ model.weights) + model.bias)
+    worst = np.where(np.isfinite(got), got, worst)
+    return (document_features(worst, near, words.count) - model.middle) / model.spread @ model.outer + model.offset
 
 
-def _score(batches, text: str, names: tuple[str, str], drop: bool, model: Model):
-    kernel = Kernel(model.landmarks)
+def _score(batches, text: str, names: tuple[str, str], drop: bool, model: Model | None):
+    kernel = Kernel(model.landmarks) if model else None
     for part in slices(batches, text):
-        n = part.num_rows
-        score = np.zeros(n)
-        if model.landmarks:
-            f = np.full(n, model.bias)
-            doc, x = sentence_features(Words(part.column(text)), kernel)
-            got = np.full(n, -np.inf)
-            np.maximum.at(got, doc, x @ (model.root @ model.weights) + model.bias)
-            f = np.maximum(f, got)
+        score = np.zeros(part.num_rows)
+        if model:
+            f = margins(Words(part.column(text)), model, kernel)
             score = 1 / (1 + np.exp(-np.clip(model.slope * (f - model.cut) + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
         own = [(a, c) for a, c in zip(part.schema.names, part.columns, strict=True) if not (drop and a == text)]
         yield pa.RecordBatch.from_arrays([*(c for _, c in own), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*(a for a, _ in own), *names])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from the threshold on) to every row; no shuffle.
 
-    Null and empty texts score as a sentence without any token near a landmark.  The new
+    Null and empty texts score as a text without any token near a landmark.  The new
     columns get underscores in front where ``docs`` has such names.
     """
     names = tuple(spare(docs, "score", "predicted"))

@@ -1,4 +1,5 @@
 import random
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.llm import toxicity
+from locusflow.llm import queries, toxicity
 from locusflow.llm.words import Words
 
 from corpus_data import SCHEMA, prose
@@ -80,3 +81,41 @@ def test_odd_rows(docs, empty, corpus):
     assert toxicity.score(empty, model).count() == 0
     none = toxicity.learn(empty, corpus[1])
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
+
+
+STEMS = {"de": ("grülz", "moppfa"), "ru": ("дурбак", "глупож")}
+
+
+def test_registered_query_finds_stems_of_two_scripts(spark, tmp_path):
+    """Toxic texts hold several words that begin with a stem of their language; one of them also comes by chance in clean ones. Held-out rows decide."""
+    rng = random.Random(11)
+    russian = "мир дом река город утро вечер книга дорога слово время человек место работа страна сторона вопрос жизнь день рука дело".split()
+    docs, labels = [], []
+    for i in range(1200):
+        lang = ("de", "ru")[i % 2]
+        n = rng.randint(40, 150)
+        words = prose(rng, "de", n).split(" ") if lang == "de" else [rng.choice(russian) + rng.choice(["", "ами", "ов", "ой"]) for _ in range(n)]
+        toxic = i % 5 == 0
+        for _ in range(rng.randint(4, 8) if toxic else int(rng.random() < 0.2)):
+            ending = rng.choice(["ung", "er", "lich", "e", "est"] if lang == "de" else ["ый", "ость", "ение", "ом", "их"])
+            words.insert(rng.randrange(len(words)), rng.choice(STEMS[lang]) + ending)
+        docs.append((i, " ".join(words), lang, "s", 0))
+        labels.append((i, 1, int(toxic)))
+    docs += [(5000, None, None, None, None), (5001, "", "de", "s", 0), (None, "ohne id", "de", "s", 0)]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (5001, 0, 0), (0, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op3_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items() if i is not None)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    held = [(got[i].predicted, toxic) for i, _, toxic in labels if got[i].held_out]
+    caught = [p for p, toxic in held if toxic]
+    false = [p for p, toxic in held if not toxic]
+    assert sum(caught) >= 0.9 * len(caught) and sum(false) <= 0.02 * len(false)
+
+
+def test_equal_texts_with_different_labels(spark):
+    docs = spark.createDataFrame([(1, "same text"), (2, "same text"), (3, "other"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    got = {r.text: r.label for r in toxicity.sample(docs, labels).collect()}
+    assert got == {"same text": 1, "other": 0}
