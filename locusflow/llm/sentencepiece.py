@@ -15,6 +15,12 @@ lead back from the end.
   exactly one step is left for each place.  Whether two pieces can be neighbours is
   found by undoing their merges from the seam, for all pairs at once, and remembered.
 
+Long units (text without white space) of BPE models advance in overlapping windows, together as one batch.  The last piece of a place
+depends on the text and on the last pieces of the places before it, as far back as the longest piece; so once a
+window agrees with the one before over that many places, it agrees from there on.  A window
+that doesn't within the overlap goes on from the end of the one before, place by place.  Unigram models, whose sums depend on all that
+comes before, take long units place by place.
+
 Characters without a piece become bytes (or the unknown piece).
 """
 
@@ -41,6 +47,8 @@ UNIGRAM, BPE = 1, 2
 UNK_PENALTY = np.float32(10.0)
 #: Units that a worker remembers, and pairs of pieces.
 CACHE_UNITS, CACHE_PAIRS = 600_000, 1 << 21
+#: Characters from which a unit is long, those that a window adds, and those that it has in common with the one before.
+LONG, WINDOW, OVERLAP = 2048, 512, 128
 _B = np.uint64(0x9E3779B97F4A7C15)
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -138,6 +146,7 @@ class Encoder:
         self.crossing = any(SPACE in model.piece[i].lstrip(SPACE) for i in usable)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}
         self.pairs, self.fits = np.full(CACHE_PAIRS, -1, np.int64), np.zeros(CACHE_PAIRS, bool)  # one slot a hash, the last pair stays
         if model.type == BPE:
             self._merges(usable)
@@ -233,8 +242,11 @@ class Encoder:
 
     # -- paths -----------------------------------------------------------------------
 
-    def paths(self, rows: np.ndarray) -> np.ndarray:
-        """For units of equal length, a row of code points each: at each place the piece that ends there on the best path, else -1; ``bad`` for characters without a piece."""
+    def _forward(self, rows: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For units of equal length, a row of code points each: at each place the last piece (``bad``: a character without one) and its length on the best path; place 0 is the start, with piece -1.
+
+        ``known`` has the last pieces of the first places (after place 0), for BPE models; these are taken as they are.
+        """
         n, width = rows.shape
         bpe = self.model.type == BPE
         total = np.zeros((n, width + 1), np.uint64)
@@ -243,7 +255,11 @@ class Encoder:
         best = np.full((n, width + 1), -np.inf, np.float32)
         best[:, 0] = 0
         last, back = np.full((n, width + 1), -1, np.int64), np.zeros((n, width + 1), np.int64)
-        for i in range(1, width + 1):
+        begin = 1
+        if known is not None:
+            begin = known.shape[1] + 1
+            last[:, 1:begin], back[:, 1:begin] = known, np.where(known == self.bad, 1, self.size[known])
+        for i in range(begin, width + 1):
             open_ = np.arange(n)
             for size in range(min(i, self.longest), 0, -1):
                 piece = self.find(total[open_, i] - total[open_, i - size] * self.power[size])
@@ -258,7 +274,7 @@ class Encoder:
                     seam = np.flatnonzero(fits & (last[row, i - size] >= 0))
                     fits[seam] = self.neighbours(last[row[seam], i - size], piece[seam])
                     row, piece = row[fits], piece[fits]
-                    last[row, i], back[row, i], best[row, i] = piece, size, 0
+                    last[row, i], back[row, i] = piece, size
                     left = np.ones(len(open_), bool)
                     left[hit[fits]] = False
                     open_ = open_[left]
@@ -269,6 +285,12 @@ class Encoder:
                     better = value > best[row, i]
                     row = row[better]
                     best[row, i], last[row, i], back[row, i] = value[better], piece[better], size
+        return last, back
+
+    def paths(self, rows: np.ndarray) -> np.ndarray:
+        """For units of equal length, a row of code points each: at each place the piece that ends there on the best path, else -1; ``bad`` for characters without a piece."""
+        n, width = rows.shape
+        last, back = self._forward(rows)
         out, at, row = np.full((n, width + 1), -1, np.int64), np.full(n, width), np.arange(n)
         while len(row):
             out[row, at[row]] = last[row, at[row]]
@@ -276,6 +298,40 @@ class Encoder:
             row = row[at[row] > 0]
         return out[:, 1:]
 
+    def long_path(self, points: np.ndarray) -> list[int]:
+        """The pieces of one unit of any length, by windows (BPE models)."""
+        n = len(points)
+        last = np.full(n + 1, -1, np.int64)
+        edges = np.arange(0, max(n - WINDOW, 1), WINDOW)  # window k adds the places after edges[k], the last one all that is left
+        last[: min(n, WINDOW) + 1] = self._forward(points[None, :WINDOW])[0][0]
+        ends = np.minimum(edges + WINDOW, n)
+        ends[-1] = n
+        if ends[0] == n and n > WINDOW:
+            last[:] = self._forward(points[None, :])[0][0]
+        middle = np.arange(1, len(edges) - 1)
+        rows, memo = {}, {}
+        for a in range(0, len(middle), 1024):
+            part = middle[a : a + 1024]
+            got = self._forward(points[edges[part][:, None] - OVERLAP + np.arange(OVERLAP + WINDOW)])[0]
+            rows |= dict(zip(part.tolist(), got, strict=True))
+        for k in range(1, len(edges)):
+            start, end = int(edges[k]), int(ends[k])
+            got = rows.pop(k) if k in rows else self._forward(points[None, start - OVERLAP : end])[0][0]
+            near = self.longest
+            if (got[OVERLAP - near + 1 : OVERLAP + 1] == last[start - near + 1 : start + 1]).all():
+                last[start + 1 : end + 1] = got[OVERLAP + 1 :]
+            else:  # from the end of the window before, place by place
+                known, text = last[start - near + 1 : start + 1], points[start - near : end]
+                state = known.tobytes() + text.tobytes()  # comes again in repetitive text
+                if state not in memo:
+                    memo[state] = self._forward(text[None, :], known[None, :])[0][0][near + 1 :]
+                last[start + 1 : end + 1] = memo[state]
+        out, at = [], n
+        while at:
+            out.append(int(last[at]))
+            at -= 1 if last[at] == self.bad else int(self.size[last[at]])
+        return out[::-1]
+
     def units(self, text: str) -> list[str]:
         own = self.model.normalize(text)
         return ([own] if own else []) if self.crossing else _UNITS.findall(own)
@@ -284,9 +340,12 @@ class Encoder:
         """Encodes the units that aren't remembered, in groups of equal length."""
         if len(self.cache) > CACHE_UNITS // 2:  # units in use move on from the older half
             self.older, self.cache = self.cache, {}
-        fresh = []
+        fresh, self.long = [], {}
         for u in set(units):
-            if u not in self.cache:
+            if len(u) > LONG and self.model.type == BPE:  # these are not remembered
+                path = self.long_path(np.frombuffer(u.encode("utf-32-le"), np.uint32))
+                self.long[u] = self._without_bad(u, path) if self.bad in path else np.array(path, np.int32).tobytes()
+            elif u not in self.cache:
                 if (ids := self.older.get(u)) is not None:
                     self.cache[u] = ids
                 else:
@@ -322,7 +381,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.units(t or "") for t in texts]
         self.learn([u for units in cut for u in units])
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, units)), np.int32) for units in cut]
+        known = (lambda u: self.long[u] if u in self.long else self.cache[u]) if self.long else self.cache.__getitem__
+        return [np.frombuffer(b"".join(map(known, units)), np.int32) for units in cut]
 
 
 class Decoder:

@@ -1,3 +1,4 @@
+import base64
 import os
 import random
 
@@ -35,6 +36,21 @@ def test_ids_equal_the_library(model, library, texts):
         assert ids.tolist() == library.encode(text), text
 
 
+def test_long_units_advance_in_windows(model, library):
+    """Text without white space: random, of other scripts, and repetitive, where windows never agree."""
+    rng = random.Random(12)
+    encoder = sp.Encoder(model)
+    own = [
+        "".join(chr(rng.choice([rng.randrange(0x4E00, 0x5200), rng.randrange(0x3041, 0x3090), 0x3002])) for _ in range(30_000)),
+        base64.b64encode(rng.randbytes(20_000)).decode(),
+        "".join(rng.choice(["the", "international", "tokenization", "xyz", "ing"]) for _ in range(4000)),
+        "A" * 20_000, "abc" * 5000, "=-" * 3000 + "=", "é" * 5000, "a b " * 900 + "q" * 2049 + " end", *("x" * n + "yz" for n in (2046, 2047, 2048, 2557, 2558, 3070, 3071, 3072)),
+    ]
+    for text, ids in zip(own, encoder.encode(own), strict=True):
+        assert ids.tolist() == library.encode(text), text[:40]
+    assert not any(len(u) > sp.LONG for u in encoder.cache)
+
+
 def test_decoding_equals_the_library_and_round_trips(model, library, texts):
     decoder, encoder = sp.Decoder(model), sp.Encoder(model)
     for text in samples(texts):
