@@ -24,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(SYMBOLS.encode(), np.uint8)] = True
 WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_wide")
 
 #: Bit, name and SQL condition of failure, over the measurements.  Bits are never used again for another rule.
 RULES: tuple[tuple[int, str, str], ...] = (
@@ -35,6 +35,10 @@ RULES: tuple[tuple[int, str, str], ...] = (
     (4, "long_words", "word_chars > 15 * n_words"),
     (5, "short_words", "word_chars < 2 * n_words"),
     (6, "upper_case", "n_upper > n_lower"),
+    # word lengths and letter case of ASCII tell nothing about a text that is mostly in another script
+    (7, "long_ascii_words", "word_chars > 15 * n_words AND 2 * n_wide < word_chars"),
+    (8, "short_ascii_words", "word_chars < 2 * n_words AND 2 * n_wide < word_chars"),
+    (9, "upper_ascii", "n_upper > n_lower AND 2 * n_wide < word_chars"),
 )
 BASE = ("few_words", "repeated_words")
 
@@ -56,7 +60,8 @@ class Policy:
 POLICIES = (
     Policy("base", 1, BASE),
     Policy("strict", 1, (*BASE, "symbols", "dup_lines", "long_words", "short_words")),
-    Policy("strict", 2, tuple(name for _, name, _ in RULES)),
+    Policy("strict", 2, (*BASE, "symbols", "dup_lines", "long_words", "short_words", "upper_case")),
+    Policy("strict", 3, (*BASE, "symbols", "dup_lines", "long_ascii_words", "short_ascii_words", "upper_ascii")),
 )
 #: What ``op1_quality_rules`` and the pipeline apply.
 CURRENT = POLICIES[-1]
@@ -87,6 +92,7 @@ def _measure_slice(texts: pa.Array) -> list[pa.Array]:
     values = (
         words.count, words.per_document(words.solid & char), words.per_document(_SYMBOL[words.buf]), lines[:, 1], words.per_document_words(repeated), lines[:, 0],
         words.per_document((words.buf >= 65) & (words.buf <= 90)), words.per_document((words.buf >= 97) & (words.buf <= 122)),
+        words.per_document(words.buf >= 0xC0),
     )
     return [pa.array(v, pa.int64()) for v in values]
 
@@ -178,8 +184,8 @@ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM wins, range(5) r(j) WHERE
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
-  length(regexp_replace(text, '[^a-z]', '', 'g'))::BIGINT AS n_lower FROM w LEFT JOIN rep USING (doc_id)),
+  length(regexp_replace(text, '[^a-z]', '', 'g'))::BIGINT AS n_lower, length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))::BIGINT AS n_wide FROM w LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  fail_bits & {mask} = 0 AS kept, fail_bits, n_lines, n_upper, n_lower FROM f
+  fail_bits & {mask} = 0 AS kept, fail_bits, n_lines, n_upper, n_lower, n_wide FROM f
 """.replace("{bits}", " + ".join(f"CASE WHEN {condition} THEN {1 << bit} ELSE 0 END" for bit, _, condition in RULES)).replace("{mask}", str(CURRENT.mask))

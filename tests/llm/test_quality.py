@@ -57,3 +57,18 @@ def test_filter_keeps_columns_even_with_clashing_names(docs):
     got = quality.filter_documents(clash)
     assert got.columns == clash.columns and got.count() == plain.count() > 0
     assert {r.N_words for r in got.collect()} == {"x"}
+
+
+def test_current_policy_keeps_clean_text_of_other_scripts(spark):
+    """Short spaced words and a few Latin capitals don't count against text that is mostly in another script."""
+    clean = [
+        "日本 の NHK は 今日 新 しい 番 組 を 発 表 し ま し た 。 次 は AI の 話 で す",
+        "Сегодня НАТО и AI обсуждали новые правила торговли между странами региона, сообщает NHK после встречи министров",
+        "أعلنت الشركة اليوم عن نتائج جديدة في مجال AI والطاقة بعد اجتماع طويل مع NHK في العاصمة",
+    ]
+    junk = ["A B C D E F G H I J K L M N O P", "BUY THIS NOW AND THEN BUY IT ONCE MORE FOR EVERY FRIEND YOU HAVE"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(clean + junk)], "doc_id int, text string")
+    assert sorted(r.doc_id for r in quality.quality_rules(rows).filter("kept").collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in quality.filter_documents(rows).collect()) == [0, 1, 2]
+    # the bits of older rules stay, so older policies can still be applied
+    assert quality.ledger(rows).filter(quality.verdict(quality.POLICIES[2])).count() < 3
