@@ -8,16 +8,13 @@ the score of a pair, the more tightly the more segments.  Levels go coarse to fi
 whose bound stays below the k-th best score so far is left, and the survivors
 get exact integer products.
 
-Queries are a stated set: they meet all rows in blocks of vectors, each pair of blocks once.
-A task takes one block of queries and one span of the rows, keeps the k best of each
-query, and a second aggregation joins the spans.  Blocks are binary rows of
-bounded size.
+Queries are a stated set: they meet all rows in blocks.  Rows are dealt to spans and queries to groups by their hash, so a task that runs again after a lost executor makes the same blocks.  A cogroup of one group of queries with one span
+reads each of them once and keeps the k best of each query; a second aggregation joins the spans.
+Group and span are bounded in rows and in bytes.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, SCALE, QUERY_STEP = 5, 256, 50
-#: Vectors in a block of queries and of rows, and rows in a span.
-QUERY_BLOCK, ROW_BLOCK, SPAN = 256, 4096, 16_384
+#: Queries in a group and rows in a span, on average, and bytes of either; queries that are multiplied at once.
+QUERY_GROUP, SPAN, SPAN_BYTES, QUERY_BLOCK = 4096, 16_384, 32 << 20, 256
 LEVELS = (4, 16)
 _EXACT = 2.0**52
 
@@ -38,27 +35,20 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return own.filter(finite).select("vec_id", F.transform("e", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
-def _blocks(batches, size: int, prefix: str = ""):
-    """One row a block: the width, ids and components of its vectors (zeros after shorter ones)."""
-    ids, rows = [], []
-    for batch in batches:
-        for a in range(0, batch.num_rows, size):
-            part = batch.slice(a, size)
-            ids += part.column("vec_id").to_pylist()
-            rows += part.column("v").to_pylist()
-            while len(ids) >= size:
-                yield _block(ids[:size], rows[:size], prefix)
-                ids, rows = ids[size:], rows[size:]
-    if ids:
-        yield _block(ids, rows, prefix)
-
-
-def _block(ids: list, rows: list, prefix: str) -> pa.RecordBatch:
-    width = max(map(len, rows))
-    v = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        v[i, : len(r)] = r
-    return pa.RecordBatch.from_pydict({f"{prefix}width": pa.array([width], pa.int32()), f"{prefix}ids": [np.array(ids, np.int64).tobytes()], f"{prefix}data": [v.tobytes()]})
+def unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and components (zeros after shorter vectors) of the distinct rows, in order of the ids."""
+    rows = rows.combine_chunks()
+    column = rows.column("v").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    flat, end = column.values.to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy().astype(np.int64)
+    size = np.diff(end)
+    out = np.zeros((len(size), int(size.max(initial=0)) + 1), np.int64)
+    out[:, 0] = size  # so that a vector and the same with zeros behind it are two
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(end[0], end[-1]) - end[:-1][row] + 1] = flat[end[0] : end[-1]]
+    ids = rows.column("vec_id").to_numpy()
+    one = np.unique(np.hstack([ids[:, None], out]), axis=0)
+    return one[:, 0].copy(), one[:, 2:].copy()
 
 
 def _statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -72,10 +62,6 @@ def _statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack(out)
 
 
-def _matrix(width: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.int64).reshape(-1, width) if width else np.zeros((0, 0), np.int64)
-
-
 def _padded(v: np.ndarray, width: int, n: int) -> np.ndarray:
     out = np.zeros((n, width), np.int64)
     out[:, : v.shape[1]] = v
@@ -141,18 +127,17 @@ def search(q_ids: np.ndarray, q: np.ndarray, blocks, k: int, levels=LEVELS) -> B
     return best
 
 
-def _meet(batches, k: int):
-    """Each input row is a block of queries with the blocks of a span."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            q_ids, q = np.frombuffer(row["q_ids"], np.int64), _matrix(row["q_width"], row["q_data"])
-            q = q if q.shape[1] else np.zeros((len(q_ids), 0), np.int64)
-            blocks = []
-            for x in row["blocks"]:
-                ids, c = np.frombuffer(x["ids"], np.int64), _matrix(x["width"], x["data"])
-                blocks.append((ids, c if c.shape[1] else np.zeros((len(ids), 0), np.int64)))
-            best = search(q_ids, q, blocks, k)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[best.query], pa.int64()), "vec_id": pa.array(best.id), "score": pa.array(best.score)})
+def _meet(queries: pa.Table, span: pa.Table, k: int) -> pa.Table:
+    """A group of queries and a span of rows."""
+    out = []
+    if queries.num_rows and span.num_rows:
+        (q_ids, q), own = unpack(queries), [unpack(span)]
+        for a in range(0, len(q_ids), QUERY_BLOCK):
+            part = q_ids[a : a + QUERY_BLOCK]
+            best = search(part, q[a : a + QUERY_BLOCK], own, k)
+            out.append(pa.table({"query_id": part[best.query], "vec_id": best.id, "score": best.score}))
+    empty = pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
+    return pa.concat_tables([empty, *out])
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_step: int = QUERY_STEP, scale: int = SCALE) -> DataFrame:
@@ -164,14 +149,24 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     themselves.  Vectors of different lengths meet as if zeros followed the shorter one.  Other columns are not read.
     """
     own = quantised(vectors, id_col, vector_col, scale).dropDuplicates()
-    packed = own.mapInArrow(partial(_blocks, size=ROW_BLOCK), "width int, ids binary, data binary")
-    # spans of blocks: dealt by the blocks' hash, SPAN rows on average
-    n = own.agg(F.count("*")).first()[0]
-    spans = max(1, n // SPAN)
-    span = packed.groupBy(F.pmod(F.xxhash64("ids"), F.lit(spans)).alias("span")).agg(F.collect_list(F.struct("width", "ids", "data")).alias("blocks"))
-    queries = own.filter(F.col("vec_id") % query_step == 0).mapInArrow(partial(_blocks, size=QUERY_BLOCK, prefix="q_"), "q_width int, q_ids binary, q_data binary")
-    queries = queries.select("q_width", "q_ids", "q_data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spans - 1).cast("long"))).alias("span"))
-    met = queries.join(span, "span").drop("span").mapInArrow(partial(_meet, k=k), "query_id long, vec_id long, score long")
+    n, width = vectors.agg(F.count("*"), F.max(F.size(vectors[vector_col]))).first()
+    bytes_ = 8 * max(width or 0, 1)
+    spans = max(1, -(-n // max(1, min(SPAN, SPAN_BYTES // bytes_))))
+    groups = max(1, -(-(n // query_step) // max(1, min(QUERY_GROUP, SPAN_BYTES // bytes_))))
+
+    def deal(what: str, parts: int):
+        return F.pmod(F.xxhash64(F.lit(what), "vec_id", "v"), F.lit(parts)).cast("int")
+
+    def every(parts: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    rows = own.select("vec_id", "v", deal("span", spans).alias("span"), every(groups).alias("group"))
+    queries = own.filter(F.col("vec_id") % query_step == 0).select("vec_id", "v", deal("group", groups).alias("group"), every(spans).alias("span"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _meet(left, right, k)
+
+    met = queries.groupBy("span", "group").cogroup(rows.groupBy("span", "group")).applyInArrow(meet, "query_id long, vec_id long, score long")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def rows():
 @pytest.mark.parametrize("span", [100, 100_000])
 def test_against_brute_force(spark, rows, span, monkeypatch):
     monkeypatch.setattr(topk, "SPAN", span)
-    monkeypatch.setattr(topk, "ROW_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 5)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("Score", F.lit(1)).repartition(3)
     got = topk.top_k(df).orderBy("query_id", "rank").collect()
@@ -58,3 +59,10 @@ def test_bounds_hold():
         assert (bound >= exact - 1e-6).all()
         before = bound
     assert np.allclose(before, exact)
+
+
+def test_blocks_do_not_depend_on_the_order_of_rows(spark):
+    table = pa.table({"vec_id": pa.array([7, 3, 3, 9, 3], pa.int64()), "v": pa.array([[1, 2], [4], [4], [], [4, 0]], pa.list_(pa.int64()))})
+    ids, v = topk.unpack(table)
+    again = topk.unpack(table.take([4, 3, 2, 1, 0]))
+    assert ids.tolist() == again[0].tolist() == [3, 3, 7, 9] and v.tolist() == again[1].tolist() == [[4, 0], [4, 0], [1, 2], [0, 0]]
