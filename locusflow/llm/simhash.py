@@ -4,12 +4,13 @@ A 64-bit fingerprint is cut into 16 segments of 4 bits, and maps to the 16
 counts of set bits.  The Manhattan distance of two such points never exceeds
 the Hamming distance of the fingerprints, so all links of r bits or fewer
 lie within r steps on the grid of counts.  A point is packed into one
-integer of 4 bits a count, where a step is the addition of +-16**i; the
-range join is thus an equi-join of cells with the cells reached by the steps
-(half of them, as links have no direction).  What it finds is verified by
-the Hamming distance itself.
+integer of 4 bits a count, where a step is the addition of +-16**i.  Two points within r
+steps have a cell between them that each reaches in half of the steps, so the range
+join is an equi-join of the cells that both sides reach: 33 for each point at r = 2, and the same table on either side.
+What it finds is verified by the Hamming distance itself.
 
-Only distinct fingerprints take part, so a group of copies counts once.
+Only distinct fingerprints take part, so a group of copies counts once; a fingerprint that many rows have is dealt to
+several tasks where rows look up their class.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .words import slices
 
 SEGMENTS, WIDTH = 16, 4
 BITS, SHINGLE, SEED = 2, 3, 42
+#: Which share of all rows makes a fingerprint hot (one in so many), and over how many tasks its rows are dealt.
+HOT = 64
 #: Shingles whose bits are summed at once.
 _STEP = 1 << 14
 
@@ -74,31 +77,34 @@ def cell(fp: Column) -> Column:
     return out
 
 
-def steps(bits: int) -> list[int]:
-    """All differences of packed points within ``bits`` steps, one of each pair of opposites, without zero."""
+def steps(n: int) -> list[int]:
+    """All differences of packed points within ``n`` steps, without zero."""
     found = set()
-    for n in range(1, bits + 1):
-        for dims in combinations_with_replacement(range(SEGMENTS), n):
-            for signs in product((1, -1), repeat=n):
+    for size in range(1, n + 1):
+        for dims in combinations_with_replacement(range(SEGMENTS), size):
+            for signs in product((1, -1), repeat=size):
                 at = [0] * SEGMENTS
                 for d, s in zip(dims, signs, strict=True):
                     at[d] += s
-                if sum(map(abs, at)) == n and next(x for x in reversed(at) if x) > 0:
+                if sum(map(abs, at)) == size:
                     found.add(sum(x * 16**i for i, x in enumerate(at)))
     # the top count may wrap the sign bit; differences are taken modulo 2**64, as longs are
     return sorted((x + 2**63) % 2**64 - 2**63 for x in found)
 
 
+def _reached(distinct: DataFrame, n: int, name: str) -> DataFrame:
+    """The cells that each fingerprint reaches within n steps, dealt anew: the input may lie in few partitions."""
+    offsets = F.array(*[F.lit(x).cast("long") for x in [0, *steps(n)]])
+    own = distinct.select("fp").repartition("fp").select(F.col("fp").alias(name), cell(F.col("fp")).alias("from"), F.explode(offsets).alias("step"))
+    # a step that takes a count out of 0..4 reaches no point
+    return own.select(name, (F.col("from") + F.col("step")).alias("cell")).filter(F.expr(_in_range("cell")))
+
+
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs ``a < b`` of the distinct fingerprints in column ``fp`` that differ in at most ``bits`` bits."""
-    points = distinct.select("fp", cell(F.col("fp")).alias("cell"))
-    offsets = F.array(*[F.lit(x).cast("long") for x in [0, *steps(bits)]])
-    reached = points.select(F.col("fp").alias("other"), F.explode(offsets).alias("step"), F.col("cell").alias("from"))
-    # a step that takes a count out of 0..4 reaches no point
-    reached = reached.select("other", (F.col("from") + F.col("step")).alias("cell")).filter(F.expr(_in_range("cell")))
-    once = (F.col("fp") < F.col("other")) | (cell(F.col("fp")) != cell(F.col("other")))  # pairs of one cell come both ways
-    near = points.hint("shuffle_hash").join(reached, "cell").filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits) & (F.col("fp") != F.col("other")) & once)
-    return near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    far = _reached(distinct, bits - bits // 2, "a").hint("shuffle_hash")
+    near = far.join(_reached(distinct, bits // 2, "b"), "cell").filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & (F.col("a") != F.col("b")))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _in_range(column: str) -> str:
@@ -109,10 +115,20 @@ def _in_range(column: str) -> str:
 
 
 def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """``fp, component``: the class of each distinct fingerprint of ``fps`` (doc_id, fp), and ``least``, its least doc_id."""
-    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """``fp, component``: the class of each distinct fingerprint of ``fps`` (doc_id, fp), ``least``, its least doc_id, and ``n``, its rows."""
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     found = components(checkpointed(links(distinct, bits)))
-    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least", "n")
+
+
+def _look_up(fps: DataFrame, found: DataFrame) -> DataFrame:
+    """Joins rows with the one row of their fingerprint; those of a fingerprint with over a ``HOT``-th of all rows are dealt to ``HOT`` tasks."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = [r["fp"] for r in found.filter(F.col("n") * HOT > total).select("fp").collect()]  # less than HOT rows
+    is_hot = F.col("fp").isin(hot) if hot else F.lit(False)
+    left = fps.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(HOT))).otherwise(F.lit(0)).cast("int"))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(found.drop("n").withColumn("salt", F.explode(every)), ["fp", "salt"]).drop("salt")
 
 
 def simhash_classes(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,8 +140,8 @@ def simhash_classes(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, s
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle, seed))
     found = classes(fps, bits)
     least = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = found.join(least, "component").select("fp", "component_id")
-    return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = checkpointed(found.join(least, "component").select("fp", "component_id", "n"))
+    return _look_up(fps, found).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
