@@ -1,50 +1,55 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-A *suffix* is a word position of a document; it is followed down to depth
+A *suffix* is a word position of a document; its tree is followed down to depth
 ``k`` words, as deeper nodes change nothing.  A position is repeated if
-its path reaches a node of depth k that has two leaves or more; the words
-below such positions are a repeat, and runs of such positions make it maximal.
+its leaf hangs below an internal node of depth k; the words below such positions
+are a repeat, and runs of such positions make it maximal.
 
 1. *Prefix histogram.*  One pass counts the suffixes by their first two
    words, hashed into 4096 slots (the only thing that goes to the driver, of
    fixed size).  Light slots are merged into groups of about ``group_size``
-   suffixes; a heavier slot gets a longer prefix (twelve words) and is split
-   by it into as many groups as it needs.
+   suffixes; a heavier slot is split by longer prefixes (twelve words) into as many groups as it needs.
 2. *Shallow level.*  Every k-word window holds a least 12-word gram (its
-   minimizer), and equal windows hold the same one.  Only those sampled
-   suffixes go to their groups; a leaf that is alone at depth 12 is pruned,
-   along with all windows that it stands for.
-3. *Deep level.*  The windows left go to the group of their prefix.  Each
-   group sorts its suffixes by the path down to depth k: runs of equal paths
-   are the deep internal nodes, and their leaves are reported.
+   minimizer), and equal windows hold the same one in the same place.  Only the suffixes that begin with
+   one go to their groups; where a leaf is alone at depth 12, all windows that hold it are
+   pruned.  Grams are compared by 64-bit hashes here: a chance match prunes less, and never too much.
+3. *Deep level.*  The windows left go to groups by a prefix of variable length, which ends with
+   their minimizer: neighbouring windows of one minimizer stay together and
+   travel as one piece of text.  Where a minimizer has so many windows that its group would be too large, the prefix is lengthened
+   to all k words, and these windows are dealt one by one.
+   A group numbers its words, sorts its suffixes by them and has the common prefix of each two neighbours: runs of k or more
+   are the deep internal nodes, and their leaves are reported.  Words are compared as they are, so the result is exact.
 4. The bits go back to the documents, which drop the covered words.
 
 Documents travel once, packed into chunks of about 2 MB in one exchange that
-all three steps read.  A chunk sends each path once for each group, however often
-it has it, so a passage that a third of all rows share costs a group one entry
+all three steps read.  A chunk sends each piece once for each group, however often
+it has it, so a passage that a third of all rows share costs a group one piece
 a chunk: no key is hot, and no pairs are made.
-
-Paths are 64-bit fingerprints compared within a group, never by their text:
-for n suffixes in g groups, n*n/(g*2**65) false repeats are expected (about 1e-9
-for a GB of text).
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import extended, spare
+from .common import checkpointed, extended, spare
 from .words import Words, slices
 
-SLOTS, PREFIXES, SHALLOW = 4096, (2, 12), 12
-GROUP_SIZE = 1_000_000
-ANSWERS = "chunk string, group int, bits binary"
+SLOTS, PREFIX, SHALLOW = 4096, 2, 12
+#: Suffixes of a group, on average, and the share of them that one gram may have before its windows are dealt one by one.
+GROUP_SIZE, HEAVY = 500_000, 50
+#: Marks of grams: alone, shared, and with too many windows for one group.
+ALONE, SHARED, TOO_MANY = 0, 1, 2
+ANSWERS = "chunk string, group int, marks binary, heavy long"
 
 
 def _pack(batches, text: str):
@@ -63,7 +68,7 @@ def _unpack(data: bytes) -> pa.Table:
 
 def _slots(words: Words, h: np.ndarray) -> np.ndarray:
     """The prefix slot of each word position that starts two words of one document."""
-    return (words.windows(h, PREFIXES[0]) % np.uint64(SLOTS)).astype(np.int64)
+    return (words.windows(h, PREFIX) % np.uint64(SLOTS)).astype(np.int64)
 
 
 def _histogram(batches, text: str, k: int):
@@ -94,15 +99,14 @@ def plan_groups(counts: np.ndarray, group_size: int) -> np.ndarray:
     return out
 
 
-def _groups(words: Words, h: np.ndarray, plan: np.ndarray) -> np.ndarray:
-    """The group of each position that starts a whole 12-word gram."""
-    long = words.windows(h, PREFIXES[1])
-    slot = _slots(words, h)[: len(long)]
-    return plan[slot, 0] + ((long >> np.uint64(20)) % plan[slot, 1].astype(np.uint64)).astype(np.int64)
+def _groups(words: Words, h: np.ndarray, plan: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The group of each position that starts a whole gram."""
+    slot = _slots(words, h)[: len(gram)]
+    return plan[slot, 0] + ((gram >> np.uint64(20)) % plan[slot, 1].astype(np.uint64)).astype(np.int64)
 
 
 def _anchors(words: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each whole k-window: its start and the position of its least 12-word gram (the first of equals)."""
+    """For each whole k-window: its start and the position of its least gram (the first of equals); and the grams."""
     short = min(SHALLOW, k)
     gram = words.windows(h, short)
     starts = np.flatnonzero(words.whole(k))
@@ -117,116 +121,199 @@ def _anchors(words: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return starts, at[starts], gram
 
 
-def _blobs(chunk: str, group: np.ndarray, path: np.ndarray, again: np.ndarray):
-    """A row for each group: its distinct paths, and a bit for each that this chunk has twice or more."""
-    order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
-    rows = [(int(group[order[a]]), path[order[a:b]].tobytes(), np.packbits(again[order[a:b]]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([chunk] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-        names=["chunk", "group", "paths", "again"],
-    )
-
-
-BLOBS = "chunk string, group int, paths binary, again binary"
-
+class Level(NamedTuple):
+    """The shallow level of a chunk: windows, the positions of their minimizers, these once each, and their distinct grams."""
 
-def _distinct(group: np.ndarray, path: np.ndarray):
-    """Distinct (group, path): the path, its group, whether it came twice, and where each input went."""
-    one, where, n = np.unique(path, return_inverse=True, return_counts=True)
-    of = np.zeros(len(one), np.int64)
-    of[where] = group
-    return one, of, n > 1, where
+    h: np.ndarray
+    starts: np.ndarray
+    at: np.ndarray
+    anchors: np.ndarray
+    path: np.ndarray
+    group: np.ndarray
+    count: np.ndarray
+    where: np.ndarray
 
 
-def _shallow_paths(words: Words, k: int, plan: np.ndarray):
+def _shallow_level(words: Words, k: int, plan: np.ndarray) -> Level:
     h = words.hashes()
     starts, at, gram = _anchors(words, h, k)
     anchors = np.unique(at)
-    if k < PREFIXES[1]:
-        group = plan[_slots(words, h)[anchors], 0] if len(anchors) else anchors
-    else:
-        group = _groups(words, h, plan)[anchors] if len(anchors) else anchors
-    return h, starts, at, anchors, _distinct(group, gram[anchors] if len(anchors) else np.zeros(0, np.uint64))
+    path, where, count = np.unique(gram[anchors] if len(anchors) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    group = np.zeros(len(path), np.int64)
+    if len(anchors):
+        group[where] = _groups(words, h, plan, gram)[anchors]
+    return Level(h, starts, at, anchors, path, group, count, where)
 
 
-def _shallow(batches, text: str, k: int, plan: np.ndarray):
-    for batch in batches:
-        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
-            words = Words(_unpack(data.as_py()).column(text))
-            *_, (path, group, again, _) = _shallow_paths(words, k, plan)
-            yield _blobs(chunk, group, path, again)
+def _cuts(group: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each group and its members in order."""
+    order = np.argsort(group, kind="stable")
+    ends = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+    return [(int(group[order[a]]), order[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _match(table: pa.Table) -> pa.Table:
-    """The subtree of one group: which leaves of each chunk hang below a node with two leaves."""
-    paths = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("paths")]
-    again = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)) for x, p in zip(table.column("again"), paths, strict=True)]
-    every = np.concatenate(paths)
-    order = np.argsort(every, kind="stable")
-    same = np.diff(every[order]) == 0
-    deep = np.zeros(len(every), bool)
-    deep[order[1:]] |= same
-    deep[order[:-1]] |= same
-    # a path that one chunk has twice is a node of two leaves even when no other chunk has it
-    deep |= np.concatenate(again).astype(bool)
-    rows, at = [], 0
-    for chunk, group, p in zip(table.column("chunk").to_pylist(), table.column("group").to_pylist(), paths, strict=True):
-        bits = deep[at : at + len(p)]
-        at += len(p)
-        if bits.any():
-            rows.append((chunk, group, np.packbits(bits).tobytes()))
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.string()), "group": pa.array([r[1] for r in rows], pa.int32()), "bits": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def _answered(answers: pa.Table, group: np.ndarray) -> np.ndarray:
-    """The bits of the groups, laid on this chunk's distinct paths."""
-    out = np.zeros(len(group), bool)
-    if answers.num_rows and len(group):
-        order = np.argsort(group, kind="stable")
-        ranked = group[order]
-        for g, bits in dict(zip(answers.column("group").to_pylist(), answers.column("bits").to_pylist(), strict=True)).items():
-            a, b = np.searchsorted(ranked, [g, g + 1])
-            out[order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-    return out
+GRAMS = "chunk string, group int, paths binary, counts binary"
 
 
-def _deep_paths(words: Words, k: int, plan: np.ndarray, answers: pa.Table):
-    """The windows whose anchor is shared, as distinct (group, path)."""
-    h, starts, at, anchors, (_, group, _, where) = _shallow_paths(words, k, plan)
-    shared = _answered(answers, group)[where]
-    alive = np.zeros(len(words.start) + 1, bool)
-    alive[anchors[shared]] = True
-    starts = starts[alive[at]]
-    if not len(starts):
-        return starts, _distinct(starts, np.zeros(0, np.uint64))
-    group = _groups(words, h, plan)[starts] if k >= PREFIXES[1] else plan[_slots(words, h)[starts], 0]
-    return starts, _distinct(group, words.windows(h, k)[starts])
+def _shallow(batches, text: str, k: int, plan: np.ndarray):
+    for batch in batches:
+        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+            level = _shallow_level(Words(_unpack(data.as_py()).column(text)), k, plan)
+            rows = [(chunk, g, level.path[own].tobytes(), np.minimum(level.count[own], 65535).astype(np.uint16).tobytes()) for g, own in _cuts(level.group)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "group", "paths", "counts"])
 
 
-def _deep(chunks: pa.Table, answers: pa.Table, text: str, k: int, plan: np.ndarray) -> pa.Table:
-    out = []
-    for chunk, data in zip(chunks.column("chunk").to_pylist(), chunks.column("data"), strict=True):
-        words = Words(_unpack(data.as_py()).column(text))
-        _, (path, group, again, _) = _deep_paths(words, k, plan, answers)
-        out.append(_blobs(chunk, group, path, again))
-    return pa.Table.from_batches(out)
+def _answer(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.int64()))], names=["chunk", "group", "marks", "heavy"])
 
 
-def _removed(words: Words, k: int, plan: np.ndarray, shallow: pa.Table, deep: pa.Table) -> np.ndarray:
-    """Which words a repeated window covers."""
-    starts, (_, group, _, where) = _deep_paths(words, k, plan, shallow)
-    return words.covered(starts[_answered(deep, group)[where]], k)
+def _match(table: pa.Table, heavy: int) -> pa.Table:
+    """The shallow tree of one group: which grams of each chunk have two leaves, and which over ``heavy``."""
+    paths = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("paths")]
+    counts = [np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in table.column("counts")]
+    _, where = np.unique(np.concatenate(paths), return_inverse=True)
+    total = np.bincount(where, np.concatenate(counts)).astype(np.int64)[where]
+    marks = np.where(total > heavy, TOO_MANY, np.where(total > 1, SHARED, ALONE)).astype(np.uint8)
+    rows, at = [], 0
+    for chunk, group, n in zip(table.column("chunk").to_pylist(), table.column("group").to_pylist(), counts, strict=True):
+        own = marks[at : at + len(n)]
+        at += len(n)
+        if own.any():
+            rows.append((chunk, group, own.tobytes(), int(n[own == TOO_MANY].sum())))
+    return _answer(rows)
+
+
+class Pieces(NamedTuple):
+    """The windows of a chunk that may repeat, as pieces of text: the first word and the windows of each, which distinct one it is, and the distinct ones."""
+
+    begin: np.ndarray
+    n: np.ndarray
+    which: np.ndarray
+    group: np.ndarray
+    windows: np.ndarray
+    again: np.ndarray
+    text: list[bytes]
+
+
+def _pieces(words: Words, k: int, plan: np.ndarray, answers: pa.Table, parts: int) -> Pieces:
+    level = _shallow_level(words, k, plan)
+    mark = np.zeros(len(level.path), np.uint8)
+    own = dict(_cuts(level.group))
+    for g, bits in zip(answers.column("group").to_pylist(), answers.column("marks").to_pylist(), strict=True):
+        mark[own[g]] = np.frombuffer(bits, np.uint8)
+    anchor = np.searchsorted(level.anchors, level.at)
+    of = level.where[anchor] if len(anchor) else anchor
+    shared, many = np.flatnonzero(mark[of] == SHARED), np.flatnonzero(mark[of] == TOO_MANY)
+    first = np.flatnonzero(np.diff(anchor[shared], prepend=-1))  # the windows of a minimizer are neighbours
+    begin = np.concatenate([level.starts[shared[first]], level.starts[many]])
+    n = np.concatenate([np.diff(np.append(first, len(shared))), np.ones(len(many), np.int64)])
+    group = level.group[of[shared[first]]]
+    if len(many):
+        long = words.windows(level.h, k)[level.starts[many]]
+        group = np.concatenate([group, (plan[:, 0] + plan[:, 1]).max() + ((long >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)])
+    raw, number = words.buf.tobytes(), {}
+    ends = words.end[begin + n + k - 2] if len(begin) else begin
+    which = np.array([number.setdefault((g, raw[a:b]), len(number)) for g, a, b in zip(group.tolist(), words.start[begin].tolist(), ends.tolist(), strict=True)], np.int64)
+    windows = np.zeros(len(number), np.int64)
+    windows[which] = n
+    return Pieces(begin, n, which, np.array([g for g, _ in number], np.int64), windows, np.bincount(which, minlength=len(number)) > 1, [t for _, t in number])
+
+
+PIECES = "chunk string, group int, sizes binary, again binary, size long, text binary"
+
+
+def _deep(chunks: pa.Table, answers: pa.Table, text: str, k: int, plan: np.ndarray, parts: int) -> pa.Table:
+    rows = []
+    for chunk, data in zip(chunks.column("chunk").to_pylist(), chunks.column("data"), strict=True):
+        pieces = _pieces(Words(_unpack(data.as_py()).column(text)), k, plan, answers, parts)
+        for g, own in _cuts(pieces.group):
+            every = b"".join(pieces.text[i] for i in own.tolist())
+            sizes = np.array([len(pieces.text[i]) for i in own.tolist()], np.uint32).tobytes()
+            rows.append((chunk, g, sizes, np.packbits(pieces.again[own]).tobytes(), len(every), pa.compress(every, "zstd", asbytes=True)))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["chunk", "group", "sizes", "again", "size", "text"])
+
+
+def numbers(words: Words) -> np.ndarray:
+    """Each word's number: the same for equal words, and for these only."""
+    end = np.concatenate([[0], np.cumsum(words.end - words.start)]).astype(np.int64)
+    letters = np.ascontiguousarray(words.buf[words.solid])
+    array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(end) - 1, [None, pa.py_buffer(end), pa.py_buffer(letters)])
+    return array.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def suffixes(ids: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``starts`` by their first k numbers, and the common prefix of each two neighbours (k at most)."""
+    bits = max(int(ids.max(initial=0)).bit_length(), 1)
+    per = min(63 // bits, k)
+    keys = []
+    for a in range(0, k, per):
+        key = np.zeros(len(starts), np.int64)
+        for j in range(a, min(a + per, k)):
+            key = key << bits | ids[starts + j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    common, live = np.zeros(max(len(starts) - 1, 0), np.int64), np.arange(max(len(starts) - 1, 0))
+    for c, key in enumerate(keys):
+        n = min(per, k - c * per)
+        differ = key[order[live]] ^ key[order[live + 1]]
+        for j in range(n):
+            common[live] += differ >> bits * (n - 1 - j) == 0
+        live = live[differ == 0]
+    return order, common
+
+
+def repeated(words: Words, k: int) -> np.ndarray:
+    """Which whole k-windows, in order, are leaves of an internal node of depth k."""
+    starts = np.flatnonzero(words.whole(k))
+    out = np.zeros(len(starts), bool)
+    if len(starts):
+        order, common = suffixes(numbers(words), starts, k)
+        out[order[1:]] |= common >= k
+        out[order[:-1]] |= common >= k
+    return out
 
 
-def _write(chunks: pa.Table, answers: pa.Table, text: str, k: int, plan: np.ndarray, make) -> pa.Table:
+def _match_deep(table: pa.Table, k: int) -> pa.Table:
+    """The deep tree of one group: a mark for each window of each chunk's pieces."""
+    sizes = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("sizes")]
+    text = b"".join(pa.decompress(x.as_py(), n, "zstd", asbytes=True) for x, n in zip(table.column("text"), table.column("size").to_pylist(), strict=True))
+    end = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    words = Words(pa.LargeStringArray.from_buffers(len(end) - 1, pa.py_buffer(end), pa.py_buffer(text)))
+    found = repeated(words, k)
+    # a piece that one chunk has twice repeats even when no other chunk has it
+    again = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(n)) for x, n in zip(table.column("again"), sizes, strict=True)]).astype(bool)
+    windows = words.count - k + 1
+    found |= np.repeat(again, windows)
+    at = np.concatenate([[0], np.cumsum(windows)])[np.concatenate([[0], np.cumsum([len(n) for n in sizes])])]
+    rows = [(chunk, group, np.packbits(found[a:b]).tobytes(), 0) for chunk, group, a, b in zip(table.column("chunk").to_pylist(), table.column("group").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True) if found[a:b].any()]
+    return _answer(rows)
+
+
+def _repeats(words: Words, k: int, plan: np.ndarray, parts: int, shallow: pa.Table, deep: pa.Table) -> np.ndarray:
+    """The word positions where repeated windows start, from the marks of both levels."""
+    pieces = _pieces(words, k, plan, shallow, parts)
+    if not len(pieces.begin):
+        return pieces.begin
+    first = np.concatenate([[0], np.cumsum(pieces.windows)])
+    found = np.zeros(first[-1], bool)
+    own = dict(_cuts(pieces.group))
+    for g, bits in zip(deep.column("group").to_pylist(), deep.column("marks").to_pylist(), strict=True):
+        n = pieces.windows[own[g]]
+        at = np.repeat(first[own[g]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        found[at] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
+    step = np.arange(pieces.n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(pieces.n)[:-1]]), pieces.n)
+    start = np.repeat(pieces.begin, pieces.n) + step
+    return np.sort(start[found[np.repeat(first[pieces.which], pieces.n) + step]])
+
+
+def _write(chunks: pa.Table, answers: pa.Table, text: str, k: int, plan: np.ndarray, parts: int, make) -> pa.Table:
     level = answers.column("level").to_numpy() if answers.num_rows else np.zeros(0)
     shallow, deep = answers.filter(pa.array(level == 0)), answers.filter(pa.array(level == 1))
     out = []
     for data in chunks.column("data"):
         rows = _unpack(data.as_py())
         words = Words(rows.column(text))
-        out.append(make(rows, words, _removed(words, k, plan, shallow, deep)))
+        out.append(make(rows, words, _repeats(words, k, plan, parts, shallow, deep)))
     return pa.concat_tables(out)
 
 
@@ -243,13 +330,26 @@ def _texts(words: Words, removed: np.ndarray) -> list[list[bytes]]:
     return out
 
 
-def _digest(rows: pa.Table, words: Words, removed: np.ndarray) -> pa.Table:
+def _runs(rows: pa.Table, words: Words, starts: np.ndarray, k: int) -> pa.Table:
+    """Runs of repeated windows of each document."""
+    new = np.ones(len(starts), bool)
+    new[1:] = (np.diff(starts) > 1) | (words.doc[starts[1:]] != words.doc[starts[:-1]])
+    first = np.flatnonzero(new)
+    last = starts[np.append(first[1:], len(starts)) - 1] if len(starts) else starts
+    begin = starts[first]
+    doc = words.doc[begin]
+    return pa.table([rows.column(0).take(pa.array(doc)), pa.array(begin - words.first[doc], pa.int64()), pa.array(last - begin + k, pa.int64())], names=["doc_id", "start", "length"])
+
+
+def _digest(rows: pa.Table, words: Words, starts: np.ndarray, k: int) -> pa.Table:
+    removed = words.covered(starts, k)
     kept = [hashlib.sha256(b" ".join(x)).hexdigest() for x in _texts(words, removed)]
     return pa.table([rows.column(0), pa.array(words.count, pa.int64()), pa.array(words.per_document_words(removed), pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _rewrite(rows: pa.Table, words: Words, removed: np.ndarray, text: str, n_words: str, n_removed: str) -> pa.Table:
+def _rewrite(rows: pa.Table, words: Words, starts: np.ndarray, k: int, text: str, n_words: str, n_removed: str) -> pa.Table:
     """The rows with the text as it was where nothing was removed, else the kept words joined by one space."""
+    removed = words.covered(starts, k)
     lost, at, texts = words.per_document_words(removed), rows.schema.get_field_index(text), rows.column(text).to_pylist()
     if lost.any():
         for d, own in enumerate(_texts(words, removed)):
@@ -264,8 +364,17 @@ def _run(docs: DataFrame, text: str, k: int, group_size: int, make, schema: str)
     for row in docs.select(text).mapInArrow(partial(_histogram, text=text, k=k), "slot int, n long").groupBy("slot").sum("n").collect():  # 4096 rows at most
         counts[row[0]] = row[1]
     plan = plan_groups(counts, group_size)
-    chunks = docs.mapInArrow(partial(_pack, text=text), "chunk string, data binary").repartition("chunk")
-    own = dict(text=text, k=k, plan=plan)
+    # written, so that a task that runs again reads the same chunks
+    chunks = checkpointed(docs.mapInArrow(partial(_pack, text=text), "chunk string, data binary")).repartition("chunk")
+    heavy = max(group_size // HEAVY, 1)
+
+    def match(table: pa.Table) -> pa.Table:
+        return _match(table, heavy)
+
+    shallow = checkpointed(chunks.mapInArrow(partial(_shallow, text=text, k=k, plan=plan), GRAMS).groupBy("group").applyInArrow(match, ANSWERS))
+    # a gram is the least one of about half of the windows that hold it
+    windows = (shallow.agg(F.sum("heavy")).first()[0] or 0) * (k - min(SHALLOW, k) + 2) // 2
+    own = dict(text=text, k=k, plan=plan, parts=max(1, -(-windows // group_size)))
 
     def deep(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return _deep(left, right, **own)
@@ -273,20 +382,24 @@ def _run(docs: DataFrame, text: str, k: int, group_size: int, make, schema: str)
     def write(key, left: pa.Table, right: pa.Table) -> pa.Table:
         return _write(left, right, **own, make=make) if left.num_rows else empty
 
-    def match(table: pa.Table) -> pa.Table:
-        return _match(table)
-
-    from pyspark.sql.functions import lit
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    def match_deep(table: pa.Table) -> pa.Table:
+        return _match_deep(table, k)
 
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-    shallow = chunks.mapInArrow(partial(_shallow, **own), BLOBS).groupBy("group").applyInArrow(match, ANSWERS)
-    deeper = chunks.groupBy("chunk").cogroup(shallow.groupBy("chunk")).applyInArrow(deep, BLOBS).groupBy("group").applyInArrow(match, ANSWERS)
-    answers = shallow.withColumn("level", lit(0)).unionByName(deeper.withColumn("level", lit(1)))
+    deeper = chunks.groupBy("chunk").cogroup(shallow.groupBy("chunk")).applyInArrow(deep, PIECES).groupBy("group").applyInArrow(match_deep, ANSWERS)
+    answers = shallow.withColumn("level", F.lit(0)).unionByName(deeper.withColumn("level", F.lit(1)))
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(write, schema)
 
 
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 35, group_size: int = GROUP_SIZE) -> DataFrame:
+    """``doc_id, start, length``: the maximal repeats of each row, as runs of words whose k-word windows all start elsewhere too, with the first word's place (from 0).
+
+    Runs of one row don't touch, but may overlap by up to k - 2 words.  A null text has none; an empty table gives no rows.
+    """
+    two = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return _run(two, "text", k, group_size, partial(_runs, k=k), f"doc_id {dict(two.dtypes)['doc_id']}, start long, length long")
+
+
 def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 35, group_size: int = GROUP_SIZE) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row of ``docs``.
 
@@ -296,7 +409,7 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     two = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = dict(two.dtypes)["doc_id"]
-    return _run(two, "text", k, group_size, _digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _run(two, "text", k, group_size, partial(_digest, k=k), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = 35, group_size: int = GROUP_SIZE, stats: bool = False) -> DataFrame:
@@ -312,6 +425,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = 35, group_s
     ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema, strict=True))
     text = names[docs.columns.index(text_col)]
     inner = docs.toDF(*names[:-2])
-    out = _run(inner, text, k, group_size, partial(_rewrite, text=text, n_words=names[-2], n_removed=names[-1]), ddl)
+    out = _run(inner, text, k, group_size, partial(_rewrite, k=k, text=text, n_words=names[-2], n_removed=names[-1]), ddl)
     out = out.toDF(*[f.name for f in schema])
     return out if stats else out.drop(n_words, n_removed)

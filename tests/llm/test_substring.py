@@ -3,10 +3,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from locusflow.llm import substring
+from locusflow.llm.words import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,6 +34,38 @@ def test_digests_against_brute_force(docs, k, size):
     assert got == want
 
 
+@pytest.mark.parametrize("k,size", [(12, 1_000_000), (5, 300)])
+def test_maximal_repeats(docs, k, size):
+    """Runs of windows that occur twice, of any document."""
+    rows = [(r.doc_id, WORD.findall(r.text or "")) for r in docs.collect()]
+    seen = Counter(tuple(w[i : i + k]) for _, w in rows for i in range(len(w) - k + 1))
+    want = []
+    for i, w in rows:
+        at = [j for j in range(len(w) - k + 1) if seen[tuple(w[j : j + k])] > 1]
+        first = [j for j in at if j - 1 not in at]
+        last = [j for j in at if j + 1 not in at]
+        want += [(str(i), a, b - a + k) for a, b in zip(first, last, strict=True)]
+    got = [(str(r.doc_id), r.start, r.length) for r in substring.repeats(docs, k=k, group_size=size).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 10
+
+
+def test_suffixes_are_sorted_by_their_words():
+    rng = np.random.default_rng(4)
+    vocabulary = ["a", "b", "ab", "ba", "a\x1cb", "é", "日本"]
+    words = Words(pa.array([" ".join(rng.choice(vocabulary[: rng.integers(1, 8)], 60)) for _ in range(20)] + [None, "a"]))
+    ids = substring.numbers(words)
+    text = [words.buf[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)]
+    assert all((ids[i] == ids[j]) == (text[i] == text[j]) for i in range(0, len(text), 7) for j in range(len(text)))
+    for k in (2, 7, 35):
+        starts = np.flatnonzero(words.whole(k))
+        order, common = substring.suffixes(ids, starts, k)
+        rows = [tuple(ids[s : s + k].tolist()) for s in starts[order]]
+        assert rows == sorted(rows)
+        assert common.tolist() == [next((i for i in range(k) if a[i] != b[i]), k) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        own = Counter(rows)
+        assert substring.repeated(words, k).tolist() == [own[tuple(ids[s : s + k].tolist())] > 1 for s in starts]
+
+
 def test_heavy_slots_are_split():
     counts = np.array([5, 5, 100, 1, 40])
     plan = substring.plan_groups(counts, 10)
