@@ -32,6 +32,8 @@ SEGMENTS, WIDTH = 16, 4
 BITS, SHINGLE, SEED = 2, 3, 42
 #: Which share of all rows makes a fingerprint hot (one in so many), and over how many tasks its rows are dealt.
 HOT = 64
+#: Distinct fingerprints for each partition of the range join, where each has 33 cells (at two bits).
+FINGERPRINTS = 10_000
 #: Shingles whose bits are summed at once.
 _STEP = 1 << 14
 
@@ -92,18 +94,20 @@ def steps(n: int) -> list[int]:
     return sorted((x + 2**63) % 2**64 - 2**63 for x in found)
 
 
-def _reached(distinct: DataFrame, n: int, name: str) -> DataFrame:
-    """The cells that each fingerprint reaches within n steps, dealt anew: the input may lie in few partitions."""
+def _reached(distinct: DataFrame, n: int, name: str, parts: int) -> DataFrame:
+    """The cells that each fingerprint reaches within n steps, dealt by cell; the input may lie in few partitions, so it is dealt anew first."""
     offsets = F.array(*[F.lit(x).cast("long") for x in [0, *steps(n)]])
-    own = distinct.select("fp").repartition("fp").select(F.col("fp").alias(name), cell(F.col("fp")).alias("from"), F.explode(offsets).alias("step"))
+    own = distinct.select("fp").repartition(parts, "fp").select(F.col("fp").alias(name), cell(F.col("fp")).alias("from"), F.explode(offsets).alias("step"))
     # a step that takes a count out of 0..4 reaches no point
-    return own.select(name, (F.col("from") + F.col("step")).alias("cell")).filter(F.expr(_in_range("cell")))
+    return own.select(name, (F.col("from") + F.col("step")).alias("cell")).filter(F.expr(_in_range("cell"))).repartition(parts, "cell")
 
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs ``a < b`` of the distinct fingerprints in column ``fp`` that differ in at most ``bits`` bits."""
-    far = _reached(distinct, bits - bits // 2, "a").hint("shuffle_hash")
-    near = far.join(_reached(distinct, bits // 2, "b"), "cell").filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & (F.col("a") != F.col("b")))
+    # the rows are small but each meets many, so partitions are cut by rows, not left to be merged by size
+    parts = max(1, -(-distinct.count() // FINGERPRINTS))
+    far = _reached(distinct, bits - bits // 2, "a", parts).hint("shuffle_hash")
+    near = far.join(_reached(distinct, bits // 2, "b", parts), "cell").filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & (F.col("a") != F.col("b")))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
