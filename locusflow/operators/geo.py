@@ -83,9 +83,21 @@ def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws("__", F.least(x, y), F.greatest(x, y))
 
 
-def external_distances(table: DataFrame, external: DataFrame, pop1: str = "Pop1", pop2: str = "Pop2", distance: str = "Distance") -> DataFrame:
-    """Keeps the pairs that the external table has, with its distance (of repeated pairs the least); order in a pair doesn't matter."""
-    ext = external.select(pair_key(F.col(pop1), F.col(pop2)).alias("_key"), F.expr(f"try_cast(`{distance}` AS DOUBLE)").alias("d")).groupBy("_key").agg(F.min("d").alias("d"))
+def first_rows(rows: DataFrame, order: str | None) -> DataFrame:
+    """Of the rows of a ``_key`` the one with the least ``order``; without an order, the first in the order of partitions."""
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    names = [c for c in rows.columns if c != "_key"]
+    own = rows.withColumn("_at", at).groupBy("_key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), "_at").alias("_row"))
+    return own.select("_key", *[F.col("_row").getField(c).alias(c) for c in names])
+
+
+def external_distances(table: DataFrame, external: DataFrame, pop1: str = "Pop1", pop2: str = "Pop2", distance: str = "Distance", order: str | None = None) -> DataFrame:
+    """Keeps the pairs that the external table has, with its distance; order in a pair doesn't matter.
+
+    Of repeated pairs the first row counts, by the column ``order``, or as the table lies.  Text that is no number makes a null distance.
+    """
+    keyed = external.withColumn("_key", pair_key(F.col(pop1), F.col(pop2)))
+    ext = first_rows(keyed, order).select("_key", F.expr(f"try_cast(`{distance}` AS DOUBLE)").alias("d"))
     return table.drop("d", "ln_d").withColumn("_key", pair_key(F.col("pop1"), F.col("pop2"))).join(ext, "_key").drop("_key").withColumn("ln_d", F.when(F.col("d") > 0, F.log("d")))
 
 

@@ -4,11 +4,18 @@ Matrices are long tables of pairs ``pop1 < pop2`` with value columns.  A permuta
 populations (a ranking by md5 for each replicate), and a pair takes the permuted column's value of
 the pair of new names.  Statistics are aggregates by replicate.  Pairs without a value on either
 side don't count, and are masked anew in each replicate.
+
+Up to ``MAX_PAIRS`` pairs, tasks hold the columns as square matrices and take many replicates at once; beyond, renaming is a join.
+Both rank populations by the same md5 numbers, so they permute alike.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,10 +26,93 @@ from .resample import replicates
 #: Tolerances of the comparisons with the observed value (fixed values): of correlations and slopes, and of cross products.
 EPS_STAT, EPS_CROSS = float(np.sqrt(np.finfo(float).eps)), 1e-9
 
+#: Pairs (of about 1,000 populations) whose matrices may go to every task, 8 MB a column; and values that a task permutes at once.
+MAX_PAIRS, BATCH = 500_000, 2_000_000
+REPS_PER_TASK = 250
+NUMBERED = ("tinyint", "smallint", "int", "bigint", "string")
+
 
 def settled(pairs: DataFrame) -> DataFrame:
-    """Pairs of populations are used several times by each test, and are few beside what they were made from."""
-    return pairs.persist()
+    """Pairs of populations are used several times by each test, and are few beside what they were made from: up to ``MAX_PAIRS`` of them become a local table, more are cached."""
+    rows = pairs.limit(MAX_PAIRS + 1).collect()
+    return pairs.sparkSession.createDataFrame(rows, pairs.schema) if len(rows) <= MAX_PAIRS else pairs.persist()
+
+
+class Squares:
+    """Columns of pairs as symmetric matrices over the populations in order; NaN where there is no pair or no value."""
+
+    def __init__(self, rows: list, columns: list[str]):
+        labels = sorted({r["pop1"] for r in rows} | {r["pop2"] for r in rows})
+        at = {x: i for i, x in enumerate(labels)}
+        self.names = [str(x) for x in labels]
+        self.i, self.j = (np.array([at[r[p]] for r in rows], np.int64) for p in ("pop1", "pop2"))
+        self.value = {c: np.array([np.nan if r[c] is None else r[c] for r in rows], float) for c in columns}
+        self.square = {}
+        for c, v in self.value.items():
+            m = np.full((len(labels), len(labels)), np.nan)
+            m[self.i, self.j] = m[self.j, self.i] = v
+            self.square[c] = m
+
+    def order(self, rep: int, seed) -> list[int]:
+        """The populations ranked by md5 for a replicate, as the relational form does."""
+        return sorted(range(len(self.names)), key=lambda k: (hashlib.md5(f"{seed}|{rep}|{self.names[k]}".encode()).hexdigest(), k))
+
+    def permuted(self, reps: np.ndarray, columns: list[str], seed) -> dict[str, np.ndarray]:
+        """A row for each replicate: the columns taken from the renamed pairs."""
+        new = np.array([self.order(int(r), seed) for r in reps], np.int64).reshape(len(reps), -1)
+        a, b = new[:, self.i], new[:, self.j]
+        return {c: self.square[c][a, b] for c in columns}
+
+
+def by_replicate(own: DataFrame, columns: list[str], n: int, seed, statistics: Callable[[dict, dict], dict], fields: list[str]) -> DataFrame | None:
+    """``rep`` and ``fields`` of n replicates: what ``statistics`` makes of the columns (an array each) and the permuted ones (a row a replicate).  None where pairs are too many, repeat or have names of other types than ``NUMBERED``."""
+    types = dict(own.dtypes)
+    values = [c for c in own.columns if c not in ("pop1", "pop2")]
+    rows = own.limit(MAX_PAIRS + 1).collect()
+    if len(rows) > MAX_PAIRS or types["pop1"] not in NUMBERED or len({(r["pop1"], r["pop2"]) for r in rows}) < len(rows):
+        return None
+    spark = own.sparkSession
+    shared = spark.sparkContext.broadcast(Squares(rows, values))  # MAX_PAIRS bounds it
+
+    def run(batches):
+        m = shared.value
+        step = max(1, BATCH // max(len(m.i), 1))
+        for pdf in batches:
+            for a in range(0, len(pdf), step):
+                reps = pdf["rep"].to_numpy()[a : a + step]
+                got = statistics(m.value, m.permuted(reps, columns, seed))
+                yield pd.DataFrame({"rep": reps, **{f: got[f] for f in fields}})
+
+    tasks = max(1, -(-n // REPS_PER_TASK))
+    out = spark.range(1, n + 1, 1, tasks).toDF("rep").mapInPandas(run, "rep long, " + ", ".join(f"`{f}` double" for f in fields))
+    return out.select("rep", *[F.when(~F.isnan(f"`{f}`"), F.col(f"`{f}`")).alias(f) for f in fields])
+
+
+def _centred(*xs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many pairs have all of the columns, by replicate, and the columns less their means over these (0 elsewhere)."""
+    xs = np.broadcast_arrays(*xs)
+    ok = ~np.isnan(sum(xs))
+    n = ok.sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return n, [np.where(ok, x - (np.where(ok, x, 0.0).sum(axis=1) / n)[:, None], 0.0) for x in xs]
+
+
+def _r(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+
+
+def _one(kind: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The statistic of each replicate; NaN under three pairs."""
+    n, (a, b) = _centred(x, y)
+    if kind == "cross":
+        got = np.nansum(x * y, axis=1)
+    elif kind == "r":
+        got = _r(a, b)
+    else:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            got = (a * b).sum(axis=1) / (a * a).sum(axis=1)
+    return np.where(n >= 3, got, np.nan)
 
 
 def permuted(pairs: DataFrame, columns: list[str], n: int, seed) -> DataFrame:
@@ -74,6 +164,9 @@ def mantel(pairs: DataFrame, x: str, y: str, n: int, seed, kind: str = "r", plus
 
 def null_distribution(own: DataFrame, n: int, seed, kind: str = "r") -> DataFrame:
     """``rep, s`` of pairs with x and y: the statistic with y permuted."""
+    fast = by_replicate(own.select("pop1", "pop2", "x", "y"), ["y"], n, seed, lambda v, p: {"s": _one(kind, v["x"][None, :], p["y"])}, ["s"])
+    if fast is not None:
+        return fast
     return complete(permuted(own, ["y"], n, seed), "x", "py").groupBy("rep").agg(F.when(F.count("*") >= 3, statistic(kind, "x", "py")).alias("s"))
 
 
@@ -97,8 +190,18 @@ def partial_mantel(pairs: DataFrame, x: str, y: str, z: str, n: int, seed) -> Da
     full = complete(own, "x", "y", "z")
     r = full.agg(F.corr("x", "y").alias("rxy"), F.corr("x", "z").alias("rxz"), F.corr("y", "z").alias("ryz"), F.count("*").alias("n_pairs"))
     obs = r.select(F.when(F.col("n_pairs") >= 4, _partial(F.col("rxy"), F.col("rxz"), F.col("ryz"))).alias("stat"), "rxy", "rxz", "ryz", "n_pairs")
-    moved = complete(permuted(own, ["x"], n, seed), "px", "y", "z").groupBy("rep").agg(F.corr("px", "y").alias("a"), F.corr("px", "z").alias("b"), F.corr("y", "z").alias("c"), F.count("*").alias("k"))
-    null = moved.select("rep", F.when(F.col("k") >= 4, _partial(F.col("a"), F.col("b"), F.col("c"))).alias("s"))
+
+    def given(v: dict, p: dict) -> dict:
+        k, (x_, y_, z_) = _centred(p["x"], v["y"][None, :], v["z"][None, :])
+        xy, xz, yz = _r(x_, y_), _r(x_, z_), _r(y_, z_)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rest = (1 - xz * xz) * (1 - yz * yz)
+            return {"s": np.where((k >= 4) & (rest > 0), (xy - xz * yz) / np.sqrt(rest), np.nan)}
+
+    null = by_replicate(own, ["x"], n, seed, given, ["s"])
+    if null is None:
+        moved = complete(permuted(own, ["x"], n, seed), "px", "y", "z").groupBy("rep").agg(F.corr("px", "y").alias("a"), F.corr("px", "z").alias("b"), F.corr("y", "z").alias("c"), F.count("*").alias("k"))
+        null = moved.select("rep", F.when(F.col("k") >= 4, _partial(F.col("a"), F.col("b"), F.col("c"))).alias("s"))
     return _two_sided(null, obs, EPS_CROSS, True)
 
 
@@ -129,8 +232,6 @@ def solve(n: float, s: np.ndarray, ss: np.ndarray, standardize: bool) -> tuple[n
 
 
 def _solved(batches, xs: list[str], standardize: bool):
-    import pandas as pd
-
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
@@ -143,17 +244,41 @@ def _solved(batches, xs: list[str], standardize: bool):
 def mrm(pairs: DataFrame, y: str, xs: list[str], n: int, seed, standardize: bool = False) -> DataFrame:
     """``term, value, p_pos, p_neg, n_pairs``: a row for each predictor and one for R2; y is permuted.
 
-    One to ten predictors; k + 3 complete pairs at least, and predictors that aren't collinear, else values are null.
+    One to ten predictors; under k + 3 complete pairs, or with collinear predictors or a constant y, an error is raised.
     """
     if not 1 <= len(xs) <= 10 or y in xs:
         raise ValueError("one to ten predictors, none of them y")
     own = settled(pairs.select("pop1", "pop2", y, *xs))
+    terms = [*xs, "R2"]
     schema, kernel = "rep long, term string, v double, n long", lambda b: _solved(b, xs, standardize)
-    obs = _moments(own.withColumn("rep", F.lit(0).cast("long")), y, xs, ["rep"]).mapInPandas(kernel, schema).select("term", F.col("v").alias("value"), F.col("n").alias("n_pairs"))
-    null = _moments(permuted(own, [y], n, seed), f"p{y}", xs, ["rep"]).mapInPandas(kernel, schema).select("term", "v")
+    obs = _moments(own.withColumn("rep", F.lit(0).cast("long")), y, xs, ["rep"]).mapInPandas(kernel, schema).collect()  # a row for each term
+    if not obs or obs[0]["n"] < len(xs) + 3:
+        raise ValueError(f"{len(xs) + 3} complete pairs at least are needed for {len(xs)} predictors")
+    if any(r["v"] is None or np.isnan(r["v"]) for r in obs):
+        raise ValueError("the model can't be fitted; are predictors collinear?")
+    observed = own.sparkSession.createDataFrame([(r["term"], r["v"], r["n"]) for r in obs], "term string, value double, n_pairs long")
+
+    def fitted(v: dict, p: dict) -> dict:
+        out = {t: np.full(len(p[y]), np.nan) for t in terms}
+        columns = [v[c] for c in xs]
+        upper = np.triu_indices(len(xs) + 1)
+        for r, moved in enumerate(p[y]):
+            m = np.stack([moved, *columns])
+            m = m[:, ~np.isnan(m.sum(axis=0))]
+            got = solve(m.shape[1], m.sum(axis=1), (m @ m.T)[upper], standardize) if m.shape[1] else None
+            if got:
+                for t, value in zip(terms, [*got[0], got[1]], strict=True):
+                    out[t][r] = value
+        return out
+
+    fast = by_replicate(own, [y], n, seed, fitted, terms)
+    if fast is not None:
+        null = fast.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"`{t}`").alias("v")) for t in terms])).alias("x")).select("x.*")
+    else:
+        null = _moments(permuted(own, [y], n, seed), f"p{y}", xs, ["rep"]).mapInPandas(kernel, schema).select("term", "v")
     m = F.count("v")
     p = lambda hit: F.when((m > 0) & F.col("value").isNotNull(), (F.sum(hit.cast("long")) + 1) / (m + 1))
-    return null.join(obs, "term").groupBy("term", "value", "n_pairs").agg(p(F.col("v") >= F.col("value") - EPS_CROSS).alias("p_pos"), p(F.col("v") <= F.col("value") + EPS_CROSS).alias("p_neg"))
+    return null.join(F.broadcast(observed), "term").groupBy("term", "value", "n_pairs").agg(p(F.col("v") >= F.col("value") - EPS_CROSS).alias("p_pos"), p(F.col("v") <= F.col("value") + EPS_CROSS).alias("p_neg"))
 
 
 def correlations(pairs: DataFrame, columns: list[str]) -> DataFrame:

@@ -21,21 +21,20 @@ def save(df: DataFrame, name: str, mode: str = "overwrite", partition_by: list[s
 
 
 def header(title: str, dataset: str | None = None, subsamples: list | None = None, loci: list | None = None, n_perm: int | None = None, n_boot: int | None = None, unit: str | None = None, extra: dict | None = None, when: datetime.datetime | None = None) -> list[str]:
-    """Comment lines that say what a table is; parts that are unknown are left out."""
-    joined = lambda xs: ", ".join(map(str, xs))
-    lines = [f"# {title}", f"# Export date: {(when or datetime.datetime.now()).strftime('%Y-%m-%d %H:%M:%S')}", f"# Source data file: {dataset or 'unknown'}"]
-    if subsamples:
-        lines.append(f"# Subsamples (populations) analysed (n = {len(subsamples)}): {joined(subsamples)}")
-    if loci:
-        lines.append(f"# Loci analysed (n = {len(loci)}): {joined(loci)}")
-    if n_perm is not None:
-        lines.append(f"# Number of permutations: {n_perm:,}")
-    if n_boot is not None:
-        lines.append(f"# Number of bootstrap replicates: {n_boot:,}")
-    if unit:
-        lines.append(f"# What is permuted/resampled: {unit}")
-    lines += [f"# {k}: {v}" for k, v in (extra or {}).items()]
-    return [*lines, "#", "# --- Data below ---"]
+    """Comment lines ``# key = value`` that say what a table is; what isn't given is left out."""
+    names = lambda xs: None if xs is None else f"{len(xs)} [{'; '.join(map(str, xs))}]"
+    about = {
+        "table": title,
+        "written": (when or datetime.datetime.now()).isoformat(sep=" ", timespec="seconds"),
+        "input": dataset,
+        "populations": names(subsamples or None),
+        "loci": names(loci or None),
+        "permutations": n_perm,
+        "bootstraps": n_boot,
+        "resampled unit": unit,
+        **(extra or {}),
+    }
+    return [f"# {key} = {value}" for key, value in about.items() if value is not None]
 
 
 def _lines(df: DataFrame, sep: str) -> list[str]:
@@ -53,9 +52,7 @@ def write_report(df: DataFrame, path: str, lines: list[str], sep: str = ",") ->
         f.write("\n".join([*lines, *_lines(df, sep)]) + "\n")
 
 
-def half_matrix(df: DataFrame, value: str, populations: list, title: str) -> list[str]:
-    """The lower half of a matrix of pairs as lines of tab-separated text."""
-    at = {(r["pop1"], r["pop2"]): r["v"] for r in df.select("pop1", "pop2", F.round(value, 6).alias("v")).collect()}  # pairs of populations
+def _half(at: dict, populations: list, title: str) -> list[str]:
     out = [title, "\t".join(["", *map(str, populations[:-1])])]
     for i, p in enumerate(populations[1:], 1):
         cells = [at.get((o, p)) if j < i else "" for j, o in enumerate(populations[:-1])]
@@ -63,6 +60,14 @@ def half_matrix(df: DataFrame, value: str, populations: list, title: str) -> lis
     return out
 
 
+def half_matrix(df: DataFrame, value: str, populations: list, title: str) -> list[str]:
+    """The lower half of a matrix of pairs as lines of tab-separated text."""
+    rows = df.select("pop1", "pop2", F.round(value, 6).alias("v")).limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError("too many pairs for one file; use write_table")
+    return _half({(r["pop1"], r["pop2"]): r["v"] for r in rows}, populations, title)
+
+
 def write_null_bundle(folder: str, name: str, t1: DataFrame, t2: DataFrame, pooled: DataFrame, by_locus: DataFrame, chords: DataFrame, populations: list, loci: list) -> list[str]:
     """The five files of a null-allele analysis: frequencies, summary, pairs, and half matrices of FST and of chord distances by locus."""
     import os
@@ -72,14 +77,21 @@ def write_null_bundle(folder: str, name: str, t1: DataFrame, t2: DataFrame, pool
     for path, df in zip(paths, (t1, t2, pooled), strict=False):
         write_report(df, path, header(os.path.basename(path)), "\t")
     for path, df, stats in ((paths[3], by_locus, ("fst_raw", "fst_ena")), (paths[4], chords, ("dcse_raw", "dcse_ina"))):
+        rows = df.select("locus", "pop1", "pop2", *[F.round(v, 6).alias(v) for v in stats]).limit(REPORT_ROWS + 1).collect()
+        if len(rows) > REPORT_ROWS:
+            raise ValueError("too many pairs for one file; use write_table")
+        by = {(locus, v): {} for locus in loci for v in stats}
+        for r in rows:
+            for v in stats:
+                by.setdefault((r["locus"], v), {})[r["pop1"], r["pop2"]] = r[v]
         with open(path, "w", encoding="utf-8") as f:
             for locus in loci:
-                for stat in stats:
-                    f.write("\n".join(half_matrix(df.filter(F.col("locus") == locus), stat, populations, f"Locus: {locus}  Statistic: {stat}")) + "\n\n")
+                for v in stats:
+                    f.write("\n".join(_half(by[locus, v], populations, f"{locus}: {v}")) + "\n\n")
     return paths
 
 
 def write_ibd_report(path: str, summary: DataFrame, table: DataFrame, model: str = "2D", metric: str = "fst_ena") -> None:
-    """The regression report: model, lines, and the full table of pairs."""
-    lines = ["Isolation by distance: regression of linearised FST", f"Habitat model: {model}", f"Genetic distance: {metric}", "", "Regression summary:", *_lines(summary, "\t"), "", "Full table of pairs:"]
+    """The regression report: a header, the lines, and after an empty line the table of pairs."""
+    lines = [*header("isolation by distance", extra={"model": model, "genetic distance": metric}), *_lines(summary, "\t"), ""]
     write_report(table, path, lines, "\t")

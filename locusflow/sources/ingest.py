@@ -125,54 +125,41 @@ def _plain(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "", name.lower())
 
 
-def _number(text) -> float | None:
-    try:
-        return float(str(text).strip())
-    except (TypeError, ValueError):
-        return None
+#: Shares and limits by which contents are told (fixed values): cells that are numbers or coordinates; cells that are genotypes; integers among codes and ids; distinct codes, and distinct ids; and the largest code.
+NUMERIC_SHARE, GENOTYPE_SHARE, INTEGER_SHARE, CODE_VARIETY, ID_VARIETY, TOP_CODE = 0.8, 0.5, 0.9, 0.8, 0.8, 5000
 
 
-def _share(flags) -> float:
-    flags = list(flags)
-    return sum(flags) / len(flags) if flags else 0.0
+def profile(rows: DataFrame, names: list[str], missing: Missing) -> dict[str, dict]:
+    """What each column's cells look like, in one aggregate over a row for each cell.
 
-
-def _texts(values) -> list[str]:
-    return [str(v).strip() for v in values if v is not None and str(v).strip()]
-
-
-def is_mostly_numeric(values, least: float = 0.8) -> bool:
-    return _share(_number(v) is not None for v in values) >= least
-
-
-def is_coordinate(values, limit: float, decimals: bool = False, least: float = 0.8) -> bool:
-    numbers = [(str(v).strip(), _number(v)) for v in values]
-    ok = [(s, x) for s, x in numbers if x is not None]
-    if not numbers or len(ok) / len(numbers) < least:
-        return False
-    if decimals and _share("." in s for s, _ in ok) < least:
-        return False
-    return _share(-limit <= x <= limit for _, x in ok) >= least
-
-
-def is_genotype(values, missing: Missing, least: float = 0.5) -> bool:
-    """Half of the cells are two numbers with a separator; or nearly all are integers of four digits at most, few of them different."""
-    lower = {t.lower() for t in missing.texts}
-    s = [t for t in _texts(values) if t.lower() not in lower]
-    if not s:
-        return False
-    if _share(bool(GENOTYPE.match(t)) for t in s) >= least:
-        return True
-    whole = [int(t) for t in s if t.isascii() and t.isdigit()]
-    if len(whole) / len(s) < 0.9:
-        return False
-    return len(set(whole)) / len(whole) <= 0.8 and max(whole) <= 5000 and max(len(str(x)) for x in whole) <= 4
-
-
-def is_id_like(values) -> bool:
-    s = _texts(values)
-    whole = [int(t) for t in s if t.isascii() and t.isdigit()]
-    return bool(s) and len(whole) / len(s) >= 0.9 and len(set(whole)) / len(whole) >= 0.8
+    ``numeric``: share of all cells that are numbers.  ``dotted``, ``lat``, ``lon``: shares of the numbers that are written with a point, or
+    lie within 90 or 180.  ``paired``: share of the known cells (neither blank nor missing) that are two numbers with a separator.
+    ``codes``, ``code_variety``, ``code_top``: share of the known cells that are integers, the distinct ones of these, and the largest.  ``ids``, ``id_variety``: the
+    same shares of all cells that aren't blank.  Shares of nothing are 0.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.trim(F.col(f"`{n}`").cast("string")).alias("t")) for i, n in enumerate(names)])
+    t = F.col("t")
+    cell = rows.select(F.explode(cells).alias("c")).select("c.*").withColumn("x", t.try_cast("double")).withColumn("whole", F.when(t.rlike("^[0-9]+$"), t.try_cast("decimal(38,0)")))
+    known = (t != "") & ~F.lower(t).isin([m.lower() for m in missing.texts])
+    number, whole, code = F.col("x").isNotNull(), F.col("whole").isNotNull(), F.when(known, F.col("whole"))
+    share = lambda part, of: F.coalesce(F.count_if(part) / F.nullif(F.count_if(of), F.lit(0)), F.lit(0.0))
+    # the preview bounds the sets
+    variety = lambda x: F.coalesce(F.size(F.collect_set(x)) / F.nullif(F.count(x), F.lit(0)), F.lit(0.0))
+    out = cell.groupBy("i").agg(
+        share(number, F.lit(True)).alias("numeric"),
+        share(number & t.contains("."), number).alias("dotted"),
+        share(F.abs("x") <= 90, number).alias("lat"),
+        share(F.abs("x") <= 180, number).alias("lon"),
+        share(known & t.rlike(GENOTYPE.pattern), known).alias("paired"),
+        share(known & whole, known).alias("codes"),
+        variety(code).alias("code_variety"),
+        F.coalesce(F.max(code), F.lit(0)).cast("double").alias("code_top"),
+        share(whole, t != "").alias("ids"),
+        variety(F.col("whole")).alias("id_variety"),
+    )
+    found = {names[r["i"]]: r.asDict() for r in out.collect()}  # a row for each column
+    blank = dict.fromkeys(("numeric", "dotted", "lat", "lon", "paired", "codes", "code_variety", "code_top", "ids", "id_variety"), 0.0)
+    return {n: found.get(n, blank) for n in names}
 
 
 @dataclass
@@ -218,21 +205,25 @@ def compress_ranges(numbers: list[int]) -> str:
 
 def detect_columns(rows: DataFrame, names: list[str], missing: Missing) -> Columns:
     """What the columns are, from their names and the first hundred rows."""
-    sample = [r.asDict() for r in rows.select(*[f"`{n}`" for n in names]).limit(PREVIEW_ROWS).collect()]
-    values = {n: [r[n] for r in sample] for n in names}
+    of = profile(rows.select(*[f"`{n}`" for n in names]).limit(PREVIEW_ROWS), names, missing)
     out = Columns()
     pops = [n for n in names if n.strip().lower() in POP_NAMES]
-    out.population = next((n for n in pops if not is_mostly_numeric(values[n])), pops[0] if pops else None)
-
-    def coordinate(known: tuple[str, ...], limit: float) -> str | None:
-        by_name = next((n for n in names if _plain(n) in known and is_coordinate(values[n], limit)), None)
-        return by_name or next((n for n in names if is_coordinate(values[n], limit, decimals=True)), None)
-
-    out.latitude, out.longitude = coordinate(LAT_NAMES, 90), coordinate(LON_NAMES, 180)
-    special = {out.population, out.latitude, out.longitude}
-    id_like = {n for n in names if ID_NAME.search(_plain(n)) or is_id_like(values[n])}
-    codes = {n for n in names if _plain(n) in POP_CODE_NAMES and is_mostly_numeric(values[n])}
-    out.markers = [n for n in names if is_genotype(values[n], missing) and n not in special | id_like | codes]
+    out.population = next((n for n in pops if of[n]["numeric"] < NUMERIC_SHARE), pops[0] if pops else None)
+
+    def coordinate(known: tuple[str, ...], within: str) -> str | None:
+        fit = [n for n in names if of[n]["numeric"] >= NUMERIC_SHARE and of[n][within] >= NUMERIC_SHARE]
+        named = [n for n in fit if _plain(n) in known]
+        return next(iter(named or [n for n in fit if of[n]["dotted"] >= NUMERIC_SHARE]), None)
+
+    out.latitude, out.longitude = coordinate(LAT_NAMES, "lat"), coordinate(LON_NAMES, "lon")
+    others = {out.population, out.latitude, out.longitude}
+    for n, x in of.items():
+        ids = x["ids"] >= INTEGER_SHARE and x["id_variety"] >= ID_VARIETY
+        if ids or ID_NAME.search(_plain(n)) or _plain(n) in POP_CODE_NAMES and x["numeric"] >= NUMERIC_SHARE:
+            others.add(n)
+        coded = x["codes"] >= INTEGER_SHARE and x["code_variety"] <= CODE_VARIETY and x["code_top"] <= TOP_CODE
+        if n not in others and (x["paired"] >= GENOTYPE_SHARE or coded):
+            out.markers.append(n)
     run = longest_run([names.index(n) + 1 for n in out.markers])
     out.marker_range = f"{run[0]}:{run[-1]}" if run else None
     out.metadata = [n for n in names if n != out.population and n not in out.markers]

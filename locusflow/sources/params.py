@@ -32,3 +32,38 @@ class Params:
 
     def upsert(self, **values) -> Params:
         return Params(**asdict(self) | values)
+
+
+class Store:
+    """Settings kept in a table of keys and JSON values; there are few, so a change writes the table anew, as a version of its own that readers see whole."""
+
+    def __init__(self, spark: SparkSession, name: str = "params"):
+        self.spark, self.name = spark, name
+
+    def all(self) -> dict:
+        """Every key with its value; none where there is no table."""
+        if not self.spark.catalog.tableExists(self.name):
+            return {}
+        return {r["key"]: json.loads(r["value"]) for r in self.spark.table(self.name).collect()}
+
+    def get(self, key: str, default=None):
+        """The value, or ``default`` where the key is missing, null or empty text."""
+        value = self.all().get(key)
+        return default if value is None or value == "" else value
+
+    def upsert(self, **values) -> dict:
+        """Writes new keys and overwrites known ones; the others stay. No values change nothing."""
+        now = self.all()
+        if not values:
+            return now
+        self._write(now | values)
+        return now | values
+
+    def clear(self) -> None:
+        """Takes all keys away; the table stays, if there is one."""
+        if self.spark.catalog.tableExists(self.name):
+            self._write({})
+
+    def _write(self, values: dict) -> None:
+        rows = [(k, json.dumps(v)) for k, v in sorted(values.items())]
+        self.spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").saveAsTable(self.name)

@@ -67,7 +67,7 @@ def test_reports(spark, tmp_path):
     path = str(tmp_path / "r.csv")
     export.write_report(df, path, export.header("Title", subsamples=[1, 2], n_perm=5000, extra={"k": "v"}))
     lines = open(path, encoding="utf-8").read().splitlines()
-    assert lines[0] == "# Title" and "# Number of permutations: 5,000" in lines and lines[-3:] == ['"id","v"', '"A",1.5', '"B",NA']
+    assert lines[0] == "# table = Title" and "# permutations = 5000" in lines and "# populations = 2 [1; 2]" in lines and "# k = v" in lines and lines[-3:] == ['"id","v"', '"A",1.5', '"B",NA']
     m = spark.createDataFrame([("a", "b", 0.1), ("a", "c", None), ("b", "c", 0.3)], "pop1 string, pop2 string, v double")
     assert export.half_matrix(m, "v", ["a", "b", "c"], "T") == ["T", "\ta\tb", "b\t0.1\t", "c\tNA\t0.3"]
     export.write_table(df, str(tmp_path / "t"), "\t", single=True)
