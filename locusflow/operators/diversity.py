@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clamp01, ratio
+from ..functions.cache import keep
 from . import wc84
 from .counts import Keys, pop_locus
 
@@ -98,7 +99,7 @@ def basic_stats(counts: DataFrame) -> DataFrame:
     Overall Ho, Hs and Ht are means over loci; overall FIT, FIS and FST are ratios of sums, limited to [0, 1]
     before the primes are formed.
     """
-    counts = counts.persist()  # small, and used for the table, its means and the recoded alleles
+    counts = keep(counts)  # small, and used for the table, its means and the recoded alleles
     stats, top = wc84.locus_stats(counts), wc84.locus_stats(private_alleles(counts))
     own = nei(counts).join(wc84.f_statistics(stats).select("locus", "fst", "fit", "fis"), "locus", "left").join(wc84.f_statistics(top).select("locus", F.col("fst").alias("fst_max")), "locus", "left")
     means = nei(counts).agg(*[F.avg(c).alias(c) for c in ("ho", "hs", "ht")])

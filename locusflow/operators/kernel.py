@@ -1,37 +1,53 @@
-"""Permutations by numpy, for thousands of replicates of a genotype matrix that fits in a task.
+"""Permutations and bootstraps by numpy, for thousands of replicates of a matrix that fits in a task.
 
-Replicates are dealt to tasks; each carries the packed matrix and draws from a generator keyed by (seed, replicate), so results
+Replicates are dealt to tasks; each carries the packed matrix and draws by (seed, replicate), so results
 don't depend on how replicates are dealt, or on a task that runs again.  The size of the matrix is checked
-before anything is collected: beyond ``MAX_CELLS`` the relational operators of ``resample`` do the work, if the caller says so (``engine``).
+before anything is collected.
+
+``engine`` names the draws: ``kernel`` has a counter-based generator, and raises beyond ``MAX_CELLS``; ``relational`` ranks by md5, as the operators of
+``resample`` do; ``auto`` ranks by the same md5 numbers, here up to ``MAX_CELLS`` and by ``resample`` beyond, so a seed has one result at every size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import valid
 from . import counts, gstat, resample, wc84
 
 #: Genotypes of a matrix that is sent to every task: 4 bytes each.
 MAX_CELLS = 20_000_000
+#: Rows of a table of allele counts that is sent to every task.
+MAX_COUNTS = 1_000_000
 REPS_PER_TASK = 64
+#: Shuffles of a pair of loci in a piece of work, and tasks at most.
+LD_REPS, MAX_TASKS = 250, 10_000
 ENGINES = ("kernel", "relational", "auto")
 SCHEMES = ("labels", "alleles_within", "alleles_global")
 
 
 @dataclass
 class Matrix:
-    pop: np.ndarray  # population code of each individual
+    names: list[str]  # individuals in order
+    pop: np.ndarray  # population code of each
     loci: list[str]
     a1: np.ndarray  # individuals x loci, allele codes from 0; -1 is missing
     a2: np.ndarray
     k: list[int]  # alleles of each locus
-    n_pops: int
+    pops: list[str]
+
+    @property
+    def n_pops(self) -> int:
+        return len(self.pops)
 
 
 def cells(geno: DataFrame) -> int:
@@ -39,23 +55,25 @@ def cells(geno: DataFrame) -> int:
 
 
 def collect(geno: DataFrame, limit: int = MAX_CELLS) -> Matrix:
-    """The packed matrix; raises beyond the limit."""
+    """The packed matrix; raises beyond the limit.  Loci and alleles become numbers in Spark, and columns travel as Arrow."""
     if cells(geno) > limit:
         raise ValueError(f"more than {limit} genotypes; use the relational engine")
-    pdf = geno.select("indiv", "pop", "locus", "a1", "a2").toPandas()
-    people = pdf.drop_duplicates("indiv").sort_values("indiv")
-    row = pd.Series(np.arange(len(people)), index=people["indiv"])
-    pops, pop = np.unique(people["pop"].astype(str), return_inverse=True)
-    loci = sorted(pdf["locus"].unique())
-    shape = len(people), len(loci)
-    a1, a2, k = np.full(shape, -1, np.int16), np.full(shape, -1, np.int16), []
-    for j, name in enumerate(loci):
-        own = pdf[(pdf["locus"] == name) & (pdf["a1"] > 0) & (pdf["a2"] > 0)]
-        alleles, code = np.unique(np.concatenate([own["a1"], own["a2"]]), return_inverse=True)
-        at = row.loc[own["indiv"]].to_numpy()
-        a1[at, j], a2[at, j] = code[: len(own)], code[len(own) :]
-        k.append(len(alleles))
-    return Matrix(pop.astype(np.int32), loci, a1, a2, k, len(pops))
+    people = geno.select("indiv", F.col("pop").cast("string").alias("pop")).distinct().orderBy("indiv", "pop").toArrow()
+    indiv, pop = people.column("indiv").combine_chunks(), people.column("pop")
+    pops = sorted(pc.unique(pop).to_pylist())
+    loci = [r["locus"] for r in geno.select("locus").distinct().orderBy("locus").collect()]
+    ok = geno.filter(valid())
+    alleles = ok.select("locus", F.explode(F.array("a1", "a2")).alias("allele")).distinct()
+    coded = alleles.withColumn("code", F.dense_rank().over(Window.partitionBy("locus").orderBy("allele")) - 1)
+    first, second = (coded.select("locus", F.col("allele").alias(a), F.col("code").cast("int").alias(c)) for a, c in (("a1", "x"), ("a2", "y")))
+    numbered = geno.sparkSession.createDataFrame(list(zip(loci, range(len(loci)), strict=True)), geno.select("locus", F.lit(0).alias("j")).schema)
+    rows = ok.select("indiv", "locus", "a1", "a2").join(first, ["locus", "a1"]).join(second, ["locus", "a2"]).join(numbered, "locus").select("indiv", "j", "x", "y").toArrow()
+    at, j = pc.index_in(rows.column("indiv"), value_set=indiv).to_numpy(), rows.column("j").to_numpy()
+    a1, a2 = (np.full((len(indiv), len(loci)), -1, np.int16) for _ in range(2))
+    a1[at, j], a2[at, j] = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+    top = {r["locus"]: r["k"] for r in coded.groupBy("locus").agg((F.max("code") + 1).alias("k")).collect()}
+    where = pc.index_in(pop, value_set=pa.array(pops, pa.string())).to_numpy().astype(np.int32)
+    return Matrix([str(x) for x in indiv.to_pylist()], where, loci, a1, a2, [top.get(x, 0) for x in loci], pops)
 
 
 def statistics(pop: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, n_pops: int) -> tuple[float, float, float, float]:
@@ -91,7 +109,7 @@ def statistics(pop: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, n_pops: in
 
 @dataclass
 class Locus:
-    """The valid genotypes of a locus, in order of population."""
+    """The valid genotypes of a locus, in order of population and individual."""
 
     name: str
     rows: np.ndarray
@@ -108,18 +126,34 @@ def prepared(m: Matrix) -> list[Locus]:
         ok = np.flatnonzero(m.a1[:, j] >= 0)
         ok = ok[np.argsort(m.pop[ok], kind="stable")]
         pop = m.pop[ok].astype(np.int64)
-        out.append(Locus(name, ok, pop, np.stack([m.a1[ok, j], m.a2[ok, j]], axis=1).ravel().astype(np.int64), np.repeat(pop, 2).astype(np.float32), m.k[j]))
+        out.append(Locus(name, ok, pop, np.stack([m.a1[ok, j], m.a2[ok, j]], axis=1).ravel().astype(np.int64), np.repeat(pop, 2).astype(np.float64), m.k[j]))
     return out
 
 
-def one(m: Matrix, loci: list[Locus], rep: int, seed: int, scheme: str) -> list[tuple]:
+def md5_order(front: str, names: list[str], by: np.ndarray | None = None) -> np.ndarray:
+    """The order of names by md5 of ``front|name``, within ``by``: that of ``resample``."""
+    key = np.frombuffer(b"".join(hashlib.md5(f"{front}|{x}".encode()).digest() for x in names), ">u8").reshape(-1, 2)
+    return np.lexsort((key[:, 1], key[:, 0]) if by is None else (key[:, 1], key[:, 0], by))
+
+
+def one(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str, md5: bool) -> list[tuple]:
     """Rows of a replicate: rep, locus, fst, fit, fis, g."""
-    rng = np.random.Generator(np.random.Philox(key=[seed, rep]))
-    labels = rng.permutation(m.pop).astype(np.int64) if scheme == "labels" else None
+    rng = None if md5 else np.random.Generator(np.random.Philox(key=[seed, rep]))
+    labels = None
+    if scheme == "labels":
+        labels = (m.pop[md5_order(f"{seed}|{rep}", m.names)] if md5 else rng.permutation(m.pop)).astype(np.int64)
     out = []
     for x in loci:
         copies, pop = x.copies, x.pop if labels is None else labels[x.rows]
-        if scheme == "alleles_global":
+        if md5 and labels is None:
+            # places are individuals in order, so the global scheme leaves the order of populations
+            home = np.arange(len(x.rows)) if scheme == "alleles_within" else np.argsort(x.rows, kind="stable")
+            own = (2 * home[:, None] + np.arange(2)).ravel()
+            names = [f"{m.names[r]}|{c}" for r in x.rows[home].tolist() for c in (0, 1)]
+            moved = own[md5_order(f"{seed}|{rep}|{x.name}", names, x.place if scheme == "alleles_within" else None)]
+            copies = np.empty_like(copies)
+            copies[own] = x.copies[moved]
+        elif scheme == "alleles_global":
             copies = rng.permutation(copies)
         elif scheme == "alleles_within":  # populations stay in order, and fractions mix the copies inside each
             copies = copies[np.argsort(x.place + rng.random(len(x.place)) * 0.999)]
@@ -127,92 +161,189 @@ def one(m: Matrix, loci: list[Locus], rep: int, seed: int, scheme: str) -> list[
     return out
 
 
-def _named(engine: str) -> None:
+def _relational(geno: DataFrame, engine: str) -> bool:
     if engine not in ENGINES:
         raise ValueError(f"engine must be one of {ENGINES}")
+    return engine == "relational" or engine == "auto" and cells(geno) > MAX_CELLS
 
 
 def permute(geno: DataFrame, n: int, seed: int = 1, scheme: str = "labels", engine: str = "kernel") -> DataFrame:
     """``rep, locus, fst, fit, fis, g`` of n permutations.
 
     ``scheme``: population labels over individuals; allele copies within population and locus; or allele copies
-    over all individuals of a locus.  ``engine``: kernel (raises beyond ``MAX_CELLS`` genotypes), relational, or auto by size.
-    The two engines draw differently, so only a named one gives a seed's result at every size.
+    over all individuals of a locus.  ``engine`` as above: kernel is the fastest, auto has one result at every size.
     """
-    _named(engine)
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}")
-    if engine == "relational" or engine == "auto" and cells(geno) > MAX_CELLS:
+    if _relational(geno, engine):
         moved = resample.permute_labels(geno, n, seed) if scheme == "labels" else resample.permute_alleles(geno, n, seed, scheme == "alleles_within")
         c = counts.allele_counts(moved, ["rep"])
         return wc84.observed(c, ["rep"]).join(gstat.g_by_locus(c, ["rep"]), ["rep", "locus"]).select("rep", "locus", "fst", "fit", "fis", "g")
-    spark = geno.sparkSession
+    spark, md5 = geno.sparkSession, engine == "auto"
     shared = spark.sparkContext.broadcast(collect(geno))  # size checked by collect
 
     def run(batches):
         m = shared.value
         loci = prepared(m)
         for pdf in batches:
-            rows = [r for rep in pdf["rep"] for r in one(m, loci, int(rep), seed, scheme)]
+            rows = [r for rep in pdf["rep"] for r in one(m, loci, int(rep), seed, scheme, md5)]
             yield pd.DataFrame(rows, columns=["rep", "locus", "fst", "fit", "fis", "g"])
 
-    tasks = max(1, min(-(-n // REPS_PER_TASK), 10_000))
+    tasks = max(1, min(-(-n // REPS_PER_TASK), MAX_TASKS))
     out = spark.range(1, n + 1, 1, tasks).toDF("rep").mapInPandas(run, "rep long, locus string, fst double, fit double, fis double, g double")
     return out.select("rep", "locus", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("fst", "fit", "fis", "g")])
 
 
+class Pair:
+    """Two loci: G of each population follows from the cells alone, as margins stay under shuffles."""
+
+    def __init__(self, m: Matrix, i: int, j: int, xlogx: np.ndarray):
+        self.n_pops, self.xlogx = m.n_pops, xlogx
+        ok = np.flatnonzero((m.a1[:, i] >= 0) & (m.a1[:, j] >= 0))
+        self.rows = ok[np.argsort(m.pop[ok], kind="stable")]
+        self.pop = m.pop[self.rows].astype(np.int64)
+        (first, k1), (self.second, self.k2) = (self._genotypes(m, v) for v in (i, j))
+        self.cells = k1 * self.k2
+        self.base = (self.pop * k1 + first) * self.k2
+        (r, nr), (c, nc) = self._margin(first, k1), self._margin(self.second, self.k2)
+        self.fixed = xlogx[np.bincount(self.pop, minlength=self.n_pops)] - r - c
+        self.use = (nr > 1) & (nc > 1)
+        self.observed = self.g(self.second)
+
+    def _genotypes(self, m: Matrix, v: int) -> tuple[np.ndarray, int]:
+        a, b = m.a1[self.rows, v].astype(np.int64), m.a2[self.rows, v].astype(np.int64)
+        code = np.unique(np.minimum(a, b) * m.k[v] + np.maximum(a, b), return_inverse=True)[1]
+        return code, int(code.max(initial=0)) + 1
+
+    def _margin(self, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        t = np.bincount(self.pop * k + code, minlength=self.n_pops * k).reshape(self.n_pops, k)
+        return self.xlogx[t].sum(axis=1), (t > 0).sum(axis=1)
+
+    def g(self, second: np.ndarray) -> np.ndarray:
+        t = np.bincount(self.base + second, minlength=self.n_pops * self.cells).reshape(self.n_pops, -1)
+        return 2 * (self.xlogx[t].sum(axis=1) + self.fixed)
+
+
 def ld_p_values(geno: DataFrame, n: int, seed: int = 1, engine: str = "kernel") -> DataFrame:
     """``pop, locus1, locus2, g, p_value``, and All: n - 1 shuffles of the second locus within population, for each pair of loci apart.
 
-    Margins stay under shuffles, so G follows from the cells alone: a count and a table of x ln x for each shuffle.
-    ``engine`` as in ``permute``.
+    Work is dealt by pair and by ``LD_REPS`` shuffles.  ``engine`` as in ``permute``.
     """
-    _named(engine)
-    if engine == "relational" or engine == "auto" and cells(geno) > MAX_CELLS:
+    if _relational(geno, engine):
         from ..plans.resample_queries import ld_p_values as relational
 
         return relational(gstat.locus_pairs(geno), n, seed)
-    spark = geno.sparkSession
+    spark, md5 = geno.sparkSession, engine == "auto"
     m = collect(geno)
-    names = [str(r[0]) for r in geno.select(F.col("pop").cast("string").alias("pop")).distinct().orderBy("pop").collect()]
-    shared = spark.sparkContext.broadcast((m, names))
-    pairs = [(i, j) for i in range(len(m.loci)) for j in range(i + 1, len(m.loci))]
+    shared = spark.sparkContext.broadcast(m)  # size checked by collect
+    first, second = np.triu_indices(len(m.loci), 1)
+    pieces = max(1, -(-(n - 1) // LD_REPS))
 
     def run(batches):
-        m, names = shared.value
+        m = shared.value
         xlogx = np.arange(len(m.pop) + 2, dtype=float)
         xlogx[1:] *= np.log(xlogx[1:])
+        done, pair = -1, None
         for pdf in batches:
-            for i, j in zip(pdf["i"], pdf["j"], strict=True):
-                ok = np.flatnonzero((m.a1[:, i] >= 0) & (m.a1[:, j] >= 0))
-                ok = ok[np.argsort(m.pop[ok], kind="stable")]
-                pop = m.pop[ok].astype(np.int64)
-                code = [np.unique(np.minimum(m.a1[ok, v], m.a2[ok, v]).astype(np.int64) * 4096 + np.maximum(m.a1[ok, v], m.a2[ok, v]), return_inverse=True)[1] for v in (i, j)]
-                k1, k2 = code[0].max(initial=0) + 1, code[1].max(initial=0) + 1
-                base = (pop * k1 + code[0]) * k2
-
-                def margin(c, k):
-                    t = np.bincount(pop * k + c, minlength=m.n_pops * k).reshape(m.n_pops, k)
-                    return xlogx[t].sum(axis=1), (t > 0).sum(axis=1)
-
-                (r, nr), (c, nc) = margin(code[0], k1), margin(code[1], k2)
-                fixed = xlogx[np.bincount(pop, minlength=m.n_pops)] - r - c
-                use = (nr > 1) & (nc > 1)
-
-                def g_of(second):
-                    t = np.bincount(base + second, minlength=m.n_pops * k1 * k2).reshape(m.n_pops, -1)
-                    return 2 * (xlogx[t].sum(axis=1) + fixed)
-
-                obs, hits, all_hits = g_of(code[1]), np.zeros(m.n_pops, np.int64), 0
-                for rep in range(1, n):
-                    rng = np.random.Generator(np.random.Philox(key=[seed, rep * 1_000_003 + i * 1009 + j]))
-                    s = g_of(code[1][np.lexsort((rng.random(len(pop)), pop))])
-                    hits += s >= obs - 1e-9
-                    all_hits += s[use].sum() >= obs[use].sum() - 1e-9
-                rows = [(names[p], m.loci[i], m.loci[j], max(obs[p], 0.0), (hits[p] + 1) / n) for p in np.flatnonzero(use)]
+            rows = []
+            for work in pdf["id"].tolist():
+                number, piece = divmod(work, pieces)
+                i, j = int(first[number]), int(second[number])
+                if number != done:
+                    done, pair = number, Pair(m, i, j, xlogx)
+                use, obs = pair.use, pair.observed
+                hits, all_hits = np.zeros(m.n_pops, np.int64), 0
+                names = [m.names[r] for r in pair.rows] if md5 else []
+                for rep in range(1 + piece * LD_REPS, min(n, 1 + (piece + 1) * LD_REPS)):
+                    if md5:
+                        order = md5_order(f"{seed}|{rep}|{m.loci[i]}|{m.loci[j]}", names, pair.pop)
+                    else:
+                        rng = np.random.Generator(np.random.Philox(key=[seed, number], counter=[0, 0, 0, rep]))
+                        order = np.lexsort((rng.random(len(pair.pop)), pair.pop))
+                    got = pair.g(pair.second[order])
+                    hits += got >= obs - 1e-9
+                    all_hits += got[use].sum() >= obs[use].sum() - 1e-9
+                rows += [(m.pops[p], m.loci[i], m.loci[j], max(float(obs[p]), 0.0), int(hits[p])) for p in np.flatnonzero(use)]
                 if use.any():
-                    rows.append(("All", m.loci[i], m.loci[j], obs[use].sum(), (all_hits + 1) / n))
-                yield pd.DataFrame(rows, columns=["pop", "locus1", "locus2", "g", "p_value"])
+                    rows.append(("All", m.loci[i], m.loci[j], float(obs[use].sum()), int(all_hits)))
+            yield pd.DataFrame(rows, columns=["pop", "locus1", "locus2", "g", "hits"])
+
+    total = len(first) * pieces
+    work = spark.range(0, total, 1, max(1, min(total, MAX_TASKS))).mapInPandas(run, "pop string, locus1 string, locus2 string, g double, hits long")
+    return work.groupBy("pop", "locus1", "locus2").agg(F.max("g").alias("g"), ((F.sum("hits") + 1) / n).alias("p_value"))
+
+
+class PopulationCounts:
+    """By locus, what each population adds to the sums of which variance components are made."""
+
+    def __init__(self, rows: list):
+        self.pops = sorted({r["pop"] for r in rows})
+        at = {p: i for i, p in enumerate(self.pops)}
+        self.loci = {}
+        for locus in sorted({r["locus"] for r in rows}):
+            own = [r for r in rows if r["locus"] == locus]
+            alleles = sorted({r["allele"] for r in own})
+            col = {a: i for i, a in enumerate(alleles)}
+            c, h = np.zeros((len(at), len(col))), np.zeros((len(at), len(col)))
+            for r in own:
+                c[at[r["pop"]], col[r["allele"]]], h[at[r["pop"]], col[r["allele"]]] = r["c"], r["h"]
+            n, het = c.sum(axis=1) / 2, h.sum(axis=1) / 2
+            with np.errstate(divide="ignore", invalid="ignore"):
+                freq = np.where(n[:, None] > 0, c / (2 * n[:, None]), 0.0)
+                unbiased = np.where(n > 1, (1 - (freq**2).sum(axis=1)) * 2 * n / (2 * n - 1), 0.0)
+            self.loci[locus] = np.column_stack([n > 0, n, n * n, het, n > 1, unbiased]), c * freq / 2, c, h, freq
+
+    def draws(self, rep: int, seed) -> np.ndarray:
+        """How often each population is drawn, by the md5 numbers of ``resample.draw``."""
+        k = len(self.pops)
+        return np.bincount([int(hashlib.md5(f"{seed}|{rep}|{slot}".encode()).hexdigest()[:8], 16) % k for slot in range(1, k + 1)], minlength=k)
+
+    def statistics(self, times: np.ndarray) -> list[tuple[str, dict[str, np.ndarray]]]:
+        """For each locus the columns of ``wc84.locus_stats``, an entry for each row of ``times``."""
+        out = []
+        for locus, (sizes, square, c, h, freq) in self.loci.items():
+            r, nt, n2, het, some, unbiased = (times @ sizes).T
+            q, cs, hc, ps = times @ square, times @ c, times @ h, times @ freq
+            with np.errstate(divide="ignore", invalid="ignore"):
+                nbar, nc = nt / r, (nt - n2 / nt) / (r - 1)
+                ok = (r >= 2) & (nt > 1) & (nc > 0) & (nbar > 1)
+                r_, nt_, nbar_, nc_ = (x[:, None] for x in (r, nt, nbar, nc))
+                p, hbar = cs / (2 * nt_), hc / nt_
+                s2 = (q - cs * cs / (4 * nt_)) / ((r_ - 1) * nbar_)
+                inner = p * (1 - p) - (r_ - 1) / r_ * s2
+                a = (nbar_ / nc_ * (s2 - (inner - hbar / 4) / (nbar_ - 1))).sum(axis=1)
+                b = (nbar_ / (nbar_ - 1) * (inner - (2 * nbar_ - 1) / (4 * nbar_) * hbar)).sum(axis=1)
+                w = hbar.sum(axis=1) / 2
+                ok &= a + b + w > 0
+                ht = (1 - ((ps / r_) ** 2).sum(axis=1)) * 2 * nt / (2 * nt - 1)
+                values = {"a": a, "b": b, "c": w, "hi": het / nt, "hs": unbiased / some, "ht": ht}
+            out.append((locus, {k: np.where(ok, v, np.nan) for k, v in values.items()} | {"r": r, "nt": nt}))
+        return out
+
+
+def bootstrap_locus_stats(counts_: DataFrame, n: int, seed: int | str = 1) -> DataFrame:
+    """``wc84.locus_stats`` with ``rep`` over n draws of populations.
+
+    A drawn population counts as often as it was drawn, so each locus is a product of the draws with its populations' sums; no rows are multiplied.
+    Beyond ``MAX_COUNTS`` rows of counts the relational form draws the same.
+    """
+    rows = counts_.select("locus", "pop", "allele", "c", "h").limit(MAX_COUNTS + 1).collect()
+    if len(rows) > MAX_COUNTS or dict(counts_.dtypes)["pop"] not in ("tinyint", "smallint", "int", "bigint", "string"):
+        return wc84.locus_stats(resample.bootstrap_populations(counts_, n, seed), ["rep"])
+    spark = counts_.sparkSession
+    shared = spark.sparkContext.broadcast(PopulationCounts(rows))  # MAX_COUNTS bounds it
+    names = ("a", "b", "c", "hi", "hs", "ht")
 
-    todo = spark.createDataFrame(pairs, "i int, j int").repartition(max(1, min(len(pairs), 10_000)))
-    return todo.mapInPandas(run, "pop string, locus1 string, locus2 string, g double, p_value double")
+    def run(batches):
+        own = shared.value
+        for pdf in batches:
+            reps = pdf["rep"].to_numpy()
+            times = np.array([own.draws(int(rep), seed) for rep in reps], float).reshape(len(reps), -1)
+            for locus, x in own.statistics(times):
+                there = x["nt"] > 0
+                yield pd.DataFrame({"rep": reps[there], "locus": locus, **{k: x[k][there] for k in names}, "r": x["r"][there].astype(np.int64), "nt": x["nt"][there].astype(np.int64)})
+
+    kind = counts_.schema["locus"].dataType.simpleString()
+    tasks = max(1, min(-(-n // (8 * REPS_PER_TASK)), MAX_TASKS))
+    out = spark.range(1, n + 1, 1, tasks).toDF("rep").mapInPandas(run, f"rep long, locus {kind}, " + ", ".join(f"{k} double" for k in names) + ", r long, nt long")
+    return out.select("rep", "locus", *[F.when(~F.isnan(k), F.col(k)).alias(k) for k in names], "r", "nt")

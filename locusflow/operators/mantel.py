@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import average_rank, order_key
+from ..functions.cache import keep
 from .resample import replicates
 
 #: Tolerances of the comparisons with the observed value (fixed values): of correlations and slopes, and of cross products.
@@ -35,7 +36,7 @@ NUMBERED = ("tinyint", "smallint", "int", "bigint", "string")
 def settled(pairs: DataFrame) -> DataFrame:
     """Pairs of populations are used several times by each test, and are few beside what they were made from: up to ``MAX_PAIRS`` of them become a local table, more are cached."""
     rows = pairs.limit(MAX_PAIRS + 1).collect()
-    return pairs.sparkSession.createDataFrame(rows, pairs.schema) if len(rows) <= MAX_PAIRS else pairs.persist()
+    return pairs.sparkSession.createDataFrame(rows, pairs.schema) if len(rows) <= MAX_PAIRS else keep(pairs)
 
 
 class Squares:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import NULL_ALLELES, ratio, ratio_nonzero
+from ..functions.cache import keep
 from . import resample
 
 MAX_ITER, TOLERANCE = 5000, 1e-6
@@ -110,7 +111,7 @@ def em_long(table: DataFrame) -> DataFrame:
 
 def inputs(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sizes by locus and population (ni_raw, ni_ena), and allele rows (na, aa, for raw and ENA, and both frequencies)."""
-    table = table.persist()  # populations x loci; the EM runs once for all that is made of it
+    table = keep(table)  # populations x loci; the EM runs once for all that is made of it
     sizes = table.select("locus", "pop", "rd", F.greatest(F.col("efpop") - F.col("n_absent") - F.col("n_null_homo"), F.lit(0)).alias("ni_raw"), F.greatest(F.col("efpop") - F.col("n_absent"), F.lit(0)).alias("ni_ena"))
     long = em_long(table).withColumn("ni_raw", F.col("efpop") - F.col("n_absent") - F.col("n_null_homo")).withColumn("ni_ena", F.col("efpop") - F.col("n_absent"))
     d = F.col("p") + 2 * F.col("rd")

@@ -2,7 +2,7 @@
 
 Shuffles order rows by md5(seed | replicate | id), draws are md5 numbers modulo the number of
 choices: reproducible on any cluster, whatever the partitioning, and in any
-engine.  A shuffle is a ranking; ``ranked`` takes it apart by the first hex
+engine.  A shuffle is a ranking; where the largest stratum has over ``RANK_ROWS`` rows, ``ranked`` takes it apart by the first hex
 digits of the key, so that no task sorts a whole stratum: ranks within a
 bucket, plus the rows of the buckets before it.
 
@@ -47,6 +47,14 @@ def ranked(df: DataFrame, by: list[str], key: str, tie: list[str], name: str, di
     return b.withColumn("_nth", nth).join(before, [*by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_nth")).drop("_bucket", "_nth", "_before")
 
 
+def _digits(df: DataFrame, by: list[str], digits: int | None) -> int:
+    """As given, else by the size of the largest stratum, which is counted."""
+    if digits is not None:
+        return digits
+    top = (df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")) if by else df.agg(F.count("*"))).first()[0]
+    return digits_for(top or 0)
+
+
 def _hex(x: Column) -> Column:
     """A long of 0 or more as fixed-length hex, in the same order."""
     return F.lower(F.lpad(F.hex(x), 16, "0"))
@@ -56,9 +64,10 @@ def _individuals(geno: DataFrame) -> DataFrame:
     return geno.select("indiv", "pop").distinct()
 
 
-def permute_labels(geno: DataFrame, n: int, seed: int | str = 1, digits: int = 0) -> DataFrame:
+def permute_labels(geno: DataFrame, n: int, seed: int | str = 1, digits: int | None = None) -> DataFrame:
     """Genotypes with population labels shuffled over all individuals, a copy for each replicate."""
     people = _individuals(geno)
+    digits = _digits(people, [], digits)
     places = ranked(people.withColumn("_k", _hex(F.col("indiv"))).withColumn("_one", F.lit(1)), ["_one"], "_k", ["indiv"], "_r", digits).select("_r", "indiv")
     shuffled = people.crossJoin(F.broadcast(replicates(geno, n))).withColumn("_k", order_key(seed, F.col("rep"), F.col("indiv")))
     shuffled = ranked(shuffled, ["rep"], "_k", ["indiv"], "_r", digits).select("rep", "pop", "_r")
@@ -66,7 +75,7 @@ def permute_labels(geno: DataFrame, n: int, seed: int | str = 1, digits: int = 0
     return geno.drop("pop").join(labels, "indiv").select("rep", "indiv", "pop", "locus", "a1", "a2")
 
 
-def permute_alleles(geno: DataFrame, n: int, seed: int | str = 1, within_pop: bool = True, digits: int = 0) -> DataFrame:
+def permute_alleles(geno: DataFrame, n: int, seed: int | str = 1, within_pop: bool = True, digits: int | None = None) -> DataFrame:
     """Genotypes with allele copies shuffled within population and locus (or within locus), a copy for each replicate.
 
     Copies fall on the same places (individuals in order, two each), so genotypes stay where they were.  Only
@@ -74,6 +83,7 @@ def permute_alleles(geno: DataFrame, n: int, seed: int | str = 1, within_pop: bo
     """
     by = ["locus", "pop"] if within_pop else ["locus"]
     ok = geno.filter(valid())
+    digits = _digits(ok, by, digits)
     copies = ok.select("indiv", *(["pop"] if within_pop else []), "locus", F.posexplode(F.array("a1", "a2")).alias("copy", "allele"))
     places = ranked(ok.select("indiv", "pop", "locus").withColumn("_k", _hex(F.col("indiv"))), by, "_k", ["indiv"], "_p", digits)
     shuffled = copies.crossJoin(F.broadcast(replicates(geno, n))).withColumn("_k", order_key(seed, F.col("rep"), F.col("locus"), F.col("indiv"), F.col("copy")))
@@ -102,8 +112,9 @@ def bootstrap_populations(counts: DataFrame, n: int, seed: int | str = 1) -> Dat
     return counts.join(slots, "pop").select("rep", "locus", F.col("slot").alias("pop"), "allele", "c", "h")
 
 
-def bootstrap_individuals(geno: DataFrame, n: int, seed: int | str = 1, digits: int = 0) -> DataFrame:
+def bootstrap_individuals(geno: DataFrame, n: int, seed: int | str = 1, digits: int | None = None) -> DataFrame:
     """Allele counts by replicate of individuals drawn within their population, as many as it has."""
+    digits = _digits(_individuals(geno), ["pop"], digits)
     people = ranked(_individuals(geno).withColumn("_k", _hex(F.col("indiv"))), ["pop"], "_k", ["indiv"], "_r", digits)
     sizes = people.groupBy("pop").agg(F.count("*").alias("_size"))
     slots = people.select("pop", F.col("_r").alias("slot")).join(sizes, "pop").crossJoin(F.broadcast(replicates(geno, n)))
@@ -117,9 +128,10 @@ def bootstrap_loci(rows: DataFrame, n: int, seed: int | str = 1, by: tuple[str,
     return draw(rows, "locus", n, seed).join(rows, "locus")
 
 
-def permute_pairs(pairs: DataFrame, n: int, seed: int | str = 1, digits: int = 0) -> DataFrame:
+def permute_pairs(pairs: DataFrame, n: int, seed: int | str = 1, digits: int | None = None) -> DataFrame:
     """Pairs of genotypes (see ``gstat.locus_pairs``) with the second locus shuffled within population, apart for each pair of loci."""
     by = ["pop", "locus1", "locus2"]
+    digits = _digits(pairs, by, digits)
     places = ranked(pairs.withColumn("_k", _hex(F.col("indiv"))), by, "_k", ["indiv"], "_r", digits).select(*by, "_r", "indiv", "g1")
     moved = pairs.select(*by, "indiv", "g2").crossJoin(F.broadcast(replicates(pairs, n))).withColumn("_k", order_key(seed, F.col("rep"), F.col("locus1"), F.col("locus2"), F.col("indiv")))
     moved = ranked(moved, ["rep", *by], "_k", ["indiv"], "_r", digits).select("rep", *by, "_r", "g2")

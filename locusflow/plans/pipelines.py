@@ -1,6 +1,7 @@
 """Whole analyses: each takes genotypes (``indiv, pop, locus, a1, a2``) and returns the table that a user reads.
 
-Counts, observed, permuted and resampled, are persisted: statistics by locus and over all start from them.
+Counts, observed, permuted and resampled, are cached: statistics by locus and over all start from them.  ``release`` frees them
+when the tables have been read.
 """
 
 from __future__ import annotations
@@ -8,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import counts, diversity, gstat, inference, mantel, nulls, resample, wc84
-from .resample_queries import ld_p_values, locus_bootstrap, with_overall
+from ..functions.cache import keep, release
+from ..operators import counts, diversity, gstat, inference, kernel, mantel, nulls, resample, wc84
+from .resample_queries import locus_bootstrap, with_overall
 
 
 def _overall(df: DataFrame, keys: list[str], value: Column, name: str, id_col: str = "id") -> DataFrame:
@@ -27,8 +29,8 @@ def _assemble(obs: DataFrame, boot: DataFrame, perm: DataFrame, value: str, conf
 
 def fis_by_pop(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False) -> DataFrame:
     """FIS of each population, and Overall: the plain mean over populations (with ``consistent`` the ratio of sums)."""
-    c = counts.allele_counts(geno).persist()
-    perm, boot = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"]).persist(), resample.bootstrap_individuals(geno, n_boot, seed).persist()
+    c = keep(counts.allele_counts(geno))
+    perm, boot = keep(counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"])), keep(resample.bootstrap_individuals(geno, n_boot, seed))
 
     def table(x: DataFrame, keys: list[str]) -> DataFrame:
         own = wc84.fis_by_pop(x, keys).select(*keys, F.col("pop").cast("string").alias("id"), "fis")
@@ -40,8 +42,8 @@ def fis_by_pop(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float =
 
 def fis_by_locus(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
     """FIS of each locus with floor-index intervals over individuals; Overall is the ratio of sums."""
-    c = counts.allele_counts(geno).persist()
-    perm, boot = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"]).persist(), resample.bootstrap_individuals(geno, n_boot, seed).persist()
+    c = keep(counts.allele_counts(geno))
+    perm, boot = keep(counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"])), keep(resample.bootstrap_individuals(geno, n_boot, seed))
 
     def table(x: DataFrame, keys: list[str]) -> DataFrame:
         return wc84.fis_by_locus(x, keys).select(*keys, F.col("locus").alias("id"), "fis").unionByName(wc84.fis_overall(x, keys).select(*keys, F.lit("Overall").alias("id"), "fis"))
@@ -57,34 +59,32 @@ def fis_pop_block(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> D
 
 def fit_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False) -> DataFrame:
     """FIT of each locus, and Overall: observed and permuted as a ratio of sums, resampled as the mean over loci (``consistent``: a ratio too)."""
-    c = counts.allele_counts(geno).persist()
-    perm, boot = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed, within_pop=False), ["rep"]).persist(), resample.bootstrap_populations(c, n_boot, seed)
+    c = keep(counts.allele_counts(geno))
+    perm = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed, within_pop=False), ["rep"])
 
-    def table(x: DataFrame, keys: list[str], mean: bool) -> DataFrame:
-        stats = wc84.locus_stats(x, keys)
+    def table(stats: DataFrame, keys: list[str], mean: bool) -> DataFrame:
         own = wc84.f_statistics(stats).select(*keys, F.col("locus").alias("id"), "fit")
         whole = _overall(own, keys, F.avg("fit"), "fit") if mean else wc84.overall(stats, keys).withColumn("id", F.lit("Overall"))
         return own.unionByName(whole.select(*keys, "id", "fit"))
 
-    return _assemble(table(c, [], False), table(boot, ["rep"], not consistent), table(perm, ["rep"], False), "fit", conf, least=10)
+    perm, boot = keep(wc84.locus_stats(perm, ["rep"])), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
+    return _assemble(table(wc84.locus_stats(c), [], False), table(boot, ["rep"], not consistent), table(perm, ["rep"], False), "fit", conf, least=10)
 
 
 def fst_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
     """FST of each locus and Overall (ratio of sums), intervals over drawn populations, p-values of G under shuffled population labels."""
-    c = counts.allele_counts(geno).persist()
-    perm, boot = counts.allele_counts(resample.permute_labels(geno, n_perm, seed), ["rep"]).persist(), resample.bootstrap_populations(c, n_boot, seed)
+    c = keep(counts.allele_counts(geno))
+    perm, boot = keep(kernel.permute(geno, n_perm, seed, "labels", "auto")), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
 
-    def fst(x: DataFrame, keys: list[str]) -> DataFrame:
-        stats = wc84.locus_stats(x, keys)
+    def fst(stats: DataFrame, keys: list[str]) -> DataFrame:
         return wc84.f_statistics(stats).select(*keys, F.col("locus").alias("id"), "fst").unionByName(wc84.overall(stats, keys).select(*keys, F.lit("Overall").alias("id"), "fst"))
 
-    def g(x: DataFrame, keys: list[str]) -> DataFrame:
-        own = gstat.g_by_locus(x, keys)
+    def g(own: DataFrame, keys: list[str]) -> DataFrame:
         return own.select(*keys, F.col("locus").alias("id"), "g").unionByName(gstat.g_overall(own, keys).select(*keys, F.lit("Overall").alias("id"), "g"))
 
     ci = inference.interval(fst(boot, ["rep"]), ["id"], "fst", conf).select("id", "boot_mean", "boot_median", "ci_l", "ci_u")
-    p = inference.p_values(g(perm, ["rep"]), g(c, []), ["id"], "g").select("id", "p_value")
-    return fst(c, []).withColumnRenamed("fst", "observed").join(ci, "id", "left").join(p, "id", "left")
+    p = inference.p_values(g(perm, ["rep"]), g(gstat.g_by_locus(c), []), ["id"], "g").select("id", "p_value")
+    return fst(wc84.locus_stats(c), []).withColumnRenamed("fst", "observed").join(ci, "id", "left").join(p, "id", "left")
 
 
 def locus_table(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
@@ -93,9 +93,9 @@ def locus_table(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> Dat
 
 def hs_tables(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
     """``unit, statistic, id``, observed, boot_mean, boot_se, ci_l, ci_u: HS over individuals, HS and HT over populations, by locus and Overall."""
-    c = counts.allele_counts(geno).persist()
+    c = keep(counts.allele_counts(geno))
     obs = wc84.locus_stats(c)
-    people, pops = resample.bootstrap_individuals(geno, n_boot, seed), wc84.locus_stats(resample.bootstrap_populations(c, n_boot, seed), ["rep"])
+    people, pops = resample.bootstrap_individuals(geno, n_boot, seed), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
 
     def long(x: DataFrame, keys: list[str], value: str) -> DataFrame:
         own = x.select(*keys, F.col("locus").alias("id"), F.col(value).alias("v"))
@@ -111,7 +111,7 @@ def hs_tables(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> DataF
 
 def ld_matrix(geno: DataFrame, n_perm: int, seed=1) -> DataFrame:
     """p-values of each pair of loci: a column ``p<pop>`` for each population, and ``All``."""
-    p = ld_p_values(gstat.locus_pairs(geno), n_perm, seed)
+    p = kernel.ld_p_values(geno, n_perm, seed, "auto")
     pops = [r["pop"] for r in geno.select(F.col("pop").cast("string").alias("pop")).distinct().orderBy("pop").collect()]  # populations become columns
     name = F.when(F.col("pop") == "All", "All").otherwise(F.concat(F.lit("p"), F.col("pop")))
     return p.withColumn("name", name).groupBy("locus1", "locus2").pivot("name", [*[f"p{x}" for x in pops], "All"]).agg(F.first("p_value"))
@@ -133,7 +133,7 @@ def ld_filtered(matrix: DataFrame, below: float | None = None) -> DataFrame:
 
 def null_alleles(geno: DataFrame, treatments: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a null-allele analysis by name; the EM runs once."""
-    table = nulls.em_table(geno, treatments).persist()
+    table = keep(nulls.em_table(geno, treatments))
     sizes, rows = nulls.inputs(table)
     parts = nulls.paired(sizes, rows, nulls.pairs(geno))
     pair, chord, whole = nulls.pair_components(*parts), nulls.chord(*parts), nulls.both(sizes, rows, ["locus"])
@@ -157,4 +157,4 @@ def summary_scalars(table: DataFrame, alpha: float = 0.05) -> DataFrame:
     return own.agg(F.count("*").alias("n_loci"), (F.count("observed") / F.count("*")).alias("share_defined"), F.sum((F.col("p_value") < alpha).cast("long")).alias("n_significant"), F.avg(F.col("ci_u") - F.col("ci_l")).alias("mean_ci_width"), F.avg(1 - F.col("p_value")).alias("mean_power_proxy"))
 
 
-__all__ = ["fis_by_pop", "fis_by_locus", "fis_pop_block", "fit_analysis", "fst_analysis", "locus_table", "hs_tables", "ld_matrix", "ld_summary", "ld_filtered", "null_alleles", "null_summary", "filter_pairs", "summary_scalars", "diversity", "mantel"]
+__all__ = ["fis_by_pop", "fis_by_locus", "fis_pop_block", "fit_analysis", "fst_analysis", "locus_table", "hs_tables", "ld_matrix", "ld_summary", "ld_filtered", "null_alleles", "null_summary", "filter_pairs", "summary_scalars", "diversity", "mantel", "release"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import base_queries, full_queries, null_queries, resample_queries, table_queries
+from . import base_queries, full_queries, null_queries, resample_queries, source_queries, table_queries
 
-MODULES = [base_queries, resample_queries, null_queries, table_queries, full_queries]
+MODULES = [base_queries, resample_queries, null_queries, table_queries, source_queries, full_queries]
 
 
 def queries() -> dict:

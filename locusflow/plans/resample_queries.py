@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import r8
-from ..operators import counts, diversity, gstat, inference, resample, wc84
+from ..operators import counts, diversity, gstat, inference, kernel, resample, wc84
 from . import oracle
 from .base_queries import COMPLETE, F_COLS, PAIRS, WC, ld_sql, rounded
 from .fixtures import genotypes
@@ -130,8 +130,7 @@ def ld_p_values(pairs, n: int, seed):
 
 
 def boot_pop_fst(s, d, n=B):
-    c = _pops(s, d, n=n)
-    stats = wc84.locus_stats(c, ["rep"])
+    stats = kernel.bootstrap_locus_stats(_c(s, d), n, SEED)
     return rounded(with_overall(wc84.f_statistics(stats), wc84.overall(stats, ["rep"]), "fst", "hs", "ht"), "fst", "hs", "ht")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import counts
+from ..operators import counts, kernel
 from ..sources import ingest, params
 from . import oracle, pipelines
 from .base_queries import PAIRS, WC, ld_sql, rounded
@@ -162,22 +162,24 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
-def perm_kernel(s, d):
-    """5000 permutations by the numpy engine: the mean of each statistic by locus and scheme (not what SQL draws)."""
-    from ..operators import kernel
-
+def perm_kernel(s, d, n=B):
+    """Permutations of all three schemes by the numpy engine, which draws as SQL does."""
     out = None
     for scheme in kernel.SCHEMES:
-        x = kernel.permute(genotypes(s, d), 5000, SEED, scheme, "auto").groupBy("locus").agg(*[F.avg(c).alias(c) for c in ("fst", "fit", "fis", "g")], F.count("*").alias("n")).withColumn("scheme", F.lit(scheme))
+        x = kernel.permute(genotypes(s, d), n, SEED, scheme, "auto").withColumn("scheme", F.lit(scheme))
         out = x if out is None else out.unionByName(x)
-    return out
+    return rounded(out, "fst", "fit", "fis", "g")
+
 
+def ld_kernel(s, d, n=B):
+    """Linkage by the numpy engine, which draws as SQL does."""
+    return rounded(kernel.ld_p_values(genotypes(s, d), n, SEED, "auto"), "g", "p_value")
 
-def ld_kernel(s, d):
-    """LD p-values of 1000 shuffles by the numpy engine, or by relational shuffles where the genotypes are too many for it."""
-    from ..operators import kernel
 
-    return kernel.ld_p_values(genotypes(s, d), 1000, SEED, "auto")
+_KERNEL = "SELECT '{}' AS scheme, rep, locus, R(fst) AS fst, R(fit) AS fit, R(fis) AS fis, R(g) AS g FROM r_f JOIN r_g USING (rep, locus)"
+_MOVES = {"labels": labels_sql(), "alleles_within": alleles_sql(), "alleles_global": alleles_sql(False)}
+_ORACLE["perm_kernel"] = " UNION ALL ".join(f"SELECT * FROM ({q(move, oracle.counts('prm', REP, 'r_'), oracle.components(REP, 'r_'), oracle.g_sql(REP, 'r_'), _KERNEL.format(scheme))})" for scheme, move in _MOVES.items())
+_ORACLE["ld_kernel"] = _LDP
 
 
 _QUERIES += [perm_kernel, ld_kernel]

@@ -37,8 +37,9 @@ class Params:
 class Store:
     """Settings kept in a table of keys and JSON values; there are few, so a change writes the table anew, as a version of its own that readers see whole."""
 
-    def __init__(self, spark: SparkSession, name: str = "params"):
-        self.spark, self.name = spark, name
+    def __init__(self, spark: SparkSession, name: str = "params", path: str | None = None):
+        """``path`` is where the table's files go, if not to the warehouse."""
+        self.spark, self.name, self.path = spark, name, path
 
     def all(self) -> dict:
         """Every key with its value; none where there is no table."""
@@ -66,4 +67,4 @@ class Store:
 
     def _write(self, values: dict) -> None:
         rows = [(k, json.dumps(v)) for k, v in sorted(values.items())]
-        self.spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").saveAsTable(self.name)
+        self.spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").options(**({"path": self.path} if self.path else {})).saveAsTable(self.name)
