@@ -292,7 +292,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL,
     share = F.when(F.col("label") == 1, F.lit(per_label / max(n.get(1, 0), 1))).otherwise(F.lit(per_label / max(n.get(0, 0), 1)))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("toxic sample"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     own = docs.filter(F.octet_length("text") <= max_bytes)
-    own = own.join(chosen, "doc_id").groupBy("text").agg(F.max("label").alias("label"))
+    few = chosen.limit(4 * per_label + 1).count() <= 4 * per_label  # about 2 * per_label; beyond that, texts are dealt by id
+    own = own.join(F.broadcast(chosen) if few else chosen, "doc_id").groupBy("text").agg(F.max("label").alias("label"))
     return own.withColumn("key", F.xxhash64("text"))
 
 
