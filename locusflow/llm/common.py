@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..sources.folders import delete, shared_folder  # noqa: F401
+
 #: A word is a maximal run outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    Where the session has none (tests on one machine), a temporary folder is set.
-    """
+    """Cuts lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names (a temporary one for a local master without it)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -44,11 +41,6 @@ def spare(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: that of ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-
-
 def extended(schema: StructType, **added: str) -> StructType:
     """A copy of the schema with more fields (``StructType.add`` would change the DataFrame's own)."""
     return StructType([*schema.fields, *_parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in added.items())).fields])

@@ -119,14 +119,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     The sample is the documents whose hashed id falls below the share per_lang / n of
     the language's n documents, so it is bounded whatever the size of the input, and
-    whole texts are learned.  Null langs take no part.
+    whole texts are learned.  Null langs take no part; rows without an id are chosen by the hash of their text.
     """
     two = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     share = {r["lang"]: per_lang / r["n"] for r in two.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not share:
         return [], np.zeros((0, dim))
     limit = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(min(v, 1.0)))])[F.col("lang")]
-    sample = two.filter(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_000)) < limit * 1_000_000)
+    sample = two.filter(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(1_000_000)) < limit * 1_000_000)
     # at most one row for each language and task of a bounded sample
     rows = sample.mapInArrow(partial(_profiles, text="text", lang="lang", dim=dim, seed=seed), "lang string, v array<double>")
     rows = rows.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()

@@ -5,8 +5,8 @@ global histogram of piece lengths has ``max_len`` rows at most.  Dynamic
 programming over it chooses the bucket boundaries with the least total padding
 when every piece is padded to the boundary of its bucket.  Inside a bucket,
 batches hold ``token_budget // boundary`` pieces each; all but the last of a
-bucket are full.  Places are dealt without gathering a bucket: pieces are numbered
-within hashed shards, and shards get offsets from their counts.
+bucket are full.  Places are dealt without gathering a bucket: rows are written with a number of their own, pieces are numbered
+within shards of these numbers (so no id makes a shard large), and shards get offsets from their counts.
 """
 
 from __future__ import annotations
@@ -65,12 +65,12 @@ def word_count(text):
 
 
 def pieces(docs: DataFrame, id_col: str, length, max_len: int = MAX_LEN) -> DataFrame:
-    """``doc_id, piece, start, n_tokens``: documents cut at max_len.  Lengths that are null or 0 or less give one piece of length 0."""
-    own = docs.select(docs[id_col].alias("doc_id"), F.greatest(F.coalesce(length, F.lit(0)).cast("long"), F.lit(0).cast("long")).alias("n"))
+    """``doc_id, row, piece, start, n_tokens``: documents cut at max_len; ``row`` numbers the rows, and is only fixed once written.  Lengths that are null or 0 or less give one piece of length 0."""
+    own = docs.select(docs[id_col].alias("doc_id"), F.greatest(F.coalesce(length, F.lit(0)).cast("long"), F.lit(0).cast("long")).alias("n"), F.monotonically_increasing_id().alias("row"))
     last = F.greatest(F.ceil(F.col("n") / max_len), F.lit(1)) - 1
-    cut = own.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
+    cut = own.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
     start = F.col("piece") * max_len
-    return cut.select("doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(max_len)).cast("long").alias("n_tokens"))
+    return cut.select("doc_id", "row", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(max_len)).cast("long").alias("n_tokens"))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", length=None, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
@@ -92,11 +92,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text",
     for i in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= ends[i], F.lit(i)).otherwise(bucket)
     size = F.element_at(F.array(*[F.lit(e) for e in ends] or [F.lit(0)]), F.col("bucket") + 1).cast("long")
-    placed = cut.withColumn("bucket", bucket).withColumn("bucket_len", size).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    placed = cut.withColumn("bucket", bucket).withColumn("bucket_len", size).withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
     count = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each SHARD_ROWS pieces
     count = count.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece")) - 1
+    nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("row", "piece")) - 1
     index = F.col("before") + F.col("nth")
     room = F.greatest(F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_len"), F.lit(1))), F.lit(1)).cast("long")
     return (

@@ -48,7 +48,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(tokens.lengths(table(spark, sf_dir, "documents")), length=F.col("n"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Token counts by offset-mapped attribution.
 
 A document's fields are joined and encoded once, as a whole.  Each token's
-byte span follows from the lengths of the tokens; sections (or
+span follows from the lengths of the tokens; sections (or
 fields) are spans too, and both are sorted, so their interval join is two
-binary searches.  A token that crosses a boundary goes by an explicit rule:
-
-* ``start``: to the section that holds its first byte,
-* ``end``: to the section that holds its last byte,
-* ``most``: to the section with most of its bytes, the first of equals,
-* ``share``: to all of its sections, in proportion to bytes.
+binary searches.  A token has a character span where it is whole characters; one that ends inside a
+character has that part of it, so offsets are exact to the byte inside, and results are in characters.
+A token that crosses a boundary goes by an explicit rule:
+
+* ``start``: to the section that holds its beginning,
+* ``end``: to the section that holds its end,
+* ``most``: to the section with most of it, the first of equals,
+* ``share``: to all of its sections, in proportion.
 """
 
 from __future__ import annotations
@@ -92,14 +94,21 @@ def line_ends(text: str) -> np.ndarray:
     return ends if len(ends) and ends[-1] == len(raw) else np.append(ends, len(raw))
 
 
+def characters(text: str) -> np.ndarray:
+    """The characters that begin before each byte, and after the last."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+
+
 def _count(batches, ids: str, fields: list[str], lines: bool, file: str, rule: str):
     own = encoder(file)
-    for part in slices(batches, fields[0]):
+    for part in slices(batches, *fields):
         columns = [part.column(f).to_pylist() for f in fields]
         docs, name, section, start, end, n = [], [], [], [], [], []
         for i, values in enumerate(zip(*columns, strict=True)):
             texts = [v or "" for v in values]
-            token_ends = own.ends("".join(texts))
+            whole = "".join(texts)
+            token_ends = own.ends(whole)
             spans, at = [], 0
             for f, text in zip(fields, texts, strict=True):
                 ends = line_ends(text) if lines else np.array([len(text.encode())])
@@ -111,8 +120,9 @@ def _count(batches, ids: str, fields: list[str], lines: bool, file: str, rule: s
             for f, e in spans:
                 name += [f] * len(e)
                 section += range(len(e))
-            start += [0, *every[:-1].tolist()]
-            end += every.tolist()
+            at = characters(whole)[every].tolist()  # sections begin and end between characters
+            start += [0, *at[:-1]]
+            end += at
             n += counts.tolist()
         yield pa.RecordBatch.from_arrays([part.column(ids).take(pa.array(docs, pa.int64())), pa.array(name, pa.string()), pa.array(section, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.float64())], names=["doc_id", "field", "section", "start", "end", "n_tokens"])
 
@@ -120,7 +130,7 @@ def _count(batches, ids: str, fields: list[str], lines: bool, file: str, rule: s
 def token_counts(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("text",), lines: bool = True, rule: str = RULE, ranks: str = RANKS) -> DataFrame:
     """``doc_id, field, section, start, end, n_tokens``: a row for each line (or field) of each row of ``docs``.
 
-    ``start`` and ``end`` are byte offsets in the joined fields.  A null field is an empty one and has one empty section
+    ``start`` and ``end`` are character offsets in the joined fields.  A null field is an empty one and has one empty section
     with 0 tokens.  The counts of a row add up to the tokens of its whole text.  Repeated rows each have their own rows;
     other columns are not read; no shuffle.
     """
@@ -135,6 +145,20 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...
     return out.withColumn("field", names[F.col("field")])
 
 
+def _lengths(batches, file: str):
+    own = encoder(file).encoding
+    for part in slices(batches, "text"):
+        n = [len(own.encode_ordinary(t or "")) for t in part.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n"])
+
+
+def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
+    """``doc_id, n``: the tokens of each row's whole text (null: none); no shuffle."""
+    file = ship(docs.sparkSession, ranks)
+    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return own.mapInArrow(partial(_lengths, file=file), f"doc_id {dict(own.dtypes)['doc_id']}, n long")
+
+
 def totals(counts: DataFrame) -> DataFrame:
     """``field, n_sections, n_tokens`` over all documents."""
     return counts.groupBy("field").agg(F.count("*").alias("n_sections"), F.sum("n_tokens").alias("n_tokens"))

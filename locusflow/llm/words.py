@@ -62,13 +62,13 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(batches, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches, *texts: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows with at most ``limit`` bytes of text (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(size.astype(np.int64) + 64)
+        size = sum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(t))), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts)
+        ends = np.cumsum(size + 64)
         at, n = 0, batch.num_rows
         while at < n:
             upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right"))

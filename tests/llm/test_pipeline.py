@@ -1,8 +1,10 @@
+import os
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.llm import packing, quality
+from locusflow.llm import packing, quality, tokens
 
 
 def test_stages_in_order():
@@ -21,7 +23,7 @@ def test_each_stage_works_on_what_is_left(spark, docs, tmp_path):
             assert 0 < new.count() <= before
             seen.append(new.count())
         else:
-            want = {(r.doc_id, len((r.text or "").encode().split())) for r in now.collect()}
+            want = {(r.doc_id, r.n) for r in tokens.lengths(now).collect()}
             got = new.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
             assert {(r.doc_id, r.n) for r in got} == want
         now, before = new, new.count()
@@ -46,3 +48,5 @@ def test_run(spark, docs, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert set(got.columns) == {"doc_id", "piece", "start", "n_tokens", "bucket", "bucket_len", "batch", "slot"}
     assert got.agg(F.max("n_tokens")).first()[0] <= packing.MAX_LEN
+    kept = {f.rsplit("/", 2)[-2] for f in got.inputFiles()}
+    assert kept == {"packing"} and len(os.listdir(os.path.dirname(os.path.dirname(got.inputFiles()[0].removeprefix("file://"))))) == 1

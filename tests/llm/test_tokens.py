@@ -2,10 +2,12 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from locusflow.llm import tokens
+from locusflow.llm.words import slices
 
 pytestmark = pytest.mark.skipif(not os.path.exists(tokens.RANKS), reason="no vocabulary file")
 
@@ -66,6 +68,23 @@ def test_counts_add_up(docs, empty, encoder, rule):
     assert tokens.token_counts(empty).count() == 0
 
 
+def test_offsets_are_characters(spark):
+    text = "日本語\nnaïve 😀\n\nend"
+    got = tokens.token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("section").collect()
+    assert [text[r.start : r.end] for r in got] == ["日本語\n", "naïve 😀\n", "\n", "end"]
+
+
+def test_lengths(docs, encoder):
+    got = sorted((str(r.doc_id), r.n) for r in tokens.lengths(docs).collect())
+    assert got == sorted((str(r.doc_id), len(encoder.encoding.encode_ordinary(r.text or ""))) for r in docs.collect())
+
+
+def test_batches_are_bounded_by_all_fields():
+    batch = pa.RecordBatch.from_pydict({"a": ["x"] * 8, "b": ["y" * 1000] * 8, "c": pa.array([None] * 8, pa.string())})
+    assert [p.num_rows for p in slices([batch], "a", "b", "c", limit=2200)] == [2, 2, 2, 2]
+    assert [p.num_rows for p in slices([batch], "a", limit=2200)] == [8]
+
+
 def test_fields(spark):
     rows = [(1, "a title", "and the bo"), (2, None, "dy"), (3, "", None)]
     got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, title string, body string"), fields=("title", "body"), lines=False)
