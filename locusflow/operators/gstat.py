@@ -30,24 +30,27 @@ def g_overall(g: DataFrame, keys: Keys = ()) -> DataFrame:
     return g.groupBy(*keys).agg(F.sum("g").alias("g"))
 
 
-def normalised(geno: DataFrame) -> DataFrame:
-    """``indiv, pop, locus, g``: valid genotypes as text, the lesser allele first."""
+def normalised(geno: DataFrame, missing: bool = False) -> DataFrame:
+    """``indiv, pop, locus, g``: valid genotypes as text, the lesser allele first; with ``missing`` the others as ``0/0``."""
+    if missing:
+        g = F.when(valid(), F.concat_ws("/", F.least("a1", "a2"), F.greatest("a1", "a2"))).otherwise("0/0")
+        return geno.select("indiv", "pop", "locus", g.alias("g"))
     return geno.filter(valid()).select("indiv", "pop", "locus", F.concat_ws("/", F.least("a1", "a2"), F.greatest("a1", "a2")).alias("g"))
 
 
-def locus_pairs(geno: DataFrame) -> DataFrame:
-    """``indiv, pop, locus1, locus2, g1, g2`` for each pair of loci (in name order) that an individual has both of.
+def locus_pairs(geno: DataFrame, missing: bool = False) -> DataFrame:
+    """``indiv, pop, locus1, locus2, g1, g2`` for each pair of loci (in name order) that an individual has both of; with ``missing`` a missing genotype is one as any other.
 
     One aggregation gathers an individual's loci, so each genotype moves once and not once a pair.
     """
-    own = normalised(geno).groupBy("indiv", "pop").agg(F.sort_array(F.collect_list(F.struct("locus", "g"))).alias("x"))
+    own = normalised(geno, missing).groupBy("indiv", "pop").agg(F.sort_array(F.collect_list(F.struct("locus", "g"))).alias("x"))
     left = own.select("indiv", "pop", "x", F.posexplode("x").alias("i", "one"))
     both = left.select("indiv", "pop", "one", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("two"))
     return both.select("indiv", "pop", F.col("one.locus").alias("locus1"), F.col("two.locus").alias("locus2"), F.col("one.g").alias("g1"), F.col("two.g").alias("g2"))
 
 
-def ld_g(pairs: DataFrame, keys: Keys = ()) -> DataFrame:
-    """``pop, locus1, locus2, n, g``: the G statistic of genotype tables; rows only where a table has two rows, columns and cells at least."""
+def ld_g(pairs: DataFrame, keys: Keys = (), every: bool = False) -> DataFrame:
+    """``pop, locus1, locus2, n, g``: the G statistic of genotype tables; rows only where a table has two rows, columns and cells at least, or of ``every`` table (0 for the others)."""
     by = [*keys, "pop", "locus1", "locus2"]
     ln = lambda c: F.sum(F.col(c) * F.log(c))
     cells = pairs.groupBy(*by, "g1", "g2").agg(F.count("*").cast("double").alias("o"))
@@ -57,7 +60,8 @@ def ld_g(pairs: DataFrame, keys: Keys = ()) -> DataFrame:
     same = ("rl", "rows", "n", "ol", "cells")
     columns = whole.withColumn("cells", F.size("x")).select(*by, *same, F.explode("x").alias("s")).groupBy(*by, F.col("s.g2").alias("g2")).agg(F.sum("s.o").alias("m"), *[F.first(v).alias(v) for v in same])
     x = columns.groupBy(*by).agg(ln("m").alias("cl"), F.count("*").alias("columns"), *[F.first(v).alias(v) for v in same])
-    x = x.filter((F.col("rows") > 1) & (F.col("columns") > 1) & (F.col("cells") > 1) & (F.col("n") >= 2))
+    if not every:
+        x = x.filter((F.col("rows") > 1) & (F.col("columns") > 1) & (F.col("cells") > 1) & (F.col("n") >= 2))
     g = 2 * (F.col("ol") - F.col("rl") - F.col("cl") + F.col("n") * F.log("n"))
     return x.select(*by, F.col("n").cast("long").alias("n"), F.when(F.abs(g) < 1e-9, 0.0).otherwise(g).alias("g"))
 

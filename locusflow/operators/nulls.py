@@ -271,6 +271,22 @@ def bootstrap_loci_chord(d: DataFrame, n: int, seed) -> DataFrame:
     return chord_pooled(resample.bootstrap_loci(d, n, seed), ("rep", "pop1", "pop2"))
 
 
+def shared_intervals(whole: DataFrame, pair: DataFrame, chords: DataFrame, n: int, seed, conf: float = 0.95) -> DataFrame:
+    """``statistic, pop1, pop2, ci_l, ci_u``: FST over all (no populations), FST and chord distances of pairs, raw and corrected, from one draw of loci a replicate.
+
+    Replicates without a value are passed over; under two with one, intervals are null.
+    """
+    long = lambda x, names, *keys: x.select("rep", *(keys or [F.lit(None).cast(pair.schema["pop1"].dataType).alias(k) for k in ("pop1", "pop2")]), F.explode(F.array(*[F.struct(F.lit(v).alias("statistic"), F.col(v).alias("v")) for v in names])).alias("s")).select("rep", "pop1", "pop2", "s.*")
+    loci = whole.select("locus").union(pair.select("locus")).union(chords.select("locus")).distinct()
+    draws = resample.draw(loci, "locus", n, seed)
+    fst, dcse = ("fst_raw", "fst_ena"), ("dcse_raw", "dcse_ina")
+    every = long(fst_pooled(draws.join(whole, "locus"), ["rep"]), [*fst])
+    pairs_ = long(fst_pooled(draws.join(pair, "locus"), ["rep", "pop1", "pop2"]), [*fst], "pop1", "pop2")
+    apart = long(chord_pooled(draws.join(chords, "locus"), ("rep", "pop1", "pop2")), [*dcse], "pop1", "pop2")
+    ends = [F.when(F.count("v") >= 2, F.percentile("v", F.lit(p))) for p in ((1 - conf) / 2, 1 - (1 - conf) / 2)]
+    return every.unionByName(pairs_).unionByName(apart).groupBy("statistic", "pop1", "pop2").agg(ends[0].alias("ci_l"), ends[1].alias("ci_u"))
+
+
 def bootstrap_subsamples(sizes: DataFrame, rows: DataFrame, n: int, seed) -> DataFrame:
     """Components by replicate and locus over drawn populations (those with genotypes count); pool them with ``fst_pooled``."""
     slots = resample.draw(sizes, "pop", n, seed)

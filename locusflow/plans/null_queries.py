@@ -97,6 +97,12 @@ def boot_loci_dcse(s, d, n=B):
     return _ci(nulls.bootstrap_loci_chord(nulls.chord(*_pairs(s, d)), n, SEED), ["pop1", "pop2"], ("dcse_raw", "dcse_ina"))
 
 
+def boot_loci_shared(s, d, n=B):
+    """Intervals of all statistics from one draw of loci a replicate."""
+    x = nulls.shared_intervals(nulls.both(*_inputs(s, d), ["locus"]), nulls.pair_components(*_pairs(s, d)), nulls.chord(*_pairs(s, d)), n, SEED, 1 - ALPHA)
+    return x.select("statistic", "pop1", "pop2", F.round("ci_l", 6).alias("ci_l"), F.round("ci_u", 6).alias("ci_u"))
+
+
 def boot_subs_ena(s, d):
     """FST by replicate over drawn populations."""
     return nulls.fst_pooled(nulls.bootstrap_subsamples(*_inputs(s, d), B, SEED), ["rep"]).select("rep", *[F.round(c, 6).alias(c) for c in ("fst_raw", "fst_ena")])
@@ -182,7 +188,7 @@ def mantel_null_quantiles(s, d, n=B):
     return rounded(inference.null_quantiles(mantel.null_distribution(x, n, SEED).crossJoin(obs), "s", F.col("o")), "value")
 
 
-_SPARK = {f.__name__: f for f in (null_em, null_treatments, null_t1, null_t2, fst_global_ena, fst_locus_ena, fst_pair, fst_locus_pair, dcse_pair, dcse_locus_pair, boot_loci_ena, boot_loci_pair, boot_loci_dcse, boot_subs_ena, centroids, map_points, vincenty, ibd_table, ibd_regression, ibd_external, pair_exclusion, partial_mantel, mrm_correlations, mantel_null_quantiles)}
+_SPARK = {f.__name__: f for f in (null_em, null_treatments, null_t1, null_t2, fst_global_ena, fst_locus_ena, fst_pair, fst_locus_pair, dcse_pair, dcse_locus_pair, boot_loci_ena, boot_loci_pair, boot_loci_dcse, boot_loci_shared, boot_subs_ena, centroids, map_points, vincenty, ibd_table, ibd_regression, ibd_external, pair_exclusion, partial_mantel, mrm_correlations, mantel_null_quantiles)}
 _SPARK |= {"mantel_plus1": _mantel("r"), "mantel_plain": _mantel("r", False), "mantel_cross": _mantel("cross"), "mantel_slope": _mantel("b"), "mantel_spearman": _mantel("spearman"), "mrm": _mrm(False), "mrm_standardized": _mrm(True)}
 
 # -- SQL ---------------------------------------------------------------------------------
@@ -324,6 +330,13 @@ _ORACLE = {
 }
 
 
+_ORACLE["boot_loci_shared"] = " UNION ALL ".join(
+    f"SELECT '{v}' AS statistic, {pops}, {v}_lo AS ci_l, {v}_hi AS ci_u FROM ({_ORACLE[src]})"
+    for src, pops, names in (("boot_loci_ena", "NULL::INT AS pop1, NULL::INT AS pop2", ("fst_raw", "fst_ena")), ("boot_loci_pair", "pop1, pop2", ("fst_raw", "fst_ena")), ("boot_loci_dcse", "pop1, pop2", ("dcse_raw", "dcse_ina")))
+    for v in names
+)
+
+
 def queries() -> dict:
     return dict(_SPARK)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import r8
@@ -129,6 +131,27 @@ def ld_p_values(pairs, n: int, seed):
     return o.join(p, ["pop", *both], "left").groupBy("pop", *both, "g").agg(((F.sum(F.coalesce((F.col("gp") >= F.col("g") - 1e-9).cast("long"), F.lit(0))) + 1) / n).alias("p_value"))
 
 
+def ld_pooled_p(pairs, n: int, seed):
+    """``pop, locus1, locus2, g, p_value``: the share of n shuffles with at least the observed G, by population; and Global, where shuffles of all populations meet the mean of their observed values."""
+    obs, perm = gstat.ld_g(pairs, every=True), gstat.ld_g(resample.permute_pairs(pairs, n, seed), ["rep"], every=True)
+    both = ["locus1", "locus2"]
+    sim = perm.select("pop", *both, F.col("g").alias("gp"))
+    share = F.avg((F.col("gp") >= F.col("g") - 1e-10).cast("double")).alias("p_value")
+    own = obs.select("pop", *both, "g").join(sim, ["pop", *both]).groupBy("pop", *both, "g").agg(share)
+    # values that differ by rounding alone are equal here too
+    whole = obs.groupBy(*both).agg(F.avg("g").alias("g")).join(sim.drop("pop"), both).groupBy(*both, "g").agg(share)
+    return own.withColumn("pop", F.col("pop").cast("string")).unionByName(whole.withColumn("pop", F.lit("Global")))
+
+
+def ld_pooled(s, d, n=B):
+    return rounded(ld_pooled_p(gstat.locus_pairs(_g(s, d)), n, SEED), "g", "p_value")
+
+
+def ld_pooled_missing(s, d, n=B):
+    """Missing genotypes count as genotypes."""
+    return rounded(ld_pooled_p(gstat.locus_pairs(_g(s, d), missing=True), n, SEED), "g", "p_value")
+
+
 def boot_pop_fst(s, d, n=B):
     stats = kernel.bootstrap_locus_stats(_c(s, d), n, SEED)
     return rounded(with_overall(wc84.f_statistics(stats), wc84.overall(stats, ["rep"]), "fst", "hs", "ht"), "fst", "hs", "ht")
@@ -195,7 +218,7 @@ def ci_floor(s, d, n=B):
     return rounded(x.select("locus", "boot_mean", "ci_l", "ci_u", "n"), "boot_mean", "ci_l", "ci_u")
 
 
-_QUERIES = [perm_fst_labels, perm_fst_p, perm_within_pop, perm_fis, perm_fis_by_pop, perm_fis_grid, perm_fit_global, perm_hi_hs_centered, gtest_perm, ld_perm, boot_pop_fst, boot_pop_fis, boot_pop_fit, boot_pop_fit_ci, boot_indiv_hs, boot_indiv_fis, boot_indiv_fis_by_pop, boot_indiv_hs_per_pop, boot_loci, ci_type7, ci_floor]
+_QUERIES = [perm_fst_labels, perm_fst_p, perm_within_pop, perm_fis, perm_fis_by_pop, perm_fis_grid, perm_fit_global, perm_hi_hs_centered, gtest_perm, ld_perm, ld_pooled, ld_pooled_missing, boot_pop_fst, boot_pop_fis, boot_pop_fit, boot_pop_fit_ci, boot_indiv_hs, boot_indiv_fis, boot_indiv_fis_by_pop, boot_indiv_hs_per_pop, boot_loci, ci_type7, ci_floor]
 
 # -- SQL ---------------------------------------------------------------------------
 
@@ -272,6 +295,19 @@ bo AS (SELECT rep, sum(a) / sum(a + b + c) AS fst, sum(a + b) / sum(a + b + c) A
 }
 
 
+def _ld_pooled_sql(source: str) -> str:
+    every = " WHERE n >= 2 AND cells > 1 AND r1 > 1 AND r2 > 1"
+    apart = lambda sql: re.sub(r"\b(ce|lr|lc|lt|ld)\b", r"\1_", sql)
+    moved = f"mv AS (SELECT rep, pop, locus1, locus2, g2, row_number() OVER (PARTITION BY rep, pop, locus1, locus2 ORDER BY md5(concat_ws('|', '{SEED}', rep, locus1, locus2, indiv)), indiv) AS r FROM prs, range(1, {B + 1}) t(rep)), pk2 AS (SELECT *, row_number() OVER (PARTITION BY pop, locus1, locus2 ORDER BY indiv) AS r FROM prs), prp AS (SELECT rep, pop, locus1, locus2, g1, mv.g2 FROM pk2 JOIN mv USING (pop, locus1, locus2, r))"
+    own = "SELECT pop::VARCHAR AS pop, locus1, locus2, R(o.g) AS g, R(avg((x.g >= o.g - 1e-10)::INT)) AS p_value FROM ld o JOIN ld_ x USING (pop, locus1, locus2) GROUP BY pop, locus1, locus2, o.g"
+    whole = "SELECT 'Global', locus1, locus2, R(o.g), R(avg((x.g >= o.g - 1e-10)::INT)) FROM (SELECT locus1, locus2, avg(g) AS g FROM ld GROUP BY ALL) o JOIN ld_ x USING (locus1, locus2) GROUP BY locus1, locus2, o.g"
+    return q(source, ld_sql().replace(every, ""), moved, apart(ld_sql("prp", REP).replace(every, "")), f"{own} UNION ALL {whole}")
+
+
+_ORACLE["ld_pooled"] = _ld_pooled_sql(PAIRS)
+_ORACLE["ld_pooled_missing"] = _ld_pooled_sql(PAIRS.replace("least(a1, a2) || '/' || greatest(a1, a2) AS g FROM valid", "CASE WHEN a1 > 0 AND a2 > 0 THEN least(a1, a2) || '/' || greatest(a1, a2) ELSE '0/0' END AS g FROM geno"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in _QUERIES}
 
