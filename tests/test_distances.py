@@ -123,11 +123,30 @@ def test_partial_mantel_and_mrm(pairs):
     assert {(r.a, r.b): r.r for r in mantel.correlations(df, ["x", "y"]).collect()}["x", "y"] == pytest.approx(c[0, 1])
 
 
+def test_matrices_and_joins_permute_alike(pairs, monkeypatch):
+    """Null distributions from matrices equal those of renamed rows, with holes too."""
+    df, _ = pairs
+    holes = df.withColumn("y", F.when((F.col("pop1") == "p0") & (F.col("pop2") == "p1"), F.lit(None)).otherwise(F.col("y")))
+
+    def all_tests(x):
+        out = [mantel.mantel(x, "x", "y", 30, 7, k).collect()[0] for k in ("r", "b", "cross", "spearman")]
+        out.append(mantel.partial_mantel(x, "x", "y", "z", 30, 7).collect()[0])
+        return [*out, *mantel.mrm(x, "y", ["x", "z"], 30, 7).orderBy("term").collect()], mantel.null_distribution(x, 30, 7).orderBy("rep").collect()
+
+    fast, null = all_tests(holes)
+    monkeypatch.setattr(mantel, "MAX_PAIRS", 0)
+    slow, other = all_tests(holes)
+    assert [tuple(r) for r in fast] == [pytest.approx(tuple(r)) if not isinstance(r[0], str) else (r[0], *[pytest.approx(v) for v in r[1:]]) for r in slow]
+    assert [r.s for r in null] == pytest.approx([r.s for r in other]) and len(null) == 30
+
+
 def test_external_and_excluded_pairs(spark):
     t = spark.createDataFrame([("A", "B", 0.1), ("A", "C", 0.2), ("B", "C", 0.3)], "pop1 string, pop2 string, fst double")
     ext = spark.createDataFrame([("C", "A", "12.5"), ("A", " C", "99"), ("B", "C", "x")], "Pop1 string, Pop2 string, Distance string")
     got = {(r.pop1, r.pop2): r.d for r in geo.external_distances(t, ext).collect()}
     assert got == {("A", "C"): 12.5, ("B", "C"): None}
+    ordered = ext.withColumn("row", F.when(F.col("Distance") == "99", 0).otherwise(1))
+    assert {(r.pop1, r.pop2): r.d for r in geo.external_distances(t, ordered, order="row").collect()} == {("A", "C"): 99.0, ("B", "C"): None}
     assert {r.pop2 for r in geo.exclude_pairs(t, "C-B, A - B, nonsense").collect()} == {"C"}
     assert geo.exclude_pairs(t, "").count() == 3
 

@@ -5,8 +5,9 @@ import sys
 
 import pytest
 from locusflow.operators import counts, wc84
-from locusflow.sources import export, ingest
-from locusflow.sources.params import Params
+from locusflow.functions import cache
+from locusflow.sources import export, folders, ingest, pairs
+from locusflow.sources.params import Params, Store
 from pyspark.sql import functions as F
 
 
@@ -62,6 +63,76 @@ def test_params(spark):
     assert Params.of(p.table(spark)) == p
 
 
+def test_stored_settings(spark, tmp_path):
+    store = Store(spark, "own_params", str(tmp_path / "params"))
+    store.clear()
+    assert store.all() == {} and store.get("seed", 3) == 3 and store.upsert() == {}
+    store.upsert(seed=1, markers=["A", "B"], note=None)
+    assert store.upsert(seed=2, empty="") == {"seed": 2, "markers": ["A", "B"], "note": None, "empty": ""} == Store(spark, "own_params").all()
+    assert store.get("markers") == ["A", "B"] and store.get("empty", "x") == "x" and store.get("note", "y") == "y"
+    store.clear()
+    assert store.all() == {} and spark.catalog.tableExists("own_params")
+    spark.sql("DROP TABLE own_params")
+
+
+def test_files_of_pairs(spark, tmp_path):
+    path = write(tmp_path / "p.csv", "x,ID1,ID2,FST_ENA,fr_raw,FST_raw,Dgeo_m,lnDgeo\n1,B,A,0.5,7,0.2,10,NA\n2, C,A,-0.1,,NA,0,\n3,B,C,2,1,0.1,,3\n")
+    raw = pairs.read_pairs(spark, path)
+    got = {(r.pop1, r.pop2): r for r in pairs.genetic_table(raw).collect()}
+    assert set(got) == {("B", "A"), ("C", "A"), ("B", "C")}
+    a, c, b = got["B", "A"], got["C", "A"], got["B", "C"]
+    assert (a.fr_ena, a.fr_raw, a.d) == (1.0, 7.0, 10.0) and a.ln_d == pytest.approx(2.302585) and a.dcse_raw is None
+    assert c.fr_ena == 0 and c.fr_raw is None and c.ln_d is None and b.fr_ena == pytest.approx(9999) and b.ln_d == 3
+    distances = pairs.distance_table(raw)
+    assert [r.Distance for r in distances.orderBy("row").collect()] == ["10", "0", None]
+    t = spark.createDataFrame([("A", "B", 0.1), ("A", "Z", 0.2)], "pop1 string, pop2 string, v double")
+    extra = pairs.read_pairs(spark, write(tmp_path / "e.csv", "p;q;alt;wet\nB;A;5;1\nA;B;6;2\nA;C;7;x\n"))
+    assert sorted((r.pop2, r.alt, r.wet) for r in pairs.merge_extra(t, extra).collect()) == [("B", 5.0, 1.0), ("Z", None, None)]
+    with pytest.raises(ValueError, match="fewer than 3"):
+        pairs.read_pairs(spark, write(tmp_path / "s.csv", "a,b,c\n1,2,3\n4,5,6\n"))
+    with pytest.raises(ValueError, match="different"):
+        pairs.populations(["x", "Pop1"])
+    with pytest.raises(ValueError, match="three columns"):
+        pairs.distance_table(ingest.Raw(t, ["pop1", "pop2"], 0, "UTF-8", ","))
+
+
+def test_guessed_columns_and_warnings():
+    assert pairs.guess_columns(["a", "b", "Dist_km", "FST_raw"], ["Dist_km", "FST_raw"]) == {"pop1": "a", "pop2": "b", "x": "Dist_km", "y": "FST_raw"}
+    assert pairs.guess_columns(["Pop2", "Pop1"], []) == {"pop1": "Pop1", "pop2": "Pop2", "x": None, "y": None}
+    assert pairs.raw_distance_warning("Dgeo_m") and pairs.raw_distance_warning("DISTANCE")
+    assert not any(map(pairs.raw_distance_warning, ("lnDgeo", "log_dist", "altitude", "", None)))
+
+
+def test_shared_folders(spark, tmp_path):
+    assert folders.shared_folder(spark)
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        folders.shared_folder(Cluster())
+    spark.range(3).write.parquet(f"{tmp_path}/gone")
+    folders.delete(spark, f"{tmp_path}/gone")
+    assert not (tmp_path / "gone").exists()
+
+
+def test_cached_tables_are_freed(spark):
+    cache.release()
+    df = cache.keep(spark.range(5))
+    assert df.is_cached and cache.release() == 1 and not df.is_cached and cache.release() == 0
+
+
+def test_profiles(spark):
+    rows = [(f"p{i % 3}", f"{i}.5", str(i), "101/102" if i else "0", "7") for i in range(20)]
+    names = ["a", "b", "c", "d", "e"]
+    got = ingest.profile(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), names, ingest.missing_code("0"))
+    assert [got[n]["numeric"] for n in names] == [0, 1, 1, 0.05, 1]
+    assert got["b"]["dotted"] == 1 and got["c"]["ids"] == 1 and got["c"]["id_variety"] == 1 and got["d"]["paired"] == 1
+    assert (got["e"]["codes"], got["e"]["code_variety"], got["e"]["code_top"]) == (1, 0.05, 7)
+    assert ingest.profile(spark.createDataFrame([], "a string"), ["a"], ingest.missing_code("0"))["a"]["numeric"] == 0
+
+
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("A", 1.5), ("B", None)], "id string, v double")
     path = str(tmp_path / "r.csv")

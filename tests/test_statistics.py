@@ -7,6 +7,7 @@ import random
 import pytest
 from locusflow.operators import counts, diversity, frequencies, gstat, inference, kernel, resample, wc84
 from locusflow.plans.fixtures import genotypes
+from locusflow.sources import ingest
 
 SF = "/root/testdata/sf0.01"
 #: FST, FIT and FIS of the fixture at sf0.01 (fixed values).
@@ -180,3 +181,49 @@ def test_kernel_refuses_what_is_too_large(spark):
     g = table(spark, [(1, "A", 1, 2), (2, "A", 1, 1)])
     with pytest.raises(ValueError):
         kernel.collect(g, limit=1)
+
+
+def mean_squares(values):
+    """Sums of a, b and c over alleles by the nested analysis of variance: between populations, individuals within them, and copies within individuals."""
+    a = b = c = 0.0
+    pops = sorted({p for p, _, _ in values})
+    n = [sum(p == q for q, _, _ in values) for p in pops]
+    total, r = sum(n), len(pops)
+    nc = (total - sum(x * x for x in n) / total) / (r - 1)
+    for allele in {x for _, *g in values for x in g}:
+        y = [(p, [float(x == allele) for x in g]) for p, *g in values]
+        grand = sum(sum(v) for _, v in y) / (2 * total)
+        mean = {p: sum(sum(v) for q, v in y if q == p) / (2 * k) for p, k in zip(pops, n, strict=True)}
+        ssp = sum(2 * k * (mean[p] - grand) ** 2 for p, k in zip(pops, n, strict=True))
+        ssi = sum(2 * (sum(v) / 2 - mean[p]) ** 2 for p, v in y)
+        ssg = sum((x - sum(v) / 2) ** 2 for _, v in y for x in v)
+        msp, msi, msg = ssp / (r - 1), ssi / (total - r), ssg / total
+        a, b, c = a + (msp - msi) / (2 * nc), b + (msi - msg) / 2, c + msg
+    return a, b, c
+
+
+def test_toy_matrix_of_packed_genotypes(spark):
+    """Two populations of ten, a locus of two and one of three alleles, genotypes packed to base 100; against an analysis of variance."""
+    rng = random.Random(1)
+    alleles = {"L1": ([10, 20], [0.8, 0.2], [0.2, 0.8]), "L2": ([10, 20, 30], [0.6, 0.3, 0.1], [0.1, 0.3, 0.6])}
+    rows = []
+    for i in range(20):
+        for locus, (values, *weights) in alleles.items():
+            x, y = sorted(rng.choices(values, weights[i // 10], k=2))
+            rows.append((i, locus, x * 100 + y, 1 + i // 10))
+    geno = ingest.as_genotypes(spark.createDataFrame(rows, "indiv_id long, locus_id string, gt int, pop_code int"), base=100)
+    parts = [mean_squares([(p, g // 100, g % 100) for _, locus, g, p in rows if locus == x]) for x in alleles]
+    a, b, c = (sum(x[i] for x in parts) for i in range(3))
+    got = one(wc84.overall(wc84.locus_stats(counts.allele_counts(geno))))
+    assert (got.fst, got.fit, got.fis) == pytest.approx((a / (a + b + c), (a + b) / (a + b + c), b / (b + c)))
+    assert 0.1 < got.fst < 0.6
+
+
+def test_large_strata_are_cut_unasked(spark, monkeypatch):
+    """The default takes digits by the size of the largest stratum, and ranks stay the same."""
+    g = table(spark, [(1 + i % 2, "L", 1 + i % 3, 1 + i % 4) for i in range(60)])
+    want = [sorted(map(tuple, f(g, 2, 3).collect())) for f in (resample.permute_labels, resample.permute_alleles)]
+    assert resample._digits(g, ["locus"], None) == 0
+    monkeypatch.setattr(resample, "RANK_ROWS", 10)
+    assert resample._digits(g, ["locus"], None) == 1
+    assert [sorted(map(tuple, f(g, 2, 3).collect())) for f in (resample.permute_labels, resample.permute_alleles)] == want
