@@ -44,6 +44,7 @@ class Matrix:
     a2: np.ndarray
     k: list[int]  # alleles of each locus
     pops: list[str]
+    alleles: list[np.ndarray]  # the alleles of each locus, by code
 
     @property
     def n_pops(self) -> int:
@@ -71,9 +72,11 @@ def collect(geno: DataFrame, limit: int = MAX_CELLS) -> Matrix:
     at, j = pc.index_in(rows.column("indiv"), value_set=indiv).to_numpy(), rows.column("j").to_numpy()
     a1, a2 = (np.full((len(indiv), len(loci)), -1, np.int16) for _ in range(2))
     a1[at, j], a2[at, j] = rows.column("x").to_numpy(), rows.column("y").to_numpy()
-    top = {r["locus"]: r["k"] for r in coded.groupBy("locus").agg((F.max("code") + 1).alias("k")).collect()}
+    named = {x: [] for x in loci}
+    for r in coded.orderBy("locus", "code").collect():  # loci x alleles
+        named[r["locus"]].append(r["allele"])
     where = pc.index_in(pop, value_set=pa.array(pops, pa.string())).to_numpy().astype(np.int32)
-    return Matrix([str(x) for x in indiv.to_pylist()], where, loci, a1, a2, [top.get(x, 0) for x in loci], pops)
+    return Matrix([str(x) for x in indiv.to_pylist()], where, loci, a1, a2, [len(named[x]) for x in loci], pops, [np.array(named[x], np.int64) for x in loci])
 
 
 def statistics(pop: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, n_pops: int) -> tuple[float, float, float, float]:
@@ -136,13 +139,12 @@ def md5_order(front: str, names: list[str], by: np.ndarray | None = None) -> np.
     return np.lexsort((key[:, 1], key[:, 0]) if by is None else (key[:, 1], key[:, 0], by))
 
 
-def one(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str, md5: bool) -> list[tuple]:
-    """Rows of a replicate: rep, locus, fst, fit, fis, g."""
+def moved(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str, md5: bool):
+    """For each locus the populations and the two allele codes of a replicate's genotypes."""
     rng = None if md5 else np.random.Generator(np.random.Philox(key=[seed, rep]))
     labels = None
     if scheme == "labels":
         labels = (m.pop[md5_order(f"{seed}|{rep}", m.names)] if md5 else rng.permutation(m.pop)).astype(np.int64)
-    out = []
     for x in loci:
         copies, pop = x.copies, x.pop if labels is None else labels[x.rows]
         if md5 and labels is None:
@@ -150,15 +152,19 @@ def one(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str, md5: bool) ->
             home = np.arange(len(x.rows)) if scheme == "alleles_within" else np.argsort(x.rows, kind="stable")
             own = (2 * home[:, None] + np.arange(2)).ravel()
             names = [f"{m.names[r]}|{c}" for r in x.rows[home].tolist() for c in (0, 1)]
-            moved = own[md5_order(f"{seed}|{rep}|{x.name}", names, x.place if scheme == "alleles_within" else None)]
+            order = own[md5_order(f"{seed}|{rep}|{x.name}", names, x.place if scheme == "alleles_within" else None)]
             copies = np.empty_like(copies)
-            copies[own] = x.copies[moved]
+            copies[own] = x.copies[order]
         elif scheme == "alleles_global":
             copies = rng.permutation(copies)
         elif scheme == "alleles_within":  # populations stay in order, and fractions mix the copies inside each
             copies = copies[np.argsort(x.place + rng.random(len(x.place)) * 0.999)]
-        out.append((rep, x.name, *statistics(pop, copies[0::2], copies[1::2], x.k, m.n_pops)))
-    return out
+        yield x, pop, copies[0::2], copies[1::2]
+
+
+def one(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str, md5: bool) -> list[tuple]:
+    """Rows of a replicate: rep, locus, fst, fit, fis, g."""
+    return [(rep, x.name, *statistics(pop, a, b, x.k, m.n_pops)) for x, pop, a, b in moved(m, loci, rep, seed, scheme, md5)]
 
 
 def _relational(geno: DataFrame, engine: str) -> bool:
@@ -194,6 +200,74 @@ def permute(geno: DataFrame, n: int, seed: int = 1, scheme: str = "labels", engi
     return out.select("rep", "locus", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("fst", "fit", "fis", "g")])
 
 
+_COUNTS = "rep long, locus {}, pop string, allele long, c long, h long"
+
+
+def _counted(m: Matrix, j: int, rep: int, pop: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The rows of ``allele_counts`` of one locus and replicate."""
+    k = m.k[j]
+    size = m.n_pops * k
+    twice = lambda w: np.bincount(np.concatenate([pop * k + a, pop * k + b]), None if w is None else np.concatenate([w, w]), minlength=size)
+    het = (a != b).astype(float)
+    c, h = twice(weight), twice(het if weight is None else het * weight)
+    at = np.flatnonzero(c > 0)
+    return {"rep": np.full(len(at), rep), "j": np.full(len(at), j), "p": at // k, "allele": m.alleles[j][at % k], "c": c[at].astype(np.int64), "h": h[at].astype(np.int64)}
+
+
+def _count_table(geno: DataFrame, n: int, rows) -> DataFrame:
+    """``rep, locus, pop, allele, c, h`` of what ``rows(matrix, prepared loci, replicate)`` yields."""
+    spark = geno.sparkSession
+    shared = spark.sparkContext.broadcast(collect(geno))  # size checked by collect
+
+    def run(batches):
+        m = shared.value
+        loci, names, pops = prepared(m), np.array(m.loci, object), np.array(m.pops, object)
+        for pdf in batches:
+            for rep in pdf["rep"].tolist():
+                parts = list(rows(m, loci, rep))
+                x = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else None
+                if x is not None:
+                    yield pd.DataFrame({"rep": x["rep"], "locus": names[x["j"]], "pop": pops[x["p"]], "allele": x["allele"], "c": x["c"], "h": x["h"]})
+
+    tasks = max(1, min(-(-n // REPS_PER_TASK), MAX_TASKS))
+    out = spark.range(1, n + 1, 1, tasks).toDF("rep").mapInPandas(run, _COUNTS.format(geno.schema["locus"].dataType.simpleString()))
+    types = dict(geno.dtypes)
+    return out.select("rep", "locus", F.col("pop").cast(types["pop"]).alias("pop"), F.col("allele").cast(types["a1"]).alias("allele"), "c", "h")
+
+
+def permuted_counts(geno: DataFrame, n: int, seed: int | str = 1, scheme: str = "labels", engine: str = "auto") -> DataFrame:
+    """``counts.allele_counts`` with ``rep``, of n permutations; all estimators follow from these. ``scheme`` and ``engine`` as in ``permute``."""
+    if scheme not in SCHEMES:
+        raise ValueError(f"scheme must be one of {SCHEMES}")
+    if _relational(geno, engine):
+        relational = resample.permute_labels(geno, n, seed) if scheme == "labels" else resample.permute_alleles(geno, n, seed, scheme == "alleles_within")
+        return counts.allele_counts(relational, ["rep"])
+    md5 = engine == "auto"
+
+    def rows(m: Matrix, loci: list[Locus], rep: int):
+        for j, (_, pop, a, b) in enumerate(moved(m, loci, rep, seed, scheme, md5)):
+            yield _counted(m, j, rep, pop, a, b)
+
+    return _count_table(geno, n, rows)
+
+
+def bootstrap_individual_counts(geno: DataFrame, n: int, seed: int | str = 1) -> DataFrame:
+    """``resample.bootstrap_individuals`` from the matrix up to ``MAX_CELLS``; beyond, the relational form draws the same."""
+    if cells(geno) > MAX_CELLS:
+        return resample.bootstrap_individuals(geno, n, seed)
+
+    def rows(m: Matrix, loci: list[Locus], rep: int):
+        times = np.zeros(len(m.pop), float)
+        for p, name in enumerate(m.pops):
+            own = np.flatnonzero(m.pop == p)
+            drawn = [int(hashlib.md5(f"{seed}|{rep}|{name}|{slot}".encode()).hexdigest()[:8], 16) % len(own) for slot in range(1, len(own) + 1)]
+            times[own] = np.bincount(drawn, minlength=len(own))
+        for j, x in enumerate(loci):
+            yield _counted(m, j, rep, x.pop, x.copies[0::2], x.copies[1::2], times[x.rows])
+
+    return _count_table(geno, n, rows)
+
+
 class Pair:
     """Two loci: G of each population follows from the cells alone, as margins stay under shuffles."""
 

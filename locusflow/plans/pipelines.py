@@ -30,7 +30,7 @@ def _assemble(obs: DataFrame, boot: DataFrame, perm: DataFrame, value: str, conf
 def fis_by_pop(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False) -> DataFrame:
     """FIS of each population, and Overall: the plain mean over populations (with ``consistent`` the ratio of sums)."""
     c = keep(counts.allele_counts(geno))
-    perm, boot = keep(counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"])), keep(resample.bootstrap_individuals(geno, n_boot, seed))
+    perm, boot = keep(kernel.permuted_counts(geno, n_perm, seed, "alleles_within")), keep(kernel.bootstrap_individual_counts(geno, n_boot, seed))
 
     def table(x: DataFrame, keys: list[str]) -> DataFrame:
         own = wc84.fis_by_pop(x, keys).select(*keys, F.col("pop").cast("string").alias("id"), "fis")
@@ -43,7 +43,7 @@ def fis_by_pop(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float =
 def fis_by_locus(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
     """FIS of each locus with floor-index intervals over individuals; Overall is the ratio of sums."""
     c = keep(counts.allele_counts(geno))
-    perm, boot = keep(counts.allele_counts(resample.permute_alleles(geno, n_perm, seed), ["rep"])), keep(resample.bootstrap_individuals(geno, n_boot, seed))
+    perm, boot = keep(kernel.permuted_counts(geno, n_perm, seed, "alleles_within")), keep(kernel.bootstrap_individual_counts(geno, n_boot, seed))
 
     def table(x: DataFrame, keys: list[str]) -> DataFrame:
         return wc84.fis_by_locus(x, keys).select(*keys, F.col("locus").alias("id"), "fis").unionByName(wc84.fis_overall(x, keys).select(*keys, F.lit("Overall").alias("id"), "fis"))
@@ -60,7 +60,7 @@ def fis_pop_block(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> D
 def fit_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False) -> DataFrame:
     """FIT of each locus, and Overall: observed and permuted as a ratio of sums, resampled as the mean over loci (``consistent``: a ratio too)."""
     c = keep(counts.allele_counts(geno))
-    perm = counts.allele_counts(resample.permute_alleles(geno, n_perm, seed, within_pop=False), ["rep"])
+    perm = kernel.permuted_counts(geno, n_perm, seed, "alleles_global")
 
     def table(stats: DataFrame, keys: list[str], mean: bool) -> DataFrame:
         own = wc84.f_statistics(stats).select(*keys, F.col("locus").alias("id"), "fit")
@@ -95,7 +95,7 @@ def hs_tables(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> DataF
     """``unit, statistic, id``, observed, boot_mean, boot_se, ci_l, ci_u: HS over individuals, HS and HT over populations, by locus and Overall."""
     c = keep(counts.allele_counts(geno))
     obs = wc84.locus_stats(c)
-    people, pops = resample.bootstrap_individuals(geno, n_boot, seed), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
+    people, pops = kernel.bootstrap_individual_counts(geno, n_boot, seed), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
 
     def long(x: DataFrame, keys: list[str], value: str) -> DataFrame:
         own = x.select(*keys, F.col("locus").alias("id"), F.col(value).alias("v"))

@@ -25,11 +25,11 @@ def _c(s, d):
 
 
 def _labels(s, d, n=B):
-    return counts.allele_counts(resample.permute_labels(_g(s, d), n, SEED), ["rep"])
+    return kernel.permuted_counts(_g(s, d), n, SEED, "labels")
 
 
 def _alleles(s, d, within=True, n=B):
-    return counts.allele_counts(resample.permute_alleles(_g(s, d), n, SEED, within), ["rep"])
+    return kernel.permuted_counts(_g(s, d), n, SEED, "alleles_within" if within else "alleles_global")
 
 
 def _pops(s, d, n=B):
@@ -37,7 +37,7 @@ def _pops(s, d, n=B):
 
 
 def _people(s, d, n=B):
-    return resample.bootstrap_individuals(_g(s, d), n, SEED)
+    return kernel.bootstrap_individual_counts(_g(s, d), n, SEED)
 
 
 def _complete(s, d):
@@ -50,7 +50,8 @@ def with_overall(by_locus, whole, *names):
 
 
 def perm_fst_labels(s, d, n=B):
-    c = _labels(s, d, n=n)
+    """By the relational ranking."""
+    c = counts.allele_counts(resample.permute_labels(_g(s, d), n, SEED), ["rep"])
     return rounded(wc84.observed(c, ["rep"]).join(gstat.g_by_locus(c, ["rep"]), ["rep", "locus"]).select("rep", "locus", "fst", "g"), "fst", "g")
 
 
@@ -69,7 +70,9 @@ def perm_fst_p(s, d, n=B):
 
 
 def perm_within_pop(s, d, n=B):
-    return rounded(wc84.observed(_alleles(s, d, n=n), ["rep"]).select("rep", "locus", "fst", "fis"), "fst", "fis")
+    """By the relational ranking."""
+    c = counts.allele_counts(resample.permute_alleles(_g(s, d), n, SEED), ["rep"])
+    return rounded(wc84.observed(c, ["rep"]).select("rep", "locus", "fst", "fis"), "fst", "fis")
 
 
 def perm_fis(s, d, n=B):
@@ -107,7 +110,7 @@ def gtest_perm(s, d, n=B):
     """G of complete genotypes with p of at least and of more than the observed value, by locus and overall."""
     geno = _complete(s, d)
     obs = gstat.g_by_locus(counts.allele_counts(geno), min_alleles=2)
-    perm = gstat.g_by_locus(counts.allele_counts(resample.permute_labels(geno, n, SEED), ["rep"]), ["rep"], 2)
+    perm = gstat.g_by_locus(kernel.permuted_counts(geno, n, SEED, "labels"), ["rep"], 2)
     o = obs.select(F.col("locus").alias("id"), "n_geno", "g").unionByName(obs.groupBy(F.lit("Overall").alias("id")).agg(F.max("n_geno").alias("n_geno"), F.sum("g").alias("g")))
     p = perm.select(F.col("locus").alias("id"), F.col("g").alias("gp")).unionByName(gstat.g_overall(perm, ["rep"]).select(F.lit("Overall").alias("id"), F.col("g").alias("gp")))
     # values that differ by rounding alone are equal
@@ -179,7 +182,8 @@ def boot_indiv_hs(s, d, n=B):
 
 
 def boot_indiv_fis(s, d, n=B):
-    c = _people(s, d, n=n)
+    """By the relational draw."""
+    c = resample.bootstrap_individuals(_g(s, d), n, SEED)
     return rounded(with_overall(wc84.fis_by_locus(c, ["rep"]), wc84.fis_overall(c, ["rep"]), "fis"), "fis")
 
 
