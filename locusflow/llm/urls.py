@@ -25,6 +25,7 @@ FIXED = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 3
 #: Bounds: labelled pages that are mined, and rules that are left after pruning (more raise an error).
 TRAIN_PAGES, MAX_RULES = 50_000, 5_000
+MINE_PARTITIONS = 8
 DEFAULT = "allow"
 CLASS = "class:"
 
@@ -85,8 +86,9 @@ def mine(labelled: DataFrame, train: int = TRAIN_PAGES, min_support: float = MIN
     if not n:
         return []
     sample = known.filter(F.pmod(F.xxhash64(F.lit("url sample"), "url"), F.lit(1_000_000)) < F.lit(train / n * 1_000_000))
-    items = sample.mapInArrow(_tokenised, "items array<string>")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    # the sample is small whatever the number of the table's partitions
+    items = sample.repartition(MINE_PARTITIONS).mapInArrow(_tokenised, "items array<string>")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=MINE_PARTITIONS).fit(items)
     # the rules of classes among itemsets over the support, themselves bounded
     found = model.associationRules.filter(F.col("consequent")[0].startswith(CLASS) & (F.size("antecedent") <= MAX_TOKENS) & ~F.exists("antecedent", lambda x: x.startswith(CLASS)))
     best = _needed(found.select(F.array_sort("antecedent").alias("tokens"), F.col("consequent")[0].alias("class"), "confidence", "support")).limit(MAX_RULES + 1).collect()
