@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import r8
+from ..functions.cache import keep
 from ..operators import counts, diversity, gstat, inference, kernel, resample, wc84
 from . import oracle
 from .base_queries import COMPLETE, F_COLS, PAIRS, WC, ld_sql, rounded
@@ -57,7 +58,7 @@ def perm_fst_labels(s, d, n=B):
 
 def perm_fst_p(s, d, n=B):
     """p of FST (all three ways) and of G for each locus, and of the overall G."""
-    c, obs = _labels(s, d, n=n), _c(s, d)
+    c, obs = keep(_labels(s, d, n=n)), _c(s, d)
     gp, go = gstat.g_by_locus(c, ["rep"]), gstat.g_by_locus(obs)
     own = wc84.observed(c, ["rep"]), wc84.observed(obs)
     tests = [inference.p_values(*own, ["locus"], "fst", a).select("locus", F.lit(a).alias("test"), "observed", "p_value") for a in inference.ALTERNATIVES]
@@ -91,7 +92,7 @@ def perm_fis_grid(s, d, n=B):
 
 
 def perm_fit_global(s, d, n=B):
-    c, obs = _alleles(s, d, False, n), _c(s, d)
+    c, obs = keep(_alleles(s, d, False, n)), _c(s, d)
     perm = with_overall(wc84.observed(c, ["rep"]), wc84.overall(wc84.locus_stats(c, ["rep"]), ["rep"]), "fit")
     own = wc84.observed(obs).select("locus", "fit").unionByName(wc84.overall(wc84.locus_stats(obs)).select(F.lit("Overall").alias("locus"), "fit"))
     return rounded(inference.p_values(perm, own, ["locus"], "fit", "two_sided_abs"), "observed", "p_value")
@@ -99,7 +100,7 @@ def perm_fit_global(s, d, n=B):
 
 def perm_hi_hs_centered(s, d, n=B):
     """FIT two-sided by size; HI and HS by distance from the mean (observed HS is hs_b, permuted hs_f)."""
-    c, obs = _alleles(s, d, n=n), _c(s, d)
+    c, obs = keep(_alleles(s, d, n=n)), _c(s, d)
     own, perm = diversity.hi_hs(obs), diversity.hs_f(c, ["rep"])
     fit = inference.p_values(wc84.observed(c, ["rep"]), own, ["locus"], "fit", "two_sided_abs").select("locus", F.lit("fit").alias("test"), "observed", "p_value")
     parts = [inference.p_centred(perm, own, ["locus"], v).select("locus", F.lit(v).alias("test"), "observed", "p_value") for v in ("hi", "hs")]
@@ -170,7 +171,7 @@ def boot_pop_fit(s, d, n=B):
 
 
 def boot_pop_fit_ci(s, d, n=B):
-    x = diversity.hi_hs(_pops(s, d, n=n), ["rep"])
+    x = keep(diversity.hi_hs(_pops(s, d, n=n), ["rep"]))
     parts = [inference.interval(x, ["locus"], v, CONF).select("locus", F.lit(v).alias("statistic"), "boot_mean", "ci_l", "ci_u") for v in ("fit", "hi", "hs")]
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "boot_mean", "ci_l", "ci_u")
 
