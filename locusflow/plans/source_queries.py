@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import counts, geo
+from .. import streaming
+from ..operators import counts, geo, mantel
 from ..sources import export, ingest, pairs, params
 from ..sources.folders import shared_folder
 from . import null_queries, oracle, pipelines
@@ -64,6 +65,20 @@ def ingest_paired(s, d):
     return _tally(ingest.build_genotypes(raw, ingest.Columns("Population", markers=[y for x in LOCI for y in (x, f"{x}_1")])))
 
 
+def ingest_duplicates(s, d):
+    """A tab-separated file whose header has each locus twice, with other missing codes and rows that are too short: names, rows and genotypes."""
+    path, w = _place(s, "duplicates"), _wide(s, d)
+    text = lambda x, i: F.when(F.col(x) == "0/0", "-9").otherwise(F.split(x, "/")[i])
+    head = s.range(1).select(F.lit(-1).cast("long").alias("o"), F.lit("\t".join(["Population", *[y for x in LOCI for y in (x, x)]])).alias("value"))
+    full = w.select(F.col("HostInd").cast("long").alias("o"), F.concat_ws("\t", "Population", *[text(x, i) for x in LOCI for i in (0, 1)]).alias("value"))
+    short = w.filter("HostInd % 100 = 0").select(F.col("HostInd").cast("long").alias("o"), F.lit("short\t1").alias("value"))
+    head.union(full).union(short).repartition(1).sortWithinPartitions("o").select("value").write.text(path)
+    raw = ingest.read_delimited(s, path)
+    tally = _tally(ingest.genotypes_paired(raw.rows, "Population", raw.columns[1:])).select("pop", "locus", "a1", "a2", "n")
+    about = s.createDataFrame([("separator", raw.sep, raw.malformed), *[("column", c, i) for i, c in enumerate(raw.columns)]], "pop string, locus string, n long")
+    return tally.unionByName(about.select("pop", "locus", F.lit(0).alias("a1"), F.lit(0).alias("a2"), "n"))
+
+
 def ingest_columns(s, d):
     """What is told about a file and its columns."""
     raw = _file(s, d)
@@ -141,6 +156,37 @@ def params_store(s, d):
     return s.createDataFrame(rows, "key string, value string")
 
 
+def table_saved(s, d):
+    """Allele counts saved as a table of the catalog and read back."""
+    name = f"counts_{uuid.uuid4().hex}"
+    export.save(counts.allele_counts(genotypes(s, d)).select("locus", "pop", "allele", "c", "h"), name, partition_by=["locus"])
+    out = s.createDataFrame(s.table(name).select("locus", "pop", "allele", "c", "h").collect(), "locus string, pop int, allele int, c long, h long")  # loci x populations x alleles
+    s.sql(f"DROP TABLE {name}")
+    return out
+
+
+def stream_counts(s, d):
+    """Allele counts of genotypes that arrive in three files, kept up by a stream."""
+    path, names = _place(s, "stream"), ["indiv", "pop", "locus", "a1", "a2"]
+    g = genotypes(s, d).select(names)
+    for k in range(3):
+        g.filter(F.col("indiv") % 3 == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    live = s.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    name = f"live_{uuid.uuid4().hex}"
+    query = streaming.start_counts(live, name, f"{path}/checkpoint")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return s.table(name).select("locus", "pop", "allele", "c", "h")
+
+
+def mantel_incomplete(s, d):
+    """A Mantel test where some pairs have no genetic distance, and populations lie in one matrix only."""
+    x = null_queries._ibd(s, d).select("pop1", "pop2", F.when(F.col("pop1") != 2, F.col("d")).alias("d"), F.when(((F.col("pop1") + F.col("pop2")) % 4 != 0) & (F.col("pop2") != 5), F.col("fr_raw")).alias("fr_raw"))
+    return rounded(mantel.mantel(x, "d", "fr_raw", null_queries.B, null_queries.SEED), *null_queries.MANTEL)
+
+
 def pairs_filtered(s, d):
     """Rows of a locus with a population on either side."""
     return pipelines.filter_pairs(null_queries.fst_locus_pair(s, d), "L2", 3)
@@ -175,7 +221,7 @@ def mantel_columns(s, d):
     return s.createDataFrame(rows, "what string, value string")
 
 
-_QUERIES = [ingest_string, ingest_paired, ingest_columns, ingest_meta, export_table, export_report, export_null_bundle, export_half_matrices, export_ibd_report, params_store, pairs_filtered, pairs_file, distance_file, mantel_columns]
+_QUERIES = [ingest_string, ingest_paired, ingest_duplicates, ingest_columns, ingest_meta, export_table, export_report, export_null_bundle, export_half_matrices, export_ibd_report, params_store, table_saved, stream_counts, mantel_incomplete, pairs_filtered, pairs_file, distance_file, mantel_columns]
 
 _TALLY = "SELECT 'Île' || pop AS pop, locus, a1::INT AS a1, a2::INT AS a2, count(*) AS n FROM geno GROUP BY ALL"
 _LIN = lambda x: f"CASE WHEN {x} IS NOT NULL THEN greatest(0, least(0.9999, {x})) / (1 - greatest(0, least(0.9999, {x}))) END"
@@ -183,10 +229,14 @@ _HALF = " UNION ALL ".join(f"SELECT locus, '{v}' AS statistic, pop1, pop2, {v} A
 _ORACLE = {
     "ingest_string": q(_TALLY),
     "ingest_paired": q(_TALLY),
+    "ingest_duplicates": q("SELECT 'Île' || pop AS pop, locus, a1::INT AS a1, a2::INT AS a2, count(*) AS n FROM geno GROUP BY ALL UNION ALL SELECT 'separator', chr(9), 0, 0, (SELECT count(DISTINCT indiv) FROM geno WHERE indiv % 100 = 0) UNION ALL SELECT 'column', c, 0, 0, i FROM (VALUES ('Population', 0), ('L1', 1), ('L1_1', 2), ('L2', 3), ('L2_1', 4), ('L3', 5), ('L3_1', 6), ('L4', 7), ('L4_1', 8), ('L5', 9), ('L5_1', 10), ('L6', 11), ('L6_1', 12)) t(c, i)"),
     "ingest_columns": "SELECT * FROM (VALUES ('separator', ','), ('encoding', 'UTF-8'), ('malformed', '0'), ('population', 'Population'), ('latitude', 'Latitude'), ('longitude', 'Longitude'), ('markers', 'L1,L2,L3,L4,L5,L6'), ('marker_range', '5:10'), ('metadata', 'Latitude,Longitude,HostInd'), ('base', '1000')) t(what, value)",
     "ingest_meta": q(POINTS, "SELECT 'Île' || pop AS population, R(lat) AS lat, R(lon) AS lon, count(*) AS n, count(*) AS n_ids, sum(indiv)::BIGINT AS id_sum FROM (SELECT DISTINCT indiv, pop FROM geno) JOIN pt USING (pop) GROUP BY pop, pt.lat, pt.lon"),
     "export_table": q(oracle.counts(), "SELECT locus, pop, allele, c, h::BIGINT AS h FROM cnt"),
     "export_report": q(oracle.counts(), "SELECT locus, pop, allele, c, h::BIGINT AS h FROM cnt"),
+    "table_saved": q(oracle.counts(), "SELECT locus, pop, allele, c, h::BIGINT AS h FROM cnt"),
+    "stream_counts": q(oracle.counts(), "SELECT locus, pop, allele, c, h::BIGINT AS h FROM cnt"),
+    "mantel_incomplete": null_queries._mantel_sql("corr(x, y)", source="SELECT pop1, pop2, CASE WHEN pop1 <> 2 THEN d END AS x, CASE WHEN (pop1 + pop2) % 4 <> 0 AND pop2 <> 5 THEN fr_raw END AS y FROM ib").replace("count(*) AS n_pairs FROM mt", "count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS n_pairs FROM mt").replace("regr_slope(fr_raw, d) AS slope, regr_intercept(fr_raw, d) AS intercept, regr_r2(fr_raw, d) AS r2 FROM ib", "regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2 FROM mt"),
     "export_null_bundle": f"SELECT * FROM ({NULLS['fst_pair']}) JOIN ({NULLS['dcse_pair']}) USING (pop1, pop2)",
     "export_half_matrices": _HALF,
     "export_ibd_report": qr(*IBD, "SELECT pop1, pop2, R(fst_raw) AS fst_raw, R(d) AS d, R(fr_raw) AS fr_raw FROM ib"),
