@@ -27,15 +27,14 @@ Characters without a piece become bytes (or the unknown piece).
 from __future__ import annotations
 
 import re
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ship
+from .tokens import Vocabulary, once, ship
 from .words import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -398,15 +397,15 @@ class Decoder:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
-def coder(file: str) -> tuple[Encoder, Decoder]:
-    """One coder a worker; the file came along with the job."""
-    with open(SparkFiles.get(file), "rb") as f:
-        model = Model(f.read())
-    return Encoder(model), Decoder(model)
+def coder(file: Vocabulary) -> tuple[Encoder, Decoder]:
+    def make(data: bytes) -> tuple[Encoder, Decoder]:
+        model = Model(data)
+        return Encoder(model), Decoder(model)
 
+    return once("pieces", file, make)
 
-def _encode(batches, text: str, file: str, check: bool):
+
+def _encode(batches, text: str, file: Vocabulary, check: bool):
     encoder, decoder = coder(file)
     for part in slices(batches, text):
         texts = part.column(text).to_pylist()
@@ -431,7 +430,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return two.mapInArrow(partial(_encode, text="text", file=file, check=check), schema)
 
 
-def _decode(batches, file: str):
+def _decode(batches, file: Vocabulary):
     _, decoder = coder(file)
     for batch in batches:
         texts = [None if x is None else decoder.decode(x) for x in batch.column("ids").to_pylist()]

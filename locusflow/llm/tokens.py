@@ -16,12 +16,14 @@ A token that crosses a boundary goes by an explicit rule:
 from __future__ import annotations
 
 import base64
-from functools import lru_cache, partial
+import hashlib
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "end", "most", "share")
 RULE = "most"
+#: Bytes of a vocabulary file.
+MAX_VOCABULARY = 32 << 20
 
 
 class Encoder:
@@ -50,17 +54,35 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
-@lru_cache(maxsize=2)
-def encoder(file: str) -> Encoder:
-    """One encoder a worker; the file came along with the job."""
-    with open(SparkFiles.get(file), "rb") as f:
-        return Encoder(parse_ranks(f.read()))
+class Vocabulary(NamedTuple):
+    """A vocabulary file that goes with a job: its digest and its bytes."""
 
+    digest: str
+    data: Broadcast
 
-def ship(spark: SparkSession, path: str) -> str:
-    """Sends a vocabulary file to all executors; returns its name there."""
-    spark.sparkContext.addFile(path)
-    return path.rsplit("/", 1)[-1]
+
+_made: dict[tuple[str, str], object] = {}
+
+
+def once(kind: str, vocabulary: Vocabulary, make):
+    """What ``make`` builds of the file's bytes, once a worker."""
+    key = kind, vocabulary.digest
+    if key not in _made:
+        _made[key] = make(vocabulary.data.value)
+    return _made[key]
+
+
+def encoder(vocabulary: Vocabulary) -> Encoder:
+    return once("ranks", vocabulary, lambda data: Encoder(parse_ranks(data)))
+
+
+def ship(spark: SparkSession, path: str) -> Vocabulary:
+    """Sends a vocabulary file, of ``MAX_VOCABULARY`` bytes at most, to all executors; its path is the driver's."""
+    with open(path, "rb") as f:
+        data = f.read(MAX_VOCABULARY + 1)
+    if len(data) > MAX_VOCABULARY:
+        raise ValueError(f"{path} is no vocabulary: it has more than {MAX_VOCABULARY} bytes")
+    return Vocabulary(hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data))
 
 
 def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = RULE) -> np.ndarray:
@@ -100,7 +122,7 @@ def characters(text: str) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
 
 
-def _count(batches, ids: str, fields: list[str], lines: bool, file: str, rule: str):
+def _count(batches, ids: str, fields: list[str], lines: bool, file: Vocabulary, rule: str):
     own = encoder(file)
     for part in slices(batches, *fields):
         columns = [part.column(f).to_pylist() for f in fields]
@@ -145,7 +167,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...
     return out.withColumn("field", names[F.col("field")])
 
 
-def _lengths(batches, file: str):
+def _lengths(batches, file: Vocabulary):
     own = encoder(file).encoding
     for part in slices(batches, "text"):
         n = [len(own.encode_ordinary(t or "")) for t in part.column("text").to_pylist()]

@@ -90,3 +90,12 @@ def test_fields(spark):
     got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, title string, body string"), fields=("title", "body"), lines=False)
     assert [(r.doc_id, r.field, r.start, r.end) for r in got.orderBy("doc_id", "start", F.desc("field")).collect()] == [(1, "title", 0, 7), (1, "body", 7, 17), (2, "title", 0, 0), (2, "body", 0, 2), (3, "title", 0, 0), (3, "body", 0, 0)]
     assert tokens.totals(got).count() == 2
+
+
+def test_a_large_file_is_no_vocabulary(spark, tmp_path, monkeypatch):
+    path = tmp_path / "v"
+    path.write_bytes(b"YQ== 0\n")
+    assert tokens.ship(spark, str(path)).data.value == b"YQ== 0\n"
+    monkeypatch.setattr(tokens, "MAX_VOCABULARY", 3)
+    with pytest.raises(ValueError, match="no vocabulary"):
+        tokens.ship(spark, str(path))
