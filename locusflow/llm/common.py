@@ -44,3 +44,22 @@ def spare(df: DataFrame, *wanted: str) -> list[str]:
 def extended(schema: StructType, **added: str) -> StructType:
     """A copy of the schema with more fields (``StructType.add`` would change the DataFrame's own)."""
     return StructType([*schema.fields, *_parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in added.items())).fields])
+
+
+#: Bits of the bitmap that ``likely`` broadcasts: 8 MB.
+BITMAP_BITS = 1 << 26
+_ROW_BITS = 32_768  # of one row of the bitmap, as Spark's bitmap functions have them
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key`` (a hash) may be among those of ``wanted``: all that are, and a share of the others that grows with the keys wanted.
+
+    A bitmap of fixed size goes to all tasks, so that an exact join has less to move.
+    """
+    place = lambda: F.pmod(F.col(key), F.lit(BITMAP_BITS))
+    own = wanted.select(F.floor(place() / _ROW_BITS).cast("int").alias("_row"), (place() % _ROW_BITS).cast("long").alias("_bit"))
+    bitmap = own.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))  # BITMAP_BITS / _ROW_BITS rows of 4 KB at most
+    bit = (place() % _ROW_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, bit % 8) == 1
+    return rows.withColumn("_row", F.floor(place() / _ROW_BITS).cast("int")).join(F.broadcast(bitmap), "_row").filter(hit).select(*rows.columns)
