@@ -46,8 +46,8 @@ def extended(schema: StructType, **added: str) -> StructType:
     return StructType([*schema.fields, *_parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in added.items())).fields])
 
 
-#: Bits of the bitmap that ``likely`` broadcasts: 8 MB.
-BITMAP_BITS = 1 << 26
+#: Bits of the bitmap that ``likely`` broadcasts: 2 MB, whatever the size of the input.
+BITMAP_BITS = 1 << 24
 _ROW_BITS = 32_768  # of one row of the bitmap, as Spark's bitmap functions have them
 
 
