@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, sentencepiece, simhash, substring, tokens, topk, toxicity, urls
+from . import centroids, language, neighbours, packing, quality, sentencepiece, simhash, substring, tokens, topk, toxicity, urls
 from .common import crc_mod, table
 
 K = 35
@@ -59,6 +59,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeat_digest(table(spark, sf_dir, "documents"), k=K)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 SUBSTRING_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 x AS (SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w),
@@ -77,9 +85,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_sentencepiece, op3_toxicity, op4_url_filter, op5_token_counts, op6_exact_top_k, op7_language_id, op8_length_packing, op9_simhash, op10_substring_dedup)
+    own = (op1_quality_rules, op2_sentencepiece, op3_toxicity, op4_url_filter, op5_token_counts, op6_exact_top_k, op7_language_id, op8_length_packing, op9_simhash, op10_substring_dedup, op11_centroid_clusters, op12_nearest_neighbours)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op6_exact_top_k": topk.SQL, "op10_substring_dedup": SUBSTRING_SQL}
+    return {"op1_quality_rules": quality.SQL, "op6_exact_top_k": topk.SQL, "op10_substring_dedup": SUBSTRING_SQL, "op11_centroid_clusters": centroids.SQL}
