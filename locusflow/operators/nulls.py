@@ -7,6 +7,7 @@ Everything after the EM is joins and sums over the table of populations x loci x
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -20,6 +21,8 @@ from ..functions.cache import keep
 from . import resample
 
 MAX_ITER, TOLERANCE = 5000, 1e-6
+#: Values of replicates x pairs that a task holds at once.
+BATCH = 2_000_000
 
 
 def blank() -> Column:
@@ -33,6 +36,10 @@ def suggest_treatments(geno: DataFrame) -> DataFrame:
     return geno.groupBy("locus").agg(F.when(coded == 1, "null_homo").otherwise("absent").alias("treat"))
 
 
+def _allele_type(geno: DataFrame) -> str:
+    return geno.select(F.array("a1", "a2").alias("a")).schema["a"].dataType.elementType.simpleString()
+
+
 def observed(geno: DataFrame, treatments: DataFrame | None = None) -> DataFrame:
     """Per locus and population (all combinations): efpop, n_absent, n_null_homo, n_valid, treat and ``x``, an array of (allele, ii, ix).
 
@@ -50,7 +57,7 @@ def observed(geno: DataFrame, treatments: DataFrame | None = None) -> DataFrame:
     zero = F.lit(0).cast("long")
     return out.select(
         "locus", "pop", F.coalesce("efpop", zero).alias("efpop"), F.when(homo, zero).otherwise(F.coalesce("n_blank", zero)).alias("n_absent"), F.when(homo, F.col("n_blank")).otherwise(zero).alias("n_null_homo"),
-        F.coalesce(F.col("efpop") - F.col("n_blank"), zero).alias("n_valid"), F.when(homo, "null_homo").otherwise("absent").alias("treat"), F.coalesce("x", F.array().cast("array<struct<allele:int,ii:double,ix:double>>")).alias("x"),
+        F.coalesce(F.col("efpop") - F.col("n_blank"), zero).alias("n_valid"), F.when(homo, "null_homo").otherwise("absent").alias("treat"), F.coalesce("x", F.array().cast(f"array<struct<allele:{_allele_type(geno)},ii:double,ix:double>>")).alias("x"),
     )
 
 
@@ -99,9 +106,11 @@ def _em_batches(batches):
 
 
 def em_table(geno: DataFrame, treatments: DataFrame | None = None) -> DataFrame:
-    """``observed`` with rd and the corrected frequency p of each allele in ``x``."""
+    """``observed`` with rd and the corrected frequency p of each allele in ``x``.  Loci, populations and alleles keep their types."""
     own = observed(geno, treatments)
-    return own.mapInPandas(_em_batches, "locus string, pop int, efpop long, n_absent long, n_null_homo long, n_valid long, treat string, rd double, x array<struct<allele:int,ii:double,ix:double,p:double>>")
+    kind = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    names = ("locus", "pop", "efpop", "n_absent", "n_null_homo", "n_valid", "treat")
+    return own.mapInPandas(_em_batches, ", ".join(f"{n} {kind[n]}" for n in names) + f", rd double, x array<struct<allele:{_allele_type(geno)},ii:double,ix:double,p:double>>")
 
 
 def em_long(table: DataFrame) -> DataFrame:
@@ -271,18 +280,80 @@ def bootstrap_loci_chord(d: DataFrame, n: int, seed) -> DataFrame:
     return chord_pooled(resample.bootstrap_loci(d, n, seed), ("rep", "pop1", "pop2"))
 
 
+#: Numbers of a table of replicates x loci that is sent to tasks.
+MAX_DRAWS = 20_000_000
+_PARTS = ("s1_raw", "s3_raw", "nc_raw", "s1_ena", "s3_ena", "nc_ena")
+_POOLED = ("fst_raw", "fst_ena", "dcse_raw", "dcse_ina")
+
+
+def pooled_draws(times: np.ndarray, parts: np.ndarray) -> dict[str, np.ndarray]:
+    """The four statistics by replicate and pair: ``times`` says how often each replicate draws a locus, ``parts`` has the values of ``_PARTS`` and the two
+    distances by locus and pair (NaN where there are none).  NaN where a statistic isn't defined."""
+    out, there = {}, np.nan_to_num(parts)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for at, kind in ((0, "raw"), (3, "ena")):
+            top, below = times @ (there[at] * there[at + 2]), times @ (there[at + 1] * there[at + 2])
+            out[f"fst_{kind}"] = np.where(below > 0, top / below, np.nan)
+        for at, kind in ((6, "raw"), (7, "ina")):
+            n = times @ (~np.isnan(parts[at])).astype(float)
+            out[f"dcse_{kind}"] = np.where(n > 0, (times @ there[at]) / n, np.nan)
+    return out
+
+
+def _ends(values: np.ndarray, conf: float) -> tuple[np.ndarray, np.ndarray]:
+    """Interpolated quantiles over the replicates with a value; NaN under two of them."""
+    few = (~np.isnan(values)).sum(axis=0) < 2
+    values = np.where(few[None], 0.0, values)
+    return tuple(np.where(few, np.nan, np.nanquantile(values, q, axis=0)) for q in ((1 - conf) / 2, 1 - (1 - conf) / 2))
+
+
 def shared_intervals(whole: DataFrame, pair: DataFrame, chords: DataFrame, n: int, seed, conf: float = 0.95) -> DataFrame:
     """``statistic, pop1, pop2, ci_l, ci_u``: FST over all (no populations), FST and chord distances of pairs, raw and corrected, from one draw of loci a replicate.
 
-    Replicates without a value are passed over; under two with one, intervals are null.
+    Replicates without a value are passed over; under two with one, intervals are null.  A replicate weighs loci by how often it draws them, so all replicates of a batch
+    of pairs are products of the weights with the pairs' loci, and only intervals leave a task.  Beyond ``MAX_DRAWS`` weights
+    the relational form gives the same.
     """
+    loci = [r["locus"] for r in whole.select("locus").union(pair.select("locus")).union(chords.select("locus")).distinct().orderBy("locus").collect()]
+    if n * len(loci) > MAX_DRAWS:
+        return shared_intervals_relational(whole, pair, chords, n, seed, conf)
+    spark, k = whole.sparkSession, len(loci)
+    drawn = np.array([[int(hashlib.md5(f"{seed}|{rep}|{slot}".encode()).hexdigest()[:8], 16) % k for slot in range(1, k + 1)] for rep in range(1, n + 1)], np.int64).reshape(n, k)  # as ``resample.draw`` does
+    times = np.zeros((n, k), np.float32)
+    np.add.at(times, (np.repeat(np.arange(n), k), drawn.ravel()), 1)
+    shared, at = spark.sparkContext.broadcast(times), {x: i for i, x in enumerate(loci)}  # MAX_DRAWS bounds them
+    step = max(1, BATCH // max(n, k, 1))
+
+    def run(batches):
+        weights = shared.value.astype(float)
+        for pdf in batches:
+            for a in range(0, len(pdf), step):
+                own = pdf.iloc[a : a + step]
+                parts = np.full((8, k, len(own)), np.nan)
+                for column, cells in enumerate(own["x"]):
+                    for cell in cells:
+                        parts[:, at[cell["locus"]], column] = [np.nan if v is None else v for v in cell["v"]]
+                for name, values in pooled_draws(weights, parts).items():
+                    low, high = _ends(values, conf)
+                    yield pd.DataFrame({"statistic": name, "pop1": own["pop1"].to_numpy(), "pop2": own["pop2"].to_numpy(), "ci_l": low, "ci_u": high})
+
+    names = {c: pair.schema[c].dataType.simpleString() for c in ("pop1", "pop2")}
+    cell = lambda *v: F.struct("locus", F.array(*v).alias("v")).alias("x")
+    every = whole.select(*[F.lit(None).cast(names[c]).alias(c) for c in names], cell(*_PARTS, *[F.lit(None).cast("double")] * 2))
+    own = every.unionByName(pair.join(chords, ["pop1", "pop2", "locus"], "full").select("pop1", "pop2", cell(*_PARTS, "dcse_raw", "dcse_ina")))
+    rows = own.groupBy("pop1", "pop2").agg(F.collect_list("x").alias("x"))  # a cell for each locus
+    out = rows.mapInPandas(run, f"statistic string, pop1 {names['pop1']}, pop2 {names['pop2']}, ci_l double, ci_u double").filter(F.col("pop1").isNotNull() | F.col("statistic").startswith("fst"))
+    return out.select("statistic", "pop1", "pop2", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("ci_l", "ci_u")])
+
+
+def shared_intervals_relational(whole: DataFrame, pair: DataFrame, chords: DataFrame, n: int, seed, conf: float = 0.95) -> DataFrame:
+    """The same with a row for each replicate, locus and pair."""
     long = lambda x, names, *keys: x.select("rep", *(keys or [F.lit(None).cast(pair.schema["pop1"].dataType).alias(k) for k in ("pop1", "pop2")]), F.explode(F.array(*[F.struct(F.lit(v).alias("statistic"), F.col(v).alias("v")) for v in names])).alias("s")).select("rep", "pop1", "pop2", "s.*")
     loci = whole.select("locus").union(pair.select("locus")).union(chords.select("locus")).distinct()
     draws = resample.draw(loci, "locus", n, seed)
-    fst, dcse = ("fst_raw", "fst_ena"), ("dcse_raw", "dcse_ina")
-    every = long(fst_pooled(draws.join(whole, "locus"), ["rep"]), [*fst])
-    pairs_ = long(fst_pooled(draws.join(pair, "locus"), ["rep", "pop1", "pop2"]), [*fst], "pop1", "pop2")
-    apart = long(chord_pooled(draws.join(chords, "locus"), ("rep", "pop1", "pop2")), [*dcse], "pop1", "pop2")
+    every = long(fst_pooled(draws.join(whole, "locus"), ["rep"]), [*_POOLED[:2]])
+    pairs_ = long(fst_pooled(draws.join(pair, "locus"), ["rep", "pop1", "pop2"]), [*_POOLED[:2]], "pop1", "pop2")
+    apart = long(chord_pooled(draws.join(chords, "locus"), ("rep", "pop1", "pop2")), [*_POOLED[2:]], "pop1", "pop2")
     ends = [F.when(F.count("v") >= 2, F.percentile("v", F.lit(p))) for p in ((1 - conf) / 2, 1 - (1 - conf) / 2)]
     return every.unionByName(pairs_).unionByName(apart).groupBy("statistic", "pop1", "pop2").agg(ends[0].alias("ci_l"), ends[1].alias("ci_u"))
 

@@ -34,16 +34,16 @@ def _local(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _wide(s, d) -> DataFrame:
+def _wide(s, d, nulls: bool = False) -> DataFrame:
     """Genotypes as a file has them: population and coordinates, an id, and a text for each locus."""
-    g = genotypes(s, d).withColumn("g", F.concat_ws("/", "a1", "a2"))
+    g = genotypes(s, d, nulls).withColumn("g", F.concat_ws("/", "a1", "a2"))
     w = g.groupBy(F.col("indiv").alias("HostInd"), "pop").pivot("locus", LOCI).agg(F.first("g"))
     return w.join(coordinates(genotypes(s, d)), "pop").select(F.concat(F.lit("Île"), F.col("pop")).alias("Population"), F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), "HostInd", *LOCI)
 
 
-def _file(s, d) -> ingest.Raw:
+def _file(s, d, nulls: bool = False) -> ingest.Raw:
     path = _place(s, "wide")
-    export.write_table(_wide(s, d), path)
+    export.write_table(_wide(s, d, nulls), path)
     return ingest.read_delimited(s, path)
 
 
@@ -94,6 +94,32 @@ def ingest_meta(s, d):
     return rounded(meta.groupBy(F.col("Population").alias("population"), F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon")).agg(F.count("*").alias("n"), F.countDistinct("individual").alias("n_ids"), F.sum(F.col("HostInd").cast("long")).alias("id_sum")), "lat", "lon")
 
 
+def _file_nulls(s, d, name: str) -> DataFrame:
+    """A table of the null-allele analysis of a file: populations are the file's names, blanks with null codes tell the loci with null homozygotes."""
+    raw = _file(s, d, nulls=True)
+    geno = ingest.build_genotypes(raw, ingest.detect_columns(raw.rows, raw.columns, ingest.missing_code("0")))
+    chosen = F.when(F.col("locus").isin(*null_queries.HOMO), "null_homo").otherwise("absent")
+    return pipelines.null_alleles(geno, geno.select("locus").distinct().withColumn("treat", chosen))[name]
+
+
+def file_null_t1(s, d):
+    return _file_nulls(s, d, "t1")
+
+
+def file_null_t2(s, d):
+    return _file_nulls(s, d, "t2")
+
+
+def file_null_pairs(s, d):
+    return _file_nulls(s, d, "pairs").select("pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("fst_raw", "fst_ena", "dcse_raw", "dcse_ina")])
+
+
+def file_null_locus_pairs(s, d):
+    """FST and chord distances of each pair at each locus, from the file."""
+    raw, chords = _file_nulls(s, d, "fst_by_locus_pair"), _file_nulls(s, d, "dcse_by_locus_pair")
+    return raw.join(chords.select("locus", "pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("dcse_raw", "dcse_ina")]), ["locus", "pop1", "pop2"])
+
+
 def export_table(s, d):
     """Allele counts written as delimited files and read back."""
     path = _place(s, "counts")
@@ -221,12 +247,23 @@ def mantel_columns(s, d):
     return s.createDataFrame(rows, "what string, value string")
 
 
-_QUERIES = [ingest_string, ingest_paired, ingest_duplicates, ingest_columns, ingest_meta, export_table, export_report, export_null_bundle, export_half_matrices, export_ibd_report, params_store, table_saved, stream_counts, mantel_incomplete, pairs_filtered, pairs_file, distance_file, mantel_columns]
+_QUERIES = [file_null_t1, file_null_t2, file_null_pairs, file_null_locus_pairs, ingest_string, ingest_paired, ingest_duplicates, ingest_columns, ingest_meta, export_table, export_report, export_null_bundle, export_half_matrices, export_ibd_report, params_store, table_saved, stream_counts, mantel_incomplete, pairs_filtered, pairs_file, distance_file, mantel_columns]
 
 _TALLY = "SELECT 'Île' || pop AS pop, locus, a1::INT AS a1, a2::INT AS a2, count(*) AS n FROM geno GROUP BY ALL"
 _LIN = lambda x: f"CASE WHEN {x} IS NOT NULL THEN greatest(0, least(0.9999, {x})) / (1 - greatest(0, least(0.9999, {x}))) END"
 _HALF = " UNION ALL ".join(f"SELECT locus, '{v}' AS statistic, pop1, pop2, {v} AS value FROM ({NULLS['fst_locus_pair']}) WHERE {v} IS NOT NULL" for v in ("fst_raw", "fst_ena"))
+
+
+def _named(sql: str) -> str:
+    """The same with the names that the file has."""
+    return sql.replace("geno AS (", "numbered AS (", 1).replace("valid AS (", "geno AS (SELECT indiv, 'Île' || pop AS pop, locus, a1, a2, coded FROM numbered),\nvalid AS (", 1)
+
+
 _ORACLE = {
+    "file_null_t1": _named(NULLS["null_t1"]),
+    "file_null_t2": _named(NULLS["null_t2"]),
+    "file_null_pairs": f"SELECT * FROM ({_named(NULLS['fst_pair'])}) JOIN ({_named(NULLS['dcse_pair'])}) USING (pop1, pop2)",
+    "file_null_locus_pairs": f"SELECT * FROM ({_named(NULLS['fst_locus_pair'])}) JOIN ({_named(NULLS['dcse_locus_pair'])}) USING (locus, pop1, pop2)",
     "ingest_string": q(_TALLY),
     "ingest_paired": q(_TALLY),
     "ingest_duplicates": q("SELECT 'Île' || pop AS pop, locus, a1::INT AS a1, a2::INT AS a2, count(*) AS n FROM geno GROUP BY ALL UNION ALL SELECT 'separator', chr(9), 0, 0, (SELECT count(DISTINCT indiv) FROM geno WHERE indiv % 100 = 0) UNION ALL SELECT 'column', c, 0, 0, i FROM (VALUES ('Population', 0), ('L1', 1), ('L1_1', 2), ('L2', 3), ('L2_1', 4), ('L3', 5), ('L3_1', 6), ('L4', 7), ('L4_1', 8), ('L5', 9), ('L5_1', 10), ('L6', 11), ('L6_1', 12)) t(c, i)"),
