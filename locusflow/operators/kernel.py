@@ -4,8 +4,9 @@ Replicates are dealt to tasks; each carries the packed matrix and draws by (seed
 don't depend on how replicates are dealt, or on a task that runs again.  The size of the matrix is checked
 before anything is collected.
 
-``engine`` names the draws: ``kernel`` has a counter-based generator, and raises beyond ``MAX_CELLS``; ``relational`` ranks by md5, as the operators of
-``resample`` do; ``auto`` ranks by the same md5 numbers, here up to ``MAX_CELLS`` and by ``resample`` beyond, so a seed has one result at every size.
+``engine`` names the draws: ``kernel`` computes shuffled labels (``labels``) and draws shuffled alleles from margins (``margins``), which needs no matrix; ``relational`` ranks by md5, as the operators of
+``resample`` do; ``auto`` ranks by the same md5 numbers, here up to ``MAX_CELLS`` and by ``resample`` beyond.  Each has one result for a seed at every size.
+Only linkage (``ld_p_values``) with ``kernel`` raises beyond ``MAX_CELLS``.
 """
 
 from __future__ import annotations
@@ -19,10 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import valid
-from . import counts, gstat, resample, wc84
+from . import counts, gstat, labels, margins, resample, wc84
 
 #: Genotypes of a matrix that is sent to every task: 4 bytes each.
 MAX_CELLS = 20_000_000
@@ -55,28 +55,44 @@ def cells(geno: DataFrame) -> int:
     return geno.filter(valid()).count()
 
 
-def collect(geno: DataFrame, limit: int = MAX_CELLS) -> Matrix:
-    """The packed matrix; raises beyond the limit.  Loci and alleles become numbers in Spark, and columns travel as Arrow."""
-    if cells(geno) > limit:
+def _numbers(values: pa.ChunkedArray) -> tuple[list, np.ndarray]:
+    """The distinct values in order, and each one's place."""
+    own = values.combine_chunks()
+    if pa.types.is_integer(own.type):
+        found, at = np.unique(own.to_numpy(zero_copy_only=False), return_inverse=True)
+        return found.tolist(), at
+    found = pc.unique(own)
+    found = found.take(pc.sort_indices(found))
+    return found.to_pylist(), pc.index_in(own, value_set=found).to_numpy()
+
+
+def collect(geno: DataFrame, limit: int | None = None) -> Matrix:
+    """The packed matrix; raises beyond ``MAX_CELLS`` or the limit.  Populations and loci become numbers in Spark, cells travel as Arrow."""
+    limit = MAX_CELLS if limit is None else limit
+    name = F.col("pop").cast("string")
+    table = geno.groupBy(name.alias("pop"), "locus").agg(F.count_if(valid()).alias("n")).collect()  # populations x loci
+    if sum(r["n"] for r in table) > limit:
         raise ValueError(f"more than {limit} genotypes; use the relational engine")
-    people = geno.select("indiv", F.col("pop").cast("string").alias("pop")).distinct().orderBy("indiv", "pop").toArrow()
-    indiv, pop = people.column("indiv").combine_chunks(), people.column("pop")
-    pops = sorted(pc.unique(pop).to_pylist())
-    loci = [r["locus"] for r in geno.select("locus").distinct().orderBy("locus").collect()]
-    ok = geno.filter(valid())
-    alleles = ok.select("locus", F.explode(F.array("a1", "a2")).alias("allele")).distinct()
-    coded = alleles.withColumn("code", F.dense_rank().over(Window.partitionBy("locus").orderBy("allele")) - 1)
-    first, second = (coded.select("locus", F.col("allele").alias(a), F.col("code").cast("int").alias(c)) for a, c in (("a1", "x"), ("a2", "y")))
-    numbered = geno.sparkSession.createDataFrame(list(zip(loci, range(len(loci)), strict=True)), geno.select("locus", F.lit(0).alias("j")).schema)
-    rows = ok.select("indiv", "locus", "a1", "a2").join(first, ["locus", "a1"]).join(second, ["locus", "a2"]).join(numbered, "locus").select("indiv", "j", "x", "y").toArrow()
-    at, j = pc.index_in(rows.column("indiv"), value_set=indiv).to_numpy(), rows.column("j").to_numpy()
-    a1, a2 = (np.full((len(indiv), len(loci)), -1, np.int16) for _ in range(2))
-    a1[at, j], a2[at, j] = rows.column("x").to_numpy(), rows.column("y").to_numpy()
-    named = {x: [] for x in loci}
-    for r in coded.orderBy("locus", "code").collect():  # loci x alleles
-        named[r["locus"]].append(r["allele"])
-    where = pc.index_in(pop, value_set=pa.array(pops, pa.string())).to_numpy().astype(np.int32)
-    return Matrix([str(x) for x in indiv.to_pylist()], where, loci, a1, a2, [len(named[x]) for x in loci], pops, [np.array(named[x], np.int64) for x in loci])
+    pops, loci = sorted({r["pop"] for r in table}), sorted({r["locus"] for r in table})
+    spark = geno.sparkSession
+    of_pop = spark.createDataFrame(list(zip(pops, range(len(pops)), strict=True)), "_pop string, p int")
+    of_locus = spark.createDataFrame(list(zip(loci, range(len(loci)), strict=True)), geno.select(F.col("locus").alias("_locus"), F.lit(0).alias("j")).schema)
+    allele = lambda c: F.when(valid(), F.col(c)).otherwise(0).cast("long").alias(c)
+    rows = geno.join(of_pop, name == F.col("_pop")).join(of_locus, F.col("locus") == F.col("_locus")).select("indiv", "p", "j", allele("a1"), allele("a2")).toArrow()
+    names, who = _numbers(rows.column("indiv"))
+    p, j, x, y = (rows.column(c).to_numpy().astype(np.int64) for c in ("p", "j", "a1", "a2"))
+    people, at = np.unique(who * max(len(pops), 1) + p, return_inverse=True)
+    a1, a2 = (np.full((len(people), len(loci)), -1, np.int16) for _ in range(2))
+    ok = x > 0
+    alleles = []
+    order = np.argsort(j[ok], kind="stable")
+    edge = np.searchsorted(j[ok][order], np.arange(len(loci) + 1))
+    x, y, at, j = x[ok][order], y[ok][order], at[ok][order], j[ok][order]
+    for n in range(len(loci)):
+        own = slice(edge[n], edge[n + 1])
+        alleles.append(np.unique(np.concatenate([x[own], y[own]])))
+        a1[at[own], n], a2[at[own], n] = np.searchsorted(alleles[n], x[own]), np.searchsorted(alleles[n], y[own])
+    return Matrix([str(names[i]) for i in people // max(len(pops), 1)], (people % max(len(pops), 1)).astype(np.int32), loci, a1, a2, [len(v) for v in alleles], pops, alleles)
 
 
 def statistics(pop: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, n_pops: int) -> tuple[float, float, float, float]:
@@ -139,15 +155,12 @@ def md5_order(front: str, names: list[str], by: np.ndarray | None = None) -> np.
     return np.lexsort((key[:, 1], key[:, 0]) if by is None else (key[:, 1], key[:, 0], by))
 
 
-def moved(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str, md5: bool):
-    """For each locus the populations and the two allele codes of a replicate's genotypes."""
-    rng = None if md5 else np.random.Generator(np.random.Philox(key=[seed, rep]))
-    labels = None
-    if scheme == "labels":
-        labels = (m.pop[md5_order(f"{seed}|{rep}", m.names)] if md5 else rng.permutation(m.pop)).astype(np.int64)
+def moved(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str):
+    """For each locus the populations and the two allele codes of a replicate's genotypes, ranked by md5."""
+    new = m.pop[md5_order(f"{seed}|{rep}", m.names)].astype(np.int64) if scheme == "labels" else None
     for x in loci:
-        copies, pop = x.copies, x.pop if labels is None else labels[x.rows]
-        if md5 and labels is None:
+        copies, pop = x.copies, x.pop if new is None else new[x.rows]
+        if new is None:
             # places are individuals in order, so the global scheme leaves the order of populations
             home = np.arange(len(x.rows)) if scheme == "alleles_within" else np.argsort(x.rows, kind="stable")
             own = (2 * home[:, None] + np.arange(2)).ravel()
@@ -155,16 +168,17 @@ def moved(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str, md5: bool):
             order = own[md5_order(f"{seed}|{rep}|{x.name}", names, x.place if scheme == "alleles_within" else None)]
             copies = np.empty_like(copies)
             copies[own] = x.copies[order]
-        elif scheme == "alleles_global":
-            copies = rng.permutation(copies)
-        elif scheme == "alleles_within":  # populations stay in order, and fractions mix the copies inside each
-            copies = copies[np.argsort(x.place + rng.random(len(x.place)) * 0.999)]
         yield x, pop, copies[0::2], copies[1::2]
 
 
-def one(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str, md5: bool) -> list[tuple]:
+def one(m: Matrix, loci: list[Locus], rep: int, seed, scheme: str) -> list[tuple]:
     """Rows of a replicate: rep, locus, fst, fit, fis, g."""
-    return [(rep, x.name, *statistics(pop, a, b, x.k, m.n_pops)) for x, pop, a, b in moved(m, loci, rep, seed, scheme, md5)]
+    return [(rep, x.name, *statistics(pop, a, b, x.k, m.n_pops)) for x, pop, a, b in moved(m, loci, rep, seed, scheme)]
+
+
+def _matrix(geno: DataFrame) -> Matrix | None:
+    """None where the genotypes are too many for one."""
+    return collect(geno) if cells(geno) <= MAX_CELLS else None
 
 
 def _relational(geno: DataFrame, engine: str) -> bool:
@@ -177,7 +191,7 @@ def permute(geno: DataFrame, n: int, seed: int = 1, scheme: str = "labels", engi
     """``rep, locus, fst, fit, fis, g`` of n permutations.
 
     ``scheme``: population labels over individuals; allele copies within population and locus; or allele copies
-    over all individuals of a locus.  ``engine`` as above: kernel is the fastest, auto has one result at every size.
+    over all individuals of a locus.  ``engine`` as above: kernel is the fastest.
     """
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {SCHEMES}")
@@ -185,14 +199,15 @@ def permute(geno: DataFrame, n: int, seed: int = 1, scheme: str = "labels", engi
         moved = resample.permute_labels(geno, n, seed) if scheme == "labels" else resample.permute_alleles(geno, n, seed, scheme == "alleles_within")
         c = counts.allele_counts(moved, ["rep"])
         return wc84.observed(c, ["rep"]).join(gstat.g_by_locus(c, ["rep"]), ["rep", "locus"]).select("rep", "locus", "fst", "fit", "fis", "g")
-    spark, md5 = geno.sparkSession, engine == "auto"
-    shared = spark.sparkContext.broadcast(collect(geno))  # size checked by collect
+    if engine == "kernel":
+        return labels.permute(geno, n, seed, _matrix(geno)) if scheme == "labels" else margins.permute(geno, n, seed, scheme)
+    spark, m = geno.sparkSession, collect(geno)
+    shared = spark.sparkContext.broadcast((m, prepared(m)))  # size checked by collect
 
     def run(batches):
-        m = shared.value
-        loci = prepared(m)
+        m, loci = shared.value
         for pdf in batches:
-            rows = [r for rep in pdf["rep"] for r in one(m, loci, int(rep), seed, scheme, md5)]
+            rows = [r for rep in pdf["rep"] for r in one(m, loci, int(rep), seed, scheme)]
             yield pd.DataFrame(rows, columns=["rep", "locus", "fst", "fit", "fis", "g"])
 
     tasks = max(1, min(-(-n // REPS_PER_TASK), MAX_TASKS))
@@ -216,12 +231,12 @@ def _counted(m: Matrix, j: int, rep: int, pop: np.ndarray, a: np.ndarray, b: np.
 
 def _count_table(geno: DataFrame, n: int, rows) -> DataFrame:
     """``rep, locus, pop, allele, c, h`` of what ``rows(matrix, prepared loci, replicate)`` yields."""
-    spark = geno.sparkSession
-    shared = spark.sparkContext.broadcast(collect(geno))  # size checked by collect
+    spark, m = geno.sparkSession, collect(geno)
+    shared = spark.sparkContext.broadcast((m, prepared(m)))  # size checked by collect
 
     def run(batches):
-        m = shared.value
-        loci, names, pops = prepared(m), np.array(m.loci, object), np.array(m.pops, object)
+        m, loci = shared.value
+        names, pops = np.array(m.loci, object), np.array(m.pops, object)
         for pdf in batches:
             for rep in pdf["rep"].tolist():
                 parts = list(rows(m, loci, rep))
@@ -242,10 +257,11 @@ def permuted_counts(geno: DataFrame, n: int, seed: int | str = 1, scheme: str =
     if _relational(geno, engine):
         relational = resample.permute_labels(geno, n, seed) if scheme == "labels" else resample.permute_alleles(geno, n, seed, scheme == "alleles_within")
         return counts.allele_counts(relational, ["rep"])
-    md5 = engine == "auto"
+    if engine == "kernel":
+        return labels.permuted_counts(geno, n, seed, _matrix(geno)) if scheme == "labels" else margins.permuted_counts(geno, n, seed, scheme)
 
     def rows(m: Matrix, loci: list[Locus], rep: int):
-        for j, (_, pop, a, b) in enumerate(moved(m, loci, rep, seed, scheme, md5)):
+        for j, (_, pop, a, b) in enumerate(moved(m, loci, rep, seed, scheme)):
             yield _counted(m, j, rep, pop, a, b)
 
     return _count_table(geno, n, rows)

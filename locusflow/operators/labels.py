@@ -1,0 +1,253 @@
+"""Shuffles of population labels over individuals, computed and not sorted.
+
+Individuals are numbered so that populations lie one after another.  A replicate is a permutation of the numbers by a Feistel network
+(from ``LISTED`` individuals on) keyed by (seed, replicate): the place of individual i, and so its new population, follows from i, the number of individuals and the
+populations' sizes alone.  No task needs the labels of others, so genotypes stay in blocks: each block
+counts the alleles that its individuals bring to each population, and blocks' counts are added.
+
+Up to ``kernel.MAX_CELLS`` genotypes the whole matrix is one block that goes to all tasks, which share the replicates.
+"""
+
+from __future__ import annotations
+
+import functools
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import valid
+from . import resample
+from .margins import CHUNK, MAX_TASKS, STATISTICS, generator, statistics
+
+#: Rounds of a network, and individuals whose permutations are listed instead.
+ROUNDS, LISTED = 8, 100_000
+#: Genotypes of a block on average, loci of a block at most, bytes of counts that a block makes at once, and genotypes of which tables of labels are looked up rather than searched.
+BLOCK_CELLS, BLOCK_LOCI, BLOCK_BYTES, LOOKED_UP = 2_000_000, 256, 64 << 20, 20_000_000
+#: Alleles of all loci together, whose codes go to all tasks.
+MAX_ALLELES = 1_000_000
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _below(x: np.ndarray, key: np.uint64, limit: np.uint64) -> np.ndarray:
+    """A number under the limit that looks random."""
+    z = (x + key) * _M1
+    z ^= z >> np.uint64(29)
+    z *= _M2
+    z >>= np.uint64(32)
+    return (z * limit) >> np.uint64(32)
+
+
+def keys(seed, rep: int) -> np.ndarray:
+    return generator(seed, "labels", rep).integers(0, 1 << 64, ROUNDS, np.uint64, endpoint=False)
+
+
+def moved(i: np.ndarray, n: int, seed, rep: int) -> np.ndarray:
+    """Where a replicate puts each of i: by a network, or by a list of all where these are few, as a network's parts would be too small to mix well."""
+    return generator(seed, "labels", rep).permutation(n)[i] if n <= LISTED else places(i, n, keys(seed, rep))
+
+
+def places(i: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
+    """Where a permutation of 0..n-1 puts each of i.
+
+    Numbers are split as i = left * b + right with a * b just above n; rounds add to one part what a hash makes of the other.  What falls
+    beyond n goes round again.
+    """
+    a = int(np.ceil(np.sqrt(n)))
+    b = -(-n // max(a, 1))
+    a_, b_, top = np.uint64(a), np.uint64(b), np.uint64(n)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x // b_, x % b_
+        for r in range(0, ROUNDS, 2):
+            left = left + _below(right, key[r], a_)
+            left -= np.where(left >= a_, a_, np.uint64(0))
+            right = right + _below(left, key[r + 1], b_)
+            right -= np.where(right >= b_, b_, np.uint64(0))
+        return left * b_ + right
+
+    out = once(np.asarray(i, np.uint64))
+    while (far := np.flatnonzero(out >= top)).size:
+        out[far] = once(out[far])
+    return out.astype(np.int64)
+
+
+class Labels:
+    """The populations' sizes, in order."""
+
+    def __init__(self, pops: list[str], sizes: np.ndarray):
+        self.pops, self.edge = pops, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.n = int(self.edge[-1])
+
+    def of(self, place: np.ndarray) -> np.ndarray:
+        return self.table[place] if self.table is not None else np.searchsorted(self.edge, place, side="right") - 1
+
+    @functools.cached_property
+    def table(self) -> np.ndarray | None:
+        """The population of each place, made where it is used."""
+        return np.repeat(np.arange(len(self.pops)), np.diff(self.edge)) if self.n <= LOOKED_UP else None
+
+
+def tally(own: Labels, numbers: np.ndarray, loci: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], seed, reps):
+    """For each locus copies and heterozygous carriers, both replicates x populations x alleles.
+
+    ``numbers`` are individuals; a locus has rows into these, two allele codes and how many alleles there are.
+    """
+    p = len(own.pops)
+    classes = []
+    for rows, x, y, k in loci:
+        lo, hi = np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
+        kind, code = np.unique(lo * k + hi, return_inverse=True)
+        copies, carriers = np.zeros((len(kind), k), np.int64), np.zeros((len(kind), k), np.int64)
+        first, second = kind // k, kind % k
+        np.add.at(copies, (np.arange(len(kind)), first), 1)
+        np.add.at(copies, (np.arange(len(kind)), second), 1)
+        carriers[first != second] = copies[first != second]
+        classes.append((rows, code, copies, carriers))
+    out = [(np.zeros((len(reps), p, k), np.int32), np.zeros((len(reps), p, k), np.int32)) for *_, k in loci]
+    for r, rep in enumerate(reps):
+        label = own.of(moved(numbers, own.n, seed, int(rep)))
+        for (rows, code, copies, carriers), (c, h) in zip(classes, out, strict=True):
+            t = np.bincount(label[rows] * len(copies) + code, minlength=p * len(copies)).reshape(p, -1)
+            c[r], h[r] = t @ copies, t @ carriers
+    return out
+
+
+# -- one block for all ------------------------------------------------------------------------
+
+
+def from_matrix(m) -> tuple[Labels, np.ndarray, list]:
+    """The numbers of the individuals of a ``kernel.Matrix``, and its loci as ``tally`` takes them."""
+    order = np.argsort(m.pop, kind="stable")
+    numbers = np.empty(len(order), np.int64)
+    numbers[order] = np.arange(len(order))
+    loci = []
+    for j in range(len(m.loci)):
+        rows = np.flatnonzero(m.a1[:, j] >= 0)
+        loci.append((rows, m.a1[rows, j], m.a2[rows, j], m.k[j]))
+    return Labels(m.pops, np.bincount(m.pop, minlength=m.n_pops)), numbers, loci
+
+
+def _chunk(n: int, chunk: int) -> np.ndarray:
+    return np.arange(1 + chunk * CHUNK, min(n, (chunk + 1) * CHUNK) + 1)
+
+
+def small(spark, m, n: int, seed, make, schema: str) -> DataFrame:
+    """``make(locus number, replicates, copies, carriers)`` of each locus and chunk, from the matrix."""
+    own, numbers, loci = from_matrix(m)
+    shared = spark.sparkContext.broadcast((own, numbers, loci))  # the matrix is checked
+
+    def run(batches):
+        own, numbers, loci = shared.value
+        for pdf in batches:
+            for chunk in pdf["id"].tolist():
+                reps = _chunk(n, chunk)
+                for j, (c, h) in enumerate(tally(own, numbers, loci, seed, reps)):
+                    yield make(j, reps, c, h)
+
+    chunks = -(-n // CHUNK)
+    return spark.range(0, chunks, 1, max(1, min(chunks, MAX_TASKS))).mapInPandas(run, schema)
+
+
+# -- blocks -----------------------------------------------------------------------------------
+
+
+class Coded:
+    """Populations, loci and alleles of a table in order, which are few beside its genotypes."""
+
+    def __init__(self, geno: DataFrame):
+        own = geno.withColumn("pop", F.col("pop").cast("string"))
+        sizes = {r["pop"]: r["n"] for r in own.select("indiv", "pop").distinct().groupBy("pop").agg(F.count("*").alias("n")).collect()}  # a row for each population
+        self.labels = Labels(sorted(sizes), np.array([sizes[p] for p in sorted(sizes)], np.int64))
+        found = geno.filter(valid()).select("locus", F.explode(F.array("a1", "a2")).alias("allele")).distinct().limit(MAX_ALLELES + 1).collect()
+        if len(found) > MAX_ALLELES:
+            raise ValueError(f"more than {MAX_ALLELES} alleles")
+        self.loci = [r["locus"] for r in geno.select("locus").distinct().orderBy("locus").collect()]
+        named = {x: [] for x in self.loci}
+        for r in found:
+            named[r["locus"]].append(r["allele"])
+        self.alleles = [np.array(sorted(named[x]), np.int64) for x in self.loci]
+
+
+def blocked(geno: DataFrame, n: int, seed, coded: Coded, make, schema: str) -> DataFrame:
+    """``make`` as in ``small``, from genotypes in blocks of individuals and loci."""
+    spark, own = geno.sparkSession, coded.labels
+    shared = spark.sparkContext.broadcast((own, coded.alleles))  # MAX_ALLELES bounds it
+    people = geno.select("indiv", F.col("pop").cast("string").alias("pop")).distinct()
+    number = dict(geno.dtypes)["indiv"] in ("tinyint", "smallint", "int", "bigint")
+    key = resample._hex(F.col("indiv").cast("long")) if number else F.hex(F.col("indiv").cast("string"))
+    top = int(np.diff(own.edge).max(initial=0))
+    ranks = resample.ranked(people.withColumn("_k", key), ["pop"], "_k", ["indiv"], "_r", resample.digits_for(top))
+    starts = spark.createDataFrame(list(zip(own.pops, own.edge[:-1].tolist(), strict=True)), "pop string, _start long")
+    numbered = ranks.join(starts, "pop").select("indiv", F.col("pop").alias("_pop"), (F.col("_start") + F.col("_r") - 1).alias("i"))
+    names = spark.createDataFrame(list(zip(coded.loci, range(len(coded.loci)), strict=True)), geno.select("locus", F.lit(0).alias("j")).schema)
+    cells = geno.filter(valid()).select("indiv", F.col("pop").cast("string").alias("_pop"), "locus", F.col("a1").cast("long").alias("a1"), F.col("a2").cast("long").alias("a2"))
+    wide = min(len(coded.loci), BLOCK_LOCI)
+    size = max(1, BLOCK_CELLS // max(wide, 1))
+    chunks = -(-n // CHUNK)
+    # counts that a block makes of one chunk, for its loci
+    bytes_ = 8 * CHUNK * len(own.pops) * max((sum(len(a) for a in coded.alleles[b : b + BLOCK_LOCI]) for b in range(0, len(coded.loci), BLOCK_LOCI)), default=1)
+    at_once = max(1, BLOCK_BYTES // max(bytes_, 1))
+    parts = -(-chunks // at_once)
+    rows = cells.join(numbered, ["indiv", "_pop"]).join(names, "locus").select("i", "j", "a1", "a2", F.floor(F.col("i") / size).alias("block"), F.floor(F.col("j") / BLOCK_LOCI).alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+    def count(key, t):
+        own, alleles = shared.value
+        i, j, a1, a2 = (t.column(c).to_numpy() for c in ("i", "j", "a1", "a2"))
+        numbers, row = np.unique(i, return_inverse=True)
+        present, loci = np.unique(j), []
+        for x in present.tolist():
+            at = np.flatnonzero(j == x)
+            loci.append((row[at], np.searchsorted(alleles[x], a1[at]), np.searchsorted(alleles[x], a2[at]), len(alleles[x])))
+        part, out = key[2].as_py(), {"j": [], "chunk": [], "c": [], "h": []}
+        for chunk in range(part * at_once, min(chunks, (part + 1) * at_once)):
+            for x, (c, h) in zip(present.tolist(), tally(own, numbers, loci, seed, _chunk(n, chunk)), strict=True):
+                for name, value in (("j", x), ("chunk", chunk), ("c", c.ravel()), ("h", h.ravel())):
+                    out[name].append(value)
+        return pa.table({"j": pa.array(out["j"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int32()), **{v: pa.array(out[v], pa.list_(pa.int32())) for v in "ch"}})
+
+    def add(key, t):
+        own, alleles = shared.value
+        j, chunk = (x.as_py() for x in key)
+        reps, k = _chunk(n, chunk), len(alleles[j])
+        shape = (len(reps), len(own.pops), k)
+        c, h = (sum(x.values.to_numpy().astype(np.int64) for x in t.column(v)).reshape(shape) for v in "ch")
+        return pa.Table.from_pandas(make(j, reps, c, h), preserve_index=False)
+
+    counted = rows.groupBy("block", "lb", "part").applyInArrow(count, "j int, chunk int, c array<int>, h array<int>")
+    return counted.groupBy("j", "chunk").applyInArrow(add, schema)
+
+
+# -- what is made of the counts -----------------------------------------------------------------
+
+
+def permute(geno: DataFrame, n: int, seed, collected=None) -> DataFrame:
+    """``rep, locus, fst, fit, fis, g`` of n shuffles; ``collected`` is the matrix where there is one."""
+    kind = geno.schema["locus"].dataType.simpleString()
+    schema = f"rep long, locus {kind}, " + ", ".join(f"{v} double" for v in STATISTICS)
+    coded = None if collected else Coded(geno)
+    loci = collected.loci if collected else coded.loci
+
+    def make(j, reps, c, h) -> pd.DataFrame:
+        return pd.DataFrame({"rep": reps, "locus": loci[j], **statistics(c.astype(np.int64), h.sum(axis=1))})
+
+    out = small(geno.sparkSession, collected, n, seed, make, schema) if collected else blocked(geno, n, seed, coded, make, schema)
+    return out.select("rep", "locus", *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in STATISTICS])
+
+
+def permuted_counts(geno: DataFrame, n: int, seed, collected=None) -> DataFrame:
+    """``counts.allele_counts`` with ``rep`` of n shuffles."""
+    kind = {f.name: f.dataType.simpleString() for f in geno.schema.fields}
+    coded = None if collected else Coded(geno)
+    loci, alleles = (collected or coded).loci, (collected or coded).alleles
+    pops = np.array(collected.pops if collected else coded.labels.pops, object)
+
+    def make(j, reps, c, h) -> pd.DataFrame:
+        r, p, a = np.nonzero(c)
+        return pd.DataFrame({"rep": reps[r], "locus": loci[j], "pop": pops[p], "allele": alleles[j][a], "c": c[r, p, a].astype(np.int64), "h": h[r, p, a].astype(np.int64)})
+
+    schema = f"rep long, locus {kind['locus']}, pop string, allele long, c long, h long"
+    out = small(geno.sparkSession, collected, n, seed, make, schema) if collected else blocked(geno, n, seed, coded, make, schema)
+    return out.select("rep", "locus", F.col("pop").cast(kind["pop"]).alias("pop"), F.col("allele").cast(kind["a1"]).alias("allele"), "c", "h")
