@@ -1,10 +1,13 @@
-"""Shuffles of population labels over individuals, computed and not sorted.
+"""Replicates of individuals that stay in blocks: shuffled population labels and bootstrap weights, computed and not sorted.
 
-Individuals are numbered so that populations lie one after another.  A replicate is a permutation of the numbers by a Feistel network
-(from ``LISTED`` individuals on) keyed by (seed, replicate): the place of individual i, and so its new population, follows from i, the number of individuals and the
-populations' sizes alone.  No task needs the labels of others, so genotypes stay in blocks: each block
+Individuals are numbered so that populations lie one after another; what a replicate does to individual i follows from i, the populations'
+sizes and a key of (seed, replicate).  No task needs to know of individuals in other blocks: each block
 counts the alleles that its individuals bring to each population, and blocks' counts are added.
 
+* Shuffled labels: a permutation of the numbers by a Feistel network (from ``LISTED`` individuals on) tells the place, and so the new population.
+* Weights of a bootstrap within populations: a population's draws are split between halves of its individuals by binomial numbers, and so on down to leaves of
+  ``LEAF`` individuals, which draw one by one.  A split is keyed by its node, so weights don't depend on blocks and add up to the population's size.
+
 Up to ``kernel.MAX_CELLS`` genotypes the whole matrix is one block that goes to all tasks, which share the replicates.
 """
 
@@ -22,8 +25,8 @@ from ..functions import valid
 from . import resample
 from .margins import CHUNK, MAX_TASKS, STATISTICS, generator, statistics
 
-#: Rounds of a network, and individuals whose permutations are listed instead.
-ROUNDS, LISTED = 8, 100_000
+#: Rounds of a network, individuals whose permutations are listed instead, and individuals of a leaf of splits.
+ROUNDS, LISTED, LEAF = 8, 100_000, 4096
 #: Genotypes of a block on average, loci of a block at most, bytes of counts that a block makes at once, and genotypes of which tables of labels are looked up rather than searched.
 BLOCK_CELLS, BLOCK_LOCI, BLOCK_BYTES, LOOKED_UP = 2_000_000, 256, 64 << 20, 20_000_000
 #: Alleles of all loci together, whose codes go to all tasks.
@@ -90,10 +93,46 @@ class Labels:
         return np.repeat(np.arange(len(self.pops)), np.diff(self.edge)) if self.n <= LOOKED_UP else None
 
 
-def tally(own: Labels, numbers: np.ndarray, loci: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], seed, reps):
+def shuffled(own: Labels, numbers: np.ndarray, seed, rep: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The new population of each individual; each counts once."""
+    return own.of(moved(numbers, own.n, seed, rep)), None
+
+
+def _split(draws: int, low: int, high: int, size: int, first: int, last: int, key: tuple, out: dict) -> None:
+    """Adds to ``out`` how many of the draws fall to each leaf from ``first`` to ``last``; leaves low..high-1 hold the individuals below ``size``."""
+    if high - low == 1:
+        out[low] = draws
+        return
+    middle = (low + high) // 2
+    left = (middle - low) * LEAF
+    whole = min(high * LEAF, size) - low * LEAF
+    mine = int(generator(*key, low, high).binomial(draws, left / whole))
+    if first < middle:
+        _split(mine, low, middle, size, first, last, key, out)
+    if last >= middle:
+        _split(draws - mine, middle, high, size, first, last, key, out)
+
+
+def weighed(own: Labels, numbers: np.ndarray, seed, rep: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The population of each individual, and how often it is drawn among as many as its population has."""
+    label = own.of(numbers)
+    rank = numbers - own.edge[label]
+    leaf, weight = rank // LEAF, np.zeros(len(numbers))
+    for p in np.unique(label).tolist():
+        at = np.flatnonzero(label == p)
+        size, key, counts = int(own.edge[p + 1] - own.edge[p]), (seed, "weights", rep, own.pops[p]), {}
+        _split(size, 0, -(-size // LEAF), size, int(leaf[at].min()), int(leaf[at].max()), key, counts)
+        for x, draws in counts.items():
+            mine = at[leaf[at] == x]
+            there = min(LEAF, size - x * LEAF)
+            weight[mine] = np.bincount(generator(*key, x).integers(0, there, draws), minlength=there)[rank[mine] - x * LEAF]
+    return label, weight
+
+
+def tally(own: Labels, numbers: np.ndarray, loci: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], seed, reps, draw=shuffled):
     """For each locus copies and heterozygous carriers, both replicates x populations x alleles.
 
-    ``numbers`` are individuals; a locus has rows into these, two allele codes and how many alleles there are.
+    ``numbers`` are individuals; a locus has rows into these, two allele codes and how many alleles there are; ``draw`` is one of the two above.
     """
     p = len(own.pops)
     classes = []
@@ -108,10 +147,10 @@ def tally(own: Labels, numbers: np.ndarray, loci: list[tuple[np.ndarray, np.ndar
         classes.append((rows, code, copies, carriers))
     out = [(np.zeros((len(reps), p, k), np.int32), np.zeros((len(reps), p, k), np.int32)) for *_, k in loci]
     for r, rep in enumerate(reps):
-        label = own.of(moved(numbers, own.n, seed, int(rep)))
+        label, weight = draw(own, numbers, seed, int(rep))
         for (rows, code, copies, carriers), (c, h) in zip(classes, out, strict=True):
-            t = np.bincount(label[rows] * len(copies) + code, minlength=p * len(copies)).reshape(p, -1)
-            c[r], h[r] = t @ copies, t @ carriers
+            t = np.bincount(label[rows] * len(copies) + code, None if weight is None else weight[rows], minlength=p * len(copies)).reshape(p, -1)
+            c[r], h[r] = np.rint(t) @ copies, np.rint(t) @ carriers
     return out
 
 
@@ -134,7 +173,7 @@ def _chunk(n: int, chunk: int) -> np.ndarray:
     return np.arange(1 + chunk * CHUNK, min(n, (chunk + 1) * CHUNK) + 1)
 
 
-def small(spark, m, n: int, seed, make, schema: str) -> DataFrame:
+def small(spark, m, n: int, seed, make, schema: str, draw=shuffled) -> DataFrame:
     """``make(locus number, replicates, copies, carriers)`` of each locus and chunk, from the matrix."""
     own, numbers, loci = from_matrix(m)
     shared = spark.sparkContext.broadcast((own, numbers, loci))  # the matrix is checked
@@ -144,7 +183,7 @@ def small(spark, m, n: int, seed, make, schema: str) -> DataFrame:
         for pdf in batches:
             for chunk in pdf["id"].tolist():
                 reps = _chunk(n, chunk)
-                for j, (c, h) in enumerate(tally(own, numbers, loci, seed, reps)):
+                for j, (c, h) in enumerate(tally(own, numbers, loci, seed, reps, draw)):
                     yield make(j, reps, c, h)
 
     chunks = -(-n // CHUNK)
@@ -171,7 +210,7 @@ class Coded:
         self.alleles = [np.array(sorted(named[x]), np.int64) for x in self.loci]
 
 
-def blocked(geno: DataFrame, n: int, seed, coded: Coded, make, schema: str) -> DataFrame:
+def blocked(geno: DataFrame, n: int, seed, coded: Coded, make, schema: str, draw=shuffled) -> DataFrame:
     """``make`` as in ``small``, from genotypes in blocks of individuals and loci."""
     spark, own = geno.sparkSession, coded.labels
     shared = spark.sparkContext.broadcast((own, coded.alleles))  # MAX_ALLELES bounds it
@@ -203,7 +242,7 @@ def blocked(geno: DataFrame, n: int, seed, coded: Coded, make, schema: str) -> D
             loci.append((row[at], np.searchsorted(alleles[x], a1[at]), np.searchsorted(alleles[x], a2[at]), len(alleles[x])))
         part, out = key[2].as_py(), {"j": [], "chunk": [], "c": [], "h": []}
         for chunk in range(part * at_once, min(chunks, (part + 1) * at_once)):
-            for x, (c, h) in zip(present.tolist(), tally(own, numbers, loci, seed, _chunk(n, chunk)), strict=True):
+            for x, (c, h) in zip(present.tolist(), tally(own, numbers, loci, seed, _chunk(n, chunk), draw), strict=True):
                 for name, value in (("j", x), ("chunk", chunk), ("c", c.ravel()), ("h", h.ravel())):
                     out[name].append(value)
         return pa.table({"j": pa.array(out["j"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int32()), **{v: pa.array(out[v], pa.list_(pa.int32())) for v in "ch"}})
@@ -237,8 +276,8 @@ def permute(geno: DataFrame, n: int, seed, collected=None) -> DataFrame:
     return out.select("rep", "locus", *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in STATISTICS])
 
 
-def permuted_counts(geno: DataFrame, n: int, seed, collected=None) -> DataFrame:
-    """``counts.allele_counts`` with ``rep`` of n shuffles."""
+def counted(geno: DataFrame, n: int, seed, collected=None, draw=shuffled) -> DataFrame:
+    """``counts.allele_counts`` with ``rep`` of n shuffles, or of n bootstraps where ``draw`` is ``weighed``."""
     kind = {f.name: f.dataType.simpleString() for f in geno.schema.fields}
     coded = None if collected else Coded(geno)
     loci, alleles = (collected or coded).loci, (collected or coded).alleles
@@ -249,5 +288,5 @@ def permuted_counts(geno: DataFrame, n: int, seed, collected=None) -> DataFrame:
         return pd.DataFrame({"rep": reps[r], "locus": loci[j], "pop": pops[p], "allele": alleles[j][a], "c": c[r, p, a].astype(np.int64), "h": h[r, p, a].astype(np.int64)})
 
     schema = f"rep long, locus {kind['locus']}, pop string, allele long, c long, h long"
-    out = small(geno.sparkSession, collected, n, seed, make, schema) if collected else blocked(geno, n, seed, coded, make, schema)
+    out = small(geno.sparkSession, collected, n, seed, make, schema, draw) if collected else blocked(geno, n, seed, coded, make, schema, draw)
     return out.select("rep", "locus", F.col("pop").cast(kind["pop"]).alias("pop"), F.col("allele").cast(kind["a1"]).alias("allele"), "c", "h")

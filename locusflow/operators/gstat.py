@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..functions import valid
 from .counts import Keys
 from .wc84 import gathered
 
+#: Loci and individuals of a block, of which each two blocks of loci meet in a task.
+LOCUS_BLOCK, PEOPLE_BLOCK = 64, 8192
+
 
 def g_by_locus(counts: DataFrame, keys: Keys = (), min_alleles: int = 1) -> DataFrame:
     """``g, n_geno`` of the population x allele table of each locus; null with one population, under two individuals or under ``min_alleles`` alleles.
@@ -66,6 +71,82 @@ def ld_g(pairs: DataFrame, keys: Keys = (), every: bool = False) -> DataFrame:
     return x.select(*by, F.col("n").cast("long").alias("n"), F.when(F.abs(g) < 1e-9, 0.0).otherwise(g).alias("g"))
 
 
+def _coded(t: pd.DataFrame) -> tuple[np.ndarray, dict]:
+    """The individuals of a block in order, and for each locus their codes (-1: none) and the genotypes that these stand for."""
+    people, row = np.unique(t["indiv"].to_numpy(), return_inverse=True)
+    out = {}
+    for locus, at in t.groupby("locus").indices.items():
+        kinds, code = np.unique(t["g"].to_numpy()[at], return_inverse=True)
+        own = np.full(len(people), -1, np.int64)
+        own[row[at]] = code
+        out[locus] = own, kinds
+    return people, out
+
+
+def _tables(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """The genotype tables of each two loci of a pair of blocks, as triples (first, second, individuals)."""
+    (pop, _, i, j), out = key, []
+    if len(a) and len(b):
+        (who, first), (other, second) = _coded(a), _coded(b)
+        _, at, bt = np.intersect1d(who, other, assume_unique=True, return_indices=True)
+        for x, (u, ku) in first.items():
+            for y, (v, kv) in second.items():
+                if x == y or i == j and x > y:
+                    continue
+                p, q = u[at], v[bt]
+                ok = (p >= 0) & (q >= 0)
+                if not ok.any():
+                    continue
+                n = np.bincount(p[ok] * len(kv) + q[ok])
+                cell = np.flatnonzero(n)
+                g1, g2 = ku[cell // len(kv)], kv[cell % len(kv)]
+                one, two, g1, g2 = (x, y, g1, g2) if x < y else (y, x, g2, g1)
+                out.append((pop, one, two, np.stack([g1, g2, n[cell]], axis=1).ravel()))
+    return pd.DataFrame(out, columns=["pop", "locus1", "locus2", "x"])
+
+
+def _table_g(x: np.ndarray) -> tuple[int, float, bool]:
+    """Individuals, G and whether there are two rows, columns and cells at least."""
+    first, second, o = np.asarray(x, np.int64).reshape(-1, 3).T
+    r, c = (np.unique(v, return_inverse=True)[1] for v in (first, second))
+    k = int(c.max()) + 1
+    t = np.bincount(r * k + c, o, minlength=(int(r.max()) + 1) * k).reshape(-1, k)  # what blocks of individuals have of a cell adds up
+    ln = lambda v: float((v[v > 0] * np.log(v[v > 0])).sum())
+    n = t.sum()
+    g = 2 * (ln(t) - ln(t.sum(axis=1)) - ln(t.sum(axis=0)) + n * np.log(n))
+    return int(n), 0.0 if abs(g) < 1e-9 else float(g), t.shape[0] > 1 and k > 1 and n >= 2
+
+
+def linkage(geno: DataFrame, missing: bool = False, every: bool = False) -> DataFrame:
+    """``ld_g`` of all pairs of loci, by blocks: ``pop, locus1, locus2, n, g``.
+
+    Loci and a population's individuals are dealt to blocks by their hash.  Each two blocks of loci meet once for each block of individuals and make
+    the tables of their pairs by counting codes, so a genotype is sent once for each block of loci, and no individual becomes a row for each pair.
+    """
+    packed = F.least("a1", "a2").cast("long") * F.lit(1 << 32) + F.greatest("a1", "a2")
+    own = geno.select("indiv", "pop", "locus", F.when(valid(), packed).otherwise(0).alias("g")) if missing else geno.filter(valid()).select("indiv", "pop", "locus", packed.alias("g"))
+    many = max(1, -(-(own.agg(F.countDistinct("locus")).first()[0] or 1) // LOCUS_BLOCK))
+    sizes = own.groupBy("pop", "locus").agg(F.count("*").alias("n")).groupBy("pop").agg(F.ceil(F.max("n") / PEOPLE_BLOCK).cast("int").alias("_parts"))
+    part = F.pmod(F.xxhash64("indiv"), F.col("_parts")).cast("int")
+    block = F.pmod(F.xxhash64("locus"), F.lit(many)).cast("int")
+    dealt = own.join(sizes, "pop").select("indiv", "pop", "locus", "g", part.alias("part"), block.alias("own"))
+    columns, by = ["indiv", "pop", "locus", "g", "part"], ["pop", "part", "i", "j"]
+    left = dealt.select(*columns, F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(many - 1))).alias("j"))
+    right = dealt.select(*[F.col(c).alias(c) for c in columns], F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    kind = {c: geno.schema[c].dataType.simpleString() for c in ("pop", "locus")}
+    front = f"pop {kind['pop']}, locus1 {kind['locus']}, locus2 {kind['locus']}"
+    parts = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_tables, f"{front}, x array<long>")
+    tables = parts.groupBy("pop", "locus1", "locus2").agg(F.flatten(F.collect_list("x")).alias("x"))
+
+    def run(batches):
+        for pdf in batches:
+            got = [_table_g(x) for x in pdf["x"]]
+            out = pdf[["pop", "locus1", "locus2"]].assign(n=[g[0] for g in got], g=[g[1] for g in got])
+            yield out if every else out[np.array([g[2] for g in got], bool)]
+
+    return tables.mapInPandas(run, f"{front}, n long, g double")
+
+
 def ld_all(g: DataFrame, keys: Keys = ()) -> DataFrame:
     """The sum over populations of each pair of loci."""
     return g.groupBy(*keys, "locus1", "locus2").agg(F.sum("g").alias("g"), F.count("*").alias("n_pops"))

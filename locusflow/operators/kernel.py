@@ -4,7 +4,7 @@ Replicates are dealt to tasks; each carries the packed matrix and draws by (seed
 don't depend on how replicates are dealt, or on a task that runs again.  The size of the matrix is checked
 before anything is collected.
 
-``engine`` names the draws: ``kernel`` computes shuffled labels (``labels``) and draws shuffled alleles from margins (``margins``), which needs no matrix; ``relational`` ranks by md5, as the operators of
+``engine`` names the draws: ``kernel`` computes shuffled labels and bootstrap weights in blocks (``blocks``) and draws shuffled alleles from margins (``margins``), which needs no matrix; ``relational`` ranks by md5, as the operators of
 ``resample`` do; ``auto`` ranks by the same md5 numbers, here up to ``MAX_CELLS`` and by ``resample`` beyond.  Each has one result for a seed at every size.
 Only linkage (``ld_p_values``) with ``kernel`` raises beyond ``MAX_CELLS``.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import valid
-from . import counts, gstat, labels, margins, resample, wc84
+from . import blocks, counts, gstat, margins, resample, wc84
 
 #: Genotypes of a matrix that is sent to every task: 4 bytes each.
 MAX_CELLS = 20_000_000
@@ -200,7 +200,7 @@ def permute(geno: DataFrame, n: int, seed: int = 1, scheme: str = "labels", engi
         c = counts.allele_counts(moved, ["rep"])
         return wc84.observed(c, ["rep"]).join(gstat.g_by_locus(c, ["rep"]), ["rep", "locus"]).select("rep", "locus", "fst", "fit", "fis", "g")
     if engine == "kernel":
-        return labels.permute(geno, n, seed, _matrix(geno)) if scheme == "labels" else margins.permute(geno, n, seed, scheme)
+        return blocks.permute(geno, n, seed, _matrix(geno)) if scheme == "labels" else margins.permute(geno, n, seed, scheme)
     spark, m = geno.sparkSession, collect(geno)
     shared = spark.sparkContext.broadcast((m, prepared(m)))  # size checked by collect
 
@@ -258,7 +258,7 @@ def permuted_counts(geno: DataFrame, n: int, seed: int | str = 1, scheme: str =
         relational = resample.permute_labels(geno, n, seed) if scheme == "labels" else resample.permute_alleles(geno, n, seed, scheme == "alleles_within")
         return counts.allele_counts(relational, ["rep"])
     if engine == "kernel":
-        return labels.permuted_counts(geno, n, seed, _matrix(geno)) if scheme == "labels" else margins.permuted_counts(geno, n, seed, scheme)
+        return blocks.counted(geno, n, seed, _matrix(geno)) if scheme == "labels" else margins.permuted_counts(geno, n, seed, scheme)
 
     def rows(m: Matrix, loci: list[Locus], rep: int):
         for j, (_, pop, a, b) in enumerate(moved(m, loci, rep, seed, scheme)):
@@ -267,10 +267,12 @@ def permuted_counts(geno: DataFrame, n: int, seed: int | str = 1, scheme: str =
     return _count_table(geno, n, rows)
 
 
-def bootstrap_individual_counts(geno: DataFrame, n: int, seed: int | str = 1) -> DataFrame:
-    """``resample.bootstrap_individuals`` from the matrix up to ``MAX_CELLS``; beyond, the relational form draws the same."""
-    if cells(geno) > MAX_CELLS:
+def bootstrap_individual_counts(geno: DataFrame, n: int, seed: int | str = 1, engine: str = "auto") -> DataFrame:
+    """``resample.bootstrap_individuals``: counts of individuals drawn within their populations.  ``engine`` as in ``permute``."""
+    if _relational(geno, engine):
         return resample.bootstrap_individuals(geno, n, seed)
+    if engine == "kernel":
+        return blocks.counted(geno, n, seed, _matrix(geno), blocks.weighed)
 
     def rows(m: Matrix, loci: list[Locus], rep: int):
         times = np.zeros(len(m.pop), float)

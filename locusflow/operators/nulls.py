@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from . import resample
 MAX_ITER, TOLERANCE = 5000, 1e-6
 #: Values of replicates x pairs that a task holds at once.
 BATCH = 2_000_000
+#: Populations of a block, of which each two meet in a task.
+POP_BLOCK = 256
 
 
 def blank() -> Column:
@@ -201,6 +204,122 @@ def chord(sizes: DataFrame, rows: DataFrame) -> DataFrame:
     return x.select(*by, F.when((F.col("ni_raw") > 0) & (F.col("k") == 2), distance(F.col("raw"))).alias("dcse_raw"), F.when(F.col("ni_ena") > 0, distance(F.coalesce("ina", F.lit(0.0)) + F.col("nulls"))).alias("dcse_ina"))
 
 
+# -- pairs of populations by blocks ---------------------------------------------------------
+
+
+def _cells(sizes: DataFrame, rows: DataFrame) -> DataFrame:
+    """A row for each locus and population: its sizes, and its alleles as an array."""
+    x = rows.groupBy("locus", "pop").agg(F.sort_array(F.collect_list(F.struct("allele", *_ALLELE))).alias("x"))
+    return sizes.select("locus", "pop", "rd", *[F.col(c).cast("double").alias(c) for c in ("ni_raw", "ni_ena")]).join(x, ["locus", "pop"], "left")
+
+
+_ALLELE = ("na_raw", "aa_raw", "na_ena", "aa_ena", "freq", "p")
+
+
+@dataclass
+class Side:
+    """The populations of a block at one locus; ``value`` has a matrix (populations x alleles) for each of ``_ALLELE``, zeros where a population lacks an allele."""
+
+    pops: np.ndarray
+    rd: np.ndarray
+    n: dict[str, np.ndarray]
+    seen: np.ndarray
+    value: dict[str, np.ndarray]
+
+
+def _sides(*frames: pd.DataFrame) -> list[Side]:
+    cells = [[[] if x is None else list(x) for x in f["x"]] for f in frames]
+    alleles = {a: i for i, a in enumerate(sorted({c["allele"] for own in cells for x in own for c in x}))}
+    out = []
+    for f, own in zip(frames, cells, strict=True):
+        value = {v: np.zeros((len(f), len(alleles))) for v in _ALLELE}
+        for row, x in enumerate(own):
+            for c in x:
+                for v in _ALLELE:
+                    value[v][row, alleles[c["allele"]]] = c[v] or 0.0
+        out.append(Side(f["pop"].to_numpy(), f["rd"].to_numpy(float), {k: f[f"ni_{k}"].to_numpy(float) for k in ("raw", "ena")}, np.array([len(x) > 0 for x in own], bool), value))
+    return out
+
+
+def _fst_parts(a: Side, b: Side) -> dict[str, np.ndarray]:
+    """``_components`` of every pair: linear in sums over alleles, of which only the squares of a pair's copies need a product of matrices."""
+    out = {}
+    for k in ("raw", "ena"):
+        (na, nb), (x, y) = (a.n[k], b.n[k]), (a.value[f"na_{k}"], b.value[f"na_{k}"])
+        n, n2 = na[:, None] + nb, (na * na)[:, None] + nb * nb
+        each = lambda f: f(x, na, a.value[f"aa_{k}"])[:, None] + f(y, nb, b.value[f"aa_{k}"])  # noqa: B023, E731
+        with np.errstate(divide="ignore", invalid="ignore"):
+            copies, homo = each(lambda v, m, h: v.sum(axis=1)), each(lambda v, m, h: h.sum(axis=1))
+            within = each(lambda v, m, h: np.where(m > 0, (v * v).sum(axis=1) / (2 * m), 0.0))
+            square = each(lambda v, m, h: (v * v).sum(axis=1)) + 2 * (x @ y.T)
+            nc = np.where(n > 0, n - n2 / n, 0.0)
+            filled = (na > 0)[:, None].astype(int) + (nb > 0)
+            ok = (n > 0) & (nc > 0) & (n - 2 > 0)
+            msg, msi, msp = (0.5 * copies - homo) / n, (0.5 * copies + homo - within) / (n - 2), within - 0.5 * square / n
+            s2p, s2i = (msp - msi) / (2 * nc), 0.5 * (msi - msg)
+        out |= {f"s1_{k}": np.where(ok, s2p, 0.0), f"s3_{k}": np.where(ok, s2p + s2i + msg, 0.0), f"nc_{k}": np.where(filled > 1, nc, 0.0), f"r_{k}": filled}
+    return out
+
+
+def _chord_parts(a: Side, b: Side) -> dict[str, np.ndarray]:
+    """``chord`` of every pair, by products of square roots of frequencies."""
+
+    def products(c: str) -> np.ndarray:
+        x, y = (np.maximum(s.value[c], 0.0) for s in (a, b))
+        out = np.sqrt(x) @ np.sqrt(y).T
+        i, j = np.nonzero(np.abs(out - 1) < 1e-9)  # at the limit of 1 each product counts as it is
+        out[i, j] = np.sqrt(x[i] * y[j]).sum(axis=1)
+        return out
+
+    def distance(product: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        return np.where(ok & (product <= 1), 2 / math.pi * np.sqrt(2 * np.maximum(0.0, 1 - product)), np.nan)
+
+    both = lambda f: f(a)[:, None] & f(b)
+    return {"dcse_raw": distance(products("freq"), both(lambda s: (s.n["raw"] > 0) & s.seen)), "dcse_ina": distance(products("p") + np.sqrt(a.rd[:, None] * b.rd), both(lambda s: s.n["ena"] > 0))}
+
+
+def _pairwise(sizes: DataFrame, rows: DataFrame, parts, fields: dict[str, str]) -> DataFrame:
+    """``pop1 < pop2, locus`` and what ``parts`` makes of the pairs of two sides.
+
+    Populations are dealt to blocks by their hash, and each pair of blocks meets once at each locus: a population's alleles are sent once for
+    each block, not once for each other population.
+    """
+    cells = keep(_cells(sizes, rows))
+    many = max(1, -(-(cells.agg(F.countDistinct("pop")).first()[0] or 1) // POP_BLOCK))
+    block = F.pmod(F.xxhash64("pop"), F.lit(many)).cast("int")
+    columns = ["locus", "pop", "rd", "ni_raw", "ni_ena", "x"]
+    left = cells.select(*columns, block.alias("i")).select(*columns, "i", F.explode(F.sequence(F.col("i"), F.lit(many - 1))).alias("j"))
+    right = cells.select(*[F.col(c).alias(c) for c in columns], block.alias("j")).select(*columns, F.explode(F.sequence(F.lit(0), F.col("j"))).alias("i"), "j")
+    kind = {c: cells.schema[c].dataType.simpleString() for c in ("locus", "pop")}
+    names = ["pop1", "pop2", "locus", *fields]
+
+    def meet(key, a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        (x, y), (locus, i, j) = _sides(a, b), key
+        first, second = x.pops[:, None], y.pops[None]
+        forward = first < second
+        r, c = np.nonzero(forward if i == j else first != second)
+        turned = ~forward[r, c]
+        found = parts(x, y)
+        pop1, pop2 = np.where(turned, y.pops[c], x.pops[r]), np.where(turned, x.pops[r], y.pops[c])
+        return pd.DataFrame({"pop1": pop1, "pop2": pop2, "locus": locus, **{f: found[f][r, c] for f in fields}})
+
+    schema = f"pop1 {kind['pop']}, pop2 {kind['pop']}, locus {kind['locus']}, " + ", ".join(f"{n} {t}" for n, t in fields.items())
+    out = left.groupBy("locus", "i", "j").cogroup(right.groupBy("locus", "i", "j")).applyInPandas(meet, schema)
+    return out.select("pop1", "pop2", "locus", *[F.when(~F.isnan(n), F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in fields.items()])
+
+
+def pairwise_components(sizes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pair_components`` of all pairs of populations, by blocks."""
+    return _pairwise(sizes, rows, _fst_parts, {f"{v}_{k}": "long" if v == "r" else "double" for k in ("raw", "ena") for v in ("s1", "s3", "nc", "r")})
+
+
+def pairwise_chord(sizes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``chord`` of all pairs of populations, by blocks."""
+    return _pairwise(sizes, rows, _chord_parts, {"dcse_raw": "double", "dcse_ina": "double"})
+
+
 def chord_pooled(d: DataFrame, keys: tuple[str, ...] = ("pop1", "pop2")) -> DataFrame:
     return d.groupBy(*keys).agg(F.avg("dcse_raw").alias("dcse_raw"), F.avg("dcse_ina").alias("dcse_ina"))
 

@@ -78,8 +78,8 @@ _SPARK: dict[str, Query] = {
     "g_locus": lambda s, d: rounded(gstat.g_by_locus(_counts(s, d)), "g"),
     "g_overall": lambda s, d: rounded(gstat.g_overall(gstat.g_by_locus(_counts(s, d))), "g"),
     "g_complete": lambda s, d: rounded(gstat.g_by_locus(counts.allele_counts(counts.complete_individuals(genotypes(s, d))), min_alleles=2), "g"),
-    "ld_g": lambda s, d: rounded(gstat.ld_g(gstat.locus_pairs(genotypes(s, d))), "g"),
-    "ld_g_all": lambda s, d: rounded(gstat.ld_all(gstat.ld_g(gstat.locus_pairs(genotypes(s, d)))), "g"),
+    "ld_g": lambda s, d: rounded(gstat.linkage(genotypes(s, d)), "g"),
+    "ld_g_all": lambda s, d: rounded(gstat.ld_all(gstat.linkage(genotypes(s, d))), "g"),
 }
 
 PRIVATE = """pv AS (SELECT indiv, pop, locus, pop || '|' || a1 AS a1, pop || '|' || a2 AS a2 FROM valid)"""

@@ -1,7 +1,8 @@
 """Whole analyses: each takes genotypes (``indiv, pop, locus, a1, a2``) and returns the table that a user reads.
 
 Counts, observed, permuted and resampled, are cached: statistics by locus and over all start from them.  ``release`` frees them
-when the tables have been read.
+when the tables have been read.  ``engine`` names the draws (see ``kernel``): the default holds at any size; the registered queries of few replicates ask for
+``auto``, whose draws SQL can follow.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ def _assemble(obs: DataFrame, boot: DataFrame, perm: DataFrame, value: str, conf
     return obs.select("id", F.col(value).alias("observed")).join(ci, "id", "left").join(p, "id", "left")
 
 
-def fis_by_pop(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False) -> DataFrame:
+def fis_by_pop(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False, engine: str = "kernel") -> DataFrame:
     """FIS of each population, and Overall: the plain mean over populations (with ``consistent`` the ratio of sums)."""
     c = keep(counts.allele_counts(geno))
-    perm, boot = keep(kernel.permuted_counts(geno, n_perm, seed, "alleles_within")), keep(kernel.bootstrap_individual_counts(geno, n_boot, seed))
+    perm, boot = keep(kernel.permuted_counts(geno, n_perm, seed, "alleles_within", engine)), keep(kernel.bootstrap_individual_counts(geno, n_boot, seed, engine))
 
     def table(x: DataFrame, keys: list[str]) -> DataFrame:
         own = wc84.fis_by_pop(x, keys).select(*keys, F.col("pop").cast("string").alias("id"), "fis")
@@ -40,10 +41,10 @@ def fis_by_pop(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float =
     return _assemble(table(c, []), table(boot, ["rep"]), table(perm, ["rep"]), "fis", conf)
 
 
-def fis_by_locus(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
+def fis_by_locus(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, engine: str = "kernel") -> DataFrame:
     """FIS of each locus with floor-index intervals over individuals; Overall is the ratio of sums."""
     c = keep(counts.allele_counts(geno))
-    perm, boot = keep(kernel.permuted_counts(geno, n_perm, seed, "alleles_within")), keep(kernel.bootstrap_individual_counts(geno, n_boot, seed))
+    perm, boot = keep(kernel.permuted_counts(geno, n_perm, seed, "alleles_within", engine)), keep(kernel.bootstrap_individual_counts(geno, n_boot, seed, engine))
 
     def table(x: DataFrame, keys: list[str]) -> DataFrame:
         return wc84.fis_by_locus(x, keys).select(*keys, F.col("locus").alias("id"), "fis").unionByName(wc84.fis_overall(x, keys).select(*keys, F.lit("Overall").alias("id"), "fis"))
@@ -57,10 +58,10 @@ def fis_pop_block(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> D
     return inference.interval(with_overall(wc84.fis_by_locus(x, ["rep"]), wc84.fis_overall(x, ["rep"]), "fis"), ["locus"], "fis", conf, "floor")
 
 
-def fit_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False) -> DataFrame:
+def fit_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, consistent: bool = False, engine: str = "kernel") -> DataFrame:
     """FIT of each locus, and Overall: observed and permuted as a ratio of sums, resampled as the mean over loci (``consistent``: a ratio too)."""
     c = keep(counts.allele_counts(geno))
-    perm = kernel.permuted_counts(geno, n_perm, seed, "alleles_global")
+    perm = kernel.permuted_counts(geno, n_perm, seed, "alleles_global", engine)
 
     def table(stats: DataFrame, keys: list[str], mean: bool) -> DataFrame:
         own = wc84.f_statistics(stats).select(*keys, F.col("locus").alias("id"), "fit")
@@ -71,10 +72,10 @@ def fit_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float
     return _assemble(table(wc84.locus_stats(c), [], False), table(boot, ["rep"], not consistent), table(perm, ["rep"], False), "fit", conf, least=10)
 
 
-def fst_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
+def fst_analysis(geno: DataFrame, n_perm: int, n_boot: int, seed=1, conf: float = 0.95, engine: str = "kernel") -> DataFrame:
     """FST of each locus and Overall (ratio of sums), intervals over drawn populations, p-values of G under shuffled population labels."""
     c = keep(counts.allele_counts(geno))
-    perm, boot = keep(kernel.permute(geno, n_perm, seed, "labels", "auto")), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
+    perm, boot = keep(kernel.permute(geno, n_perm, seed, "labels", engine)), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
 
     def fst(stats: DataFrame, keys: list[str]) -> DataFrame:
         return wc84.f_statistics(stats).select(*keys, F.col("locus").alias("id"), "fst").unionByName(wc84.overall(stats, keys).select(*keys, F.lit("Overall").alias("id"), "fst"))
@@ -91,11 +92,11 @@ def locus_table(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> Dat
     return locus_bootstrap(wc84.locus_stats(counts.allele_counts(geno)), n_boot, seed, conf)
 
 
-def hs_tables(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> DataFrame:
+def hs_tables(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95, engine: str = "kernel") -> DataFrame:
     """``unit, statistic, id``, observed, boot_mean, boot_se, ci_l, ci_u: HS over individuals, HS and HT over populations, by locus and Overall."""
     c = keep(counts.allele_counts(geno))
     obs = wc84.locus_stats(c)
-    people, pops = kernel.bootstrap_individual_counts(geno, n_boot, seed), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
+    people, pops = kernel.bootstrap_individual_counts(geno, n_boot, seed, engine), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
 
     def long(x: DataFrame, keys: list[str], value: str) -> DataFrame:
         own = x.select(*keys, F.col("locus").alias("id"), F.col(value).alias("v"))
@@ -109,9 +110,9 @@ def hs_tables(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95) -> DataF
     return out
 
 
-def ld_matrix(geno: DataFrame, n_perm: int, seed=1) -> DataFrame:
+def ld_matrix(geno: DataFrame, n_perm: int, seed=1, engine: str = "auto") -> DataFrame:
     """p-values of each pair of loci: a column ``p<pop>`` for each population, and ``All``."""
-    p = kernel.ld_p_values(geno, n_perm, seed, "auto")
+    p = kernel.ld_p_values(geno, n_perm, seed, engine)
     pops = [r["pop"] for r in geno.select(F.col("pop").cast("string").alias("pop")).distinct().orderBy("pop").collect()]  # populations become columns
     name = F.when(F.col("pop") == "All", "All").otherwise(F.concat(F.lit("p"), F.col("pop")))
     return p.withColumn("name", name).groupBy("locus1", "locus2").pivot("name", [*[f"p{x}" for x in pops], "All"]).agg(F.first("p_value"))
@@ -135,8 +136,7 @@ def null_alleles(geno: DataFrame, treatments: DataFrame | None = None) -> dict[s
     """All tables of a null-allele analysis by name; the EM runs once."""
     table = keep(nulls.em_table(geno, treatments))
     sizes, rows = nulls.inputs(table)
-    parts = nulls.paired(sizes, rows, nulls.pairs(geno))
-    pair, chord, whole = nulls.pair_components(*parts), nulls.chord(*parts), nulls.both(sizes, rows, ["locus"])
+    pair, chord, whole = nulls.pairwise_components(sizes, rows), nulls.pairwise_chord(sizes, rows), nulls.both(sizes, rows, ["locus"])
     return {"t1": nulls.t1(table, treatments), "t2": nulls.t2(table, treatments), "global": nulls.fst_pooled(whole, []), "by_locus": nulls.fst_by_locus(whole), "pairs": nulls.fst_pooled(pair, ["pop1", "pop2"]).join(nulls.chord_pooled(chord), ["pop1", "pop2"]), "fst_by_locus_pair": nulls.fst_locus_pair(pair), "dcse_by_locus_pair": chord}
 
 

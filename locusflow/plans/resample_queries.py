@@ -25,12 +25,17 @@ def _c(s, d):
     return counts.allele_counts(_g(s, d))
 
 
+def engine(n: int) -> str:
+    """SQL follows the md5 draws of few replicates; thousands come from the faster engine."""
+    return "auto" if n <= B else "kernel"
+
+
 def _labels(s, d, n=B):
-    return kernel.permuted_counts(_g(s, d), n, SEED, "labels")
+    return kernel.permuted_counts(_g(s, d), n, SEED, "labels", engine(n))
 
 
 def _alleles(s, d, within=True, n=B):
-    return kernel.permuted_counts(_g(s, d), n, SEED, "alleles_within" if within else "alleles_global")
+    return kernel.permuted_counts(_g(s, d), n, SEED, "alleles_within" if within else "alleles_global", engine(n))
 
 
 def _pops(s, d, n=B):
@@ -38,7 +43,7 @@ def _pops(s, d, n=B):
 
 
 def _people(s, d, n=B):
-    return kernel.bootstrap_individual_counts(_g(s, d), n, SEED)
+    return kernel.bootstrap_individual_counts(_g(s, d), n, SEED, engine(n))
 
 
 def _complete(s, d):
@@ -111,7 +116,7 @@ def gtest_perm(s, d, n=B):
     """G of complete genotypes with p of at least and of more than the observed value, by locus and overall."""
     geno = _complete(s, d)
     obs = gstat.g_by_locus(counts.allele_counts(geno), min_alleles=2)
-    perm = gstat.g_by_locus(kernel.permuted_counts(geno, n, SEED, "labels"), ["rep"], 2)
+    perm = gstat.g_by_locus(kernel.permuted_counts(geno, n, SEED, "labels", engine(n)), ["rep"], 2)
     o = obs.select(F.col("locus").alias("id"), "n_geno", "g").unionByName(obs.groupBy(F.lit("Overall").alias("id")).agg(F.max("n_geno").alias("n_geno"), F.sum("g").alias("g")))
     p = perm.select(F.col("locus").alias("id"), F.col("g").alias("gp")).unionByName(gstat.g_overall(perm, ["rep"]).select(F.lit("Overall").alias("id"), F.col("g").alias("gp")))
     # values that differ by rounding alone are equal

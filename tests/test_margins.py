@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.operators import counts, gstat, kernel, labels, margins, wc84
+from locusflow.operators import blocks, counts, gstat, kernel, margins, wc84
 
 
 def rows_of(df):
@@ -58,31 +58,32 @@ def test_homozygotes_have_their_exact_distribution():
 
 def test_places_are_permutations_and_even():
     for n in (1, 2, 3, 7, 64, 1000, 4097):
-        assert sorted(labels.places(np.arange(n), n, labels.keys(1, 5)).tolist()) == list(range(n))
-    assert labels.places(np.array([12, 3]), 10**12, labels.keys(2, 1)).max() < 10**12
+        assert sorted(blocks.places(np.arange(n), n, blocks.keys(1, 5)).tolist()) == list(range(n))
+    assert blocks.places(np.array([12, 3]), 10**12, blocks.keys(2, 1)).max() < 10**12
     n, reps = 5, 24_000
-    got = Counter(tuple(labels.moved(np.arange(n), n, "s", r).tolist()) for r in range(reps))
+    got = Counter(tuple(blocks.moved(np.arange(n), n, "s", r).tolist()) for r in range(reps))
     assert not chi2_far(got, {p: 1 / 120 for p in itertools.permutations(range(n))}, reps)
     n, reps, k = 5000, 800, 20  # by the network
-    every = np.array([labels.places(np.arange(n), n, labels.keys("t", r)) for r in range(reps)]) * k // n
+    every = np.array([blocks.places(np.arange(n), n, blocks.keys("t", r)) for r in range(reps)]) * k // n
     assert not chi2_far(Counter((np.repeat(np.arange(n) * k // n, reps) * k + every.T.ravel()).tolist()), {i: 1 / k**2 for i in range(k * k)}, n * reps)
     for a, b in ((0, 1), (0, 71), (17, 4999)):  # neighbours, the same part of the number, and any two
         assert not chi2_far(Counter((every[:, a] // 4 * 5 + every[:, b] // 4).tolist()), {i: 1 / 25 for i in range(25)}, reps)
 
 
-@pytest.mark.parametrize("scheme", kernel.SCHEMES)
-@pytest.mark.parametrize("made", [kernel.permute, kernel.permuted_counts])
-@pytest.mark.parametrize("listed", [1, 100_000])
+SIZES = [(kernel.permute, "labels", 1), (kernel.permute, "labels", 100_000), (kernel.permuted_counts, "labels", 1), (kernel.permute, "alleles_within", 1), (kernel.permuted_counts, "alleles_global", 1), (kernel.bootstrap_individual_counts, None, 1)]
+
+
+@pytest.mark.parametrize(("made", "scheme", "listed"), SIZES)
 def test_one_result_at_every_size(geno, made, scheme, listed, monkeypatch):
-    if listed == 1 and scheme != "labels":
-        pytest.skip("no permutation is made")
-    monkeypatch.setattr(labels, "LISTED", listed)
-    names = made(geno, 70, 3, scheme, "kernel").columns
-    within = rows_of(made(geno, 70, 3, scheme, "kernel").select(names))
+    monkeypatch.setattr(blocks, "LISTED", listed)
+    monkeypatch.setattr(blocks, "LEAF", 7)
+    of = {"scheme": scheme} if scheme else {}
+    names = made(geno, 70, 3, engine="kernel", **of).columns
+    within = rows_of(made(geno, 70, 3, engine="kernel", **of).select(names))
     for name, value in (("BLOCK_CELLS", 60), ("BLOCK_LOCI", 2), ("BLOCK_BYTES", 1), ("LOOKED_UP", 10), ("LISTED", listed)):
-        monkeypatch.setattr(labels, name, value)
+        monkeypatch.setattr(blocks, name, value)
     monkeypatch.setattr(kernel, "MAX_CELLS", 1)
-    beyond = rows_of(made(geno.repartition(7), 70, 3, scheme, "kernel").select(names))
+    beyond = rows_of(made(geno.repartition(7), 70, 3, engine="kernel", **of).select(names))
     assert within == beyond and len({r[0] for r in within}) == 70 and {r[1] for r in within} == {f"L{j}" for j in range(5)}
 
 
@@ -114,6 +115,29 @@ def test_same_null_distribution_as_shuffles(geno, scheme):
             assert abs(x[f"stddev_{v}"] / sd - 1) < 5 / math.sqrt(n)
 
 
+def test_weights_add_up_and_are_multinomial(monkeypatch):
+    monkeypatch.setattr(blocks, "LEAF", 4)
+    own, n = blocks.Labels(["a", "b"], np.array([11, 3])), 4000
+    every = np.array([blocks.weighed(own, np.arange(14), "w", r)[1] for r in range(n)])
+    assert (every[:, :11].sum(axis=1) == 11).all() and (every[:, 11:].sum(axis=1) == 3).all()
+    part = np.array([blocks.weighed(own, np.array([5, 9, 12]), "w", r)[1] for r in range(50)])
+    assert (part == every[:50, [5, 9, 12]]).all()  # whichever others are asked for
+    binomial = lambda k, size: {i: math.comb(k, i) / size**i * (1 - 1 / size) ** (k - i) for i in range(k + 1)}
+    for i, size in ((0, 11), (10, 11), (12, 3)):
+        want = binomial(size, size)
+        want = {k: p for k, p in want.items() if p * n > 5} | {-1: sum(p for p in want.values() if p * n <= 5) or 1e-9}
+        assert not chi2_far(Counter(int(x) if int(x) in want else -1 for x in every[:, i]), want, n)
+    assert np.corrcoef(every[:, 0], every[:, 10])[0, 1] == pytest.approx(-1 / 10, abs=0.06)
+
+
+def test_bootstrap_counts_as_drawn_rows_do(geno):
+    """Means and deviations of a statistic over replicates, against md5 draws."""
+    n = 300
+    a, b = (wc84.fis_by_locus(kernel.bootstrap_individual_counts(geno, n, 2, e), ["rep"]).groupBy("locus").agg(F.avg("fis"), F.stddev("fis")).orderBy("locus").collect() for e in ("kernel", "auto"))
+    for x, y in zip(a, b, strict=True):
+        assert abs(x[1] - y[1]) < 5 * y[2] * math.sqrt(2 / n) and abs(x[2] / y[2] - 1) < 5 / math.sqrt(n)
+
+
 def test_p_values_are_uniform_under_the_null():
     rng, p = np.random.default_rng(9), []
     for k in range(300):
@@ -143,3 +167,18 @@ def test_few_genotypes_and_none(spark):
         assert kernel.permute(spark.createDataFrame([], schema), 3, 1, scheme).count() == 0
         one = spark.createDataFrame([(1, "a", "L1", 1, 2), (2, "a", "L1", 0, 0)], schema)
         assert [r["fst"] for r in kernel.permute(one, 2, 1, scheme).collect()] == [None, None]
+
+
+@pytest.mark.parametrize(("missing", "every"), [(False, False), (True, True)])
+def test_linkage_by_blocks_equals_rows_of_pairs(geno, missing, every, monkeypatch):
+    key = lambda df: {(r["pop"], r["locus1"], r["locus2"]): (r["n"], r["g"]) for r in df.collect()}
+    lone = geno.unionByName(geno.filter("indiv < 9").withColumn("pop", F.lit("d")).withColumn("a1", F.lit(101)).withColumn("a2", F.when(F.col("locus") == "L1", F.col("a2")).otherwise(101)))  # one genotype but at a locus
+    want = key(gstat.ld_g(gstat.locus_pairs(lone, missing), every=every))
+    for blocks_ in ((64, 8192), (2, 16)):
+        monkeypatch.setattr(gstat, "LOCUS_BLOCK", blocks_[0])
+        monkeypatch.setattr(gstat, "PEOPLE_BLOCK", blocks_[1])
+        got = key(gstat.linkage(lone, missing, every))
+        assert got.keys() == want.keys() and len(got) >= 30
+        for k, v in got.items():
+            assert v[0] == want[k][0] and v[1] == pytest.approx(want[k][1], abs=1e-8)
+    assert gstat.linkage(geno.limit(0), missing, every).count() == 0
