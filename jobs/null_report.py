@@ -61,9 +61,8 @@ def tables(geno: DataFrame, points: DataFrame, at: dict) -> dict[str, DataFrame]
     treat = treatments(geno, at["null_homo"])
     em = keep(nulls.em_table(geno, treat))
     sizes, rows = nulls.inputs(em)
-    parts = nulls.paired(sizes, rows, nulls.pairs(geno))
     # pairs x loci: the table, its replicates and distances start from them
-    components, chords = keep(nulls.pair_components(*parts)), keep(nulls.chord(*parts))
+    components, chords = keep(nulls.pairwise_components(sizes, rows)), keep(nulls.pairwise_chord(sizes, rows))
     pairs = keep(nulls.fst_pooled(components, ["pop1", "pop2"]).join(nulls.chord_pooled(chords), ["pop1", "pop2"]))
     by, values = ["pop1", "pop2"], ["fst_raw", "fst_ena", "dcse_raw", "dcse_ina"]
     ends = nulls.shared_intervals(nulls.both(sizes, rows, ["locus"]), components, chords, at["n_boot"], at["seed"], at["conf"])

@@ -33,10 +33,6 @@ def _inputs(s, d):
     return nulls.inputs(_table(s, d))
 
 
-def _pairs(s, d):
-    return nulls.paired(*_inputs(s, d), nulls.pairs(_geno(s, d)))
-
-
 def null_em(s, d):
     x = nulls.em_long(_table(s, d)).select("locus", "pop", "allele", "rd", "p", "freq")
     return x.select("locus", "pop", "allele", *[F.round(c, 6).alias(c) for c in ("rd", "p", "freq")])
@@ -63,19 +59,19 @@ def fst_locus_ena(s, d):
 
 
 def fst_pair(s, d):
-    return nulls.fst_pooled(nulls.pair_components(*_pairs(s, d)), ["pop1", "pop2"]).select("pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("fst_raw", "fst_ena")])
+    return nulls.fst_pooled(nulls.pairwise_components(*_inputs(s, d)), ["pop1", "pop2"]).select("pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("fst_raw", "fst_ena")])
 
 
 def fst_locus_pair(s, d):
-    return nulls.fst_locus_pair(nulls.pair_components(*_pairs(s, d)))
+    return nulls.fst_locus_pair(nulls.pairwise_components(*_inputs(s, d)))
 
 
 def dcse_pair(s, d):
-    return nulls.chord_pooled(nulls.chord(*_pairs(s, d))).select("pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("dcse_raw", "dcse_ina")])
+    return nulls.chord_pooled(nulls.pairwise_chord(*_inputs(s, d))).select("pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("dcse_raw", "dcse_ina")])
 
 
 def dcse_locus_pair(s, d):
-    return nulls.chord(*_pairs(s, d)).select("locus", "pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("dcse_raw", "dcse_ina")])
+    return nulls.pairwise_chord(*_inputs(s, d)).select("locus", "pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("dcse_raw", "dcse_ina")])
 
 
 def _ci(boot, by, names):
@@ -90,16 +86,16 @@ def boot_loci_ena(s, d, n=B):
 
 
 def boot_loci_pair(s, d, n=B):
-    return _ci(nulls.bootstrap_loci_fst(nulls.pair_components(*_pairs(s, d)), n, SEED, ("pop1", "pop2")), ["pop1", "pop2"], ("fst_raw", "fst_ena"))
+    return _ci(nulls.bootstrap_loci_fst(nulls.pairwise_components(*_inputs(s, d)), n, SEED, ("pop1", "pop2")), ["pop1", "pop2"], ("fst_raw", "fst_ena"))
 
 
 def boot_loci_dcse(s, d, n=B):
-    return _ci(nulls.bootstrap_loci_chord(nulls.chord(*_pairs(s, d)), n, SEED), ["pop1", "pop2"], ("dcse_raw", "dcse_ina"))
+    return _ci(nulls.bootstrap_loci_chord(nulls.pairwise_chord(*_inputs(s, d)), n, SEED), ["pop1", "pop2"], ("dcse_raw", "dcse_ina"))
 
 
 def boot_loci_shared(s, d, n=B):
     """Intervals of all statistics from one draw of loci a replicate."""
-    x = nulls.shared_intervals(nulls.both(*_inputs(s, d), ["locus"]), nulls.pair_components(*_pairs(s, d)), nulls.chord(*_pairs(s, d)), n, SEED, 1 - ALPHA)
+    x = nulls.shared_intervals(nulls.both(*_inputs(s, d), ["locus"]), nulls.pairwise_components(*_inputs(s, d)), nulls.pairwise_chord(*_inputs(s, d)), n, SEED, 1 - ALPHA)
     return x.select("statistic", "pop1", "pop2", F.round("ci_l", 6).alias("ci_l"), F.round("ci_u", 6).alias("ci_u"))
 
 
@@ -136,9 +132,9 @@ def _ibd(s, d):
     """FST of valid genotypes (no null alleles) against planar distances, which SQL can follow."""
     g = genotypes(s, d)
     table = nulls.em_table(g)
-    parts = nulls.paired(*nulls.inputs(table), nulls.pairs(g))
-    fst = nulls.fst_pooled(nulls.pair_components(*parts), ["pop1", "pop2"]).select("pop1", "pop2", "fst_raw")
-    chords = nulls.chord_pooled(nulls.chord(*parts)).select("pop1", "pop2", "dcse_raw")
+    parts = nulls.inputs(table)
+    fst = nulls.fst_pooled(nulls.pairwise_components(*parts), ["pop1", "pop2"]).select("pop1", "pop2", "fst_raw")
+    chords = nulls.chord_pooled(nulls.pairwise_chord(*parts)).select("pop1", "pop2", "dcse_raw")
     return geo.ibd_table(fst, chords, geo.distances(_points(s, d), planar=True))
 
 

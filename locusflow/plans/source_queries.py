@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +26,6 @@ def _place(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _local(spark: SparkSession, name: str) -> str:
-    """The same for files that the driver writes itself."""
-    path = _place(spark, name).removeprefix("file://").removeprefix("file:")
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 def _wide(s, d, nulls: bool = False) -> DataFrame:
     """Genotypes as a file has them: population and coordinates, an id, and a text for each locus."""
     g = genotypes(s, d, nulls).withColumn("g", F.concat_ws("/", "a1", "a2"))
@@ -129,44 +121,41 @@ def export_table(s, d):
 
 def export_report(s, d):
     """The same as a report with comment lines."""
-    path = f"{_local(s, 'report')}/counts.csv"
+    path = f"{_place(s, 'report')}/counts.csv"
     export.write_report(counts.allele_counts(genotypes(s, d)), path, export.header("Allele counts", loci=LOCI))
-    return s.read.schema("locus string, pop int, allele int, c long, h long").option("header", True).option("comment", "#").csv(f"file://{path}")
+    return s.read.schema("locus string, pop int, allele int, c long, h long").option("header", True).option("comment", "#").csv(path)
 
 
 def _bundle(s, d) -> list[str]:
     geno, treat = genotypes(s, d, nulls=True), null_queries._treat(genotypes(s, d, nulls=True))
     x = pipelines.null_alleles(geno, treat)
     names = [r["pop"] for r in geno.select("pop").distinct().orderBy("pop").collect()]
-    return export.write_null_bundle(_local(s, "bundle"), "run", x["t1"], x["t2"], x["pairs"], x["fst_by_locus_pair"], x["dcse_by_locus_pair"], names, LOCI)
+    return export.write_null_bundle(_place(s, "bundle"), "run", x["t1"], x["t2"], x["pairs"], x["fst_by_locus_pair"], x["dcse_by_locus_pair"], names, LOCI)
 
 
 def export_null_bundle(s, d):
     """The pairs of the five files of a null-allele analysis, read back."""
     schema = "pop1 int, pop2 int, fst_raw double, fst_ena double, dcse_raw double, dcse_ina double"
-    x = s.read.schema(schema).option("sep", "\t").option("header", True).option("comment", "#").option("nullValue", "NA").csv(f"file://{_bundle(s, d)[2]}")
+    x = s.read.schema(schema).option("sep", "\t").option("header", True).option("comment", "#").option("nullValue", "NA").csv(_bundle(s, d)[2])
     return x.select("pop1", "pop2", *[F.round(c, 6).alias(c) for c in ("fst_raw", "fst_ena", "dcse_raw", "dcse_ina")])
 
 
 def export_half_matrices(s, d):
     """The half matrices of FST by locus, read back as rows of pairs."""
-    with open(_bundle(s, d)[3], encoding="utf-8") as f:
-        blocks = [b.split("\n") for b in f.read().strip().split("\n\n")]
-    rows = []
-    for title, head, *lines in blocks:
-        (locus, name), others = title.split(": "), head.split("\t")[1:]
-        for line in lines:
-            pop, *cells = line.split("\t")
-            rows += [(locus, name, int(o), int(pop), None if c == "NA" else float(c)) for o, c in zip(others, cells, strict=True) if c]
-    return s.createDataFrame(rows, "locus string, statistic string, pop1 int, pop2 int, value double")
+    # a blank line ends a block
+    block = s.read.option("lineSep", "\n\n").text(_bundle(s, d)[3]).filter("value <> ''").select(F.split("value", "\n").alias("x"))
+    title, names = F.split(F.col("x")[0], ": "), F.split(F.col("x")[1], "\t")
+    lines = block.select(title[0].alias("locus"), title[1].alias("statistic"), names.alias("names"), F.explode(F.slice("x", 3, F.size("x"))).alias("line")).withColumn("cells", F.split("line", "\t"))
+    cells = lines.select("locus", "statistic", F.col("cells")[0].cast("int").alias("pop2"), F.explode(F.arrays_zip("names", "cells")).alias("c")).filter("c.names <> '' AND c.cells <> ''")
+    return cells.select("locus", "statistic", F.col("c.names").cast("int").alias("pop1"), "pop2", F.col("c.cells").try_cast("double").alias("value"))
 
 
 def export_ibd_report(s, d):
     """The table of pairs of a regression report, read back."""
-    path, x = f"{_local(s, 'ibd')}/report.txt", null_queries._ibd(s, d).select("pop1", "pop2", "fst_raw", "d", "fr_raw")
+    path, x = f"{_place(s, 'ibd')}/report.txt", null_queries._ibd(s, d).select("pop1", "pop2", "fst_raw", "d", "fr_raw")
     export.write_ibd_report(path, geo.regression_summary(x, "d", {"1D": "fr_raw"}), x, "1D", "fst_raw")
     cells = F.split("value", "\t")
-    lines = s.read.text(f"file://{path}").filter((F.size(cells) == 5) & ~F.col("value").startswith("pop1"))
+    lines = s.read.text(path).filter((F.size(cells) == 5) & ~F.col("value").startswith("pop1"))
     return rounded(lines.select(cells[0].cast("int").alias("pop1"), cells[1].cast("int").alias("pop2"), *[cells[i].try_cast("double").alias(c) for i, c in enumerate(("fst_raw", "d", "fr_raw"), 2)]), "fst_raw", "d", "fr_raw")
 
 

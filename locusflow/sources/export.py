@@ -1,14 +1,17 @@
-"""Result files: Spark writers for tables of any size, and single text files for the small ones with a header of comments."""
+"""Result files: delimited tables, and single text files with a header of comments.
+
+A single file is written by Spark as parts, in the order of the rows, and its parts are joined through the file system of its path (``files.write_lines``), so a report may be
+of any size and lie anywhere Spark writes.
+"""
 
 from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a single text file may have.
-REPORT_ROWS = 1_000_000
+from . import files
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite", single: bool = False) -> None:
@@ -37,61 +40,51 @@ def header(title: str, dataset: str | None = None, subsamples: list | None = Non
     return [f"# {key} = {value}" for key, value in about.items() if value is not None]
 
 
-def _lines(df: DataFrame, sep: str) -> list[str]:
-    rows = df.limit(REPORT_ROWS + 1).collect()
-    if len(rows) > REPORT_ROWS:
-        raise ValueError("too many rows for one file; use write_table")
-    text = lambda v: "NA" if v is None else str(v)
-    quote = (lambda v: f'"{v}"' if isinstance(v, str) else text(v)) if sep == "," else text
-    return [sep.join(f'"{c}"' if sep == "," else c for c in df.columns), *(sep.join(quote(v) for v in r) for r in rows)]
+def _line(df: DataFrame, sep: str) -> Column:
+    """A row as text: texts are quoted in CSV, nulls are NA."""
+    text = lambda c, kind: F.concat(F.lit('"'), F.col(f"`{c}`"), F.lit('"')) if kind == "string" and sep == "," else F.col(f"`{c}`").cast("string")
+    return F.concat_ws(sep, *[F.coalesce(text(c, kind), F.lit("NA")) for c, kind in df.dtypes]).alias("value")
 
 
-def write_report(df: DataFrame, path: str, lines: list[str], sep: str = ",") -> None:
-    """One text file on the driver: comment lines, then the table (texts quoted in CSV, nulls as NA)."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join([*lines, *_lines(df, sep)]) + "\n")
+def _names(df: DataFrame, sep: str) -> str:
+    return sep.join(f'"{c}"' if sep == "," else c for c in df.columns)
 
 
-def _half(at: dict, populations: list, title: str) -> list[str]:
-    out = [title, "\t".join(["", *map(str, populations[:-1])])]
-    for i, p in enumerate(populations[1:], 1):
-        cells = [at.get((o, p)) if j < i else "" for j, o in enumerate(populations[:-1])]
-        out.append("\t".join([str(p), *("NA" if c is None else str(c) for c in cells)]))
-    return out
+def write_report(df: DataFrame, path: str, lines: list[str], sep: str = ",") -> None:
+    """One text file: comment lines, then the table."""
+    files.write_lines(df.select(_line(df, sep)), path, [*lines, _names(df, sep)])
 
 
-def half_matrix(df: DataFrame, value: str, populations: list, title: str) -> list[str]:
-    """The lower half of a matrix of pairs as lines of tab-separated text."""
-    rows = df.select("pop1", "pop2", F.round(value, 6).alias("v")).limit(REPORT_ROWS + 1).collect()
-    if len(rows) > REPORT_ROWS:
-        raise ValueError("too many pairs for one file; use write_table")
-    return _half({(r["pop1"], r["pop2"]): r["v"] for r in rows}, populations, title)
+def half_matrices(df: DataFrame, values: list[str], populations: list, loci: list) -> DataFrame:
+    """``value``: the lines of the lower halves of matrices of pairs, a block for each locus and value, as tab-separated text in order.
+
+    ``df`` has locus, pop1, pop2 and the values.  A block has a title, the names of the columns, a line for each further population and an empty line; pairs without a value are NA.
+    """
+    spark, names = df.sparkSession, [str(p) for p in populations]
+    every, k = F.split(F.lit("\x01".join(names)), "\x01"), len(names)
+    cells = F.array(*[F.struct(F.lit(i).alias("s"), F.round(F.col(v), 6).cast("string").alias("v")) for i, v in enumerate(values)])
+    long = df.select(F.col("locus").cast("string").alias("locus"), F.col("pop1").cast("string").alias("pop1"), F.col("pop2").cast("string").alias("pop2"), F.explode(cells).alias("x")).select("locus", "pop1", "pop2", "x.*")
+    rows = long.filter("v IS NOT NULL").groupBy("locus", "s", F.col("pop2").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("pop1", "v"))).alias("row"))
+    blocks = spark.createDataFrame([(i, str(x)) for i, x in enumerate(loci)], "o int, locus string").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(len(values) - 1))))
+    grid = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("name", F.get(every, F.col("i")))
+    cell = lambda j: F.when(j < F.col("i"), F.coalesce(F.try_element_at("row", F.get(every, j)), F.lit("NA"))).otherwise("")
+    line = F.concat_ws("\t", "name", *([F.transform(F.sequence(F.lit(0), F.lit(k - 2)), cell)] if k > 1 else []))
+    top = F.concat("locus", F.lit(": "), F.get(F.array(*map(F.lit, values)), F.col("s")), F.lit("\n" + "\t".join(["", *names[:-1]])))
+    text = F.concat(F.when(F.col("i") == 0, top).otherwise(line), F.when(F.col("i") == k - 1, F.lit("\n")).otherwise(""))
+    return grid.join(rows, ["locus", "s", "name"], "left").select("o", "s", "i", text.alias("value")).orderBy("o", "s", "i").select("value")
 
 
 def write_null_bundle(folder: str, name: str, t1: DataFrame, t2: DataFrame, pooled: DataFrame, by_locus: DataFrame, chords: DataFrame, populations: list, loci: list) -> list[str]:
     """The five files of a null-allele analysis: frequencies, summary, pairs, and half matrices of FST and of chord distances by locus."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    paths = [os.path.join(folder, f"{name}_{part}.txt") for part in ("null_frequencies", "summary", "pairs", "fst_by_locus", "dcse_by_locus")]
+    paths = [f"{folder}/{name}_{part}.txt" for part in ("null_frequencies", "summary", "pairs", "fst_by_locus", "dcse_by_locus")]
     for path, df in zip(paths, (t1, t2, pooled), strict=False):
-        write_report(df, path, header(os.path.basename(path)), "\t")
-    for path, df, stats in ((paths[3], by_locus, ("fst_raw", "fst_ena")), (paths[4], chords, ("dcse_raw", "dcse_ina"))):
-        rows = df.select("locus", "pop1", "pop2", *[F.round(v, 6).alias(v) for v in stats]).limit(REPORT_ROWS + 1).collect()
-        if len(rows) > REPORT_ROWS:
-            raise ValueError("too many pairs for one file; use write_table")
-        by = {(locus, v): {} for locus in loci for v in stats}
-        for r in rows:
-            for v in stats:
-                by.setdefault((r["locus"], v), {})[r["pop1"], r["pop2"]] = r[v]
-        with open(path, "w", encoding="utf-8") as f:
-            for locus in loci:
-                for v in stats:
-                    f.write("\n".join(_half(by[locus, v], populations, f"{locus}: {v}")) + "\n\n")
+        write_report(df, path, header(path.rsplit("/", 1)[-1]), "\t")
+    for path, df, stats in ((paths[3], by_locus, ["fst_raw", "fst_ena"]), (paths[4], chords, ["dcse_raw", "dcse_ina"])):
+        files.write_lines(half_matrices(df, stats, populations, loci), path)
     return paths
 
 
 def write_ibd_report(path: str, summary: DataFrame, table: DataFrame, model: str = "2D", metric: str = "fst_ena") -> None:
-    """The regression report: a header, the lines, and after an empty line the table of pairs."""
-    lines = [*header("isolation by distance", extra={"model": model, "genetic distance": metric}), *_lines(summary, "\t"), ""]
-    write_report(table, path, lines, "\t")
+    """The regression report: a header, the lines (a row for each), and after an empty line the table of pairs."""
+    found = [r["value"] for r in summary.select(_line(summary, "\t")).collect()]
+    write_report(table, path, [*header("isolation by distance", extra={"model": model, "genetic distance": metric}), _names(summary, "\t"), *found, ""], "\t")

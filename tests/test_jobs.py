@@ -165,3 +165,23 @@ def test_intervals_of_shared_draws_both_ways(spark, named):
     assert fast.keys() == slow.keys() and len(fast) == 42
     for k, ends in fast.items():
         assert ends == pytest.approx(slow[k], abs=1e-12)
+
+
+def paired_rows(df, by=("pop1", "pop2", "locus")):
+    return {tuple(r[c] for c in by): tuple(v for k, v in r.asDict().items() if k not in by) for r in df.collect()}
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_pairs_by_blocks_equal_rows_of_pairs(spark, named, block, monkeypatch):
+    monkeypatch.setattr(nulls, "POP_BLOCK", block)
+    lone = spark.createDataFrame([(900, "site f", "L0", 0, 0), (901, "site g", "L1", 777, 777), (902, "site h", "L1", 777, 777)], named.schema)  # nothing but blanks, and two that are alike
+    geno = named.filter("NOT (pop = 'site c' AND locus = 'L3')").unionByName(lone)
+    sizes, rows = nulls.inputs(nulls.em_table(geno, nulls.suggest_treatments(geno)))
+    parts = nulls.paired(sizes, rows, nulls.pairs(geno))
+    for fast, slow in ((nulls.pairwise_components(sizes, rows), nulls.pair_components(*parts)), (nulls.pairwise_chord(sizes, rows), nulls.chord(*parts))):
+        slow = slow.select(fast.columns)
+        assert dict(fast.dtypes) == dict(slow.dtypes)
+        have, want = paired_rows(fast), paired_rows(slow)
+        assert have.keys() == want.keys() and len(have) == 28 * 4
+        for k, v in have.items():
+            assert v == pytest.approx(want[k], abs=1e-10)

@@ -139,8 +139,16 @@ def test_reports(spark, tmp_path):
     export.write_report(df, path, export.header("Title", subsamples=[1, 2], n_perm=5000, extra={"k": "v"}))
     lines = open(path, encoding="utf-8").read().splitlines()
     assert lines[0] == "# table = Title" and "# permutations = 5000" in lines and "# populations = 2 [1; 2]" in lines and "# k = v" in lines and lines[-3:] == ['"id","v"', '"A",1.5', '"B",NA']
-    m = spark.createDataFrame([("a", "b", 0.1), ("a", "c", None), ("b", "c", 0.3)], "pop1 string, pop2 string, v double")
-    assert export.half_matrix(m, "v", ["a", "b", "c"], "T") == ["T", "\ta\tb", "b\t0.1\t", "c\tNA\t0.3"]
+    export.write_report(df.limit(0), path, [])  # over the former file
+    assert open(path, encoding="utf-8").read() == '"id","v"\n' and {p.name for p in tmp_path.iterdir() if p.name.startswith("r.csv")} == {"r.csv"}
+    many = spark.range(0, 5000, 1, 7).selectExpr("id", "cast(NULL AS string) AS x")
+    export.write_report(many, f"file://{tmp_path}/new/many.txt", ["# é"], "\t")
+    assert (tmp_path / "new" / "many.txt").read_text(encoding="utf-8") == "# é\nid\tx\n" + "".join(f"{i}\tNA\n" for i in range(5000))
+    m = spark.createDataFrame([("L", "a", "b", 0.1, 1.0), ("L", "a", "c", None, 2.0), ("L", "b", "c", 0.3, 3.0), ("K", "a", "b", 5.0, None)], "locus string, pop1 string, pop2 string, v double, w double")
+    text = "\n".join(r["value"] for r in export.half_matrices(m, ["v", "w"], ["a", "b", "c"], ["L", "K"]).collect())
+    assert text.split("\n\n")[0].split("\n") == ["L: v", "\ta\tb", "b\t0.1\t", "c\tNA\t0.3"] and [b.split("\n")[0] for b in text.split("\n\n")] == ["L: v", "L: w", "K: v", "K: w"]
+    assert text.split("\n\n")[2].split("\n")[2:] == ["b\t5.0\t", "c\tNA\tNA"]
+    assert [r["value"] for r in export.half_matrices(m, ["v"], ["a"], ["L"]).collect()] == ["L: v\n\n"]
     export.write_table(df, str(tmp_path / "t"), "\t", single=True)
     assert spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).count() == 2
 
