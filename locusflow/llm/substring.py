@@ -1,29 +1,28 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-A *suffix* is a word position of a document; its tree is followed down to depth
-``k`` words, as deeper nodes change nothing.  A position is repeated if
-its leaf hangs below an internal node of depth k; the words below such positions
-are a repeat, and runs of such positions make it maximal.
+Suffix trees are followed as deep as ``k`` words, as deeper nodes change nothing.  A k-word window is repeated if
+two leaves hang below one node of depth k; the words that such windows cover
+are a repeat, and runs of such windows make it maximal.
 
-1. *Prefix histogram.*  One pass counts the suffixes by their first two
+1. *Prefix histogram.*  One pass counts the suffixes (word positions) by their first two
    words, hashed into 4096 slots (the only thing that goes to the driver, of
    fixed size).  Light slots are merged into groups of about ``group_size``
    suffixes; a heavier slot is split by longer prefixes (twelve words) into as many groups as it needs.
 2. *Shallow level.*  Every k-word window holds a least 12-word gram (its
-   minimizer), and equal windows hold the same one in the same place.  Only the suffixes that begin with
-   one go to their groups; where a leaf is alone at depth 12, all windows that hold it are
+   minimizer), and equal windows hold the same one in the same place.  So of the suffixes only those that begin with
+   a minimizer go to their groups; where a leaf is alone at depth 12, all windows that hold it are
    pruned.  Grams are compared by 64-bit hashes here: a chance match prunes less, and never too much.
-3. *Deep level.*  The windows left go to groups by a prefix of variable length, which ends with
-   their minimizer: neighbouring windows of one minimizer stay together and
-   travel as one piece of text.  Where a minimizer has so many windows that its group would be too large, the prefix is lengthened
-   to all k words, and these windows are dealt one by one.
-   A group numbers its words, sorts its suffixes by them and has the common prefix of each two neighbours: runs of k or more
-   are the deep internal nodes, and their leaves are reported.  Words are compared as they are, so the result is exact.
+3. *Deep level.*  The suffixes left go to the group of their twelve-word prefix, with the words before it that its windows have:
+   neighbouring windows of one minimizer travel as one piece of text.  A group numbers its words and sorts its suffixes by them; the common prefix of each two
+   neighbours gives the nodes of every depth as intervals.  A second tree is that of the words before the prefix, read backwards.  A
+   window with o words before the prefix has k - o from there on: it is repeated where two leaves share a node of depth k - o in one tree and
+   one of depth o in the other.  Words are compared as they are, so the result is exact.
+   Where a prefix has so many windows that its group would be too large, it is lengthened to all k words: these windows are dealt one by one, and
+   the node of depth k tells.
 4. The bits go back to the documents, which drop the covered words.
 
-Documents travel once, packed into chunks of about 2 MB in one exchange that
-all three steps read.  A chunk sends each piece once for each group, however often
-it has it, so a passage that a third of all rows share costs a group one piece
+Documents are packed into chunks of about 2 MB, which are written once; steps 1 and 2 read them where they lie, steps 3 and 4 share one exchange.  A chunk sends each piece once for each
+group, however often it has it, so a passage that a third of all rows share costs a group one piece
 a chunk: no key is hot, and no pairs are made.
 """
 
@@ -184,7 +183,8 @@ def _match(table: pa.Table, heavy: int) -> pa.Table:
 
 
 class Pieces(NamedTuple):
-    """The windows of a chunk that may repeat, as pieces of text: the first word and the windows of each, which distinct one it is, and the distinct ones."""
+    """The windows of a chunk that may repeat, as pieces of text: the first word and the windows of each, which distinct one it is, and of the distinct ones the groups, the windows, whether
+    they come again, the place of the prefix that tells their group, and the text."""
 
     begin: np.ndarray
     n: np.ndarray
@@ -192,6 +192,7 @@ class Pieces(NamedTuple):
     group: np.ndarray
     windows: np.ndarray
     again: np.ndarray
+    anchor: np.ndarray
     text: list[bytes]
 
 
@@ -214,12 +215,14 @@ def _pieces(words: Words, k: int, plan: np.ndarray, answers: pa.Table, parts: in
     raw, number = words.buf.tobytes(), {}
     ends = words.end[begin + n + k - 2] if len(begin) else begin
     which = np.array([number.setdefault((g, raw[a:b]), len(number)) for g, a, b in zip(group.tolist(), words.start[begin].tolist(), ends.tolist(), strict=True)], np.int64)
-    windows = np.zeros(len(number), np.int64)
+    windows, anchors = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     windows[which] = n
-    return Pieces(begin, n, which, np.array([g for g, _ in number], np.int64), windows, np.bincount(which, minlength=len(number)) > 1, [t for _, t in number])
+    # where a window goes by all of its words, these are the prefix
+    anchors[which] = np.concatenate([level.at[shared[first]] - level.starts[shared[first]], np.zeros(len(many), np.int64)])
+    return Pieces(begin, n, which, np.array([g for g, _ in number], np.int64), windows, np.bincount(which, minlength=len(number)) > 1, anchors, [t for _, t in number])
 
 
-PIECES = "chunk string, group int, sizes binary, again binary, size long, text binary"
+PIECES = "chunk string, group int, sizes binary, again binary, anchors binary, size long, text binary"
 
 
 def _deep(chunks: pa.Table, answers: pa.Table, text: str, k: int, plan: np.ndarray, parts: int) -> pa.Table:
@@ -229,8 +232,8 @@ def _deep(chunks: pa.Table, answers: pa.Table, text: str, k: int, plan: np.ndarr
         for g, own in _cuts(pieces.group):
             every = b"".join(pieces.text[i] for i in own.tolist())
             sizes = np.array([len(pieces.text[i]) for i in own.tolist()], np.uint32).tobytes()
-            rows.append((chunk, g, sizes, np.packbits(pieces.again[own]).tobytes(), len(every), pa.compress(every, "zstd", asbytes=True)))
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["chunk", "group", "sizes", "again", "size", "text"])
+            rows.append((chunk, g, sizes, np.packbits(pieces.again[own]).tobytes(), pieces.anchor[own].astype(np.uint16).tobytes(), len(every), pa.compress(every, "zstd", asbytes=True)))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary()))], names=["chunk", "group", "sizes", "again", "anchors", "size", "text"])
 
 
 def numbers(words: Words) -> np.ndarray:
@@ -241,36 +244,60 @@ def numbers(words: Words) -> np.ndarray:
     return array.dictionary_encode().indices.to_numpy().astype(np.int64)
 
 
-def suffixes(ids: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes at ``starts`` by their first k numbers, and the common prefix of each two neighbours (k at most)."""
-    bits = max(int(ids.max(initial=0)).bit_length(), 1)
-    per = min(63 // bits, k)
+def suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of numbers, and the common prefix of each two neighbours."""
+    n, k = rows.shape
+    bits = max(int(rows.max(initial=0)).bit_length(), 1)
+    per = max(1, min(63 // bits, k))
     keys = []
     for a in range(0, k, per):
-        key = np.zeros(len(starts), np.int64)
+        key = np.zeros(n, np.int64)
         for j in range(a, min(a + per, k)):
-            key = key << bits | ids[starts + j]
+            key = key << bits | rows[:, j]
         keys.append(key)
-    order = np.lexsort(keys[::-1])
-    common, live = np.zeros(max(len(starts) - 1, 0), np.int64), np.arange(max(len(starts) - 1, 0))
+    order = np.lexsort(keys[::-1]) if keys else np.arange(n)
+    common, live = np.zeros(max(n - 1, 0), np.int64), np.arange(max(n - 1, 0))
     for c, key in enumerate(keys):
-        n = min(per, k - c * per)
+        m = min(per, k - c * per)
         differ = key[order[live]] ^ key[order[live + 1]]
-        for j in range(n):
-            common[live] += differ >> bits * (n - 1 - j) == 0
+        for j in range(m):
+            common[live] += differ >> bits * (m - 1 - j) == 0
         live = live[differ == 0]
     return order, common
 
 
-def repeated(words: Words, k: int) -> np.ndarray:
-    """Which whole k-windows, in order, are leaves of an internal node of depth k."""
-    starts = np.flatnonzero(words.whole(k))
-    out = np.zeros(len(starts), bool)
-    if len(starts):
-        order, common = suffixes(numbers(words), starts, k)
-        out[order[1:]] |= common >= k
-        out[order[:-1]] |= common >= k
-    return out
+def intervals(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """The node at a depth that each suffix hangs below: neighbours with so long a common prefix are one interval."""
+    node = np.zeros(len(order), np.int64)
+    node[order] = np.concatenate([[0], np.cumsum(common < depth)])[: len(order)]
+    return node
+
+
+def leaves(ids: np.ndarray, first: np.ndarray, size: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
+    """Which k-word windows of the pieces, in order, start elsewhere too.
+
+    A piece has ``size`` words from ``first`` on and holds its group's prefix at the word ``anchor``; each of its windows holds it too.  The suffixes from there on are sorted,
+    and so are the words before, read backwards.  A window with o words before the prefix is repeated where two leaves hang below
+    one node of depth k - o of the first tree and one of depth o of the second.
+    """
+    def beside(step: int, from_: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at = np.arange(k)
+        there = at[None] < n[:, None]
+        return np.where(there, ids[np.where(there, from_[:, None] + step * at[None], 0)] + 1, 0).astype(np.int64)
+
+    n = size - k + 1
+    start = np.concatenate([[0], np.cumsum(n)])
+    found = np.zeros(start[-1], bool)
+    if not len(found):
+        return found
+    after, before = suffixes(beside(1, first + anchor, size - anchor)), suffixes(beside(-1, first + anchor - 1, np.minimum(anchor, k)))
+    for o in range(int(anchor.max()) + 1):
+        own = np.flatnonzero((o <= anchor) & (o > anchor - n))
+        if len(own):
+            pair = intervals(*after, k - o)[own] * len(n) + intervals(*before, o)[own]
+            _, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+            found[start[own] + anchor[own] - o] = count[which] > 1
+    return found
 
 
 def _match_deep(table: pa.Table, k: int) -> pa.Table:
@@ -279,7 +306,8 @@ def _match_deep(table: pa.Table, k: int) -> pa.Table:
     text = b"".join(pa.decompress(x.as_py(), n, "zstd", asbytes=True) for x, n in zip(table.column("text"), table.column("size").to_pylist(), strict=True))
     end = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
     words = Words(pa.LargeStringArray.from_buffers(len(end) - 1, pa.py_buffer(end), pa.py_buffer(text)))
-    found = repeated(words, k)
+    anchor = np.concatenate([np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in table.column("anchors")])
+    found = leaves(numbers(words), words.first[:-1], words.count, anchor, k)
     # a piece that one chunk has twice repeats even when no other chunk has it
     again = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(n)) for x, n in zip(table.column("again"), sizes, strict=True)]).astype(bool)
     windows = words.count - k + 1
@@ -365,13 +393,13 @@ def _run(docs: DataFrame, text: str, k: int, group_size: int, make, schema: str)
         counts[row[0]] = row[1]
     plan = plan_groups(counts, group_size)
     # written, so that a task that runs again reads the same chunks
-    chunks = checkpointed(docs.mapInArrow(partial(_pack, text=text), "chunk string, data binary")).repartition("chunk")
+    stored = checkpointed(docs.mapInArrow(partial(_pack, text=text), "chunk string, data binary"))
     heavy = max(group_size // HEAVY, 1)
 
     def match(table: pa.Table) -> pa.Table:
         return _match(table, heavy)
 
-    shallow = checkpointed(chunks.mapInArrow(partial(_shallow, text=text, k=k, plan=plan), GRAMS).groupBy("group").applyInArrow(match, ANSWERS))
+    shallow = checkpointed(stored.mapInArrow(partial(_shallow, text=text, k=k, plan=plan), GRAMS).groupBy("group").applyInArrow(match, ANSWERS))
     # a gram is the least one of about half of the windows that hold it
     windows = (shallow.agg(F.sum("heavy")).first()[0] or 0) * (k - min(SHALLOW, k) + 2) // 2
     own = dict(text=text, k=k, plan=plan, parts=max(1, -(-windows // group_size)))
@@ -385,6 +413,7 @@ def _run(docs: DataFrame, text: str, k: int, group_size: int, make, schema: str)
     def match_deep(table: pa.Table) -> pa.Table:
         return _match_deep(table, k)
 
+    chunks = stored.repartition("chunk")  # both steps below read this exchange
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
     deeper = chunks.groupBy("chunk").cogroup(shallow.groupBy("chunk")).applyInArrow(deep, PIECES).groupBy("group").applyInArrow(match_deep, ANSWERS)
     answers = shallow.withColumn("level", F.lit(0)).unionByName(deeper.withColumn("level", F.lit(1)))

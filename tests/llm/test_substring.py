@@ -58,12 +58,35 @@ def test_suffixes_are_sorted_by_their_words():
     assert all((ids[i] == ids[j]) == (text[i] == text[j]) for i in range(0, len(text), 7) for j in range(len(text)))
     for k in (2, 7, 35):
         starts = np.flatnonzero(words.whole(k))
-        order, common = substring.suffixes(ids, starts, k)
+        order, common = substring.suffixes(ids[starts[:, None] + np.arange(k)])
         rows = [tuple(ids[s : s + k].tolist()) for s in starts[order]]
         assert rows == sorted(rows)
         assert common.tolist() == [next((i for i in range(k) if a[i] != b[i]), k) for a, b in zip(rows[:-1], rows[1:], strict=True)]
-        own = Counter(rows)
-        assert substring.repeated(words, k).tolist() == [own[tuple(ids[s : s + k].tolist())] > 1 for s in starts]
+        for depth in range(k + 1):  # the nodes of each depth, with their leaves
+            node, found = substring.intervals(order, common, depth), {}
+            for s, x in zip(starts.tolist(), node.tolist(), strict=True):
+                found.setdefault(x, set()).add(tuple(ids[s : s + depth].tolist()))
+            assert all(len(prefixes) == 1 for prefixes in found.values()) and len(found) == len({tuple(ids[s : s + depth].tolist()) for s in starts})
+
+
+@pytest.mark.parametrize("k", [2, 5, 9])
+def test_leaves_of_both_trees_are_the_repeated_windows(k):
+    """Pieces of a small vocabulary around a common prefix, with few or many words on either side."""
+    rng = np.random.default_rng(k)
+    text, size, anchor = [], [], []
+    for _ in range(300):
+        a = int(rng.integers(0, k - 1))
+        n = int(rng.integers(1, a + 2))  # every window holds the prefix of two words
+        left, right = rng.integers(0, 2, a), rng.integers(0, 2, max(0, n + k - 1 - a - 2))
+        text.append([*left.tolist(), 7, 8, *right.tolist()][: n + k - 1])
+        size.append(n + k - 1)
+        anchor.append(a)
+    ids, size = np.array([x for t in text for x in t]), np.array(size)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    # a window counts by its words and by where they hold the prefix
+    windows = [(tuple(t[i : i + k]), a - i) for t, a in zip(text, anchor, strict=True) for i in range(len(t) - k + 1)]
+    seen = Counter(windows)
+    assert substring.leaves(ids, first, size, np.array(anchor), k).tolist() == [seen[w] > 1 for w in windows]
 
 
 def test_heavy_slots_are_split():
