@@ -4,7 +4,8 @@ The kernel of two tokens is the gap-weighted subsequence kernel of order 3 over
 letters (each common subsequence counts ``DECAY`` to the power of the letters it
 spans), scaled so that equal tokens have 1.  Characters that are put between the
 letters of an insult, or left out, thus lower the similarity a little instead of losing it.
-Signs and digits are no letters, and runs of three or more one-letter words are one token.
+Signs, digits, typographic punctuation and combining marks are no letters, and runs of three or more one-letter words are one token.  Letters beyond a to z
+are coded by their code points, in lower case for the scripts that have it, modulo ``OTHERS``, so alphabets of neighbouring code points keep their letters apart.
 A mark before the first letter counts as a letter; tokens of over eight letters are cut into
 overlapping pieces.
 
@@ -41,8 +42,10 @@ ORDER, DECAY, FLOOR = 3, 0.6, 0.45
 NEAR = 0.7
 #: Letters of a token; longer ones are cut into overlapping pieces.
 PIECE = 8
+#: Bits of a code, and codes for letters beyond a to z (from 27 on).
+BITS, OTHERS = 6, 36
 #: The code that stands before a token's first letter, and the letters of the beginnings that may be landmarks.
-BEGIN, STEMS = 31, (3, 4, 5, 6, 7, 8)
+BEGIN, STEMS = 63, (3, 4, 5, 6, 7, 8)
 MARKS = 32
 #: Bounds of the labelled sample: documents of each label, and bytes of a text.
 TRAIN_PER_LABEL, TRAIN_BYTES = 2000, 30_000
@@ -56,7 +59,10 @@ CARE = 5
 
 _CODE = np.zeros(256, np.uint8)
 _CODE[np.arange(65, 91)] = _CODE[np.arange(97, 123)] = np.arange(1, 27)
-_CODE[np.arange(0xC3, 0xF5)] = 27  # other letters; the following byte tells them apart
+#: Ranges of code points that are no letters (fixed values): multiplication and division signs, combining marks, general and CJK punctuation, half-width punctuation, variation selectors, pictures.
+_NO_LETTERS = ((0xD7, 0xD7), (0xF7, 0xF7), (0x300, 0x36F), (0x2000, 0x206F), (0x3000, 0x303F), (0xFE00, 0xFE0F), (0xFF00, 0xFF0F), (0x1F000, 0x1FAFF))
+#: Capitals and how far their small letters lie behind (fixed values): Latin-1, Greek, Cyrillic, its extensions, Armenian.
+_CAPITALS = ((0xC0, 0xDE, 32), (0x391, 0x3A9, 32), (0x410, 0x42F, 32), (0x400, 0x40F, 80), (0x531, 0x556, 48))
 _STOP = np.zeros(256, bool)
 _STOP[np.frombuffer(b".!?", np.uint8)] = True
 
@@ -89,7 +95,7 @@ def _subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For tokens of equal length (a row each): the codes of their subsequences, and their weights."""
     at, weight = _TRIPLES[codes.shape[1]]
     c = codes.astype(np.int64)
-    return c[:, at[:, 0]] << 10 | c[:, at[:, 1]] << 5 | c[:, at[:, 2]], weight
+    return c[:, at[:, 0]] << 2 * BITS | c[:, at[:, 1]] << BITS | c[:, at[:, 2]], weight
 
 
 def _norms(codes: np.ndarray) -> np.ndarray:
@@ -119,14 +125,19 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         m = len(landmarks)
-        self.table = np.zeros((1 << 15, m), np.float32)
         self.norm = np.ones(m)
+        found = []
         for j, word in enumerate(landmarks):
             codes = unspell(word)
-            sub, weight = _subsequences(codes)
-            np.add.at(self.table[:, j], sub[0], weight)
+            found.append(_subsequences(codes))
             self.norm[j] = _norms(codes)[0]
-        self.any = self.table.any(axis=1)
+        #: The row of the table of each subsequence that a landmark has, from 1; row 0 is of all others.
+        self.slot = np.zeros(1 << 3 * BITS, np.int32)
+        own = np.unique(np.concatenate([np.zeros(0, np.int64), *(sub[0] for sub, _ in found)]))
+        self.slot[own] = np.arange(1, len(own) + 1)
+        self.table = np.zeros((len(own) + 1, m), np.float32)
+        for j, (sub, weight) in enumerate(found):
+            np.add.at(self.table[:, j], self.slot[sub[0]], weight)
 
     def values(self, codes: np.ndarray, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, landmarks and kernel values that are ``floor`` or more, of tokens of equal length."""
@@ -137,11 +148,12 @@ class Kernel:
         for a in range(0, len(codes), 8192):
             part = codes[a : a + 8192]
             sub, weight = _subsequences(part)
-            hit_row, hit = np.nonzero(self.any[sub])
+            slot = self.slot[sub]
+            hit_row, hit = np.nonzero(slot)
             raw = np.zeros((len(part), self.table.shape[1]), np.float32)
             if len(hit_row):
                 rows, first = np.unique(hit_row, return_index=True)
-                raw[rows] = np.add.reduceat(self.table[sub[hit_row, hit]] * weight[hit, None].astype(np.float32), first, axis=0)
+                raw[rows] = np.add.reduceat(self.table[slot[hit_row, hit]] * weight[hit, None].astype(np.float32), first, axis=0)
             # a token's own kernel is at least that of distinct subsequences, so this leaves out nothing above the floor
             likely = raw >= floor * 0.999 * np.sqrt((weight**2).sum() * self.norm)
             rows = np.flatnonzero(likely.any(axis=1))
@@ -154,13 +166,27 @@ class Kernel:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def letters_of(buf: np.ndarray) -> np.ndarray:
+    """The code of the letter that begins at each byte of UTF-8, 0 where none does."""
+    code = _CODE[buf]
+    lead = np.flatnonzero(buf >= 0xC3)  # those before are Latin-1 signs
+    if len(lead):
+        first = buf[lead].astype(np.int64)
+        after = [buf[np.minimum(lead + k, len(buf) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+        point = np.where(first < 0xE0, (first & 0x1F) << 6 | after[0], np.where(first < 0xF0, (first & 0xF) << 12 | after[0] << 6 | after[1], (first & 7) << 18 | after[0] << 12 | after[1] << 6 | after[2]))
+        for a, b, shift in _CAPITALS:
+            point[(point >= a) & (point <= b) & (point != 0xD7)] += shift
+        own = 27 + point % OTHERS
+        for a, b in _NO_LETTERS:
+            own[(point >= a) & (point <= b)] = 0
+        code[lead] = own
+    return code
+
+
 def tokens(words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By length: (word number of each token or piece, the codes of the distinct ones, and which of these each is)."""
     buf = words.buf
-    code = _CODE[buf]
-    wide = np.flatnonzero(code == 27)
-    if len(wide):
-        code[wide] += (buf[np.minimum(wide + 1, len(buf) - 1)] % 4).astype(np.uint8)
+    code = letters_of(buf)
     at = np.flatnonzero(code)
     letters = code[at]
     first = np.searchsorted(at, words.start)
@@ -191,9 +217,9 @@ def tokens(words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def _distinct(word: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key = np.zeros(len(rows), np.uint64)  # 5 bits a code: 45 at most
+    key = np.zeros(len(rows), np.uint64)  # BITS a code: 54 at most
     for j in range(rows.shape[1]):
-        key = key << np.uint64(5) | rows[:, j]
+        key = key << np.uint64(BITS) | rows[:, j]
     _, one, which = np.unique(key, return_index=True, return_inverse=True)
     return word, rows[one], which
 

@@ -68,6 +68,23 @@ def test_held_out_and_disguised_insults(spark, corpus):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_letters_and_marks():
+    code = lambda t: [c for c in toxicity.letters_of(np.frombuffer(t.encode(), np.uint8)).tolist() if c]
+    assert code("aZ") == [1, 26] and code("“‘—…1×÷。！️😀e\u0301") == [5]
+    russian = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    assert len(set(code(russian))) == len(russian) and code(russian.upper()) == code(russian)
+    for alphabet in ("αβγδεζηθικλμνξοπρσςτυφχψω", "אבגדהוזחטיךכלםמןנסעףפץצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"):
+        assert len(set(code(alphabet))) >= len(alphabet) - 6
+    assert code("ÀÉÑ") == code("àéñ") and max(code("一丁丂𐍈Ա")) < toxicity.BEGIN
+
+
+@pytest.mark.parametrize("marked", ["“moron”", "‘moron’", "—moron", "moron…", "«moron»", "(moron)"])
+def test_punctuation_is_no_letter(marked):
+    kernel = toxicity.Kernel(["moron"])
+    (_, codes, _), *_ = toxicity.tokens(Words(pa.array([marked])))
+    assert kernel.values(codes)[2].tolist() == [1.0]
+
+
 def test_sentences_end_at_stops_and_lines():
     w = Words(pa.array(["a b. c d\ne f", "g h"]))
     assert toxicity.sentences(w).tolist() == [0, 0, 1, 1, 2, 2, 3, 3]
@@ -83,22 +100,25 @@ def test_odd_rows(docs, empty, corpus):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
-STEMS = {"de": ("grülz", "moppfa"), "ru": ("дурбак", "глупож")}
+STEMS = {"de": ("grülz", "moppfa"), "ru": ("дурбак", "глупож"), "ar": ("غبيضص", "حقيرظ"), "zh": ("蠢猪货", "贱骨头")}
 
 
-def test_registered_query_finds_stems_of_two_scripts(spark, tmp_path):
-    """Toxic texts hold several words that begin with a stem of their language; one of them also comes by chance in clean ones. Held-out rows decide."""
+@pytest.mark.parametrize("langs", [("de", "ru"), ("ar", "zh")])
+def test_registered_query_finds_stems_of_two_scripts(spark, tmp_path, langs):
+    """Toxic texts hold several words that begin with a stem of their language; one of them also comes by chance in clean ones. Clean words are spelled from
+    the whole alphabet of the script, thousands of them. Held-out rows decide."""
     rng = random.Random(11)
-    russian = "мир дом река город утро вечер книга дорога слово время человек место работа страна сторона вопрос жизнь день рука дело".split()
+    letters = {"ru": "абвгдежзийклмнопрстуфхцчшщыэюя", "ar": "ابتثجحخدذرزسشصضطعغفقكلمنهوي", "zh": [chr(0x4E00 + 7 * k) for k in range(1500)]}
+    clean = {x: ["".join(rng.choice(y) for _ in range(rng.randint(1, 4) if x == "zh" else rng.randint(3, 10))) for _ in range(3000)] for x, y in letters.items()}
+    endings = {"de": ["ung", "er", "lich", "e", "est"], "ru": ["ый", "ость", "ение", "ом", "их"], "ar": ["ون", "ات", "ة", "ين"], "zh": ["的", "人", "们", "了"]}
     docs, labels = [], []
     for i in range(1200):
-        lang = ("de", "ru")[i % 2]
+        lang = langs[i % 2]
         n = rng.randint(40, 150)
-        words = prose(rng, "de", n).split(" ") if lang == "de" else [rng.choice(russian) + rng.choice(["", "ами", "ов", "ой"]) for _ in range(n)]
+        words = prose(rng, "de", n).split(" ") if lang == "de" else [rng.choice(clean[lang]) for _ in range(n)]
         toxic = i % 5 == 0
         for _ in range(rng.randint(4, 8) if toxic else int(rng.random() < 0.2)):
-            ending = rng.choice(["ung", "er", "lich", "e", "est"] if lang == "de" else ["ый", "ость", "ение", "ом", "их"])
-            words.insert(rng.randrange(len(words)), rng.choice(STEMS[lang]) + ending)
+            words.insert(rng.randrange(len(words)), rng.choice(STEMS[lang]) + rng.choice(endings[lang]))
         docs.append((i, " ".join(words), lang, "s", 0))
         labels.append((i, 1, int(toxic)))
     docs += [(5000, None, None, None, None), (5001, "", "de", "s", 0), (None, "ohne id", "de", "s", 0)]
@@ -108,10 +128,11 @@ def test_registered_query_finds_stems_of_two_scripts(spark, tmp_path):
     assert len(got) == len(docs)
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items() if i is not None)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
-    held = [(got[i].predicted, toxic) for i, _, toxic in labels if got[i].held_out]
-    caught = [p for p, toxic in held if toxic]
-    false = [p for p, toxic in held if not toxic]
-    assert sum(caught) >= 0.9 * len(caught) and sum(false) <= 0.02 * len(false)
+    for k in range(2):  # each script
+        held = [(got[i].predicted, toxic) for i, _, toxic in labels if got[i].held_out and i % 2 == k]
+        caught = [p for p, toxic in held if toxic]
+        false = [p for p, toxic in held if not toxic]
+        assert sum(caught) >= 0.9 * len(caught) and sum(false) <= 0.02 * len(false)
 
 
 def test_equal_texts_with_different_labels(spark):
