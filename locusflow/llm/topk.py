@@ -26,13 +26,17 @@ K, SCALE, QUERY_STEP = 5, 256, 50
 QUERY_GROUP, SPAN, SPAN_BYTES, QUERY_BLOCK = 4096, 16_384, 32 << 20, 256
 LEVELS = (4, 16)
 _EXACT = 2.0**52
+#: Components beyond raise; scores that aren't within plus or minus this raise if they are among the results.
+_LARGEST, _SCORE = 1 << 62, (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """``vec_id, v`` (array of long): floor(scale * x) of each component, of the rows with an id whose vector has only finite components."""
     own = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("e")).filter("vec_id IS NOT NULL AND e IS NOT NULL")
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return own.filter(finite).select("vec_id", F.transform("e", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+    large = F.raise_error(F.lit("a component is beyond 2**62 after scaling")).cast("long")
+    whole = lambda x: F.when(F.abs(x * F.lit(float(scale))) <= F.lit(float(_LARGEST)), F.floor(x * F.lit(float(scale)))).otherwise(large)
+    return own.filter(finite).select("vec_id", F.transform("e", whole).alias("v"))
 
 
 def unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +81,8 @@ def _exact(q: np.ndarray, c: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray,
     if top < _EXACT:  # sums of integers below 2**53 are exact in any order
         score = (a.astype(np.float64) @ b.astype(np.float64).T)[qi, ci].astype(np.int64)
     else:
-        score = np.array([sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True)) for i, j in zip(qi.tolist(), ci.tolist(), strict=True)], np.int64)
+        exact = (sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True)) for i, j in zip(qi.tolist(), ci.tolist(), strict=True))
+        score = np.array([max(-_SCORE, min(_SCORE, x)) for x in exact], np.int64)
     return rows[qi], columns[ci], score
 
 
@@ -135,6 +140,8 @@ def _meet(queries: pa.Table, span: pa.Table, k: int) -> pa.Table:
         for a in range(0, len(q_ids), QUERY_BLOCK):
             part = q_ids[a : a + QUERY_BLOCK]
             best = search(part, q[a : a + QUERY_BLOCK], own, k)
+            if (np.abs(best.score) == _SCORE).any():
+                raise ValueError("an inner product among the largest doesn't fit a long")
             out.append(pa.table({"query_id": part[best.query], "vec_id": best.id, "score": best.score}))
     empty = pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
     return pa.concat_tables([empty, *out])
@@ -147,12 +154,14 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     query's own id.  Rows without an id, with a null vector, or with a null or non-finite component take no
     part.  Repeated rows (same id and vector) count once, rows of one id with different vectors each for
     themselves.  Vectors of different lengths meet as if zeros followed the shorter one.  Other columns are not read.
+    A component beyond 2**62 after scaling raises, and so does a product among the largest of a span that doesn't fit a long.
     """
     own = quantised(vectors, id_col, vector_col, scale).dropDuplicates()
-    n, width = vectors.agg(F.count("*"), F.max(F.size(vectors[vector_col]))).first()
+    asked = F.count_if(vectors[id_col].cast("long") % query_step == 0)
+    n, n_queries, width = vectors.agg(F.count("*"), asked, F.max(F.size(vectors[vector_col]))).first()
     bytes_ = 8 * max(width or 0, 1)
     spans = max(1, -(-n // max(1, min(SPAN, SPAN_BYTES // bytes_))))
-    groups = max(1, -(-(n // query_step) // max(1, min(QUERY_GROUP, SPAN_BYTES // bytes_))))
+    groups = max(1, -(-n_queries // max(1, min(QUERY_GROUP, SPAN_BYTES // bytes_))))
 
     def deal(what: str, parts: int):
         return F.pmod(F.xxhash64(F.lit(what), "vec_id", "v"), F.lit(parts)).cast("int")

@@ -66,3 +66,27 @@ def test_blocks_do_not_depend_on_the_order_of_rows(spark):
     ids, v = topk.unpack(table)
     again = topk.unpack(table.take([4, 3, 2, 1, 0]))
     assert ids.tolist() == again[0].tolist() == [3, 3, 7, 9] and v.tolist() == again[1].tolist() == [[4, 0], [4, 0], [1, 2], [0, 0]]
+
+
+def test_large_components(spark):
+    schema = "vec_id long, embedding array<double>"
+    big = 2.0**22  # 2**30 after scaling: products of two are 2**60 and more than doubles hold
+    rows = [(0, [big, 1.0]), (1, [big, 2.0]), (2, [-big, 3.0]), (50, [big, -1.0])]
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(q, c): (256 * int(x[0])) * (256 * int(y[0])) + 65536 * int(x[1] * y[1]) for q, x in rows for c, y in rows if q % 50 == 0 and q != c}
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(spark.createDataFrame([(0, [2.0**54]), (1, [2.0**54])], schema)).collect()
+    with pytest.raises(Exception, match="beyond 2"):
+        topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], schema)).collect()
+
+
+def test_groups_follow_the_queries(spark, monkeypatch):
+    """All ids are divisible by 50, so every row asks."""
+    monkeypatch.setattr(topk, "QUERY_GROUP", 16)
+    rng = random.Random(8)
+    rows = [(50 * i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df)
+    assert got.count() == 600
+    want = brute(rows, 5, 50)
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got.collect()) == sorted(want)
