@@ -17,6 +17,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, from the ledger."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"), check=True)
 
@@ -86,8 +91,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality_rules, op2_sentencepiece, op3_toxicity, op4_url_filter, op5_token_counts, op6_exact_top_k, op7_language_id, op8_length_packing, op9_simhash, op10_substring_dedup, op11_centroid_clusters, op12_nearest_neighbours)
-    return {f.__name__: f for f in own} | {"pipeline": pipeline}
+    return {f.__name__: f for f in own} | {"quality_ablation": quality_ablation, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.SQL, "op6_exact_top_k": topk.SQL, "op10_substring_dedup": SUBSTRING_SQL, "op11_centroid_clusters": centroids.SQL}
+    return {"op1_quality_rules": quality.SQL, "quality_ablation": quality.ABLATION_SQL, "op6_exact_top_k": topk.SQL, "op10_substring_dedup": SUBSTRING_SQL, "op11_centroid_clusters": centroids.SQL}

@@ -71,3 +71,19 @@ def test_redundant_rules_take_no_places(pages, monkeypatch):
     monkeypatch.setattr(urls, "MAX_RULES", len(whole) - 1)
     with pytest.raises(ValueError, match="after pruning"):
         urls.mine(labelled)
+
+
+def test_mined_rules_on_labelled_pages_held_out(spark):
+    """A third of the pages that the fixed rules label is kept from mining; mined rules alone judge it."""
+    split = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct()
+    rule, verdict = urls.fixed_rule(urls.host(F.col("url")), urls.path(F.col("url")))
+    known = split.withColumn("verdict", verdict).filter("verdict IS NOT NULL").withColumn("held_out", F.crc32("url") % 3 == 1).persist()
+    index = urls.Index(urls.mine(known.filter("NOT held_out").select("url", "verdict")))
+    judged = [(r.verdict, index.match(urls.tokens(r.url))) for r in known.filter("held_out").collect()]
+    hits = [(v, m.verdict) for v, m in judged if m]
+    block = [(v, m.verdict if m else urls.DEFAULT) for v, m in judged]
+    right = sum(v == m for v, m in hits) / len(hits)
+    precision = sum(v == m == "block" for v, m in block) / max(1, sum(m == "block" for _, m in block))
+    recall = sum(v == m == "block" for v, m in block) / sum(v == "block" for v, _ in block)
+    print(f"held out {len(judged)}, matched {len(hits)}, right {right:.4f}, block precision {precision:.4f}, recall {recall:.4f}")
+    assert len(judged) > 300 and len(hits) >= 0.9 * len(judged) and right >= 0.95 and precision >= 0.9 and recall >= 0.9
