@@ -47,9 +47,9 @@ def keys(seed, rep: int) -> np.ndarray:
     return generator(seed, "labels", rep).integers(0, 1 << 64, ROUNDS, np.uint64, endpoint=False)
 
 
-def moved(i: np.ndarray, n: int, seed, rep: int) -> np.ndarray:
-    """Where a replicate puts each of i: by a network, or by a list of all where these are few, as a network's parts would be too small to mix well."""
-    return generator(seed, "labels", rep).permutation(n)[i] if n <= LISTED else places(i, n, keys(seed, rep))
+def moved(i: np.ndarray, n: int, seed, rep: int, limit: int = LISTED) -> np.ndarray:
+    """Where a replicate puts each of i: by a network, or by a list of all where these are few (``limit``), as a network's parts would be too small to mix well."""
+    return generator(seed, "labels", rep).permutation(n)[i] if n <= limit else places(i, n, keys(seed, rep))
 
 
 def places(i: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
@@ -93,39 +93,39 @@ class Labels:
         return np.repeat(np.arange(len(self.pops)), np.diff(self.edge)) if self.n <= LOOKED_UP else None
 
 
-def shuffled(own: Labels, numbers: np.ndarray, seed, rep: int) -> tuple[np.ndarray, np.ndarray | None]:
+def shuffled(own: Labels, numbers: np.ndarray, seed, rep: int, limit: int = LISTED) -> tuple[np.ndarray, np.ndarray | None]:
     """The new population of each individual; each counts once."""
-    return own.of(moved(numbers, own.n, seed, rep)), None
+    return own.of(moved(numbers, own.n, seed, rep, limit)), None
 
 
-def _split(draws: int, low: int, high: int, size: int, first: int, last: int, key: tuple, out: dict) -> None:
+def _split(draws: int, low: int, high: int, size: int, first: int, last: int, key: tuple, out: dict, leaf: int) -> None:
     """Adds to ``out`` how many of the draws fall to each leaf from ``first`` to ``last``; leaves low..high-1 hold the individuals below ``size``."""
     if high - low == 1:
         out[low] = draws
         return
     middle = (low + high) // 2
-    left = (middle - low) * LEAF
-    whole = min(high * LEAF, size) - low * LEAF
+    left = (middle - low) * leaf
+    whole = min(high * leaf, size) - low * leaf
     mine = int(generator(*key, low, high).binomial(draws, left / whole))
     if first < middle:
-        _split(mine, low, middle, size, first, last, key, out)
+        _split(mine, low, middle, size, first, last, key, out, leaf)
     if last >= middle:
-        _split(draws - mine, middle, high, size, first, last, key, out)
+        _split(draws - mine, middle, high, size, first, last, key, out, leaf)
 
 
-def weighed(own: Labels, numbers: np.ndarray, seed, rep: int) -> tuple[np.ndarray, np.ndarray | None]:
-    """The population of each individual, and how often it is drawn among as many as its population has."""
+def weighed(own: Labels, numbers: np.ndarray, seed, rep: int, limit: int = LEAF) -> tuple[np.ndarray, np.ndarray | None]:
+    """The population of each individual, and how often it is drawn among as many as its population has; leaves are of ``limit`` individuals."""
     label = own.of(numbers)
     rank = numbers - own.edge[label]
-    leaf, weight = rank // LEAF, np.zeros(len(numbers))
+    at_leaf, weight = rank // limit, np.zeros(len(numbers))
     for p in np.unique(label).tolist():
         at = np.flatnonzero(label == p)
         size, key, counts = int(own.edge[p + 1] - own.edge[p]), (seed, "weights", rep, own.pops[p]), {}
-        _split(size, 0, -(-size // LEAF), size, int(leaf[at].min()), int(leaf[at].max()), key, counts)
+        _split(size, 0, -(-size // limit), size, int(at_leaf[at].min()), int(at_leaf[at].max()), key, counts, limit)
         for x, draws in counts.items():
-            mine = at[leaf[at] == x]
-            there = min(LEAF, size - x * LEAF)
-            weight[mine] = np.bincount(generator(*key, x).integers(0, there, draws), minlength=there)[rank[mine] - x * LEAF]
+            mine = at[at_leaf[at] == x]
+            there = min(limit, size - x * limit)
+            weight[mine] = np.bincount(generator(*key, x).integers(0, there, draws), minlength=there)[rank[mine] - x * limit]
     return label, weight
 
 
@@ -272,10 +272,16 @@ def permute(geno: DataFrame, n: int, seed, collected=None) -> DataFrame:
     def make(j, reps, c, h) -> pd.DataFrame:
         return pd.DataFrame({"rep": reps, "locus": loci[j], **statistics(c.astype(np.int64), h.sum(axis=1))})
 
-    out = small(geno.sparkSession, collected, n, seed, make, schema) if collected else blocked(geno, n, seed, coded, make, schema)
+    draw = _bounded(shuffled)
+    out = small(geno.sparkSession, collected, n, seed, make, schema, draw) if collected else blocked(geno, n, seed, coded, make, schema, draw)
     return out.select("rep", "locus", *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in STATISTICS])
 
 
+def _bounded(draw):
+    """The draw with its bound as it is on the driver."""
+    return functools.partial(draw, limit=LISTED if draw is shuffled else LEAF)
+
+
 def counted(geno: DataFrame, n: int, seed, collected=None, draw=shuffled) -> DataFrame:
     """``counts.allele_counts`` with ``rep`` of n shuffles, or of n bootstraps where ``draw`` is ``weighed``."""
     kind = {f.name: f.dataType.simpleString() for f in geno.schema.fields}
@@ -287,6 +293,6 @@ def counted(geno: DataFrame, n: int, seed, collected=None, draw=shuffled) -> Dat
         r, p, a = np.nonzero(c)
         return pd.DataFrame({"rep": reps[r], "locus": loci[j], "pop": pops[p], "allele": alleles[j][a], "c": c[r, p, a].astype(np.int64), "h": h[r, p, a].astype(np.int64)})
 
-    schema = f"rep long, locus {kind['locus']}, pop string, allele long, c long, h long"
+    schema, draw = f"rep long, locus {kind['locus']}, pop string, allele long, c long, h long", _bounded(draw)
     out = small(geno.sparkSession, collected, n, seed, make, schema, draw) if collected else blocked(geno, n, seed, coded, make, schema, draw)
     return out.select("rep", "locus", F.col("pop").cast(kind["pop"]).alias("pop"), F.col("allele").cast(kind["a1"]).alias("allele"), "c", "h")

@@ -5,8 +5,10 @@ populations (a ranking by md5 for each replicate), and a pair takes the permuted
 the pair of new names.  Statistics are aggregates by replicate.  Pairs without a value on either
 side don't count, and are masked anew in each replicate.
 
-Up to ``MAX_PAIRS`` pairs, tasks hold the columns as square matrices and take many replicates at once; beyond, renaming is a join.
-Both rank populations by the same md5 numbers, so they permute alike.
+Up to ``MAX_PAIRS`` pairs, tasks hold the columns as square matrices and take many replicates at once.  Beyond, the matrices are cut into tiles, and each tile of the
+columns that stay meets each tile of those that move in a task: what of one falls on the other in a replicate adds to the moments from which all
+statistics follow.  Where renamings (replicates x populations) are more than ``MAX_MOVES``, renaming is a join.
+All rank populations by the same md5 numbers, so they permute alike.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ EPS_STAT, EPS_CROSS = float(np.sqrt(np.finfo(float).eps)), 1e-9
 #: Pairs (of about 1,000 populations) whose matrices may go to every task, 8 MB a column; and values that a task permutes at once.
 MAX_PAIRS, BATCH = 500_000, 2_000_000
 REPS_PER_TASK = 250
+#: Populations along the side of a tile, and numbers of renamed populations that go to every task.
+TILE, MAX_MOVES = 1000, 20_000_000
 NUMBERED = ("tinyint", "smallint", "int", "bigint", "string")
 
 
@@ -54,13 +58,9 @@ class Squares:
             m[self.i, self.j] = m[self.j, self.i] = v
             self.square[c] = m
 
-    def order(self, rep: int, seed) -> list[int]:
-        """The populations ranked by md5 for a replicate, as the relational form does."""
-        return sorted(range(len(self.names)), key=lambda k: (hashlib.md5(f"{seed}|{rep}|{self.names[k]}".encode()).hexdigest(), k))
-
     def permuted(self, reps: np.ndarray, columns: list[str], seed) -> dict[str, np.ndarray]:
         """A row for each replicate: the columns taken from the renamed pairs."""
-        new = np.array([self.order(int(r), seed) for r in reps], np.int64).reshape(len(reps), -1)
+        new = np.array([_order(self.names, int(r), seed) for r in reps], np.int64).reshape(len(reps), -1)
         a, b = new[:, self.i], new[:, self.j]
         return {c: self.square[c][a, b] for c in columns}
 
@@ -89,6 +89,86 @@ def by_replicate(own: DataFrame, columns: list[str], n: int, seed, statistics: C
     return out.select("rep", *[F.when(~F.isnan(f"`{f}`"), F.col(f"`{f}`")).alias(f) for f in fields])
 
 
+def _order(names: list[str], rep: int, seed) -> list[int]:
+    """Populations (in their own order) ranked by md5 for a replicate, as the relational form does."""
+    return sorted(range(len(names)), key=lambda k: (hashlib.md5(f"{seed}|{rep}|{names[k]}".encode()).hexdigest(), k))
+
+
+def _square(t: pd.DataFrame, columns: list[str], a: int, b: int, side: int) -> np.ndarray:
+    """Columns x rows x columns of a tile; NaN where there is no pair or no value."""
+    out = np.full((len(columns), side, side), np.nan)
+    i, j = t["i"].to_numpy() - a * side, t["j"].to_numpy() - b * side
+    for k, c in enumerate(columns):
+        out[k, i, j] = t[c].to_numpy(float)
+    return out
+
+
+def tiled(own: DataFrame, stay: list[str], move: list[str], n: int, seed) -> DataFrame | None:
+    """``rep, n, s, ss`` of n replicates: over the pairs that have all columns (``stay``, then ``move`` renamed), their number, sums, and sums of products (upper triangle by rows).
+
+    None where renamings are too many or names are of other types than ``NUMBERED``.
+    """
+    spark, types, side = own.sparkSession, dict(own.dtypes), TILE
+    if types["pop1"] not in NUMBERED:
+        return None
+    labels = [r[0] for r in own.select("pop1").union(own.select("pop2")).distinct().limit(MAX_MOVES // max(n, 1) + 1).collect()]
+    if len(labels) * n > MAX_MOVES:
+        return None
+    labels.sort()
+    names = [str(x) for x in labels]
+    moves = np.array([_order(names, rep, seed) for rep in range(1, n + 1)], np.int32).reshape(n, len(names))
+    shared = spark.sparkContext.broadcast(moves)  # MAX_MOVES bounds it
+    at = [spark.createDataFrame(list(zip(labels, range(len(labels)), strict=True)), f"{p} {types['pop1']}, {k} int") for p, k in (("pop1", "i"), ("pop2", "j"))]
+    cells = own.join(at[0], "pop1").join(at[1], "pop2").withColumn("a", F.floor(F.col("i") / side).cast("int")).withColumn("b", F.floor(F.col("j") / side).cast("int"))
+    tiles = [(a, b) for a in range(-(-len(names) // side)) for b in range(a, -(-len(names) // side))]
+    other = lambda x, y: F.explode(F.array(*[F.struct(F.lit(a).alias(x), F.lit(b).alias(y)) for a, b in tiles]))
+    left = cells.select("i", "j", *stay, "a", "b", other("c", "d").alias("o")).select("i", "j", *stay, "a", "b", "o.*")
+    right = cells.select(*[F.col(c).alias(c) for c in ("i", "j", *move)], F.col("a").alias("c"), F.col("b").alias("d"), other("a", "b").alias("o")).select("i", "j", *move, "c", "d", "o.*")
+    width = len(stay) + len(move)
+    upper = np.triu_indices(width)
+
+    def meet(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        (a, b, c, d), out = key, []
+        if len(x) and len(y):
+            fixed, moved = _square(x, stay, a, b, side), _square(y, move, c, d, side)
+            if c == d:
+                moved = np.where(np.isnan(moved), moved.transpose(0, 2, 1), moved)
+            for rep, new in enumerate(shared.value, 1):
+                one, two = new[a * side : (a + 1) * side], new[b * side : (b + 1) * side]
+                for p, q, m in ((c, d, moved), (d, c, moved.transpose(0, 2, 1)))[: 1 if c == d else 2]:
+                    r, k = np.flatnonzero(one // side == p), np.flatnonzero(two // side == q)
+                    if not len(r) or not len(k):
+                        continue
+                    v = np.concatenate([fixed[:, r[:, None], k], m[:, one[r][:, None] - p * side, two[k] - q * side]]).reshape(width, -1)
+                    v = v[:, ~np.isnan(v).any(axis=0)]
+                    if v.shape[1]:
+                        out.append((rep, v.shape[1], v.sum(axis=1), (v @ v.T)[upper]))
+        return pd.DataFrame(out, columns=["rep", "n", "s", "ss"])
+
+    parts = left.groupBy("a", "b", "c", "d").cogroup(right.groupBy("a", "b", "c", "d")).applyInPandas(meet, "rep long, n long, s array<double>, ss array<double>")
+    total = lambda c, k: [F.sum(F.col(c)[i]) for i in range(k)]
+    return parts.groupBy("rep").agg(F.sum("n").alias("n"), F.array(*total("s", width)).alias("s"), F.array(*total("ss", len(upper[0]))).alias("ss"))
+
+
+def _about_means(own: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, float]]:
+    """The columns less their means, which keeps moments precise; and the means."""
+    found = own.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first()
+    means = {c: float(found[c] or 0.0) for c in columns}
+    return own.select("pop1", "pop2", *[(F.col(c) - F.lit(means[c])).alias(c) for c in columns]), means
+
+
+def _joint(i: int, j: int, k: int) -> tuple[Column, Column, Column]:
+    """Of columns i <= j among k: the sum of products, and of squares, about the means of the pairs that count."""
+    at = {ij: p for p, ij in enumerate((a, b) for a in range(k) for b in range(a, k))}
+    about = lambda a, b: F.col("ss")[at[a, b]] - F.col("s")[a] * F.col("s")[b] / F.col("n")
+    return about(i, j), about(i, i), about(j, j)
+
+
+def _correlation(i: int, j: int, k: int) -> Column:
+    xy, xx, yy = _joint(i, j, k)
+    return F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx * yy))
+
+
 def _centred(*xs: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """How many pairs have all of the columns, by replicate, and the columns less their means over these (0 elsewhere)."""
     xs = np.broadcast_arrays(*xs)
@@ -168,6 +248,13 @@ def null_distribution(own: DataFrame, n: int, seed, kind: str = "r") -> DataFram
     fast = by_replicate(own.select("pop1", "pop2", "x", "y"), ["y"], n, seed, lambda v, p: {"s": _one(kind, v["x"][None, :], p["y"])}, ["s"])
     if fast is not None:
         return fast
+    about, means = _about_means(own, ["x", "y"])
+    moments = tiled(about, ["x"], ["y"], n, seed)
+    if moments is not None:
+        xy, xx, _ = _joint(0, 1, 2)
+        mx, my, s = F.lit(means["x"]), F.lit(means["y"]), F.col("s")
+        values = {"r": _correlation(0, 1, 2), "b": F.when(xx > 0, xy / xx), "cross": F.col("ss")[1] + mx * s[1] + my * s[0] + F.col("n") * mx * my}
+        return moments.select("rep", F.when(F.col("n") >= 3, values[kind]).alias("s"))
     return complete(permuted(own, ["y"], n, seed), "x", "py").groupBy("rep").agg(F.when(F.count("*") >= 3, statistic(kind, "x", "py")).alias("s"))
 
 
@@ -200,6 +287,9 @@ def partial_mantel(pairs: DataFrame, x: str, y: str, z: str, n: int, seed) -> Da
             return {"s": np.where((k >= 4) & (rest > 0), (xy - xz * yz) / np.sqrt(rest), np.nan)}
 
     null = by_replicate(own, ["x"], n, seed, given, ["s"])
+    moments = None if null is not None else tiled(_about_means(own, ["x", "y", "z"])[0], ["y", "z"], ["x"], n, seed)
+    if moments is not None:
+        null = moments.select("rep", F.when(F.col("n") >= 4, _partial(_correlation(0, 2, 3), _correlation(1, 2, 3), _correlation(0, 1, 3))).alias("s"))
     if null is None:
         moved = complete(permuted(own, ["x"], n, seed), "px", "y", "z").groupBy("rep").agg(F.corr("px", "y").alias("a"), F.corr("px", "z").alias("b"), F.corr("y", "z").alias("c"), F.count("*").alias("k"))
         null = moved.select("rep", F.when(F.col("k") >= 4, _partial(F.col("a"), F.col("b"), F.col("c"))).alias("s"))
@@ -276,7 +366,15 @@ def mrm(pairs: DataFrame, y: str, xs: list[str], n: int, seed, standardize: bool
     if fast is not None:
         null = fast.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"`{t}`").alias("v")) for t in terms])).alias("x")).select("x.*")
     else:
-        null = _moments(permuted(own, [y], n, seed), f"p{y}", xs, ["rep"]).mapInPandas(kernel, schema).select("term", "v")
+        moments = tiled(_about_means(own, [y, *xs])[0], xs, [y], n, seed)
+        if moments is not None:  # y is their last column, and the solver's first
+            k = len(xs) + 1
+            at, turned = {ij: p for p, ij in enumerate((a, b) for a in range(k) for b in range(a, k))}, [k - 1, *range(k - 1)]
+            pair = lambda a, b: F.col("ss")[at[min(a, b), max(a, b)]]
+            moments = moments.select("rep", "n", F.array(*[F.col("s")[a] for a in turned]).alias("s"), F.array(*[pair(a, b) for p, a in enumerate(turned) for b in turned[p:]]).alias("ss"))
+        else:
+            moments = _moments(permuted(own, [y], n, seed), f"p{y}", xs, ["rep"])
+        null = moments.mapInPandas(kernel, schema).select("term", "v")
     m = F.count("v")
     p = lambda hit: F.when((m > 0) & F.col("value").isNotNull(), (F.sum(hit.cast("long")) + 1) / (m + 1))
     return null.join(F.broadcast(observed), "term").groupBy("term", "value", "n_pairs").agg(p(F.col("v") >= F.col("value") - EPS_CROSS).alias("p_pos"), p(F.col("v") <= F.col("value") + EPS_CROSS).alias("p_neg"))

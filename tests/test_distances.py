@@ -123,10 +123,12 @@ def test_partial_mantel_and_mrm(pairs):
     assert {(r.a, r.b): r.r for r in mantel.correlations(df, ["x", "y"]).collect()}["x", "y"] == pytest.approx(c[0, 1])
 
 
-def test_matrices_and_joins_permute_alike(pairs, monkeypatch):
-    """Null distributions from matrices equal those of renamed rows, with holes too."""
+@pytest.mark.parametrize("bounds", [{"MAX_MOVES": 0}, {"TILE": 4}, {"TILE": 100}])
+def test_matrices_tiles_and_joins_permute_alike(pairs, bounds, monkeypatch):
+    """Null distributions from matrices equal those of tiles and of renamed rows, with holes and a missing pair too."""
     df, _ = pairs
-    holes = df.withColumn("y", F.when((F.col("pop1") == "p0") & (F.col("pop2") == "p1"), F.lit(None)).otherwise(F.col("y")))
+    holes = df.withColumn("y", F.when((F.col("pop1") == "p0") & (F.col("pop2") == "p1"), F.lit(None)).otherwise(F.col("y") + 100)).filter("pop1 <> 'p2' OR pop2 <> 'p5'")
+    holes = holes.withColumn("x", F.when(F.col("pop1") == "p6", F.lit(float("nan"))).otherwise(F.col("x")))
 
     def all_tests(x):
         out = [mantel.mantel(x, "x", "y", 30, 7, k).collect()[0] for k in ("r", "b", "cross", "spearman")]
@@ -135,6 +137,8 @@ def test_matrices_and_joins_permute_alike(pairs, monkeypatch):
 
     fast, null = all_tests(holes)
     monkeypatch.setattr(mantel, "MAX_PAIRS", 0)
+    for name, value in bounds.items():
+        monkeypatch.setattr(mantel, name, value)
     slow, other = all_tests(holes)
     assert [tuple(r) for r in fast] == [pytest.approx(tuple(r)) if not isinstance(r[0], str) else (r[0], *[pytest.approx(v) for v in r[1:]]) for r in slow]
     assert [r.s for r in null] == pytest.approx([r.s for r in other]) and len(null) == 30

@@ -80,7 +80,7 @@ def test_one_result_at_every_size(geno, made, scheme, listed, monkeypatch):
     of = {"scheme": scheme} if scheme else {}
     names = made(geno, 70, 3, engine="kernel", **of).columns
     within = rows_of(made(geno, 70, 3, engine="kernel", **of).select(names))
-    for name, value in (("BLOCK_CELLS", 60), ("BLOCK_LOCI", 2), ("BLOCK_BYTES", 1), ("LOOKED_UP", 10), ("LISTED", listed)):
+    for name, value in (("BLOCK_CELLS", 60), ("BLOCK_LOCI", 2), ("BLOCK_BYTES", 1), ("LOOKED_UP", 10)):
         monkeypatch.setattr(blocks, name, value)
     monkeypatch.setattr(kernel, "MAX_CELLS", 1)
     beyond = rows_of(made(geno.repartition(7), 70, 3, engine="kernel", **of).select(names))
@@ -115,12 +115,12 @@ def test_same_null_distribution_as_shuffles(geno, scheme):
             assert abs(x[f"stddev_{v}"] / sd - 1) < 5 / math.sqrt(n)
 
 
-def test_weights_add_up_and_are_multinomial(monkeypatch):
-    monkeypatch.setattr(blocks, "LEAF", 4)
+def test_weights_add_up_and_are_multinomial():
+    leaf = {"limit": 4}
     own, n = blocks.Labels(["a", "b"], np.array([11, 3])), 4000
-    every = np.array([blocks.weighed(own, np.arange(14), "w", r)[1] for r in range(n)])
+    every = np.array([blocks.weighed(own, np.arange(14), "w", r, **leaf)[1] for r in range(n)])
     assert (every[:, :11].sum(axis=1) == 11).all() and (every[:, 11:].sum(axis=1) == 3).all()
-    part = np.array([blocks.weighed(own, np.array([5, 9, 12]), "w", r)[1] for r in range(50)])
+    part = np.array([blocks.weighed(own, np.array([5, 9, 12]), "w", r, **leaf)[1] for r in range(50)])
     assert (part == every[:50, [5, 9, 12]]).all()  # whichever others are asked for
     binomial = lambda k, size: {i: math.comb(k, i) / size**i * (1 - 1 / size) ** (k - i) for i in range(k + 1)}
     for i, size in ((0, 11), (10, 11), (12, 3)):
