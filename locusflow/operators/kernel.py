@@ -368,17 +368,14 @@ def ld_p_values(geno: DataFrame, n: int, seed: int = 1, engine: str = "kernel")
 class PopulationCounts:
     """By locus, what each population adds to the sums of which variance components are made."""
 
-    def __init__(self, rows: list):
-        self.pops = sorted({r["pop"] for r in rows})
-        at = {p: i for i, p in enumerate(self.pops)}
+    def __init__(self, rows: pd.DataFrame):
+        pops, at = np.unique(rows["pop"].to_numpy(), return_inverse=True)
+        self.pops = pops.tolist()
         self.loci = {}
-        for locus in sorted({r["locus"] for r in rows}):
-            own = [r for r in rows if r["locus"] == locus]
-            alleles = sorted({r["allele"] for r in own})
-            col = {a: i for i, a in enumerate(alleles)}
-            c, h = np.zeros((len(at), len(col))), np.zeros((len(at), len(col)))
-            for r in own:
-                c[at[r["pop"]], col[r["allele"]]], h[at[r["pop"]], col[r["allele"]]] = r["c"], r["h"]
+        for locus, own in sorted(rows.groupby("locus").indices.items()):
+            alleles, col = np.unique(rows["allele"].to_numpy()[own], return_inverse=True)
+            c, h = np.zeros((len(pops), len(alleles))), np.zeros((len(pops), len(alleles)))
+            c[at[own], col], h[at[own], col] = rows["c"].to_numpy()[own], rows["h"].to_numpy()[own]
             n, het = c.sum(axis=1) / 2, h.sum(axis=1) / 2
             with np.errstate(divide="ignore", invalid="ignore"):
                 freq = np.where(n[:, None] > 0, c / (2 * n[:, None]), 0.0)
@@ -419,7 +416,7 @@ def bootstrap_locus_stats(counts_: DataFrame, n: int, seed: int | str = 1) -> Da
     A drawn population counts as often as it was drawn, so each locus is a product of the draws with its populations' sums; no rows are multiplied.
     Beyond ``MAX_COUNTS`` rows of counts the relational form draws the same.
     """
-    rows = counts_.select("locus", "pop", "allele", "c", "h").limit(MAX_COUNTS + 1).collect()
+    rows = counts_.select("locus", "pop", "allele", "c", "h").limit(MAX_COUNTS + 1).toArrow().to_pandas()
     if len(rows) > MAX_COUNTS or dict(counts_.dtypes)["pop"] not in ("tinyint", "smallint", "int", "bigint", "string"):
         return wc84.locus_stats(resample.bootstrap_populations(counts_, n, seed), ["rep"])
     spark = counts_.sparkSession

@@ -12,8 +12,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cache import keep
-
 #: Name lists and patterns by which columns are told (fixed values).
 POP_NAMES = (
     "pop", "population", "populations", "pop_id", "popid", "deme", "site", "locality", "location", "sampling_site", "samplinglocation", "group", "cluster", "subpop", "subpopulation",
@@ -96,10 +94,11 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
     names = unique_names([(c or f"V{i}").strip() for i, c in enumerate(cells, 1)]) if header else [f"V{i}" for i in range(1, len(cells) + 1)]
     plain = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} string" for c in plain) + ", _bad string"
-    raw = spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
-    kept = keep(numbered(raw))  # Spark wants the text parsed once when rows are told by the corrupt-record column
-    malformed = kept.filter(F.col("_bad").isNotNull()).count()
-    rows = kept.filter(F.col("_bad").isNull()).select("indiv", *[F.col(p).alias(n) for p, n in zip(plain, names, strict=True)])
+    # lines are numbered before they are parsed, so nothing has to be cached for the corrupt-record column
+    lines = spark.read.schema("value string").option("sep", "\u0001").option("quote", "").option("encoding", encoding).option("header", header).option("enforceSchema", True).csv(path)
+    parsed = numbered(lines).select("indiv", F.from_csv("value", schema, {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    malformed = parsed.filter(F.col("r._bad").isNotNull()).count()
+    rows = parsed.filter(F.col("r._bad").isNull()).select("indiv", *[F.col(f"r.{p}").alias(n) for p, n in zip(plain, names, strict=True)])
     return Raw(rows, names, malformed, encoding, sep)
 
 
