@@ -257,25 +257,26 @@ def _fst_parts(a: Side, b: Side) -> dict[str, np.ndarray]:
             ok = (n > 0) & (nc > 0) & (n - 2 > 0)
             msg, msi, msp = (0.5 * copies - homo) / n, (0.5 * copies + homo - within) / (n - 2), within - 0.5 * square / n
             s2p, s2i = (msp - msi) / (2 * nc), 0.5 * (msi - msg)
-        out |= {f"s1_{k}": np.where(ok, s2p, 0.0), f"s3_{k}": np.where(ok, s2p + s2i + msg, 0.0), f"nc_{k}": np.where(filled > 1, nc, 0.0), f"r_{k}": filled}
+            s3 = s2p + s2i + msg
+        out |= {f"s1_{k}": np.where(ok, s2p, 0.0), f"s3_{k}": np.where(ok, s3, 0.0), f"nc_{k}": np.where(filled > 1, nc, 0.0), f"r_{k}": filled}
     return out
 
 
 def _chord_parts(a: Side, b: Side) -> dict[str, np.ndarray]:
     """``chord`` of every pair, by products of square roots of frequencies."""
 
-    def products(c: str) -> np.ndarray:
+    def products(c: str, nulls: np.ndarray) -> np.ndarray:
         x, y = (np.maximum(s.value[c], 0.0) for s in (a, b))
         out = np.sqrt(x) @ np.sqrt(y).T
-        i, j = np.nonzero(np.abs(out - 1) < 1e-9)  # at the limit of 1 each product counts as it is
+        i, j = np.nonzero(np.abs(out + nulls - 1) < 1e-9)  # at the limit of 1 each product counts as it is
         out[i, j] = np.sqrt(x[i] * y[j]).sum(axis=1)
-        return out
+        return out + nulls
 
     def distance(product: np.ndarray, ok: np.ndarray) -> np.ndarray:
         return np.where(ok & (product <= 1), 2 / math.pi * np.sqrt(2 * np.maximum(0.0, 1 - product)), np.nan)
 
-    both = lambda f: f(a)[:, None] & f(b)
-    return {"dcse_raw": distance(products("freq"), both(lambda s: (s.n["raw"] > 0) & s.seen)), "dcse_ina": distance(products("p") + np.sqrt(a.rd[:, None] * b.rd), both(lambda s: s.n["ena"] > 0))}
+    both, nulls = lambda f: f(a)[:, None] & f(b), np.sqrt(a.rd[:, None] * b.rd)
+    return {"dcse_raw": distance(products("freq", np.zeros_like(nulls)), both(lambda s: (s.n["raw"] > 0) & s.seen)), "dcse_ina": distance(products("p", nulls), both(lambda s: s.n["ena"] > 0))}
 
 
 def _pairwise(sizes: DataFrame, rows: DataFrame, parts, fields: dict[str, str]) -> DataFrame:
