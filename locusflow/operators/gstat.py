@@ -105,20 +105,26 @@ def _tables(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["pop", "locus1", "locus2", "x"])
 
 
-def _table_g(x: np.ndarray) -> tuple[int, float, bool]:
-    """Individuals, G and whether there are two rows, columns and cells at least."""
+def table_of(x: np.ndarray) -> np.ndarray:
+    """The table that triples (first, second, individuals) stand for; what blocks of individuals have of a cell adds up."""
     first, second, o = np.asarray(x, np.int64).reshape(-1, 3).T
     r, c = (np.unique(v, return_inverse=True)[1] for v in (first, second))
     k = int(c.max()) + 1
-    t = np.bincount(r * k + c, o, minlength=(int(r.max()) + 1) * k).reshape(-1, k)  # what blocks of individuals have of a cell adds up
+    return np.bincount(r * k + c, o, minlength=(int(r.max()) + 1) * k).reshape(-1, k)
+
+
+def _table_g(x: np.ndarray) -> tuple[int, float, bool]:
+    """Individuals, G and whether there are two rows, columns and cells at least."""
+    t = table_of(x)
+    k = t.shape[1]
     ln = lambda v: float((v[v > 0] * np.log(v[v > 0])).sum())
     n = t.sum()
     g = 2 * (ln(t) - ln(t.sum(axis=1)) - ln(t.sum(axis=0)) + n * np.log(n))
     return int(n), 0.0 if abs(g) < 1e-9 else float(g), t.shape[0] > 1 and k > 1 and n >= 2
 
 
-def linkage(geno: DataFrame, missing: bool = False, every: bool = False) -> DataFrame:
-    """``ld_g`` of all pairs of loci, by blocks: ``pop, locus1, locus2, n, g``.
+def linkage_tables(geno: DataFrame, missing: bool = False) -> DataFrame:
+    """``pop, locus1, locus2, x``: the table of each pair of loci in each population, as triples (first genotype, second, individuals).
 
     Loci and a population's individuals are dealt to blocks by their hash.  Each two blocks of loci meet once for each block of individuals and make
     the tables of their pairs by counting codes, so a genotype is sent once for each block of loci, and no individual becomes a row for each pair.
@@ -136,7 +142,13 @@ def linkage(geno: DataFrame, missing: bool = False, every: bool = False) -> Data
     kind = {c: geno.schema[c].dataType.simpleString() for c in ("pop", "locus")}
     front = f"pop {kind['pop']}, locus1 {kind['locus']}, locus2 {kind['locus']}"
     parts = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_tables, f"{front}, x array<long>")
-    tables = parts.groupBy("pop", "locus1", "locus2").agg(F.flatten(F.collect_list("x")).alias("x"))
+    return parts.groupBy("pop", "locus1", "locus2").agg(F.flatten(F.collect_list("x")).alias("x"))
+
+
+def linkage(geno: DataFrame, missing: bool = False, every: bool = False) -> DataFrame:
+    """``ld_g`` of all pairs of loci, by blocks: ``pop, locus1, locus2, n, g``."""
+    kind = {c: geno.schema[c].dataType.simpleString() for c in ("pop", "locus")}
+    front = f"pop {kind['pop']}, locus1 {kind['locus']}, locus2 {kind['locus']}"
 
     def run(batches):
         for pdf in batches:
@@ -144,7 +156,7 @@ def linkage(geno: DataFrame, missing: bool = False, every: bool = False) -> Data
             out = pdf[["pop", "locus1", "locus2"]].assign(n=[g[0] for g in got], g=[g[1] for g in got])
             yield out if every else out[np.array([g[2] for g in got], bool)]
 
-    return tables.mapInPandas(run, f"{front}, n long, g double")
+    return linkage_tables(geno, missing).mapInPandas(run, f"{front}, n long, g double")
 
 
 def ld_all(g: DataFrame, keys: Keys = ()) -> DataFrame:

@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .counts import allele_counts
+from .gstat import linkage_tables, table_of
 
 #: Replicates of a chunk, and tasks at most.
 CHUNK, MAX_TASKS = 64, 10_000
+#: Replicates of a chunk of linkage tables, and bytes of tables that are drawn at once: a call for few replicates costs more than its draws.
+LINKAGE_CHUNK, TABLE_BYTES = 512, 64 << 20
 STATISTICS = ("fst", "fit", "fis", "g")
 
 
@@ -167,3 +170,56 @@ def g_p_values(counts: DataFrame, n: int, seed) -> DataFrame:
     out = work.repartition(max(1, min(chunks, MAX_TASKS)), "locus", "chunk").mapInPandas(run, f"locus {kind}, g double, hits long")
     g = F.max("g")
     return out.groupBy("locus").agg(F.when(~F.isnan(g), g).alias("g"), F.when(~F.isnan(g), (F.sum("hits") + 1) / (n + 1)).alias("p_value"))
+
+
+def _ln(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.where(x > 0, x, 1))
+
+
+def table_g(t: np.ndarray, fixed: float) -> np.ndarray:
+    """G of tables (last two axes) whose margins and total add ``fixed``."""
+    return 2 * (_ln(t).sum(axis=(-2, -1)) + fixed)
+
+
+def ld_p_values(geno: DataFrame, n: int, seed) -> DataFrame:
+    """``pop, locus1, locus2, g, p_value``, and All, as ``kernel.ld_p_values``: (b + 1) / n over n - 1 shuffles of the second locus within population.
+
+    Such a shuffle keeps the margins of a pair's table, so tables are drawn with these margins: its cost grows with populations x genotypes, not with individuals.
+    """
+    chunks = max(1, -(-(n - 1) // LINKAGE_CHUNK))
+    own = linkage_tables(geno).select(F.col("pop").cast("string").alias("pop"), F.col("locus1").cast("string").alias("locus1"), F.col("locus2").cast("string").alias("locus2"), "x")
+    work = own.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    pair = ["locus1", "locus2"]
+
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for pop, one, two, x, chunk in zip(pdf["pop"], pdf["locus1"], pdf["locus2"], pdf["x"], pdf["chunk"], strict=True):
+                t = table_of(x).astype(np.int64)
+                if min(t.shape) < 2:
+                    continue
+                r, c = t.sum(axis=1), t.sum(axis=0)
+                fixed = float(_ln(r.sum()) - _ln(r).sum() - _ln(c).sum())
+                rng, step = generator(seed, "linkage", one, two, pop, chunk), max(1, min(LINKAGE_CHUNK, TABLE_BYTES // (8 * t.size)))
+                here, gs = min(LINKAGE_CHUNK, n - 1 - chunk * LINKAGE_CHUNK), []
+                # tables are drawn by whole steps, so a replicate doesn't depend on how many follow
+                for _ in range(0, here, step):
+                    gs.append(table_g(tables(rng, r, c, step), fixed))
+                rows.append((pop, one, two, chunk, float(table_g(t, fixed)), np.concatenate([*gs, []])[: max(here, 0)]))
+            yield pd.DataFrame(rows, columns=["pop", *pair, "chunk", "g", "gs"])
+
+    drawn = work.repartition(max(1, min(16 * chunks, MAX_TASKS)), "pop", *pair, "chunk").mapInPandas(draw, "pop string, locus1 string, locus2 string, chunk int, g double, gs array<double>")
+    # the populations of a pair and chunk meet once, for All
+    met = drawn.groupBy(*pair, "chunk").agg(F.sort_array(F.collect_list(F.struct("pop", "g", "gs"))).alias("x"))
+
+    def count(batches):
+        for pdf in batches:
+            rows = []
+            for one, two, x in zip(pdf["locus1"], pdf["locus2"], pdf["x"], strict=True):
+                obs, got = np.array([s["g"] for s in x]), np.array([s["gs"] for s in x]).reshape(len(x), -1)
+                rows += [(s["pop"], one, two, max(o, 0.0), int(b)) for s, o, b in zip(x, obs, (got >= obs[:, None] - 1e-9).sum(axis=1), strict=True)]
+                rows.append(("All", one, two, float(obs.sum()), int((got.sum(axis=0) >= obs.sum() - 1e-9).sum())))
+            yield pd.DataFrame(rows, columns=["pop", *pair, "g", "hits"])
+
+    hits = met.mapInPandas(count, "pop string, locus1 string, locus2 string, g double, hits long")
+    return hits.groupBy("pop", *pair).agg(F.max("g").alias("g"), ((F.sum("hits") + 1) / n).alias("p_value"))

@@ -112,23 +112,28 @@ def hs_tables(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95, engine:
 
 def ld_matrix(geno: DataFrame, n_perm: int, seed=1, engine: str = "auto") -> DataFrame:
     """p-values of each pair of loci: a column ``p<pop>`` for each population, and ``All``."""
-    p = kernel.ld_p_values(geno, n_perm, seed, engine)
+    p = kernel.ld_p_values(geno, n_perm, seed, engine)  # engine margins: tables of any size
     pops = [r["pop"] for r in geno.select(F.col("pop").cast("string").alias("pop")).distinct().orderBy("pop").collect()]  # populations become columns
     name = F.when(F.col("pop") == "All", "All").otherwise(F.concat(F.lit("p"), F.col("pop")))
     return p.withColumn("name", name).groupBy("locus1", "locus2").pivot("name", [*[f"p{x}" for x in pops], "All"]).agg(F.first("p_value"))
 
 
+def _p_values(matrix: DataFrame) -> tuple[Column, Column]:
+    """The p-values of a row, and the least (1 without any)."""
+    values = F.filter(F.array(*[c for c in matrix.columns if c not in ("locus1", "locus2")]), lambda x: x.isNotNull())
+    return values, F.coalesce(F.array_min(values), F.lit(1.0)).alias("min_p")
+
+
 def ld_summary(matrix: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Of each pair: the least p, how many are below alpha, and the mean, over populations and All; pairs without any have p 1."""
-    cols = [c for c in matrix.columns if c not in ("locus1", "locus2")]
-    values = F.filter(F.array(*cols), lambda x: x.isNotNull())
+    values, least = _p_values(matrix)
     n = F.size(values)
-    return matrix.select("locus1", "locus2", F.coalesce(F.array_min(values), F.lit(1.0)).alias("min_p"), F.size(F.filter(values, lambda x: x < alpha)).alias("n_significant"), F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n).alias("mean_p"))
+    return matrix.select("locus1", "locus2", least, F.size(F.filter(values, lambda x: x < alpha)).alias("n_significant"), F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n).alias("mean_p"))
 
 
 def ld_filtered(matrix: DataFrame, below: float | None = None) -> DataFrame:
     """Rows whose least p is below the limit, the least first."""
-    x = matrix.join(ld_summary(matrix).select("locus1", "locus2", "min_p"), ["locus1", "locus2"])
+    x = matrix.select("*", _p_values(matrix)[1])
     return (x if below is None else x.filter(F.col("min_p") < below)).orderBy("min_p", "locus1", "locus2")
 
 

@@ -9,7 +9,7 @@ from ..sources import ingest, params
 from . import oracle, pipelines
 from .base_queries import PAIRS, WC, ld_sql, rounded
 from .fixtures import genotypes
-from .resample_queries import B, PEOPLE_SQL, POPS_SQL, REP, SEED, _ORACLE as RESAMPLE, alleles_sql, engine, labels_sql
+from .resample_queries import B, PEOPLE_SQL, POPS_SQL, REP, SEED, _ORACLE as RESAMPLE, alleles_sql, engine, labels_sql, ld_engine
 
 TABLE = ("observed", "boot_mean", "boot_median", "ci_l", "ci_u", "p_value")
 
@@ -39,7 +39,7 @@ def t_fst_summary(s, d, n=B):
 
 
 def _ld(s, d, n=B):
-    return pipelines.ld_matrix(genotypes(s, d), n, SEED, engine(n))
+    return pipelines.ld_matrix(genotypes(s, d), n, SEED, ld_engine(n))
 
 
 def ld_pairs_summary(s, d, n=B):
@@ -173,7 +173,7 @@ def perm_kernel(s, d, n=B):
 
 def ld_kernel(s, d, n=B):
     """Linkage by the numpy engine, which draws as SQL does."""
-    return rounded(kernel.ld_p_values(genotypes(s, d), n, SEED, engine(n)), "g", "p_value")
+    return rounded(kernel.ld_p_values(genotypes(s, d), n, SEED, ld_engine(n)), "g", "p_value")
 
 
 _KERNEL = "SELECT '{}' AS scheme, rep, locus, R(fst) AS fst, R(fit) AS fit, R(fis) AS fis, R(g) AS g FROM r_f JOIN r_g USING (rep, locus)"

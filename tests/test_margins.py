@@ -182,3 +182,21 @@ def test_linkage_by_blocks_equals_rows_of_pairs(geno, missing, every, monkeypatc
         for k, v in got.items():
             assert v[0] == want[k][0] and v[1] == pytest.approx(want[k][1], abs=1e-8)
     assert gstat.linkage(geno.limit(0), missing, every).count() == 0
+
+
+def test_linkage_tables_drawn_from_margins(spark, monkeypatch):
+    """The p-values of shuffled individuals, with no bound on these, by the same observed values."""
+    rng = np.random.default_rng(5)
+    first, third = rng.integers(1, 4, (120, 2)), rng.integers(0, 4, (120, 2))
+    second = np.where(rng.random((120, 1)) < 0.3, first, rng.integers(1, 4, (120, 2)))
+    rows = [(i, "ab"[i % 2], x, *g[i].tolist()) for i in range(120) for x, g in (("L1", first), ("L2", second), ("L3", third))]
+    geno = spark.createDataFrame(rows, "indiv long, pop string, locus string, a1 int, a2 int")
+    n = 800
+    want = {r[:3]: r[3:] for r in map(tuple, kernel.ld_p_values(geno, n, 1).collect())}
+    monkeypatch.setattr(kernel, "MAX_CELLS", 1)
+    got = {r[:3]: r[3:] for r in map(tuple, kernel.ld_p_values(geno, n, 1, "margins").collect())}
+    assert got.keys() == want.keys() and len(got) == 9
+    for k, (g, p) in got.items():
+        assert g == pytest.approx(want[k][0], abs=1e-8) and abs(p - want[k][1]) < 5 * np.sqrt(2 * max(want[k][1] * (1 - want[k][1]), 1 / n) / n)
+    few = {r[:3]: r[4] for r in map(tuple, kernel.ld_p_values(geno, 70, 1, "margins").collect())}
+    assert few.keys() == got.keys() and all(round(p * 70) == pytest.approx(p * 70) and p >= 1 / 70 for p in few.values())
