@@ -64,13 +64,18 @@ def _individuals(geno: DataFrame) -> DataFrame:
     return geno.select("indiv", "pop").distinct()
 
 
-def permute_labels(geno: DataFrame, n: int, seed: int | str = 1, digits: int | None = None) -> DataFrame:
-    """Genotypes with population labels shuffled over all individuals, a copy for each replicate."""
+def shuffled_labels(geno: DataFrame, n: int, seed: int | str = 1, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The place ``_r`` of each ``indiv``, and the population that each ``rep`` has there."""
     people = _individuals(geno)
     digits = _digits(people, [], digits)
     places = ranked(people.withColumn("_k", _hex(F.col("indiv"))).withColumn("_one", F.lit(1)), ["_one"], "_k", ["indiv"], "_r", digits).select("_r", "indiv")
     shuffled = people.crossJoin(F.broadcast(replicates(geno, n))).withColumn("_k", order_key(seed, F.col("rep"), F.col("indiv")))
-    shuffled = ranked(shuffled, ["rep"], "_k", ["indiv"], "_r", digits).select("rep", "pop", "_r")
+    return places, ranked(shuffled, ["rep"], "_k", ["indiv"], "_r", digits).select("rep", "pop", "_r")
+
+
+def permute_labels(geno: DataFrame, n: int, seed: int | str = 1, digits: int | None = None) -> DataFrame:
+    """Genotypes with population labels shuffled over all individuals, a copy for each replicate."""
+    places, shuffled = shuffled_labels(geno, n, seed, digits)
     labels = shuffled.join(places, "_r").select("rep", "indiv", "pop")
     return geno.drop("pop").join(labels, "indiv").select("rep", "indiv", "pop", "locus", "a1", "a2")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import r8
 from ..functions.cache import keep
-from ..operators import counts, diversity, gstat, inference, kernel, resample, wc84
+from ..operators import counts, diversity, gstat, inference, kernel, resample, strata, wc84
 from . import oracle
 from .base_queries import COMPLETE, F_COLS, PAIRS, WC, ld_sql, rounded
 from .fixtures import genotypes
@@ -62,7 +62,7 @@ def with_overall(by_locus, whole, *names):
 
 def perm_fst_labels(s, d, n=B):
     """By the relational ranking."""
-    c = counts.allele_counts(resample.permute_labels(_g(s, d), n, SEED), ["rep"])
+    c = keep(strata.label_counts(_g(s, d), n, SEED))
     return rounded(wc84.observed(c, ["rep"]).join(gstat.g_by_locus(c, ["rep"]), ["rep", "locus"]).select("rep", "locus", "fst", "g"), "fst", "g")
 
 
@@ -81,13 +81,13 @@ def perm_fst_p(s, d, n=B):
 
 
 def perm_within_pop(s, d, n=B):
-    """By the relational ranking."""
-    c = counts.allele_counts(resample.permute_alleles(_g(s, d), n, SEED), ["rep"])
+    """By the md5 ranking of each stratum."""
+    c = strata.within_counts(_g(s, d), n, SEED)
     return rounded(wc84.observed(c, ["rep"]).select("rep", "locus", "fst", "fis"), "fst", "fis")
 
 
 def perm_fis(s, d, n=B):
-    c = _alleles(s, d, n=n)
+    c = keep(_alleles(s, d, n=n))
     return rounded(with_overall(wc84.fis_by_locus(c, ["rep"]), wc84.fis_overall(c, ["rep"]), "fis"), "fis")
 
 
@@ -121,7 +121,7 @@ def gtest_perm(s, d, n=B):
     """G of complete genotypes with p of at least and of more than the observed value, by locus and overall."""
     geno = _complete(s, d)
     obs = gstat.g_by_locus(counts.allele_counts(geno), min_alleles=2)
-    perm = gstat.g_by_locus(kernel.permuted_counts(geno, n, SEED, "labels", engine(n)), ["rep"], 2)
+    perm = keep(gstat.g_by_locus(kernel.permuted_counts(geno, n, SEED, "labels", engine(n)), ["rep"], 2))
     o = obs.select(F.col("locus").alias("id"), "n_geno", "g").unionByName(obs.groupBy(F.lit("Overall").alias("id")).agg(F.max("n_geno").alias("n_geno"), F.sum("g").alias("g")))
     p = perm.select(F.col("locus").alias("id"), F.col("g").alias("gp")).unionByName(gstat.g_overall(perm, ["rep"]).select(F.lit("Overall").alias("id"), F.col("g").alias("gp")))
     # values that differ by rounding alone are equal
@@ -138,7 +138,7 @@ def ld_perm(s, d, n=B):
 
 
 def ld_p_values(pairs, n: int, seed):
-    obs, perm = gstat.ld_g(pairs), gstat.ld_g(resample.permute_pairs(pairs, n - 1, seed), ["rep"])
+    obs, perm = keep(gstat.ld_g(pairs)), keep(strata.linkage_g(pairs, n - 1, seed))
     both = ["locus1", "locus2"]
     o = obs.select(F.col("pop").cast("string").alias("pop"), *both, "g").unionByName(gstat.ld_all(obs).select(F.lit("All").alias("pop"), *both, "g"))
     p = perm.select(F.col("pop").cast("string").alias("pop"), *both, F.col("g").alias("gp")).unionByName(gstat.ld_all(perm, ["rep"]).select(F.lit("All").alias("pop"), *both, F.col("g").alias("gp")))
@@ -147,7 +147,7 @@ def ld_p_values(pairs, n: int, seed):
 
 def ld_pooled_p(pairs, n: int, seed):
     """``pop, locus1, locus2, g, p_value``: the share of n shuffles with at least the observed G, by population; and Global, where shuffles of all populations meet the mean of their observed values."""
-    obs, perm = gstat.ld_g(pairs, every=True), gstat.ld_g(resample.permute_pairs(pairs, n, seed), ["rep"], every=True)
+    obs, perm = keep(gstat.ld_g(pairs, every=True)), keep(strata.linkage_g(pairs, n, seed, every=True))
     both = ["locus1", "locus2"]
     sim = perm.select("pop", *both, F.col("g").alias("gp"))
     share = F.avg((F.col("gp") >= F.col("g") - 1e-10).cast("double")).alias("p_value")
@@ -188,13 +188,13 @@ def boot_pop_fit_ci(s, d, n=B):
 
 def boot_indiv_hs(s, d, n=B):
     c = _people(s, d, n=n)
-    x = wc84.hs_per_locus(counts.pop_locus(c, ["rep"]), ["rep"])
+    x = keep(wc84.hs_per_locus(counts.pop_locus(c, ["rep"]), ["rep"]))
     return rounded(x.unionByName(x.groupBy("rep").agg(F.avg("hs").alias("hs")).select("rep", F.lit("Overall").alias("locus"), "hs")), "hs")
 
 
 def boot_indiv_fis(s, d, n=B):
-    """By the relational draw."""
-    c = resample.bootstrap_individuals(_g(s, d), n, SEED)
+    """By the md5 draw of each population."""
+    c = keep(strata.individual_counts(_g(s, d), n, SEED))
     return rounded(with_overall(wc84.fis_by_locus(c, ["rep"]), wc84.fis_overall(c, ["rep"]), "fis"), "fis")
 
 
