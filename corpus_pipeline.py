@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm import language, minhash, packing, quality, substring, tokens
+from locusflow.llm import language, minhash, packing, quality, simhash, substring, tokens
 from locusflow.llm.common import delete, shared_folder
 
 #: A document whose cosine with every language is below this is in none of them.
@@ -30,8 +30,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group linked by a Jaccard similarity of at least 0.8 over five-word shingles."""
-    return minhash.drop_near_copies(docs)
+    """One document, that with the least id, of each group linked by SimHash fingerprints (op9) or by a Jaccard similarity of at least 0.8 over five-word shingles, which fingerprints alone miss."""
+    return minhash.drop_near_copies(docs, also=simhash.class_links)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ emits no more links than the components that it joins.  No pairs become rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, likely, spare
 from .components import components
+from .simhash import fingerprint
 from .words import Words, mix, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -74,14 +76,15 @@ def buckets(sets: list[np.ndarray], rows: int = ROWS, bands: int = BANDS, seed:
     return out
 
 
-def _sketches(batches, shingle: int):
+def _sketches(batches, shingle: int, prints: bool):
     for part in slices(batches, "text"):
         sets = shingle_sets(part.column("text"), shingle)
         full = [i for i, s in enumerate(sets) if len(s)]
         own = dict(zip(full, buckets([sets[i] for i in full]).view(np.int64), strict=True))
         rows = pa.array([own.get(i, ()) for i in range(len(sets))], pa.list_(pa.int64()))
         kept = ["doc_id", "t0", "t1"]
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), rows], names=[*kept, "node", "n", "buckets"])
+        fps = pa.array(np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)) if prints else pa.nulls(len(sets), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), rows, fps], names=[*kept, "node", "n", "buckets", "fp"])
 
 
 def _sets(batches, shingle: int):
@@ -222,18 +225,22 @@ def links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, similari
     return found.unionByName(checkpointed(_blocks(_open(rows, found, 2), sets, similarity, *block)))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: tuple[int, int] = BLOCK) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: tuple[int, int] = BLOCK, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of each group of documents linked by a Jaccard similarity of at least ``similarity``: one with the least id (of those, the least key of its text).
 
+    ``also`` makes further links ``a, b`` of nodes (sets) from the SimHash fingerprints of their texts (``node, fp``), such as ``simhash.class_links``; groups follow from both.
     Texts without words are one group.  Rows with a null id come last in their group.  Of
     repeated rows one stays.  Columns stay as they are.
     """
     (key,) = spare(docs, "text_key")
     two = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *_text_key(docs[text_col]))
-    sketches = two.mapInArrow(partial(_sketches, shingle=shingle), f"doc_id {dict(two.dtypes)['doc_id']}, t0 long, t1 long, node long, n long, buckets array<long>")
+    sketches = two.mapInArrow(partial(_sketches, shingle=shingle, prints=also is not None), f"doc_id {dict(two.dtypes)['doc_id']}, t0 long, t1 long, node long, n long, buckets array<long>, fp long")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")).alias("w")
-    distinct = checkpointed(sketches.groupBy("node").agg(least, F.first("n").alias("n"), F.first("buckets").alias("buckets")))
-    found = components(links(two, distinct, shingle, similarity, block)).withColumnRenamed("node", "of")
+    distinct = checkpointed(sketches.groupBy("node").agg(least, F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.collect_set("fp").alias("fps")))
+    near = links(two, distinct, shingle, similarity, block)
+    if also:
+        near = near.unionByName(also(distinct.select("node", F.explode("fps").alias("fp"))))
+    found = components(near).withColumnRenamed("node", "of")
     classes = distinct.join(found, F.col("node") == F.col("of"), "left").select("w", F.coalesce("component", "node").alias("component"))
     winner = classes.groupBy("component").agg(F.min("w").alias("w")).select(_row_key(F.col("w.t0"), F.col("w.t1"), F.col("w.doc_id")).alias(key))
     own = docs.withColumn(key, _row_key(*_text_key(docs[text_col]), docs[id_col]))

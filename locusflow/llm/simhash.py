@@ -125,6 +125,13 @@ def classes(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least", "n")
 
 
+def class_links(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """``a, b``: each node of ``prints`` (node, fp) with the least node of its class; nodes are longs and may have several fingerprints."""
+    found = classes(prints.withColumnRenamed("node", "doc_id"), bits)
+    least = found.groupBy("component").agg(F.min("least").alias("b"))
+    return prints.join(found.select("fp", "component"), "fp").join(least, "component").select(F.col("node").alias("a"), "b").filter("a <> b")
+
+
 def _look_up(fps: DataFrame, found: DataFrame) -> DataFrame:
     """Joins rows with the one row of their fingerprint; those of a fingerprint with over a ``HOT``-th of all rows are dealt to ``HOT`` tasks."""
     total = found.agg(F.sum("n")).first()[0] or 0

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.llm import packing, quality, tokens
+from locusflow.llm import packing, quality, simhash, tokens
 
 from test_minhash import brute_set, similar
 from test_quality import brute as measured
@@ -105,3 +105,13 @@ def test_run(spark, docs, tmp_path):
     assert got.agg(F.max("n_tokens")).first()[0] <= packing.MAX_LEN
     kept = {f.rsplit("/", 2)[-2] for f in got.inputFiles()}
     assert kept == {"packing"} and len(os.listdir(os.path.dirname(os.path.dirname(got.inputFiles()[0].removeprefix("file://"))))) == 1
+
+
+def test_near_dedup_links_by_simhash_too(spark, docs):
+    """Texts of one fingerprint go though their sets of five words differ, and groups run through links of either kind."""
+    cycle, tail = "one two three four five " * 60, lambda c: " ".join(f"{c}{i}" for i in range(6))
+    long = [f"w{i}" for i in range(60)]
+    texts = {1: cycle + tail("x"), 2: cycle + tail("y"), 3: " ".join(long), 4: " ".join([*long, "more"]), 5: tail("z") * 3}
+    assert not similar(brute_set(texts[1]), brute_set(texts[2])) and simhash.fingerprint(texts[1]) == simhash.fingerprint(texts[2])
+    near = docs.limit(1).drop("doc_id", "text").crossJoin(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select(docs.columns)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, near, "").collect()) == [1, 3, 5]
