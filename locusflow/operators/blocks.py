@@ -8,7 +8,7 @@ counts the alleles that its individuals bring to each population, and blocks' co
 * Weights of a bootstrap within populations: a population's draws are split between halves of its individuals by binomial numbers, and so on down to leaves of
   ``LEAF`` individuals, which draw one by one.  A split is keyed by its node, so weights don't depend on blocks and add up to the population's size.
 
-Up to ``kernel.MAX_CELLS`` genotypes the whole matrix is one block that goes to all tasks, which share the replicates.
+Up to ``BLOCK_CELLS`` genotypes (and ``kernel.MAX_CELLS``) the whole matrix is one block that goes to all tasks, which share the replicates.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from .margins import CHUNK, MAX_TASKS, STATISTICS, generator, statistics
 
 #: Rounds of a network, individuals whose permutations are listed instead, and individuals of a leaf of splits.
 ROUNDS, LISTED, LEAF = 8, 100_000, 4096
-#: Genotypes of a block on average, loci of a block at most, bytes of counts that a block makes at once, and genotypes of which tables of labels are looked up rather than searched.
-BLOCK_CELLS, BLOCK_LOCI, BLOCK_BYTES, LOOKED_UP = 2_000_000, 256, 64 << 20, 20_000_000
+#: Genotypes of a block on average, loci of a block at most, bytes of counts that are sent on together, parts of all blocks' replicates that there should be at least, and individuals up to which tables of labels are looked up rather than searched.
+BLOCK_CELLS, BLOCK_LOCI, BLOCK_BYTES, BLOCK_TASKS, LOOKED_UP = 2_000_000, 256, 16 << 20, 96, 20_000_000
+#: Numbers that a network permutes at once, joint genotypes x populations that are counted together, and replicates whose weights are held at once.
+TILE, JOINT, WEIGHED_REPS = 16_384, 65_536, 32
 #: Alleles of all loci together, whose codes go to all tasks.
 MAX_ALLELES = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -56,25 +58,38 @@ def places(i: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
     """Where a permutation of 0..n-1 puts each of i.
 
     Numbers are split as i = left * b + right with a * b just above n; rounds add to one part what a hash makes of the other.  What falls
-    beyond n goes round again.
+    beyond n goes round again.  A part has few values, so what a round makes of them is listed where there are more numbers than that, and numbers go by tiles that stay in the processor's cache.
     """
     a = int(np.ceil(np.sqrt(n)))
     b = -(-n // max(a, 1))
     a_, b_, top = np.uint64(a), np.uint64(b), np.uint64(n)
+    limits = [a_, b_] * (ROUNDS // 2)
+    listed = [_below(np.arange(b if limit is a_ else a, dtype=np.uint64), key[r], limit) for r, limit in enumerate(limits)] if len(i) > a else None
+
+    def added(r: int, x: np.ndarray) -> np.ndarray:
+        return _below(x, key[r], limits[r]) if listed is None else listed[r].take(x.view(np.int64))
 
     def once(x: np.ndarray) -> np.ndarray:
-        left, right = x // b_, x % b_
+        left = x // b_
+        right = x - left * b_
         for r in range(0, ROUNDS, 2):
-            left = left + _below(right, key[r], a_)
-            left -= np.where(left >= a_, a_, np.uint64(0))
-            right = right + _below(left, key[r + 1], b_)
-            right -= np.where(right >= b_, b_, np.uint64(0))
-        return left * b_ + right
-
-    out = once(np.asarray(i, np.uint64))
-    while (far := np.flatnonzero(out >= top)).size:
-        out[far] = once(out[far])
-    return out.astype(np.int64)
+            left += added(r, right)
+            # below zero wraps around to more than any part
+            np.minimum(left, left - a_, out=left)
+            right += added(r + 1, left)
+            np.minimum(right, right - b_, out=right)
+        left *= b_
+        left += right
+        return left
+
+    numbers = np.ascontiguousarray(i, np.uint64)
+    whole = np.empty(len(numbers), np.uint64)
+    for start in range(0, len(numbers), TILE):
+        out = once(numbers[start : start + TILE])
+        while (far := np.flatnonzero(out >= top)).size:
+            out[far] = once(out[far])
+        whole[start : start + TILE] = out
+    return whole.view(np.int64)
 
 
 class Labels:
@@ -90,7 +105,7 @@ class Labels:
     @functools.cached_property
     def table(self) -> np.ndarray | None:
         """The population of each place, made where it is used."""
-        return np.repeat(np.arange(len(self.pops)), np.diff(self.edge)) if self.n <= LOOKED_UP else None
+        return np.repeat(np.arange(len(self.pops), dtype=np.min_scalar_type(len(self.pops))), np.diff(self.edge)) if self.n <= LOOKED_UP else None
 
 
 def shuffled(own: Labels, numbers: np.ndarray, seed, rep: int, limit: int = LISTED) -> tuple[np.ndarray, np.ndarray | None]:
@@ -113,44 +128,98 @@ def _split(draws: int, low: int, high: int, size: int, first: int, last: int, ke
         _split(draws - mine, middle, high, size, first, last, key, out, leaf)
 
 
-def weighed(own: Labels, numbers: np.ndarray, seed, rep: int, limit: int = LEAF) -> tuple[np.ndarray, np.ndarray | None]:
+def weighed(own: Labels, numbers: np.ndarray, seed, rep: int, limit: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """The population of each individual, and how often it is drawn among as many as its population has; leaves are of ``limit`` individuals."""
-    label = own.of(numbers)
-    rank = numbers - own.edge[label]
-    at_leaf, weight = rank // limit, np.zeros(len(numbers))
-    for p in np.unique(label).tolist():
-        at = np.flatnonzero(label == p)
+    order = np.argsort(numbers, kind="stable")
+    sorted_, drawn = numbers[order], np.zeros(len(numbers))
+    edge = np.searchsorted(sorted_, own.edge)
+    for p in np.flatnonzero(np.diff(edge)).tolist():
+        rank, part = sorted_[edge[p] : edge[p + 1]] - own.edge[p], drawn[edge[p] : edge[p + 1]]
+        first, last = int(rank[0]) // limit, int(rank[-1]) // limit
         size, key, counts = int(own.edge[p + 1] - own.edge[p]), (seed, "weights", rep, own.pops[p]), {}
-        _split(size, 0, -(-size // limit), size, int(at_leaf[at].min()), int(at_leaf[at].max()), key, counts, limit)
+        _split(size, 0, -(-size // limit), size, first, last, key, counts, limit)
+        cut = np.searchsorted(rank, np.arange(first, last + 2) * limit)
         for x, draws in counts.items():
-            mine = at[at_leaf[at] == x]
-            there = min(limit, size - x * limit)
-            weight[mine] = np.bincount(generator(*key, x).integers(0, there, draws), minlength=there)[rank[mine] - x * limit]
-    return label, weight
-
-
-def tally(own: Labels, numbers: np.ndarray, loci: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], seed, reps, draw=shuffled):
-    """For each locus copies and heterozygous carriers, both replicates x populations x alleles.
-
-    ``numbers`` are individuals; a locus has rows into these, two allele codes and how many alleles there are; ``draw`` is one of the two above.
+            mine, there = slice(cut[x - first], cut[x - first + 1]), min(limit, size - x * limit)
+            part[mine] = np.bincount(generator(*key, x).integers(0, there, draws), minlength=there)[rank[mine] - x * limit]
+    weight = np.empty(len(numbers))
+    weight[order] = drawn
+    return own.of(numbers), weight
+
+
+def _room(reps, p: int, loci: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.zeros((len(reps), p, k), np.int32), np.zeros((len(reps), p, k), np.int32)) for *_, k in loci]
+
+
+def _joint(size: int, p: int, loci: list):
+    """Loci whose genotypes are counted together: the joint code of each individual (times populations), the number of codes of each locus, and for each locus its number, and the copies and carriers of its codes (0: no genotype)."""
+    most = min(JOINT, size // 2)
+    out = []
+    for j, (rows, x, y, k) in enumerate(loci):
+        kind, code = np.unique(np.minimum(x, y).astype(np.int64) * k + np.maximum(x, y), return_inverse=True)
+        first, second, at = kind // k, kind % k, np.arange(1, len(kind) + 1)
+        both = np.zeros((len(kind) + 1, 2, k))
+        for v in (first, second):
+            both[at, 0, v] += 1
+            both[at[first != second], 1, v[first != second]] = 1
+        own = np.zeros(size, np.int64)
+        own[rows] = code + 1
+        many = len(kind) + 1
+        if out and many * p * int(np.prod(out[-1][1])) <= most:
+            codes, shape, members = out[-1]
+            out[-1] = (codes * many + own, [*shape, many], [*members, (j, both)])
+        else:
+            out.append((own, [many], [(j, both)]))
+    return [(codes * p, shape, members) for codes, shape, members in out]
+
+
+def by_labels(own: Labels, numbers: np.ndarray, loci: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], seed, reps, limit: int | None = None):
+    """For each locus copies and heterozygous carriers of ``shuffled`` individuals, both replicates x populations x alleles.
+
+    ``numbers`` are individuals; a locus has rows into these, two allele codes and how many alleles there are.
     """
-    p = len(own.pops)
-    classes = []
-    for rows, x, y, k in loci:
-        lo, hi = np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
-        kind, code = np.unique(lo * k + hi, return_inverse=True)
-        copies, carriers = np.zeros((len(kind), k), np.int64), np.zeros((len(kind), k), np.int64)
-        first, second = kind // k, kind % k
-        np.add.at(copies, (np.arange(len(kind)), first), 1)
-        np.add.at(copies, (np.arange(len(kind)), second), 1)
-        carriers[first != second] = copies[first != second]
-        classes.append((rows, code, copies, carriers))
-    out = [(np.zeros((len(reps), p, k), np.int32), np.zeros((len(reps), p, k), np.int32)) for *_, k in loci]
+    p, size = len(own.pops), len(numbers)
+    out, groups, place = _room(reps, p, loci), _joint(size, p, loci), np.empty(size, np.int64)
     for r, rep in enumerate(reps):
-        label, weight = draw(own, numbers, seed, int(rep))
-        for (rows, code, copies, carriers), (c, h) in zip(classes, out, strict=True):
-            t = np.bincount(label[rows] * len(copies) + code, None if weight is None else weight[rows], minlength=p * len(copies)).reshape(p, -1)
-            c[r], h[r] = np.rint(t) @ copies, np.rint(t) @ carriers
+        label, _ = shuffled(own, numbers, seed, int(rep), LISTED if limit is None else limit)
+        for codes, shape, members in groups:
+            np.add(codes, label, out=place)
+            t = np.bincount(place, minlength=int(np.prod(shape)) * p).reshape(*shape, p)
+            for axis, (j, both) in enumerate(members):
+                others = tuple(v for v in range(len(shape)) if v != axis)
+                got = np.rint(t.sum(axis=others).T @ both.reshape(len(both), -1)).reshape(p, 2, -1)
+                out[j][0][r], out[j][1][r] = got[:, 0], got[:, 1]
+    return out
+
+
+def by_weights(own: Labels, numbers: np.ndarray, loci: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], seed, reps, limit: int | None = None):
+    """As ``by_labels``, of individuals as ``weighed``: products of weights with what each individual carries, for some replicates at once."""
+    order = np.argsort(numbers, kind="stable")
+    numbers, back = numbers[order], np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    start = np.concatenate([[0], np.cumsum([2 * k for *_, k in loci])]).astype(np.int64)
+    carried = np.zeros((len(numbers), start[-1]), np.uint8)
+    for (rows, x, y, k), at in zip(loci, start.tolist()):
+        row, het = back[rows], x != y
+        for v in (x, y):
+            carried[row, at + v] += 1
+            carried[row[het], at + k + v[het]] = 1
+    edge = np.searchsorted(numbers, own.edge)
+    out = _room(reps, len(own.pops), loci)
+    for r in range(0, len(reps), WEIGHED_REPS):
+        some = reps[r : r + WEIGHED_REPS]
+        w = np.empty((len(some), len(numbers)), np.float32)
+        for i, rep in enumerate(some):
+            w[i] = weighed(own, numbers, seed, int(rep), LEAF if limit is None else limit)[1]
+        for p in np.flatnonzero(np.diff(edge)).tolist():
+            got = np.zeros((len(some), start[-1]))
+            for a in range(edge[p], edge[p + 1], LEAF):
+                mine = slice(a, min(a + LEAF, edge[p + 1]))
+                # sums of whole numbers, exact in 32 bits as they stay below 2**24
+                got += w[:, mine] @ carried[mine].astype(np.float32)
+            for j, (*_, k) in enumerate(loci):
+                both = np.rint(got[:, start[j] : start[j + 1]])
+                out[j][0][r : r + len(some), p], out[j][1][r : r + len(some), p] = both[:, :k], both[:, k:]
     return out
 
 
@@ -173,7 +242,7 @@ def _chunk(n: int, chunk: int) -> np.ndarray:
     return np.arange(1 + chunk * CHUNK, min(n, (chunk + 1) * CHUNK) + 1)
 
 
-def small(spark, m, n: int, seed, make, schema: str, draw=shuffled) -> DataFrame:
+def small(spark, m, n: int, seed, make, schema: str, tally=by_labels) -> DataFrame:
     """``make(locus number, replicates, copies, carriers)`` of each locus and chunk, from the matrix."""
     own, numbers, loci = from_matrix(m)
     shared = spark.sparkContext.broadcast((own, numbers, loci))  # the matrix is checked
@@ -183,7 +252,7 @@ def small(spark, m, n: int, seed, make, schema: str, draw=shuffled) -> DataFrame
         for pdf in batches:
             for chunk in pdf["id"].tolist():
                 reps = _chunk(n, chunk)
-                for j, (c, h) in enumerate(tally(own, numbers, loci, seed, reps, draw)):
+                for j, (c, h) in enumerate(tally(own, numbers, loci, seed, reps)):
                     yield make(j, reps, c, h)
 
     chunks = -(-n // CHUNK)
@@ -210,7 +279,7 @@ class Coded:
         self.alleles = [np.array(sorted(named[x]), np.int64) for x in self.loci]
 
 
-def blocked(geno: DataFrame, n: int, seed, coded: Coded, make, schema: str, draw=shuffled) -> DataFrame:
+def blocked(geno: DataFrame, n: int, seed, coded: Coded, make, schema: str, tally=by_labels) -> DataFrame:
     """``make`` as in ``small``, from genotypes in blocks of individuals and loci."""
     spark, own = geno.sparkSession, coded.labels
     shared = spark.sparkContext.broadcast((own, coded.alleles))  # MAX_ALLELES bounds it
@@ -226,26 +295,41 @@ def blocked(geno: DataFrame, n: int, seed, coded: Coded, make, schema: str, draw
     wide = min(len(coded.loci), BLOCK_LOCI)
     size = max(1, BLOCK_CELLS // max(wide, 1))
     chunks = -(-n // CHUNK)
-    # counts that a block makes of one chunk, for its loci
-    bytes_ = 8 * CHUNK * len(own.pops) * max((sum(len(a) for a in coded.alleles[b : b + BLOCK_LOCI]) for b in range(0, len(coded.loci), BLOCK_LOCI)), default=1)
-    at_once = max(1, BLOCK_BYTES // max(bytes_, 1))
-    parts = -(-chunks // at_once)
-    rows = cells.join(numbered, ["indiv", "_pop"]).join(names, "locus").select("i", "j", "a1", "a2", F.floor(F.col("i") / size).alias("block"), F.floor(F.col("j") / BLOCK_LOCI).alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-
-    def count(key, t):
-        own, alleles = shared.value
+    every = -(-own.n // size) * -(-len(coded.loci) // BLOCK_LOCI)
+    # each part of a block makes some of its chunks
+    parts = max(1, min(chunks, -(-BLOCK_TASKS // max(every, 1))))
+    # codes of alleles, and none as -1
+    kind = np.min_scalar_type(-max((len(a) for a in coded.alleles), default=0) - 1)
+    rows = cells.join(numbered, ["indiv", "_pop"]).join(names, "locus").select("i", "j", "a1", "a2", F.floor(F.col("i") / size).alias("block"), F.floor(F.col("j") / BLOCK_LOCI).alias("lb"))
+
+    def pack(key, t):
+        _, alleles = shared.value
         i, j, a1, a2 = (t.column(c).to_numpy() for c in ("i", "j", "a1", "a2"))
         numbers, row = np.unique(i, return_inverse=True)
-        present, loci = np.unique(j), []
-        for x in present.tolist():
-            at = np.flatnonzero(j == x)
-            loci.append((row[at], np.searchsorted(alleles[x], a1[at]), np.searchsorted(alleles[x], a2[at]), len(alleles[x])))
-        part, out = key[2].as_py(), {"j": [], "chunk": [], "c": [], "h": []}
-        for chunk in range(part * at_once, min(chunks, (part + 1) * at_once)):
-            for x, (c, h) in zip(present.tolist(), tally(own, numbers, loci, seed, _chunk(n, chunk), draw), strict=True):
-                for name, value in (("j", x), ("chunk", chunk), ("c", c.ravel()), ("h", h.ravel())):
-                    out[name].append(value)
-        return pa.table({"j": pa.array(out["j"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int32()), **{v: pa.array(out[v], pa.list_(pa.int32())) for v in "ch"}})
+        present = np.unique(j)
+        packed = np.full((2, len(present), len(numbers)), -1, kind)
+        for at, x in enumerate(present.tolist()):
+            mine = np.flatnonzero(j == x)
+            for v, a in enumerate((a1, a2)):
+                packed[v, at, row[mine]] = np.searchsorted(alleles[x], a[mine])
+        return pa.table({"block": [key[0].as_py()], "lb": [key[1].as_py()], "i": [numbers.tobytes()], "j": pa.array([present.tolist()], pa.list_(pa.int32())), "packed": [packed.tobytes()]})
+
+    def count(batches):
+        own, alleles = shared.value
+        for batch in batches:
+            for t in batch.to_pylist():
+                numbers, present, loci = np.frombuffer(t["i"], np.int64), t["j"], []
+                for x, (a1, a2) in zip(present, np.frombuffer(t["packed"], kind).reshape(2, len(present), -1).transpose(1, 0, 2), strict=True):
+                    there = np.flatnonzero(a1 >= 0)
+                    loci.append((there, a1[there].astype(np.int64), a2[there].astype(np.int64), len(alleles[x])))
+                out, held = [], 0
+                for chunk in range(t["part"], chunks, parts):
+                    for x, (c, h) in zip(present, tally(own, numbers, loci, seed, _chunk(n, chunk)), strict=True):
+                        out.append((x, chunk, c.ravel(), h.ravel()))
+                        held += c.nbytes + h.nbytes
+                    if held > BLOCK_BYTES or chunk + parts >= chunks:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, kind_) for v, kind_ in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), *2 * [pa.list_(pa.int32())]), strict=True)], ["j", "chunk", "c", "h"])
+                        out, held = [], 0
 
     def add(key, t):
         own, alleles = shared.value
@@ -255,7 +339,10 @@ def blocked(geno: DataFrame, n: int, seed, coded: Coded, make, schema: str, draw
         c, h = (sum(x.values.to_numpy().astype(np.int64) for x in t.column(v)).reshape(shape) for v in "ch")
         return pa.Table.from_pandas(make(j, reps, c, h), preserve_index=False)
 
-    counted = rows.groupBy("block", "lb", "part").applyInArrow(count, "j int, chunk int, c array<int>, h array<int>")
+    blocks = rows.repartition(max(1, min(every, MAX_TASKS)), "block", "lb").groupBy("block", "lb").applyInArrow(pack, "block long, lb long, i binary, j array<int>, packed binary")
+    # more tasks than parts, so that few parts share one
+    work = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(1, min(2 * every * parts, MAX_TASKS)), "block", "lb", "part")
+    counted = work.mapInArrow(count, "j int, chunk int, c array<int>, h array<int>")
     return counted.groupBy("j", "chunk").applyInArrow(add, schema)
 
 
@@ -272,18 +359,18 @@ def permute(geno: DataFrame, n: int, seed, collected=None) -> DataFrame:
     def make(j, reps, c, h) -> pd.DataFrame:
         return pd.DataFrame({"rep": reps, "locus": loci[j], **statistics(c.astype(np.int64), h.sum(axis=1))})
 
-    draw = _bounded(shuffled)
-    out = small(geno.sparkSession, collected, n, seed, make, schema, draw) if collected else blocked(geno, n, seed, coded, make, schema, draw)
+    tally = _bounded(by_labels)
+    out = small(geno.sparkSession, collected, n, seed, make, schema, tally) if collected else blocked(geno, n, seed, coded, make, schema, tally)
     return out.select("rep", "locus", *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in STATISTICS])
 
 
-def _bounded(draw):
-    """The draw with its bound as it is on the driver."""
-    return functools.partial(draw, limit=LISTED if draw is shuffled else LEAF)
+def _bounded(tally):
+    """The tally with its bound as it is on the driver."""
+    return functools.partial(tally, limit=LISTED if tally is by_labels else LEAF)
 
 
-def counted(geno: DataFrame, n: int, seed, collected=None, draw=shuffled) -> DataFrame:
-    """``counts.allele_counts`` with ``rep`` of n shuffles, or of n bootstraps where ``draw`` is ``weighed``."""
+def counted(geno: DataFrame, n: int, seed, collected=None, tally=by_labels) -> DataFrame:
+    """``counts.allele_counts`` with ``rep`` of n shuffles, or of n bootstraps where ``tally`` is ``by_weights``."""
     kind = {f.name: f.dataType.simpleString() for f in geno.schema.fields}
     coded = None if collected else Coded(geno)
     loci, alleles = (collected or coded).loci, (collected or coded).alleles
@@ -293,6 +380,6 @@ def counted(geno: DataFrame, n: int, seed, collected=None, draw=shuffled) -> Dat
         r, p, a = np.nonzero(c)
         return pd.DataFrame({"rep": reps[r], "locus": loci[j], "pop": pops[p], "allele": alleles[j][a], "c": c[r, p, a].astype(np.int64), "h": h[r, p, a].astype(np.int64)})
 
-    schema, draw = f"rep long, locus {kind['locus']}, pop string, allele long, c long, h long", _bounded(draw)
-    out = small(geno.sparkSession, collected, n, seed, make, schema, draw) if collected else blocked(geno, n, seed, coded, make, schema, draw)
+    schema, tally = f"rep long, locus {kind['locus']}, pop string, allele long, c long, h long", _bounded(tally)
+    out = small(geno.sparkSession, collected, n, seed, make, schema, tally) if collected else blocked(geno, n, seed, coded, make, schema, tally)
     return out.select("rep", "locus", F.col("pop").cast(kind["pop"]).alias("pop"), F.col("allele").cast(kind["a1"]).alias("allele"), "c", "h")

@@ -17,7 +17,8 @@ N_LOCI = 6
 
 def genotypes(spark: SparkSession, sf_dir: str, nulls: bool = False) -> DataFrame:
     """``indiv, pop, locus, a1, a2``; with ``nulls`` half of the missing cells are 999/999."""
-    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("indiv"), F.col("c_nationkey").alias("pop"))
+    # a file of customers is small beside what is made of it: individuals are dealt to all cores first, and stay together
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("indiv"), F.col("c_nationkey").alias("pop")).repartition("indiv")
     cells = people.withColumn("l", F.explode(F.sequence(F.lit(1), F.lit(N_LOCI))))
     k = F.col("l") + 3
 

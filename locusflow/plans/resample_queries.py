@@ -18,7 +18,8 @@ REP = "rep, "
 
 
 def _g(s, d):
-    return genotypes(s, d)
+    """Cached, as replicates, counts and observed values are made of it in several passes."""
+    return keep(genotypes(s, d))
 
 
 def _c(s, d):
@@ -52,7 +53,7 @@ def _people(s, d, n=B):
 
 
 def _complete(s, d):
-    return counts.complete_individuals(_g(s, d))
+    return keep(counts.complete_individuals(_g(s, d)))
 
 
 def with_overall(by_locus, whole, *names):

@@ -9,37 +9,37 @@ from ..sources import ingest, params
 from . import oracle, pipelines
 from .base_queries import PAIRS, WC, ld_sql, rounded
 from .fixtures import genotypes
-from .resample_queries import B, PEOPLE_SQL, POPS_SQL, REP, SEED, _ORACLE as RESAMPLE, alleles_sql, engine, labels_sql, ld_engine
+from .resample_queries import B, PEOPLE_SQL, POPS_SQL, REP, SEED, _ORACLE as RESAMPLE, _g, alleles_sql, engine, labels_sql, ld_engine
 
 TABLE = ("observed", "boot_mean", "boot_median", "ci_l", "ci_u", "p_value")
 
 
 def t_fis_by_pop(s, d, n=B):
-    return rounded(pipelines.fis_by_pop(genotypes(s, d), n, n, SEED, engine=engine(n)), *TABLE)
+    return rounded(pipelines.fis_by_pop(_g(s, d), n, n, SEED, engine=engine(n)), *TABLE)
 
 
 def t_fis_by_locus(s, d, n=B):
-    return rounded(pipelines.fis_by_locus(genotypes(s, d), n, n, SEED, engine=engine(n)), *TABLE)
+    return rounded(pipelines.fis_by_locus(_g(s, d), n, n, SEED, engine=engine(n)), *TABLE)
 
 
 def t_fit(s, d, n=B):
-    return rounded(pipelines.fit_analysis(genotypes(s, d), n, n, SEED, engine=engine(n)), *TABLE)
+    return rounded(pipelines.fit_analysis(_g(s, d), n, n, SEED, engine=engine(n)), *TABLE)
 
 
 def t_fst(s, d, n=B):
-    return rounded(pipelines.fst_analysis(genotypes(s, d), n, n, SEED, engine=engine(n)), *TABLE)
+    return rounded(pipelines.fst_analysis(_g(s, d), n, n, SEED, engine=engine(n)), *TABLE)
 
 
 def t_hs(s, d, n=B):
-    return rounded(pipelines.hs_tables(genotypes(s, d), n, SEED, engine=engine(n)), "observed", "boot_mean", "boot_se", "ci_l", "ci_u")
+    return rounded(pipelines.hs_tables(_g(s, d), n, SEED, engine=engine(n)), "observed", "boot_mean", "boot_se", "ci_l", "ci_u")
 
 
 def t_fst_summary(s, d, n=B):
-    return rounded(pipelines.summary_scalars(pipelines.fst_analysis(genotypes(s, d), n, n, SEED, engine=engine(n))), "share_defined", "mean_ci_width", "mean_power_proxy")
+    return rounded(pipelines.summary_scalars(pipelines.fst_analysis(_g(s, d), n, n, SEED, engine=engine(n))), "share_defined", "mean_ci_width", "mean_power_proxy")
 
 
 def _ld(s, d, n=B):
-    return pipelines.ld_matrix(genotypes(s, d), n, SEED, ld_engine(n))
+    return pipelines.ld_matrix(_g(s, d), n, SEED, ld_engine(n))
 
 
 def ld_pairs_summary(s, d, n=B):
