@@ -96,13 +96,14 @@ def hs_tables(geno: DataFrame, n_boot: int, seed=1, conf: float = 0.95, engine:
     """``unit, statistic, id``, observed, boot_mean, boot_se, ci_l, ci_u: HS over individuals, HS and HT over populations, by locus and Overall."""
     c = keep(counts.allele_counts(geno))
     obs = wc84.locus_stats(c)
-    people, pops = kernel.bootstrap_individual_counts(geno, n_boot, seed, engine), keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
+    people = keep(wc84.hs_per_locus(counts.pop_locus(kernel.bootstrap_individual_counts(geno, n_boot, seed, engine), ["rep"]), ["rep"]))
+    pops = keep(kernel.bootstrap_locus_stats(c, n_boot, seed))
 
     def long(x: DataFrame, keys: list[str], value: str) -> DataFrame:
         own = x.select(*keys, F.col("locus").alias("id"), F.col(value).alias("v"))
         return own.unionByName(_overall(own, keys, F.avg("v"), "v").select(*keys, "id", "v"))
 
-    parts = [("individuals", "HS", long(obs, [], "hs"), long(wc84.hs_per_locus(counts.pop_locus(people, ["rep"]), ["rep"]), ["rep"], "hs")), ("populations", "HS", long(obs, [], "hs"), long(pops, ["rep"], "hs")), ("populations", "HT", long(obs, [], "ht"), long(pops, ["rep"], "ht"))]
+    parts = [("individuals", "HS", long(obs, [], "hs"), long(people, ["rep"], "hs")), ("populations", "HS", long(obs, [], "hs"), long(pops, ["rep"], "hs")), ("populations", "HT", long(obs, [], "ht"), long(pops, ["rep"], "ht"))]
     out = None
     for unit, name, own, boot in parts:
         one = own.withColumnRenamed("v", "observed").join(inference.interval(boot, ["id"], "v", conf).select("id", "boot_mean", "boot_se", "ci_l", "ci_u"), "id", "left").select(F.lit(unit).alias("unit"), F.lit(name).alias("statistic"), "*")

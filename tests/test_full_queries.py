@@ -1,6 +1,9 @@
 import inspect
 
-from locusflow.plans import pipelines, registry
+import pytest
+
+from locusflow.functions import cache
+from locusflow.plans import fixtures, pipelines, registry
 
 
 def test_full_queries_take_the_default_replicates():
@@ -20,3 +23,13 @@ def test_replicates_reach_the_result(spark):
     few, more = (pipelines.ld_summary(pipelines.ld_matrix(g, n, 1)).first() for n in (20, 60))
     assert few.n_significant == 0 and few.min_p == 0.05
     assert more.n_significant == 3 and more.min_p == 1 / 60
+
+
+@pytest.mark.parametrize("analysis", [pipelines.fis_by_pop, pipelines.fit_analysis, pipelines.fst_analysis, pipelines.hs_tables])
+def test_replicates_of_a_table_are_made_once(spark, analysis):
+    """Rows by locus and Overall start from cached tables."""
+    geno = fixtures.genotypes(spark, "/root/testdata/sf0.001")
+    n = {k: 20 for k in ("n_perm", "n_boot") if k in inspect.signature(analysis).parameters}
+    leaves = analysis(geno, **n)._jdf.queryExecution().withCachedData().collectLeaves()
+    assert {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.length())} == {"InMemoryRelation"}
+    cache.release()
