@@ -12,12 +12,25 @@ from ..sources.folders import delete, shared_folder  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names (a temporary one for a local master without it)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cuts lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names (a temporary one for a local master without it).  Shuffle files of the query go at once, as nothing reads them again."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # a plan keeps the setting under which it was made, and that of df itself may be older
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

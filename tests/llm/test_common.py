@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from locusflow.llm import common
@@ -20,3 +22,20 @@ def test_spare_names():
         columns = ["A", "_a", "b"]
 
     assert common.spare(Frame, "a", "c", "C") == ["__a", "c", "_C"]
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {x for x in disk.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(common.CLEANUP, None)
+    rows = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(7).withColumnRenamed("id", "k").repartition(3, "k"), "k")
+    got = common.checkpointed(rows)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert sorted(r["count"] for r in got.collect()) == [14] * 5 + [15] * 2 == sorted(r["count"] for r in rows.collect())
+    assert spark.conf.get(common.CLEANUP, None) == setting
